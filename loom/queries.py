@@ -1,0 +1,6 @@
+"""The reference operators' queries by name, with the DuckDB SQL each is held against."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
