@@ -6,7 +6,13 @@ from importlib import import_module
 
 #: name: (module, function, SQL constant or None)
 _NAMES = {
+    "op1_source_mix": ("source_mix", "op1_source_mix", None),
+    "op2_sentencepiece": ("pieces", "op2_sentencepiece", None),
     "op4_near_dedup": ("near_dedup", "op4_near_dedup", "OP4_SQL"),
+    "op7_personal_data": ("personal_data", "op7_personal_data", None),
+    "op8_sharding": ("sharding", "op8_sharding", None),
+    "op9_quality_rules": ("quality_rules", "op9_quality_rules", None),
+    "op10_exact_dedup": ("exact_dedup", "op10_exact_dedup", "OP10_SQL"),
 }
 
 
