@@ -3,10 +3,11 @@
 1. Every text becomes the set of its distinct word shingles (64-bit hashes) and the compressed
    registers of that set.  Equal sets are one node from here on, whatever their number.
 2. Bands of registers are keys; nodes that share a key are candidates.  Each node is first compared
-   with the smallest node of its buckets (its best one by the registers' corrected estimate), which
+   with the center of one of its buckets (the best one by the registers' corrected estimate), which
    contracts large groups with one comparison a node.
 3. In buckets that still hold several components, the nodes outside the bucket's largest component
-   are compared with the others.  No pair inside a component is ever formed.
+   are compared with the others: by a join in small buckets, block by block in large ones.  No pair
+   inside a component is ever formed.
 4. Pairs whose estimate is not far below the threshold are confirmed on full shingle sets; the
    confirmed links' connected components are the result.
 
@@ -30,6 +31,8 @@ from loom.llm.sketch import ODD, HyperMinHash, U, WordHasher, mix, sets
 BANDS, ROWS = 32, 5
 #: Up to so many ids (16 MB) are broadcast to pick documents out; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Buckets of up to so many nodes are paired by a join, larger ones in groups of two blocks of so many nodes.
+SMALL, BLOCK_NODES = 24, 512
 
 
 def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
@@ -84,6 +87,71 @@ def _estimated(bands: int, rows: int, threshold: float):
     return run
 
 
+def _links_within(main, component, side, node, n, registers, found, band, sketch, percent):
+    """Confirmed links of one group: nodes outside the main component against all of other components."""
+    threshold = percent / 100
+    for x in np.flatnonzero(~main):
+        other = (component != component[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        if side is not None:  # two blocks: only across
+            other &= side != side[x]
+        other &= main | (node > node[x])
+        y = np.flatnonzero(other)
+        if not len(y):
+            continue
+        same = registers[y] == registers[x]
+        # a pair meets in several buckets: the first band that it shares has it
+        y, same = (z[np.argmax(same.reshape(len(y), sketch.bands, sketch.rows).all(axis=2), axis=1) == band] for z in (y, same))
+        chance = 2.0**-sketch.mantissa / 3
+        estimate = (same.mean(axis=1) - chance) / (1 - chance)
+        least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.minimum(sketch.m, np.minimum(n[y], n[x])))
+        order = np.argsort(-estimate, kind="stable")
+        done = set()
+        for k in order[estimate[order] >= least[order]]:
+            if component[y[k]] in done:
+                continue
+            s = found[y[k]]
+            at = np.searchsorted(found[x], s)
+            both = int((found[x][np.minimum(at, len(found[x]) - 1)] == s).sum())
+            if 100 * both >= percent * (len(s) + len(found[x]) - both):
+                done.add(component[y[k]])
+                yield min(node[x], node[y[k]]), max(node[x], node[y[k]])
+
+
+def _meeting(bands: int, rows: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = HyperMinHash(bands, rows)
+
+        def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
+            col = lambda c: t.column(c).to_numpy()
+            registers = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, sketch.m)
+            sets_ = t.column("set").combine_chunks()
+            ends, flat = sets_.offsets.to_numpy(), np.ascontiguousarray(sets_.values.to_numpy()).view(np.uint64)
+            found = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            main = t.column("main").to_numpy(zero_copy_only=False)
+            n = np.diff(ends).astype(np.int64)
+            out = list(_links_within(main, col("component"), col("own") if i != j else None, col("node"), n, registers, found, t.column("band")[0].as_py(), sketch, percent))
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            cuts = np.flatnonzero((np.diff(ids, axis=0) != 0).any(axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if last is not None and tuple(ids[a]) != last:
+                    yield links(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(ids[a])
+        if held:
+            yield links(held)
+
+    return run
+
+
 class NearDuplicates:
     """Links of documents whose shingle sets have ``100 * intersection >= percent * union``."""
 
@@ -95,12 +163,15 @@ class NearDuplicates:
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(self.bands, self.rows, self.percent / 100), "a long, b long, estimate double")
 
-    def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that hold on full sets; pairs is a table."""
-        ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    def _sets(self, ids: DataFrame) -> DataFrame:
+        """The full shingle sets of the documents in ids, a table."""
         few = ids.count() <= BROADCAST_IDS
         picked = self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        full = materialise(picked.mapInArrow(_full_sets(self.shingle), "doc_id long, set array<long>").dropDuplicates(["doc_id"]), "sets")
+        return materialise(picked.mapInArrow(_full_sets(self.shingle), "doc_id long, set array<long>").dropDuplicates(["doc_id"]), "sets")
+
+    def _confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that hold on full sets; pairs is a table."""
+        full = self._sets(materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids"))
         side = lambda x: full.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
         both = F.size(F.array_intersect("sa", "sb"))
         found = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
@@ -130,28 +201,50 @@ class NearDuplicates:
     def _links(self, nodes: DataFrame, total: int) -> DataFrame:
         width = 2 * self.rows
         band = F.transform(F.sequence(F.lit(0), F.lit(self.bands - 1)), lambda i: F.xxhash64(i, F.expr("registers").substr(i * width + 1, F.lit(width))))
-        keyed = nodes.select("node", "n", F.explode(band).alias("key"))
-        buckets = materialise(keyed.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("bucket_size")).where("bucket_size > 1"), "buckets")
-        members = materialise(with_groups(keyed, buckets, "key", total, "bucket_size"), "members")
-
-        star = members.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+        keyed = nodes.select("node", "n", F.posexplode(band).alias("band", "key"))
+        sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("bucket_size")).where("bucket_size > 1"), "buckets")
+        members = materialise(with_groups(keyed, sizes, "key", total, "bucket_size"), "members")
+
+        # a bucket's center is the node with most neighbours over all of its buckets: the copied text rather than a copy
+        degrees = members.groupBy("node").agg(F.sum("bucket_size").alias("degree"))
+        ranked = members.join(degrees, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("center"), F.count("*").alias("bucket_size"))
+        centered = with_groups(members.drop("bucket_size"), materialise(ranked, "centers"), "key", total, "bucket_size")
+        star = centered.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
         tried = materialise(self._candidates(star, nodes).groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")), "tried")
         first = materialise(self._confirmed(tried), "links")
         named = components(first)
 
-        held = members.select("key", "node", "n").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        held = materialise(held, "held")
+        held = materialise(members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "held")
         parts = held.groupBy("key", "component").agg(F.count("*").alias("size"))
-        mixed = materialise(parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "mixed")
-        several = held.join(mixed, "key")
+        mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("bucket_size")).where("parts > 1")
+        several = materialise(with_groups(held.drop("bucket_size"), materialise(mixed.drop("parts"), "mixed"), "key", total, "bucket_size"), "several")
+        small = self._small_buckets(several.where(F.col("bucket_size") <= SMALL)).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        second = self._confirmed(materialise(self._candidates(small, nodes), "pairs"))
+        third = self._large_buckets(several.where(F.col("bucket_size") > SMALL), nodes)
+        return materialise(first.unionByName(second).unionByName(third), "links")
+
+    def _small_buckets(self, several: DataFrame) -> DataFrame:
+        """Pairs across components in buckets of up to SMALL nodes; less than SMALL pairs a node and bucket."""
         left = several.where("component != most").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
         right = several.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "most")
         near = F.lit(100) * F.least("nx", "ny") >= F.lit(self.percent) * F.greatest("nx", "ny")
         cross = left.join(right, "key").where((F.col("cx") != F.col("cy")) & near & ((F.col("cy") == F.col("most")) | (F.col("x") < F.col("y"))))
-        pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        second = self._confirmed(materialise(self._candidates(pairs, nodes), "pairs"))
-        return materialise(first.unionByName(second), "links")
+        return cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
+    def _large_buckets(self, several: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Links across components in larger buckets, found where blocks of their full sets meet.
+
+        A bucket is dealt into blocks of about BLOCK_NODES nodes; every two blocks meet in a group of
+        their own, so that no group grows with the bucket, and only confirmed links leave it.
+        """
+        blocks = F.ceil(F.col("bucket_size") / BLOCK_NODES).cast("int")
+        own = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
+        dealt = several.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "component", (F.col("component") == F.col("most")).alias("main"))
+        ids = materialise(several.select(F.col("node").alias("doc_id")).distinct(), "ids")
+        full = self._sets(ids).join(nodes.select(F.col("node").alias("doc_id"), "registers"), "doc_id").withColumnRenamed("doc_id", "node")
+        rows = dealt.join(full, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        return rows.mapInArrow(_meeting(self.bands, self.rows, self.percent), "a long, b long").distinct()
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id linked, directly or not), kept; see the module.
