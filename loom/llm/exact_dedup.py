@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from loom.llm.common import materialise, new_path, table, with_groups
 
+#: Up to so many keys (about 80 MB) are broadcast to pick rows out.
+BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,6 +61,25 @@ class DigestIndex:
         return found.select("doc_id", keep.alias("keep_id"), "group_size", (F.col("old").isNull() & (F.col("row") == F.col("top.row"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def distinct_documents(docs: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """The rows of docs that stay, with all their columns.
+
+    The rows that go are picked out by doc_id and digest: by a broadcast while they are few (the
+    count is checked), else by a shuffle.  Rows equal in both are one document; where such a row is
+    the one that stays, one of them is returned.
+    """
+    decided = materialise(index.add(docs, batch).select("doc_id", "text_sha256", "kept"), "decided")
+    by_key = decided.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    by_key = materialise(by_key.where("NOT kept OR rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "going")
+    few = by_key.count() <= BROADCAST_ROWS
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("_doc"), F.sha2(normalised(F.col("text")), 256).alias("_digest"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
+    pick = lambda how, x: packed.join(F.broadcast(x) if few else x, same, how)
+    once = pick("left_semi", by_key.where("kept")).dropDuplicates(["_doc", "_digest"])
+    stays = pick("left_anti", by_key).unionByName(once)
+    return stays.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` as one batch for a new index."""
     return DigestIndex(spark, new_path(spark, "digest-index")).add(table(spark, sf_dir, "documents"), "documents")

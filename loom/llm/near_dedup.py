@@ -256,6 +256,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     return NearDuplicates(docs, shingle, percent, bands, rows).run()
 
 
+def distinct_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, of one document of each linked group.
+
+    The ids that go are broadcast while they are few (the count is checked), else joined by a shuffle.
+    """
+    going = materialise(near_duplicates(docs, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "going")
+    few = going.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(going) if few else going, F.col("doc_id") == F.col("_id"), "left_anti")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
