@@ -8,7 +8,10 @@ from importlib import import_module
 _NAMES = {
     "op1_source_mix": ("source_mix", "op1_source_mix", None),
     "op2_sentencepiece": ("pieces", "op2_sentencepiece", None),
+    "op3_token_counts": ("token_scan", "op3_token_counts", None),
     "op4_near_dedup": ("near_dedup", "op4_near_dedup", "OP4_SQL"),
+    "op5_secret_scan": ("secret_scan", "op5_secret_scan", None),
+    "op6_backoff_scores": ("backoff_lm", "op6_backoff_scores", None),
     "op7_personal_data": ("personal_data", "op7_personal_data", None),
     "op8_sharding": ("sharding", "op8_sharding", None),
     "op9_quality_rules": ("quality_rules", "op9_quality_rules", None),
