@@ -70,8 +70,7 @@ class Grams:
             doc.append(np.full(len(w), k))
         self.words = np.concatenate([*words, np.zeros(0, np.uint64)])
         self.doc = np.concatenate([*doc, np.zeros(0, np.int64)]).astype(np.int64)
-        self.of = []  # per order: gram index by position of its last word, -1 where a document has none
-        self.table = []  # per order: (sorted values, counts)
+        values, places = [], []
         for order in range(1, ORDER + 1):
             h = self.words * ODD[1]
             for k in range(1, order):
@@ -81,18 +80,22 @@ class Grams:
             inside[: order - 1] = False
             inside[order - 1 :] &= self.doc[order - 1 :] == self.doc[: len(h) - order + 1]
             # bucket above, LOW bits below: the values sort by bucket
-            value = ((h >> U(LOW)) % U(buckets) << U(LOW)) | (h & U(2**LOW - 1))
-            values, index, counts = np.unique(value[inside], return_inverse=True, return_counts=True)
-            at = np.full(len(h), -1)
-            at[inside] = index
-            self.of.append(at)
-            self.table.append((values, counts))
+            h = h[inside]
+            values.append(((h >> U(LOW)) % U(buckets) << U(LOW)) | (h & U(2**LOW - 1)))
+            places.append(np.flatnonzero(inside))
+        # grams of all orders in one table: sorted values and counts
+        self.values, index, self.counts = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        self.of = []  # per order: gram index by position of its last word, -1 where a document has none
+        for order, at in enumerate(places):
+            self.of.append(np.full(len(self.words), -1))
+            self.of[order][at] = index[: len(at)]
+            index = index[len(at) :]
 
     def own(self, order: int) -> np.ndarray:
         """Per position: how often its document has the gram that ends there."""
         at = self.of[order - 1]
         out, ok = np.zeros(len(at), np.int64), at >= 0
-        _, index, counts = np.unique(self.doc[ok] * (len(self.table[order - 1][0]) + 1) + at[ok], return_inverse=True, return_counts=True)
+        _, index, counts = np.unique(self.doc[ok] * (len(self.values) + 1) + at[ok], return_inverse=True, return_counts=True)
         out[ok] = counts[index]
         return out
 
@@ -102,13 +105,12 @@ def _counted(buckets: int):
         rows = []
         block = group.column("block")[0].as_py()
         grams = Grams(_sorted(group).column("text").cast(pa.large_binary()).to_pylist(), buckets)
-        for order, (values, counts) in enumerate(grams.table, 1):
-            bucket = values >> U(LOW)
-            cuts = np.flatnonzero(np.diff(bucket, prepend=~U(0)))
-            for a, b in zip(cuts, [*cuts[1:], len(values)], strict=True):
-                rows.append((int(bucket[a]), order, block, int(b - a), packed(values[a:b] & U(2**LOW - 1)), small_ints(counts[a:b])))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "order", "block", "n", "grams", "counts"])
+        bucket = grams.values >> U(LOW)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=~U(0)))
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+            rows.append((int(bucket[a]), block, int(b - a), packed(grams.values[a:b] & U(2**LOW - 1)), small_ints(grams.counts[a:b])))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "block", "n", "grams", "counts"])
 
     return run
 
@@ -119,7 +121,7 @@ def _sorted(group: pa.Table) -> pa.Table:
 
 
 def _totals(group: pa.Table) -> pa.Table:
-    """Of one bucket and order: each block's grams with their counts over all blocks."""
+    """Of one bucket: each block's grams with their counts over all blocks."""
     n = group.column("n").to_pylist()
     values = [unpacked(x) for x in group.column("grams").to_pylist()]
     counts = np.concatenate([from_small_ints(x, k) for x, k in zip(group.column("counts").to_pylist(), n, strict=True)])
@@ -127,7 +129,7 @@ def _totals(group: pa.Table) -> pa.Table:
     total = np.bincount(index, weights=counts).astype(np.int64)[index]
     ends = np.cumsum([0, *n])
     packed_ = [small_ints(total[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-    return pa.table([group.column("block"), group.column("order"), group.column("bucket"), group.column("n"), pa.array(packed_, pa.binary())], names=["block", "order", "bucket", "n", "totals"])
+    return pa.table([group.column("block"), group.column("bucket"), group.column("n"), pa.array(packed_, pa.binary())], names=["block", "bucket", "n", "totals"])
 
 
 def _scored(buckets: int, words: int):
@@ -135,19 +137,15 @@ def _scored(buckets: int, words: int):
         docs = _sorted(docs) if docs.num_rows else docs
         ids = docs.column("doc_id").combine_chunks() if docs.num_rows else pa.array([], pa.int64())
         grams = Grams(docs.column("text").cast(pa.large_binary()).to_pylist() if docs.num_rows else [], buckets)
-        answers = answers.sort_by([("order", "ascending"), ("bucket", "ascending")]) if answers.num_rows else answers
-        found: list[list[np.ndarray]] = [[] for _ in range(ORDER)]
-        for order, n, data in zip(*(answers.column(c).to_pylist() for c in ("order", "n", "totals")), strict=True):
-            found[order - 1].append(from_small_ints(data, n))
+        answers = answers.sort_by([("bucket", "ascending")]) if answers.num_rows else answers
+        found = [from_small_ints(data, n) for n, data in zip(*(answers.column(c).to_pylist() for c in ("n", "totals")), strict=True)]
+        total = np.concatenate([*found, np.zeros(0, np.int64)])
+        if len(total) != len(grams.values):
+            raise ValueError("a block's totals are not those of its grams")
         own_words = np.bincount(grams.doc, minlength=len(ids))
         others = np.maximum(words - own_words, 1)[grams.doc].astype(float)
-        rest = []  # per order and position: occurrences elsewhere
-        for order in range(1, ORDER + 1):
-            total = np.concatenate([*found[order - 1], np.zeros(0, np.int64)])
-            at = grams.of[order - 1]
-            if len(total) != len(grams.table[order - 1][0]):
-                raise ValueError("a block's totals are not those of its grams")
-            rest.append(np.where(at >= 0, (total[at] if len(total) else 0) - grams.own(order), 0))
+        # per order and position: occurrences elsewhere
+        rest = [np.where(at >= 0, (total[at] if len(total) else 0) - grams.own(k), 0) for k, at in enumerate(grams.of, 1)]
         score = np.where(rest[0] > 0, rest[0], 0.5) / others
         for order in range(2, ORDER + 1):
             context = np.concatenate((np.zeros(1, np.int64), rest[order - 2][:-1])) if len(score) else score
@@ -174,8 +172,8 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     buckets = max(1, -(-words[0] * 2 // BUCKET_ENTRIES))
     row = F.monotonically_increasing_id()
     dealt = docs.select("doc_id", "text", row.alias("row")).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    counted = dealt.groupBy("block").applyInArrow(_counted(buckets), "bucket long, order int, block long, n long, grams binary, counts binary")
-    totals = counted.groupBy("bucket", "order").applyInArrow(_totals, "block long, order int, bucket long, n long, totals binary")
+    counted = dealt.groupBy("block").applyInArrow(_counted(buckets), "bucket long, block long, n long, grams binary, counts binary")
+    totals = counted.groupBy("bucket").applyInArrow(_totals, "block long, bucket long, n long, totals binary")
     scored = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scored(buckets, words[0]), "doc_id long, n_words long, log_score double")
     return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
