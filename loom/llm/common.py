@@ -57,3 +57,25 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, total: int, count:
     hit = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return hit.unionByName(rest)
+
+
+def released(function):
+    """A function over Arrow batches that hands its memory back when a task ends: workers outlive tasks, and idle ones count."""
+
+    def run(*args):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from function(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return run

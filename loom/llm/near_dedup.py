@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loom.llm.common import materialise, table, with_groups
+from loom.llm.common import materialise, released, table, with_groups
 from loom.llm.graph import components
 from loom.llm.sketch import ODD, HyperMinHash, U, WordHasher, mix, sets
 
@@ -54,7 +54,7 @@ def _sketches(size: int, bands: int, rows: int):
                     registers.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(registers, pa.binary())], ["doc_id", "n", "fp", "registers"])
 
-    return run
+    return released(run)
 
 
 def _full_sets(size: int):
@@ -66,7 +66,7 @@ def _full_sets(size: int):
             flat = pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "set"])
 
-    return run
+    return released(run)
 
 
 def _estimated(bands: int, rows: int, threshold: float):
@@ -84,7 +84,7 @@ def _estimated(bands: int, rows: int, threshold: float):
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(estimate)], ["a", "b", "estimate"])
             yield out.filter(pa.array(keep))
 
-    return run
+    return released(run)
 
 
 def _links_within(main, component, side, node, n, registers, found, band, sketch, percent):
@@ -149,7 +149,7 @@ def _meeting(bands: int, rows: int, percent: int):
         if held:
             yield links(held)
 
-    return run
+    return released(run)
 
 
 class NearDuplicates:

@@ -9,20 +9,22 @@ chunk's decoded text, for decoding is by piece.  A worker's table is bounded; fu
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loom.llm.common import table
+from loom.llm.common import released, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Chunks in a worker's table; longer chunks than LONG are not kept in it.
-ENTRIES, LONG = 300_000, 64
+ENTRIES, LONG = 200_000, 64
 #: Characters handled at a time.
-PART = 4_000_000
+PART = 1_000_000
 
 
 def default_model() -> str:
@@ -44,26 +46,28 @@ class ChunkTable:
             raise ValueError("pieces of this model cross markers, or it changes white space")
         self.alone = self.sp.piece_to_id(MARK)
         self.end = self.sp.eos_id()
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, bytes] = {}  # 32-bit ids, so that a text's are one join
         self.decimal: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
 
     def chunks(self, text: str | None) -> list[str]:
         return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def learn(self, texts: Sequence[list[str]]) -> None:
+    def learn(self, texts: Sequence[list[str]], want: Sequence[str]) -> None:
         """Segments the chunks that the table lacks, each once."""
         if len(self.ids) > ENTRIES:
             for x in (self.ids, self.decimal, self.decoded):
                 x.clear()
         new = list({c for chunks in texts for c in chunks} - self.ids.keys())
-        if not new:
-            return
-        found = self.sp.encode([c[1:].replace(MARK, " ") for c in new])  # the library puts the first marker back
-        found = [[self.alone] if c == MARK else ids for c, ids in zip(new, found, strict=True)]
-        self.ids.update(zip(new, found, strict=True))
-        self.decimal.update((c, " ".join(map(str, ids))) for c, ids in zip(new, found, strict=True))
-        self.decoded.update((c, " " + d) for c, d in zip(new, self.sp.decode(found), strict=True))
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            found = self.sp.encode([c[1:].replace(MARK, " ") for c in part])  # the library puts the first marker back
+            found = [[self.alone] if c == MARK else ids for c, ids in zip(part, found, strict=True)]
+            self.ids.update((c, array("i", ids).tobytes()) for c, ids in zip(part, found, strict=True))
+            if "ids_text" in want:
+                self.decimal.update((c, " ".join(map(str, ids))) for c, ids in zip(part, found, strict=True))
+            if "decoded" in want:
+                self.decoded.update((c, " " + d) for c, d in zip(part, self.sp.decode(found), strict=True))
 
     def forget(self, texts: Sequence[list[str]]) -> None:
         for c in {c for chunks in texts for c in chunks if len(c) > LONG}:
@@ -71,8 +75,9 @@ class ChunkTable:
                 x.pop(c, None)
 
     def of(self, texts: Sequence[str | None], want: Sequence[str]) -> list[list]:
-        """Per text, for each wanted column: ids, ids_text, n_tokens, decoded."""
+        """Per text, for each wanted column: ids (as 32-bit bytes), ids_text, n_tokens, decoded."""
         out: list[list] = [[] for _ in want]
+        end = array("i", [self.end]).tobytes()
         i = 0
         while i < len(texts):
             j, held = i, 0
@@ -80,12 +85,12 @@ class ChunkTable:
                 held += len(texts[j] or "")
                 j += 1
             cut = [self.chunks(t) for t in texts[i:j]]
-            self.learn(cut)
+            self.learn(cut, want)
             for k, name in enumerate(want):
                 if name == "ids":
-                    out[k] += [[x for c in chunks for x in self.ids[c]] + [self.end] for chunks in cut]
+                    out[k] += [b"".join(map(self.ids.__getitem__, chunks)) + end for chunks in cut]
                 elif name == "n_tokens":
-                    out[k] += [sum(map(len, map(self.ids.__getitem__, chunks))) + 1 for chunks in cut]
+                    out[k] += [sum(map(len, map(self.ids.__getitem__, chunks))) // 4 + 1 for chunks in cut]
                 elif name == "ids_text":
                     out[k] += [" ".join([*map(self.decimal.__getitem__, chunks), str(self.end)]) for chunks in cut]
                 else:
@@ -95,21 +100,26 @@ class ChunkTable:
         return out
 
 
-_KINDS = {"ids": ("array<int>", pa.list_(pa.int32())), "ids_text": ("string", pa.string()), "n_tokens": ("long", pa.int64()), "decoded": ("string", pa.string())}
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+_KINDS = {"ids": ("array<int>", None), "ids_text": ("string", pa.string()), "n_tokens": ("long", pa.int64()), "decoded": ("string", pa.string())}
 
 
 def _run(model: str | None, want: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunked = ChunkTable(model or default_model())
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 500):
+            for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 found = chunked.of(part.column(part.num_columns - 1).to_pylist(), want)
-                arrays = [pa.array(x, _KINDS[w][1]) for w, x in zip(want, found, strict=True)]
+                arrays = [_lists(x) if w == "ids" else pa.array(x, _KINDS[w][1]) for w, x in zip(want, found, strict=True)]
                 names = [f"c{i}" for i in range(part.num_columns - 1)] + list(want)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names)
 
-    return run
+    return released(run)
 
 
 def encoded(docs: DataFrame, want: Sequence[str] = ("ids",), model: str | None = None, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
