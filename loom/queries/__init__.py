@@ -28,8 +28,8 @@ def simple(name: str, text: str, operator: Callable, sql: str | None = None) ->
     """operator over a view; in its SQL ``v`` is the view."""
     from loom import views
 
-    query(name, f"WITH v AS ({views.duck(text)}) {sql}" if sql else None)(lambda spark, sf_dir: operator(views.view(spark, sf_dir, text)))
+    query(name, f"WITH RECURSIVE v AS ({views.duck(text)}) {sql}" if sql else None)(lambda spark, sf_dir: operator(views.view(spark, sf_dir, text)))
 
 
-for _module in ("intervals", "rewards", "text", "rl", "batch", "messages"):
+for _module in ("intervals", "rewards", "text", "rl", "batch", "messages", "reports"):
     import_module(f"loom.queries.{_module}")
