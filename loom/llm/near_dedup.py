@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loom.llm.common import materialise, released, table, with_groups
+from loom.llm.common import materialise, released, small_batches, table, with_groups
 from loom.llm.graph import components
 from loom.llm.sketch import ODD, HyperMinHash, U, WordHasher, mix, sets
 
@@ -156,7 +156,7 @@ class NearDuplicates:
     """Links of documents whose shingle sets have ``100 * intersection >= percent * union``."""
 
     def __init__(self, docs: DataFrame, shingle: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> None:
-        self.docs = docs.select("doc_id", "text")
+        self.docs = small_batches(docs).select("doc_id", "text")
         self.shingle, self.percent, self.bands, self.rows = shingle, percent, bands, rows
 
     def _candidates(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loom.llm.common import released, table
+from loom.llm.common import released, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -189,7 +189,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans.  Row by row: repeats, nulls in other columns, other columns
     and no rows are fine.
     """
-    return docs.select("doc_id", "text").mapInArrow(released(_run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(released(_run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loom.llm.common import released, table
+from loom.llm.common import released, small_batches, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -131,7 +131,7 @@ def encoded(docs: DataFrame, want: Sequence[str] = ("ids",), model: str | None =
     where each worker has it.
     """
     fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + [f"{w} {_KINDS[w][0]}" for w in want]
-    out = docs.select(*keep, "text").mapInArrow(_run(model, tuple(want)), ", ".join(fields))
+    out = small_batches(docs).select(*keep, "text").mapInArrow(_run(model, tuple(want)), ", ".join(fields))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *want)
 
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loom.llm.common import released, table
+from loom.llm.common import released, small_batches, table
 
 # --- fixed values of the contract: the patterns of the base spans, in order
 KINDS = ("assign", "access", "hex")
@@ -259,7 +259,7 @@ def secrets(docs: DataFrame, net: Network | None = None) -> DataFrame:
                     ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = U(0x9E3779B97F4A7C15)
 ODD = _rng.integers(1, 2**63, 16, dtype=np.uint64) * U(2) + U(1)
 #: Bytes hashed at a time; bounds the temporary arrays whatever the batch holds.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:

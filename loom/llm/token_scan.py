@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from loom.llm.common import new_path, table
+from loom.llm.common import new_path, released, small_batches, table
 
 #: The end-of-document id: free in the 50k vocabulary, and its two bytes are the UTF-8 of one character,
 #: so that the text sink can write it as its line separator.
@@ -77,7 +77,7 @@ def _tokens(name: str):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_multi_50k.tiktoken") -> None:
     """Writes docs' texts as flat token files; null and empty texts have no tokens but their header."""
-    rows = docs.select("doc_id", "text").mapInArrow(_tokens(tokenizer), "ids binary")
+    rows = small_batches(docs).select("doc_id", "text").mapInArrow(released(_tokens(tokenizer)), "ids binary")
     rows.select(F.col("ids").cast("string")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", FILE_DOCS).text(path)
 
 
