@@ -261,9 +261,9 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
 
     The ids that go are broadcast while they are few (the count is checked), else joined by a shuffle.
     """
-    going = materialise(near_duplicates(docs, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "going")
+    going = materialise(near_duplicates(docs, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("__loom_id")).distinct(), "going")
     few = going.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(going) if few else going, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(F.broadcast(going) if few else going, F.col("doc_id") == F.col("__loom_id"), "left_anti")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
