@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -58,7 +59,9 @@ def test_long_texts_take_the_other_sort(spark, monkeypatch, labels):
 
 
 def test_ratio_drops_junk(spark):
-    docs = [(i, prose(i, 120)) for i in range(60)] + [(100 + i, " ".join(w + "$$$" for w in prose(i, 120).split())) for i in range(30)]
+    vocabulary = prose(9, 80).split()
+    clean = lambda k: random.Random(k).choices(vocabulary, k=150)
+    docs = [(i, " ".join(clean(i))) for i in range(60)] + [(100 + i, " ".join(w + "$$$" for w in clean(i))) for i in range(30)]
     labels = [(i, 1, 0) for i in range(40)] + [(100 + i, 0, 0) for i in range(20)]
     found = quality_rules.judged(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert {r.doc_id for r in found.where("kept").collect()} == set(range(60))
