@@ -40,7 +40,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], times: float = 3) ->
     order = sorted(range(len(sizes)), key=lambda i: times * sizes[i] / weights[i])
     left, weight, out = float(sum(sizes)), float(sum(weights)), [0.0] * len(sizes)
     for i in order:
-        out[i] = min(times * sizes[i], left * weights[i] / weight) if weight > 0 else 0.0
+        out[i] = float(min(times * sizes[i], left * weights[i] / weight)) if weight > 0 else 0.0
         left, weight = left - out[i], weight - weights[i]
     return out
 
