@@ -75,7 +75,7 @@ class Grams:
             h = self.words * ODD[1]
             for k in range(1, order):
                 h[k:] = h[k:] + mix(self.words[:-k] * ODD[1 + k])
-            h = mix(h + U(order) * ODD[7])
+            h = mix(h + U(order * int(ODD[7]) % 2**64))
             inside = np.ones(len(h), bool)
             inside[: order - 1] = False
             inside[order - 1 :] &= self.doc[order - 1 :] == self.doc[: len(h) - order + 1]
@@ -107,7 +107,7 @@ def _counted(buckets: int):
         grams = Grams(_sorted(group).column("text").cast(pa.large_binary()).to_pylist(), buckets)
         bucket = grams.values >> U(LOW)
         cuts = np.flatnonzero(np.diff(bucket, prepend=~U(0)))
-        for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)][: len(cuts)], strict=True):
             rows.append((int(bucket[a]), block, int(b - a), packed(grams.values[a:b] & U(2**LOW - 1)), small_ints(grams.counts[a:b])))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "block", "n", "grams", "counts"])
