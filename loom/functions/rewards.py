@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loom.functions import tags
 
-zero = F.lit(0.0)
+zero = lambda: F.lit(0.0)
 
 
 def score_format(response: Column) -> Column:
@@ -39,7 +39,7 @@ def score_accuracy(response: Column, gold: Column, logprob: Column | None = None
     plain = F.when(right, 0.5).otherwise(0.0)
     if logprob is None:
         return plain
-    c = F.least(F.lit(1.0), F.greatest(zero, F.exp(logprob)))
+    c = F.least(F.lit(1.0), F.greatest(zero(), F.exp(logprob)))
     weighted = F.when(right, (1 - (c - 1) * (c - 1)) * 0.5).otherwise(c * c * -0.5)
     return F.when(~answerable(response, gold), 0.0).when(logprob.isNull(), plain).otherwise(weighted)
 
@@ -51,7 +51,7 @@ def score_segment(response: Column, gold: Column) -> Column:
 def total(response: Column, gold: Column, logprob: Column | None = None) -> Column:
     """Struct of the components, their sum, and the sum to four places."""
     parts = {"format": score_format(response), "consistency": score_consistency(response), "accuracy": score_accuracy(response, gold, logprob), "segment": score_segment(response, gold)}
-    whole = sum(parts.values(), zero)
+    whole = sum(parts.values(), zero())
     return F.struct(*[c.alias(k) for k, c in parts.items()], whole.alias("total"), F.round(whole, 4).alias("rollout_total"))
 
 
@@ -65,12 +65,12 @@ def audio_qa(response: Column, gold: Column, experiment: str) -> Column:
     spans = F.regexp_extract_all(response, F.lit(FOLLOWED), F.lit(1))
     pairs = F.array_sort(F.transform(spans, lambda x: F.struct(F.split(F.replace(x, F.lit(" ")), ",")[0].cast("double").alias("s"), F.split(F.replace(x, F.lit(" ")), ",")[1].cast("double").alias("e"))))
     n = F.size(pairs)
-    length = F.aggregate(pairs, zero, lambda t, p: t + p["e"] - p["s"])
-    start = F.struct(zero.alias("reach"), zero.alias("n"), F.lit(True).alias("first"))
+    length = F.aggregate(pairs, zero(), lambda t, p: t + p["e"] - p["s"])
+    start = F.struct(zero().alias("reach"), zero().alias("n"), F.lit(True).alias("first"))
     # where a span begins beyond the reach it counts whole, else what it adds
     merged = F.aggregate(pairs, start, lambda t, p: F.struct(
         F.when(t["first"] | (p["s"] > t["reach"]), p["e"]).otherwise(F.greatest(t["reach"], p["e"])).alias("reach"),
-        (t["n"] + F.when(t["first"] | (p["s"] > t["reach"]), p["e"] - p["s"]).otherwise(F.greatest(p["e"] - t["reach"], zero))).alias("n"), F.lit(False).alias("first")), lambda t: t["n"])
+        (t["n"] + F.when(t["first"] | (p["s"] > t["reach"]), p["e"] - p["s"]).otherwise(F.greatest(p["e"] - t["reach"], zero()))).alias("n"), F.lit(False).alias("first")), lambda t: t["n"])
     follow = F.size(F.filter(F.regexp_extract_all(response, F.lit(FOLLOWED), F.lit(2)), lambda x: x.rlike(r"^(\p{Lu}|<)")))
     once = (F.size(F.regexp_extract_all(response, F.lit(tags.THINK), F.lit(0))) == 1) & (F.size(tags.answers(response)) == 1)
     form = F.when(once, 0.5).otherwise(0.0)
@@ -80,7 +80,7 @@ def audio_qa(response: Column, gold: Column, experiment: str) -> Column:
     consistency = -F.least(follow, F.lit(5)) / 10
     apart = F.when(length > 0, merged * 0.5 / length).otherwise(0.0)
     used = {"1": (form, acc, consistency), "2": (form, acc, tool), "3": (form, acc, tool, consistency), "6": (form, acc, tool, consistency), "11": (form, acc, tool, consistency, apart), "12": (form, acc, tool, consistency, apart)}.get(experiment, (form, acc))
-    return F.struct(sum(used, zero).alias("score"), acc.alias("acc_score"), form.alias("format_score"), n.alias("seg_count"), tool.alias("tool_score"), consistency.alias("consistency_score"), apart.alias("non_overlap_score"))
+    return F.struct(sum(used, zero()).alias("score"), acc.alias("acc_score"), form.alias("format_score"), n.alias("seg_count"), tool.alias("tool_score"), consistency.alias("consistency_score"), apart.alias("non_overlap_score"))
 
 
 def final_number(text: Column, strict: bool = True) -> Column:

@@ -38,14 +38,14 @@ COLS = CUST
 over("columns__SET04", lambda v: v.select("id", "seg").withColumnRenamed("seg", "segment"), " SELECT id, seg AS segment FROM v")
 over("concatenated__SET01_SET03_SRC04", lambda v: v.select("id").unionByName(v.select("id", "seg"), allowMissingColumns=True).groupBy(F.col("seg").isNull().alias("missing")).agg(F.count("*").alias("n")), " SELECT seg IS NULL AS missing, count(*) AS n FROM (SELECT id, NULL AS seg FROM v UNION ALL SELECT id, seg FROM v) GROUP BY 1")
 SEQ = "SELECT c_custkey AS id, c_nationkey AS n FROM {customer}"
-_seq = F.transform(F.sequence(F.lit(0), (F.col("n") % 9).cast("int")), lambda i: i)
-over("padding_and_truncation__SET12_SET13", lambda v: v.select("id", *[F.array_join(c, ",").alias(k) for k, c in {"right": op.fitted(_seq, 9, F.lit(-1)), "left": op.fitted(_seq, 9, F.lit(-1), left=True), "cut_left": op.truncated(_seq, 4, "left"), "cut_right": op.truncated(_seq, 4, "right"), "cut_middle": op.truncated(_seq, 4, "middle")}.items()]),
+_seq = lambda: F.transform(F.sequence(F.lit(0), (F.col("n") % 9).cast("int")), lambda i: i)
+over("padding_and_truncation__SET12_SET13", lambda v: v.select("id", *[F.array_join(c, ",").alias(k) for k, c in {"right": op.fitted(_seq(), 9, F.lit(-1)), "left": op.fitted(_seq(), 9, F.lit(-1), left=True), "cut_left": op.truncated(_seq(), 4, "left"), "cut_right": op.truncated(_seq(), 4, "right"), "cut_middle": op.truncated(_seq(), 4, "middle")}.items()]),
     """, s AS (SELECT id, range(0, n % 9 + 1) AS s FROM v), p AS (SELECT id, s, list_transform(range(0, 9 - len(s)), lambda x: -1) AS f FROM s) SELECT id, array_to_string(list_concat(s, f), ',') AS "right", array_to_string(list_concat(f, s), ',') AS "left", array_to_string(CASE WHEN len(s) > 4 THEN s[-4:] ELSE s END, ',') AS cut_left, array_to_string(s[:4], ',') AS cut_right,
     array_to_string(CASE WHEN len(s) > 4 THEN list_concat(s[:2], s[-2:]) ELSE s END, ',') AS cut_middle FROM p""", SEQ)
 over("loss_masks__SET14", lambda v: v.select("seq", "pos", op.loss_mask(F.col("pos"), F.lit(3), F.count("*").over(op.W.Window.partitionBy("seq"))).alias("m")), " SELECT seq, pos, CASE WHEN pos >= 2 AND pos < count(*) OVER (PARTITION BY seq) - 1 THEN 1 ELSE 0 END AS m FROM v", views.TOKENS)
 over("multiturn_loss_masks__SET14_ARR02", lambda v: v.select("conv_id", "turn", F.when(F.col("role") == "assistant", 1).otherwise(0).alias("all_turns"), F.when((F.col("role") == "assistant") & (F.col("turn") == F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(op.W.Window.partitionBy("conv_id"))), 1).otherwise(0).alias("last_round")),
     " SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS all_turns, CASE WHEN role = 'assistant' AND turn = max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END AS last_round FROM v", views.MESSAGES)
-over("without_padding__SET15", lambda v: v.select("id", F.array_join(op.without_padding(op.fitted(_seq, 9, F.lit(-1), left=True), op.fitted(F.transform(_seq, lambda x: F.lit(1)), 9, F.lit(0), left=True)), ",").alias("s")), " SELECT id, array_to_string(range(0, n % 9 + 1), ',') AS s FROM v", SEQ)
+over("without_padding__SET15", lambda v: v.select("id", F.array_join(op.without_padding(op.fitted(_seq(), 9, F.lit(-1), left=True), op.fitted(F.transform(_seq(), lambda x: F.lit(1)), 9, F.lit(0), left=True)), ",").alias("s")), " SELECT id, array_to_string(range(0, n % 9 + 1), ',') AS s FROM v", SEQ)
 over("imbalance__AGG32", lambda v: op.imbalance(v.withColumn("a", F.floor(F.col("rid") / 10000)).withColumn("b", F.col("rid") % 4), "length", "a", "b").select(*[F.round(c, 3).cast("double").alias(c) for c in ("min", "max", "minmax_diff", "balanced_min", "balanced_max", "mean")]),
     """, a AS (SELECT floor(rid / 10000) AS k, sum(length) AS s FROM v GROUP BY 1), b AS (SELECT rid % 4 AS k, sum(length) AS s FROM v GROUP BY 1) SELECT CAST(x.lo AS DOUBLE) AS min, CAST(x.hi AS DOUBLE) AS max, CAST(x.hi - x.lo AS DOUBLE) AS minmax_diff, CAST(y.lo AS DOUBLE) AS balanced_min, CAST(y.hi AS DOUBLE) AS balanced_max, round(x.m, 3) AS mean FROM (SELECT min(s) AS lo, max(s) AS hi, avg(s) AS m FROM a) x, (SELECT min(s) AS lo, max(s) AS hi FROM b) y""", views.ROLLOUTS)
 over("micro_batch_count__SET18", lambda v: op.rounds_needed(v, "length", 4096, 8), " SELECT CAST(ceil(least(count(*), ceil(sum(length) / 4096)) / 8) * 8 AS BIGINT) AS micro_batches FROM v", views.ROLLOUTS)

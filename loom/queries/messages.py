@@ -46,8 +46,8 @@ docs("sharegpt_pairs__PRJ10", lambda v: v.select("doc_id", TEXT(op.pairs_to_mess
 over("class_labels__PRJ12", lambda v: v.select("doc_id", C("quality").cast("string").cast("int").alias("label")), " SELECT doc_id, quality AS label FROM v", "SELECT doc_id, quality FROM {labels}")
 over("history__PRJ13", lambda v: GROUP(v).select("conv_id", F.size(op.to_history(C("messages"))).alias("n"), F.element_at(F.transform(op.to_history(C("messages")), lambda h: F.coalesce(h[1], F.lit("-"))), -1).alias("last")).where("n > 0"),
     ", r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS c FROM v WHERE role <> 'system') SELECT conv_id, CAST(ceil(any_value(c) / 2) AS INTEGER) AS n, CASE WHEN any_value(c) % 2 = 1 THEN '-' ELSE max(CASE WHEN k = c THEN text END) END AS last FROM r GROUP BY 1", CONV)
-PARTS = F.array(F.struct(F.lit("text").alias("type"), C("t").alias("value")), F.struct(F.lit("image_url").alias("type"), F.lit("a.png").alias("value")), F.struct(F.lit("audio").alias("type"), F.lit("b.wav").alias("value")), F.struct(F.lit("text").alias("type"), C("lang").alias("value")))
-docs("content_parts__PRJ14", lambda v: v.select("doc_id", op.parts_to_text(PARTS).alias("text"), F.array_join(op.media(PARTS, "image"), ",").alias("images"), F.array_join(op.media(PARTS, "audio"), ",").alias("audios")), " SELECT doc_id, t || '<image><audio>' || lang AS text, 'a.png' AS images, 'b.wav' AS audios FROM v")
+PARTS = lambda: F.array(F.struct(F.lit("text").alias("type"), C("t").alias("value")), F.struct(F.lit("image_url").alias("type"), F.lit("a.png").alias("value")), F.struct(F.lit("audio").alias("type"), F.lit("b.wav").alias("value")), F.struct(F.lit("text").alias("type"), C("lang").alias("value")))
+docs("content_parts__PRJ14", lambda v: v.select("doc_id", op.parts_to_text(PARTS()).alias("text"), F.array_join(op.media(PARTS(), "image"), ",").alias("images"), F.array_join(op.media(PARTS(), "audio"), ",").alias("audios")), " SELECT doc_id, t || '<image><audio>' || lang AS text, 'a.png' AS images, 'b.wav' AS audios FROM v")
 docs("placeholder_parts__PRJ15", lambda v: v.select("doc_id", F.array_join(F.transform(op.text_to_parts(F.concat(F.lit("<image>"), C("lang"), F.lit("<image>")), F.array(F.lit("p"), F.lit("q"))), lambda p: F.concat(p["type"], F.lit("="), p["value"])), ";").alias("parts")), " SELECT doc_id, 'image=p;text=' || lang || ';image=q' AS parts FROM v")
 over("leading_system__PRJ16", lambda v: GROUP(v).select("conv_id", op.without_system(op.standard_roles(C("messages"))).alias("s")).select("conv_id", F.coalesce("s.system", F.lit("-")).alias("system"), F.size("s.messages").alias("n")),
     ", g AS (SELECT conv_id, first(role ORDER BY turn) AS f, first(text ORDER BY turn) AS t, count(*) AS n FROM v GROUP BY 1) SELECT conv_id, CASE WHEN f = 'system' THEN t ELSE '-' END AS system, CAST(n - CASE WHEN f = 'system' THEN 1 ELSE 0 END AS INTEGER) AS n FROM g", CONV)
@@ -81,8 +81,8 @@ docs("filled_names__DSP28_DSP29", lambda v: ps.named(ps.templated(v.select("doc_
 over("classified_prompts__DSP29", lambda v: ps.classified(v.select("doc_id", F.lit("s").alias("sentence"), C("quality").alias("label")), ["bad", "good"], "Quality").select("doc_id", "query", "response"), " SELECT doc_id, 'Task: Quality' || chr(10) || 'Sentence: s' || chr(10) || 'Category: bad, good' || chr(10) || 'Output:' AS query, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS response FROM v", "SELECT doc_id, quality FROM {labels}")
 docs("grounding_prompts__DSP30", lambda v: v.select(ps.grounding_prompt(C("doc_id"), ["a", "b"], ["甲"], 1).alias("p")).groupBy("p").agg(F.count("*").alias("n")), None)
 docs("paths_and_letters__DSP31", lambda v: ps.existing(v.select("doc_id", ps.rewritten_path(F.concat(F.lit("coco/"), C("lang")), {"coco/": "/data/coco/"}).alias("p"), ps.option_letter(C("doc_id") % 4).alias("letter")), C("p"), v.sparkSession.createDataFrame([("/data/coco/en",), ("/data/coco/de",)], "path string")), " SELECT doc_id, '/data/coco/' || lang AS p, chr(CAST(65 + doc_id % 4 AS INTEGER)) AS letter FROM v WHERE lang IN ('en', 'de')")
-SPANS = F.array(F.struct(F.lit(2).alias("start"), F.lit(5).alias("end")), F.struct((C("doc_id") % 6 + 1).cast("int").alias("start"), (C("doc_id") % 6 + 3).cast("int").alias("end")))
-docs("spliced_spans__DSP32", lambda v: v.where(~ps.spans_overlap(SPANS)).select("doc_id", ps.spliced(C("t"), SPANS).alias("s")), " SELECT doc_id, left(t, 2) || '<ref-object><bbox>' || substring(t, 6, CAST(doc_id % 6 - 4 AS INTEGER)) || '<ref-object><bbox>' || substring(t, CAST(doc_id % 6 + 4 AS INTEGER)) AS s FROM v WHERE doc_id % 6 >= 4")
+SPANS = lambda: F.array(F.struct(F.lit(2).alias("start"), F.lit(5).alias("end")), F.struct((C("doc_id") % 6 + 1).cast("int").alias("start"), (C("doc_id") % 6 + 3).cast("int").alias("end")))
+docs("spliced_spans__DSP32", lambda v: v.where(~ps.spans_overlap(SPANS())).select("doc_id", ps.spliced(C("t"), SPANS()).alias("s")), " SELECT doc_id, left(t, 2) || '<ref-object><bbox>' || substring(t, 6, CAST(doc_id % 6 - 4 AS INTEGER)) || '<ref-object><bbox>' || substring(t, CAST(doc_id % 6 + 4 AS INTEGER)) AS s FROM v WHERE doc_id % 6 >= 4")
 docs("cleaned_titles__DSP33", lambda v: v.select("doc_id", ps.cleaned_title(F.concat(F.lit(" A [title]"), C("lang"), F.lit(" [x] b  "), C("source"))).alias("c")), " SELECT doc_id, 'A. ' || lang || ' b ' || source AS c FROM v")
 docs("shuffled_options__DSP35", lambda v: v.select("doc_id", ps.shuffled_options(F.array(F.lit("w"), F.lit("x"), F.lit("y"), F.lit("z")), C("doc_id"), 4).alias("s")).select("doc_id", "s.gold"), ", o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY md5('4_' || doc_id || '_' || i)) AS k FROM v, range(4) t(i)) SELECT doc_id, chr(CAST(64 + k AS INTEGER)) AS gold FROM o WHERE i = 0")
 over("dated_rows__DSP35", lambda v: ps.dated(v, "d", "1995-03", "1996-01").agg(F.count("*").alias("n")), " SELECT count(*) AS n FROM v WHERE d >= '1995-03' AND d < '1996-01'", "SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS d FROM {orders}")

@@ -40,11 +40,11 @@ from loom.queries.intervals import EV as EVSQL  # noqa: E402
 query("earlier_matches__JON12_MTH04", EVSQL + ", m AS (SELECT a.clip_id, a.i, b.i AS j, greatest(0, least(a.e, b.e) - greatest(a.s, b.s)) AS c, (a.e - a.s) + (b.e - b.s) AS t FROM x a JOIN x b ON a.clip_id = b.clip_id AND b.i < a.i) SELECT clip_id, i, min(j) AS j FROM m WHERE c / (t - c) >= 0.3 GROUP BY 1, 2")(lambda spark, sf_dir: rt.earlier_match(EV(spark, sf_dir), "clip_id", "idx", 0.3).select("clip_id", C("i").cast("long").alias("i"), C("j").cast("long").alias("j")))
 query("accepted_segments__JON12")(lambda spark, sf_dir: EV(spark, sf_dir).groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "start_s", "end_s"))), lambda s: F.struct(s["start_s"].alias("start"), s["end_s"].alias("end"))).alias("s")).select("clip_id", F.size(rt.accepted(C("s"), 0.3)).alias("n")))
 query("clamped_segments__MTH04", EVSQL + " SELECT event_id, greatest(0, least(s, 43200)) AS a, greatest(0, least(e, 43200)) AS b FROM x WHERE s < 43200")(lambda spark, sf_dir: EV(spark, sf_dir).select("event_id", rt.clamped(C("start_s"), C("end_s"), F.lit(43200.0)).alias("c")).where("c IS NOT NULL").select("event_id", C("c.start").alias("a"), C("c.end").alias("b")))
-CH = F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.when(C("doc_id") % 7 == 0, " ").otherwise("d"))
-over("triplet_reasons__FLT08", lambda v: v.groupBy(rt.triplet_reason(F.when(C("doc_id") % 11 > 0, "q").otherwise(" "), CH, F.when(C("doc_id") % 5 == 0, "z").otherwise("a"), F.concat(F.lit("<think>"), F.when(C("doc_id") % 3 == 0, "<seg>").otherwise(""), F.lit("</think><answer> "), F.when(C("doc_id") % 2 == 0, "a").otherwise("b"), F.lit("</answer>"))).alias("reason")).agg(F.count("*").alias("n")),
+CH = lambda: F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.when(C("doc_id") % 7 == 0, " ").otherwise("d"))
+over("triplet_reasons__FLT08", lambda v: v.groupBy(rt.triplet_reason(F.when(C("doc_id") % 11 > 0, "q").otherwise(" "), CH(), F.when(C("doc_id") % 5 == 0, "z").otherwise("a"), F.concat(F.lit("<think>"), F.when(C("doc_id") % 3 == 0, "<seg>").otherwise(""), F.lit("</think><answer> "), F.when(C("doc_id") % 2 == 0, "a").otherwise("b"), F.lit("</answer>"))).alias("reason")).agg(F.count("*").alias("n")),
     " SELECT CASE WHEN doc_id % 11 = 0 THEN 'bad question' WHEN doc_id % 7 = 0 THEN 'bad choices' WHEN doc_id % 5 = 0 THEN 'answer not in choices' WHEN doc_id % 2 = 1 THEN 'cot answer mismatch' WHEN doc_id % 3 > 0 THEN 'missing seg' ELSE '' END AS reason, count(*) AS n FROM v GROUP BY 1")
-MSG = F.array(F.struct(F.lit("user").alias("role"), F.when(C("doc_id") % 5 > 0, "<audio>q Choose the answer from x").otherwise("q").alias("content")), F.struct(F.when(C("doc_id") % 7 > 0, "assistant").otherwise("bot").alias("role"), F.concat(F.lit("<think>"), F.when(C("doc_id") % 3 > 0, "<seg>1,2</seg>").otherwise(""), F.lit("</think><answer>a</answer>")).alias("content")))
-over("record_reasons__FLT09", lambda v: v.groupBy(rt.record_reason(MSG, F.when(C("doc_id") % 2 == 0, "a").otherwise("b")).alias("reason")).agg(F.count("*").alias("n")), " SELECT CASE WHEN doc_id % 7 = 0 THEN 'bad roles' WHEN doc_id % 5 = 0 THEN 'bad user content' WHEN doc_id % 3 = 0 THEN 'missing seg' WHEN doc_id % 2 = 1 THEN 'answer mismatch' ELSE '' END AS reason, count(*) AS n FROM v GROUP BY 1")
+MSG = lambda: F.array(F.struct(F.lit("user").alias("role"), F.when(C("doc_id") % 5 > 0, "<audio>q Choose the answer from x").otherwise("q").alias("content")), F.struct(F.when(C("doc_id") % 7 > 0, "assistant").otherwise("bot").alias("role"), F.concat(F.lit("<think>"), F.when(C("doc_id") % 3 > 0, "<seg>1,2</seg>").otherwise(""), F.lit("</think><answer>a</answer>")).alias("content")))
+over("record_reasons__FLT09", lambda v: v.groupBy(rt.record_reason(MSG(), F.when(C("doc_id") % 2 == 0, "a").otherwise("b")).alias("reason")).agg(F.count("*").alias("n")), " SELECT CASE WHEN doc_id % 7 = 0 THEN 'bad roles' WHEN doc_id % 5 = 0 THEN 'bad user content' WHEN doc_id % 3 = 0 THEN 'missing seg' WHEN doc_id % 2 = 1 THEN 'answer mismatch' ELSE '' END AS reason, count(*) AS n FROM v GROUP BY 1")
 over("invented_segments__FLT10", lambda v: v.select("doc_id", rt.invented(tags.segments(C("response")), F.array(F.struct(F.lit(1.5).alias("start"), F.lit(3.0).alias("end")))).alias("invented")), " SELECT doc_id, doc_id % 3 = 1 AS invented FROM v", views.RESPONSES)
 over("length_filter__FLT07", lambda v: v.where(F.size(F.split("text", " ")) <= 100).select("doc_id"), " SELECT doc_id FROM v WHERE len(string_split(text, ' ')) <= 100")
 over("quarantine__FLT03_FLT04_FLT02", lambda v: rt.quarantined(v, C("lang") != "fr")[0].agg(F.count("*").alias("good")).join(F.broadcast(rt.quarantined(v, C("lang") != "fr")[1].agg(F.count("*").alias("bad")))), " SELECT count(*) FILTER (lang <> 'fr') AS good, count(*) FILTER (lang = 'fr') AS bad FROM v")
