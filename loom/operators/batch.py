@@ -86,9 +86,9 @@ def padded(df: DataFrame, divisor: int) -> DataFrame:
     missing = -rows % divisor
     if not missing or not rows:
         return df.withColumn("is_pad", F.lit(False))
-    extra = df.where(F.col("row_idx") < missing).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit((missing - 1) // rows))))
-    extra = extra.withColumn("place", F.col("row_idx") + F.col("k") * rows).where(F.col("place") < missing)
-    extra = extra.withColumn("row_idx", F.col("place") + rows).drop("k", "place").withColumn("is_pad", F.lit(True))
+    extra = df.where(F.col("row_idx") < missing).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit((missing - 1) // rows))))
+    extra = extra.withColumn("_at", F.col("row_idx") + F.col("_k") * rows).where(F.col("_at") < missing)
+    extra = extra.withColumn("row_idx", F.col("_at") + rows).drop("_k", "_at").withColumn("is_pad", F.lit(True))
     return df.withColumn("is_pad", F.lit(False)).unionByName(extra)
 
 
