@@ -1,14 +1,20 @@
-"""Every query against its SQL on the smallest tables."""
+"""Every query against its SQL."""
 
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from loom.queries import QUERIES, SQL
 from loom.views import TABLES
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return os.environ.get("LOOM_TEST_DATA", "/root/testdata/sf0.01")
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
@@ -20,7 +26,7 @@ def duck(sf_dir):
 
 def rows(frame):
     columns = sorted(frame.columns)
-    plain = lambda v: None if v is None or v != v else round(float(v), 5) if hasattr(v, "__float__") and not isinstance(v, (str, bool)) else str(v)
+    plain = lambda v: None if pd.isna(v) else round(float(v), 5) if hasattr(v, "__float__") and not isinstance(v, (str, bool)) else str(v)
     return columns, sorted((tuple(plain(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False)), key=repr)
 
 
