@@ -25,10 +25,12 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def simple(name: str, text: str, operator: Callable, sql: str | None = None) -> None:
-    """operator over a view; in its SQL ``v`` is the view."""
+    """operator over a view; in its SQL ``v`` is the view. A view that cuts texts has a second query, whole_*, over them whole."""
     from loom import views
 
     query(name, f"WITH RECURSIVE v AS ({views.duck(text)}) {sql}" if sql else None)(lambda spark, sf_dir: operator(views.view(spark, sf_dir, text)))
+    if views.whole(text) != text:
+        simple(f"whole_{name}", views.whole(text), operator, sql)
 
 
 for _module in ("intervals", "rewards", "text", "rl", "batch", "messages", "reports", "sources"):

@@ -76,6 +76,7 @@ over("exact_duplicates__AGG09", lambda v: op.exact_duplicates(v, X()), " SELECT
 over("loose_duplicates__AGG10", lambda v: op.loose_duplicates(v.select(F.explode(F.split("text", r"[\n.]")).alias("line")), F.col("line")).select(F.md5("norm").alias("h"), "n", "variants"),
     rf", l AS (SELECT unnest(regexp_split_to_array(text, '[\n.]')) AS line FROM v), g AS (SELECT {NORM.format('line')} AS norm, count(*) AS n, count(DISTINCT line) AS variants FROM l GROUP BY 1) SELECT md5(norm) AS h, n, variants FROM g WHERE variants > 1 AND norm <> ''")
 over("template_repeats__AGG11", lambda v: op.concentration(v, T.template(F.substring("text", 1, 12)), 15), f", c AS (SELECT {TEMPLATE.format('substring(text, 1, 12)')} AS v, count(*) AS n FROM v GROUP BY 1) SELECT count(*) AS \"unique\", count(*) FILTER (n > 1) AS repeated, round((SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC, v LIMIT 15)) * 100 / sum(n), 1) AS top_pct FROM c")
+over("whole_template_repeats__AGG11", lambda v: op.concentration(v, T.template(X()), 15), f", c AS (SELECT {TEMPLATE.format('text')} AS v, count(*) AS n FROM v GROUP BY 1) SELECT count(*) AS \"unique\", count(*) FILTER (n > 1) AS repeated, round((SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC, v LIMIT 15)) * 100 / sum(n), 1) AS top_pct FROM c")
 over("opening_concentration__AGG12", lambda v: op.concentration(v, T.opening(T.template(X()), 1), 5), f", c AS (SELECT split_part({OPEN.format(TEMPLATE.format('text'))}, ' ', 1) AS v, count(*) AS n FROM v GROUP BY 1) SELECT count(*) AS \"unique\", count(*) FILTER (n > 1) AS repeated, round((SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC, v LIMIT 5)) * 100 / sum(n), 1) AS top_pct FROM c")
 over("diversity_by_type__AGG14", lambda v: op.concentration(v, T.opening(X(), 1), 5, ["lang"]), f", c AS (SELECT lang, split_part({OPEN.format('text')}, ' ', 1) AS v, count(*) AS n FROM v GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, v) AS k FROM c) SELECT lang, count(*) AS \"unique\", count(*) FILTER (n > 1) AS repeated, round(sum(n) FILTER (k <= 5) * 100 / sum(n), 1) AS top_pct FROM k GROUP BY 1")
 over("explained_segments__AGG13", lambda v: op.explained(v, F.col("response")), r" SELECT CASE WHEN b AND a THEN 'both' WHEN b THEN 'before' WHEN a THEN 'after' ELSE 'neither' END AS kind, count(*) AS n FROM (SELECT regexp_matches(response, '(?s)\S.{5,40}?\s*<seg>') AS b, regexp_matches(response, '(?s)</seg>\s*.{5,40}?(?:<seg>|$)') AS a FROM v WHERE regexp_matches(response, '<seg>\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*</seg>')) GROUP BY 1", views.RESPONSES)

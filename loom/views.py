@@ -50,6 +50,15 @@ def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **{t: read(spark, sf_dir, t) for t in used})
 
 
+def whole(text: str) -> str:
+    """The view without its cuts of texts and without a filter on lang; where it shows two parts of a text, these are halves."""
+    half = "CAST(floor(length(text) / 2) AS INT)"
+    cuts = (r"substring\(text, 1, 60\)", f"substring(text, 1, {half})"), (r"substring\(text, 61, 40\)", f"substring(text, {half} + 1)")
+    for cut, instead in cuts if "substring(text, 61" in text else ((r"substring\(text, 1, \d+\)", "text"), (r" WHERE lang = 'en'$", "")):
+        text = re.sub(cut, instead, text)
+    return text
+
+
 def duck(text: str) -> str:
     """The view's text for DuckDB."""
     return re.sub(r"\{(\w+)\}", r"\1", text)
