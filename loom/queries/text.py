@@ -78,8 +78,11 @@ over("loose_duplicates__AGG10", lambda v: op.loose_duplicates(v.select(F.explode
 over("template_repeats__AGG11", lambda v: op.concentration(v, T.template(F.substring("text", 1, 12)), 15), f", c AS (SELECT {TEMPLATE.format('substring(text, 1, 12)')} AS v, count(*) AS n FROM v GROUP BY 1) SELECT count(*) AS \"unique\", count(*) FILTER (n > 1) AS repeated, round((SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC, v LIMIT 15)) * 100 / sum(n), 1) AS top_pct FROM c")
 over("whole_template_repeats__AGG11", lambda v: op.concentration(v, T.template(X()), 15), f", c AS (SELECT {TEMPLATE.format('text')} AS v, count(*) AS n FROM v GROUP BY 1) SELECT count(*) AS \"unique\", count(*) FILTER (n > 1) AS repeated, round((SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC, v LIMIT 15)) * 100 / sum(n), 1) AS top_pct FROM c")
 over("opening_concentration__AGG12", lambda v: op.concentration(v, T.opening(T.template(X()), 1), 5), f", c AS (SELECT split_part({OPEN.format(TEMPLATE.format('text'))}, ' ', 1) AS v, count(*) AS n FROM v GROUP BY 1) SELECT count(*) AS \"unique\", count(*) FILTER (n > 1) AS repeated, round((SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC, v LIMIT 5)) * 100 / sum(n), 1) AS top_pct FROM c")
+over("five_word_opening_concentration__AGG12", lambda v: op.concentration(v, T.opening(T.template(X())), 5), f", c AS (SELECT {OPEN.format(TEMPLATE.format('text'))} AS v, count(*) AS n FROM v GROUP BY 1) SELECT count(*) AS \"unique\", count(*) FILTER (n > 1) AS repeated, round((SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC, v LIMIT 5)) * 100 / sum(n), 1) AS top_pct FROM c")
 over("diversity_by_type__AGG14", lambda v: op.concentration(v, T.opening(X(), 1), 5, ["lang"]), f", c AS (SELECT lang, split_part({OPEN.format('text')}, ' ', 1) AS v, count(*) AS n FROM v GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, v) AS k FROM c) SELECT lang, count(*) AS \"unique\", count(*) FILTER (n > 1) AS repeated, round(sum(n) FILTER (k <= 5) * 100 / sum(n), 1) AS top_pct FROM k GROUP BY 1")
+over("five_word_diversity_by_type__AGG14", lambda v: op.concentration(v, T.opening(X()), 5, ["lang"]), f", c AS (SELECT lang, {OPEN.format('text')} AS v, count(*) AS n FROM v GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, v) AS k FROM c) SELECT lang, count(*) AS \"unique\", count(*) FILTER (n > 1) AS repeated, round(sum(n) FILTER (k <= 5) * 100 / sum(n), 1) AS top_pct FROM k GROUP BY 1")
 over("explained_segments__AGG13", lambda v: op.explained(v, F.col("response")), r" SELECT CASE WHEN b AND a THEN 'both' WHEN b THEN 'before' WHEN a THEN 'after' ELSE 'neither' END AS kind, count(*) AS n FROM (SELECT regexp_matches(response, '(?s)\S.{5,40}?\s*<seg>') AS b, regexp_matches(response, '(?s)</seg>\s*.{5,40}?(?:<seg>|$)') AS a FROM v WHERE regexp_matches(response, '<seg>\s*(\d+(?:\.\d+)?)\s*,\s*(\d+(?:\.\d+)?)\s*</seg>')) GROUP BY 1", views.RESPONSES)
 over("segment_followups__AGG13", lambda v: op.followups(v, F.col("response"), 20), r", f AS (SELECT unnest(regexp_extract_all(response, '(?s)<seg>\s*[\d.]+\s*,\s*[\d.]+\s*</seg>\s*(.{10,60}?)(?:<seg|$)', 1)) AS f FROM v) SELECT trim(f) AS f, count(*) AS n FROM f WHERE length(trim(f)) >= 5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", views.RESPONSES)
 over("type_token_ratio__AGG07", lambda v: op.type_token_ratio(v, T.tokens(X()), ["lang"]), f", t AS (SELECT lang, unnest({TOKENS}) AS w FROM v) SELECT lang, count(*) AS tokens, count(DISTINCT w) AS types, round(count(DISTINCT w) / count(*), 6) AS ratio FROM t GROUP BY 1")
 over("most_common_openings__AGG06", lambda v: op.most_common(v, T.opening(X(), 1), F.col("doc_id"), 20).select("value", "n"), f", c AS (SELECT split_part({OPEN.format('text')}, ' ', 1) AS value, count(*) AS n, min(doc_id) AS f FROM v GROUP BY 1) SELECT value, n FROM c ORDER BY n DESC, f, value LIMIT 20")
+over("five_word_most_common_openings__AGG06", lambda v: op.most_common(v, T.opening(X()), F.col("doc_id"), 20).select("value", "n"), f", c AS (SELECT {OPEN.format('text')} AS value, count(*) AS n, min(doc_id) AS f FROM v GROUP BY 1) SELECT value, n FROM c ORDER BY n DESC, f, value LIMIT 20")

@@ -34,3 +34,12 @@ def test_ends_of_texts_count(spark, long_texts):
     assert run("whole_template_repeats__AGG11")[0].unique == 1
     halves = views.view(spark, long_texts, views.whole(views.RESPONSES)).where("doc_id = 1").first().response
     assert halves.count("word ") >= 99  # the cut in the middle may lie in a word
+
+
+def test_five_words_tell_openings_apart(spark, tmp_path):
+    texts = ["so it goes on and ends", "so it goes on and stops", "so it goes off", "so", "no"]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert run("five_word_opening_concentration__AGG12")[0][:2] == (4, 1)
+    assert run("five_word_diversity_by_type__AGG14")[0][:3] == ("en", 4, 1)
+    assert run("five_word_most_common_openings__AGG06") == [("so it goes on and", 2), ("so it goes off", 1), ("so", 1), ("no", 1)]
