@@ -1,31 +1,38 @@
 """Sharding by balanced label propagation under capacity quotas.
 
 Documents are nodes and equal texts are links; a group's hub stands for its links, so a group of n
-has n of them and not n * n / 2.  Documents start at seeded shards.  In each round every linked
-document looks at how its group's bytes lie over the shards and asks to move to the shard that holds
-most of them; a shard admits, in a seeded order, what its quota leaves.  Admission is by thresholds
-on histograms of the requests (at most shards * BINS rows on the driver, at any input size), so no
-task sorts a shard's requests.  Documents without links then fill what capacity is left: each takes
-its place on the line of free bytes by its place in a seeded order.
+has n of them and not n * n / 2.  Documents start at seeded shards, and a hub wishes for the shards
+that hold its group's bytes, those that hold most first.  Its documents take the shard it gets; none
+holds room at its start, so departures need no counting.  In each round every hub that waits asks for
+the first of its wishes with room; a shard admits, in a seeded order, what its quota leaves, and who
+is refused asks for the next, until no request is left.  Admission is by thresholds on histograms of
+the requests (at most shards * BINS rows on the driver, at any input size), so no task sorts a
+shard's requests.  Large groups, of which there are few, come first: each gets an ordered run of
+shards, one where one has room for it.  Documents without links, and those of groups for which no
+shard has room, then fill what capacity is left: each takes its place on the line of free bytes by
+its place in a seeded order, where a group's documents are neighbours.
 
 The law is ``bytes``: shards' sizes are near equal.
 """
 
 from __future__ import annotations
 
-import bisect
+import itertools
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from loom.llm.common import materialise, table, with_groups
+from loom.llm.common import HOT_SHARE, materialise, table
 
 #: Bins of the seeded order within a shard's requests, and of the fill line.
 BINS = 4096
-#: Rows of one numbering task, about.
-SLOT_ROWS = 200_000
+#: Rows of one numbering task, about; and of a large group.
+SLOT_ROWS, PART_ROWS = 200_000, 1000
+#: A group with more than this part of a shard's capacity is large.
+LARGE = 1 / 64
 
 
 def _bins(seed: int, *key: str):
@@ -37,36 +44,89 @@ def _loads(placed: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def _round(linked: DataFrame, groups: DataFrame, loads: list[int], capacity: float, seed: int, total: int) -> DataFrame:
-    """One round of propagation over linked documents (row, key, size, shard)."""
-    spark, shards = linked.sparkSession, len(loads)
+def _wishes(linked: DataFrame, seed: int) -> DataFrame:
+    """Each group's shards, those that hold most of its bytes first; of shards that hold as much, in a seeded order."""
     held = linked.groupBy("key", "shard").agg(F.sum("size").alias("held"))
-    # of shards that hold as much, a seeded one; the hubs are as many as groups, and a hub's row is small
-    best = held.groupBy("key").agg(F.max_by("shard", F.struct("held", F.xxhash64(F.lit(seed), "key", "shard"))).alias("to")).join(groups, "key")
-    asked = materialise(with_groups(linked, materialise(best, "hubs"), "key", total).drop("group_size"), "asked")
-    moving = asked.where("to != shard")
-    # requests by shard and bin, in and out: a histogram of bounded size
-    inward = moving.groupBy(F.col("to").alias("s"), _bins(seed, "key", "row").alias("bin")).agg(F.sum("size").alias("size")).collect()
-    by_shard: dict[int, list[tuple[int, int]]] = {}
-    for r in inward:
-        by_shard.setdefault(r.s, []).append((r.bin, r.size))
-    admit = []
-    for s in range(shards):  # departures are not counted on: they may be refused elsewhere
-        free, limit = capacity - loads[s], -1
-        for b, size in sorted(by_shard.get(s, [])):
-            if size > free:
-                break
-            free, limit = free - size, b
-        admit.append((s, limit))
-    limits = F.broadcast(spark.createDataFrame(admit, "to int, upto int"))
-    moved = asked.join(limits, "to").withColumn("shard", F.when((F.col("to") != F.col("shard")) & (_bins(seed, "key", "row") <= F.col("upto")), F.col("to")).otherwise(F.col("shard")))
-    return materialise(moved.select("row", "key", "size", "shard"), "placed")
+    ranked = F.sort_array(F.collect_list(F.struct("held", F.xxhash64(F.lit(seed), "key", "shard").alias("tie"), "shard")), asc=False)
+    return held.groupBy("key").agg(F.transform(ranked, lambda x: x["shard"]).alias("wishes"))
+
+
+def _runs(large: list, free: list[float]) -> list[tuple]:
+    """(key, rows, upto, run) of large groups, the largest first: a run of shards, and how many rows they hold up to each.
+
+    A group goes whole to the first shard of its wishes that has room for it; if none has, it fills
+    the emptiest shard and goes on with the rest.  free is what the shards have left.
+    """
+    out = []
+    for g in sorted(large, key=lambda g: (-g.group_size * g.size, bytes(g.key))):
+        order = [*g.wishes, *(s for s in range(len(free)) if s not in set(g.wishes))]
+        left, upto, run = g.group_size, [], []
+        while left:
+            s = next((s for s in order if free[s] >= left * g.size), None)
+            n = left
+            if s is None:
+                s = max(order, key=free.__getitem__)
+                n = min(left, max(1, int(free[s] // g.size)))  # at least one, for no shard may have room for a whole text
+            left -= n
+            free[s] -= n * g.size
+            upto.append(g.group_size - left)
+            run.append(s)
+        out.append((bytes(g.key), g.group_size, upto, run))
+    return out
+
+
+def _dealt(linked: DataFrame, runs: list[tuple], seed: int) -> DataFrame:
+    """Rows of large groups over their runs, by their numbers within the group, which are counted in parallel parts."""
+    table = F.broadcast(linked.sparkSession.createDataFrame(runs, "key binary, rows long, upto array<long>, run array<int>"))
+    parts = F.least(F.lit(BINS), F.ceil(F.col("rows") / PART_ROWS))
+    cut = linked.drop("shard").join(table, "key").withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 3), "row"), parts).cast("int"))
+    before = W.Window.partitionBy("key").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("key", "part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    number = F.row_number().over(W.Window.partitionBy("key", "part").orderBy("row"))
+    placed = cut.withColumn("number", number).join(offsets, ["key", "part"]).withColumn("rank", F.col("offset") + F.col("number") - 1)
+    return placed.select("row", "size", F.get("run", F.size(F.filter("upto", lambda u: u <= F.col("rank")))).alias("shard"))
+
+
+def _settled(hubs: DataFrame, free: list[float], seed: int) -> DataFrame:
+    """key and shard of groups (key, bytes, wishes), null where no shard has room for the group.
+
+    In each round the hubs that wait ask for the first of their wishes with room, and then for any
+    shard with room.  Rounds end when no request is left.  free is what the shards have left.
+    """
+    spark, shards = hubs.sparkSession, len(free)
+    closed, done, waiting = [False] * shards, [], hubs
+    others = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.pmod(F.xxhash64(F.lit(seed), "key") + i, F.lit(shards)).cast("int"))
+    for k in itertools.count():
+        room = F.array(*(F.lit(-1.0 if c else float(x)) for c, x in zip(closed, free, strict=True)))
+        fitting = lambda x: F.get(F.filter(x, lambda s: F.get(room, s) >= F.col("bytes")), F.lit(0))
+        asked = materialise(waiting.withColumn("to", F.coalesce(fitting("wishes"), fitting(others))), "asked")
+        bin_ = _bins(seed + k, "key")
+        # requests by shard and bin: a histogram of bounded size
+        inward = asked.where("to IS NOT NULL").groupBy(F.col("to").alias("s"), bin_.alias("bin")).agg(F.sum("bytes").alias("bytes")).collect()
+        by_shard: dict[int, list[tuple[int, int]]] = {}
+        for r in inward:
+            by_shard.setdefault(r.s, []).append((r.bin, r.bytes))
+        admit = []
+        for s, bins in by_shard.items():
+            limit = -1
+            for b, size in sorted(bins):
+                if size > free[s]:
+                    break
+                free[s], limit = free[s] - size, b
+            closed[s] = limit < 0
+            admit.append((s, limit))
+        if not admit:
+            return reduce(DataFrame.unionByName, [*done, asked.select("key", F.lit(None).cast("int").alias("shard"))])
+        limits = F.broadcast(spark.createDataFrame(admit, "to int, upto int"))
+        answered = materialise(asked.join(limits, "to", "left").withColumn("ok", F.coalesce(bin_ <= F.col("upto"), F.lit(False))), "answered")
+        done.append(answered.where("ok").select("key", F.col("to").alias("shard")))
+        waiting = answered.where("NOT ok").select("key", "bytes", "wishes")
 
 
 def _fill(alone: DataFrame, loads: list[int], seed: int) -> DataFrame:
-    """Places documents without links on the free bytes of shards, in a seeded order of bins and, within one, of rows."""
+    """Places documents on the free bytes of shards, in a seeded order of bins and, within one, of nodes and rows."""
     spark, shards = alone.sparkSession, len(loads)
-    binned = alone.withColumn("bin", _bins(seed, "row"))
+    binned = alone.withColumn("bin", _bins(seed, "node"))
     sizes = {r.bin: r.size for r in binned.groupBy("bin").agg(F.sum("size").alias("size")).collect()}
     begins, at = [], 0
     for b in range(BINS):
@@ -82,10 +142,10 @@ def _fill(alone: DataFrame, loads: list[int], seed: int) -> DataFrame:
         end += max(0.0, high - x)
         ends.append(end)
     ends[-1] = float("inf")
-    within = W.Window.partitionBy("bin", "sub").orderBy("row")
+    within = W.Window.partitionBy("bin", "sub").orderBy("node", "row")
     # a bin is cut into subs of about SLOT_ROWS rows, whose sums order them on the line
     subs = max(1, alone.count() // (BINS * SLOT_ROWS) + 1)
-    binned = binned.withColumn("sub", F.pmod(F.xxhash64(F.lit(seed + 1), "row"), F.lit(subs)).cast("int"))
+    binned = binned.withColumn("sub", F.pmod(F.xxhash64(F.lit(seed + 1), "node"), F.lit(subs)).cast("int"))
     before = W.Window.partitionBy("bin").orderBy("sub").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = binned.groupBy("bin", "sub").agg(F.sum("size").alias("bytes")).withColumn("offset", F.coalesce(F.sum("bytes").over(before), F.lit(0))).drop("bytes")
     starts = F.broadcast(spark.createDataFrame(begins, "bin int, begin long"))
@@ -108,11 +168,11 @@ def _slots(placed: DataFrame, rows: int, shards: int, seed: int) -> DataFrame:
     return cut.withColumn("number", number).join(offsets, ["shard", "part"]).withColumn("slot", (F.col("offset") + F.col("number") - 1).cast("long"))
 
 
-def sharded(docs: DataFrame, shards: int = 40, rounds: int = 3, slack: float = 0.0, seed: int = 1) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 40, slack: float = 0.0, seed: int = 1) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs.
 
     size: the text's UTF-8 bytes (null: none) plus 16.  Rows with equal texts are linked (null texts
-    with null texts).  A group larger than a shard's capacity is spread over shards, as it must.
+    with null texts).  A group larger than a shard's capacity fills shards one after another, as it must.
     Every row counts by itself, so repeated rows and null doc_ids are fine; no rows give no rows;
     other columns are ignored.
     """
@@ -125,12 +185,21 @@ def sharded(docs: DataFrame, shards: int = 40, rounds: int = 3, slack: float = 0
     total = sized.count()
     whole = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     capacity = whole / shards * (1 + slack)
-    groups = materialise(sized.groupBy("key").agg(F.count("*").alias("group_size")).where("group_size > 1"), "groups")
+    groups = materialise(sized.groupBy("key").agg(F.count("*").alias("group_size"), F.max("size").alias("size")).where("group_size > 1"), "groups")
     start = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(shards)).cast("int").alias("shard")
-    linked = materialise(with_groups(sized, groups, "key", total).select("row", "key", "size", start), "placed")
-    for k in range(rounds):
-        linked = _round(linked, groups, _loads(linked, shards), capacity, seed + k, total)
-    alone = sized.join(groups, "key", "left_anti").select("row", "size")
+    # by a broadcast of large groups' keys and a shuffle for the others no partition is hot
+    bytes_, free = F.col("group_size") * F.col("size"), [float(capacity)] * shards
+    is_large = (bytes_ > F.lit(capacity * LARGE)) | (F.col("group_size") > F.lit(max(1, int(total * HOT_SHARE))))
+    large = groups.where(is_large).select("key")  # at most shards / LARGE + 1 / HOT_SHARE
+    one = sized.join(F.broadcast(large), "key").select("row", "key", "size", start)
+    rest = sized.join(F.broadcast(large), "key", "left_anti").join(groups.where(~is_large).select("key"), "key", "left_semi").select("row", "key", "size", start)
+    one, rest = materialise(one, "large"), materialise(rest, "linked")
+    runs = _runs(groups.where(is_large).join(_wishes(one, seed), "key").collect(), free)
+    hubs = groups.where(~is_large).select("key", bytes_.alias("bytes")).join(_wishes(rest, seed), "key")
+    settled = materialise(rest.drop("shard").join(_settled(hubs, free, seed), "key"), "settled")
+    linked = materialise(_dealt(one, runs, seed).unionByName(settled.where("shard IS NOT NULL").select("row", "size", "shard")), "placed")
+    alone = sized.join(groups, "key", "left_anti").select("row", "size", F.xxhash64(F.lit(seed), "row").alias("node"))
+    alone = alone.unionByName(settled.where("shard IS NULL").select("row", "size", F.xxhash64("key").alias("node")))
     filled = _fill(materialise(alone, "alone"), _loads(linked, shards), seed)
     placed = materialise(linked.select("row", "shard").unionByName(filled.select("row", "shard")), "placed")
     out = sized.drop("key").join(_slots(placed, total, shards, seed).select("row", "shard", "slot"), "row")

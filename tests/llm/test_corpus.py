@@ -260,3 +260,28 @@ def test_pipeline_registered(spark, sf_dir):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"](spark, sf_dir).count() > 0
+
+
+def cut_groups(spark, texts, shards):
+    """Shards by text, and the bytes of shards."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held, sizes = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in sharding.sharded(docs, shards).collect():
+        held[texts[r.doc_id]][r.shard] += 1
+        sizes[r.shard] += r.size
+    return held, sizes
+
+
+def test_shards_of_skewed_copies(spark):
+    """A third of the bytes in one group and nearly all others in copies, too: few shards for the one, few cuts of the rest."""
+    texts = ["hot " * 20] * 1000 + [f"{i:04d}" * 20 for i in range(660) for _ in range(3)] + [f"x {i} " * 12 for i in range(20)]
+    held, sizes = cut_groups(spark, texts, 40)
+    assert len(sizes) == 40 and max(sizes.values()) <= 1.1 * min(sizes.values())
+    assert len(held["hot " * 20]) <= 15 and sum(len(v) > 1 for v in held.values()) <= 41
+
+
+def test_shards_of_many_small_groups(spark):
+    """Groups below the bounds of large ones, which hold all bytes: refused ones go to other shards whole."""
+    texts = [f"pair {i:05d} " * 8 for i in range(3000) for _ in range(2)]
+    held, sizes = cut_groups(spark, texts, 8)
+    assert max(sizes.values()) <= 1.02 * min(sizes.values()) and sum(len(v) > 1 for v in held.values()) <= 16
