@@ -154,7 +154,7 @@ def normalised(text: str) -> Traced:
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base, all): all holds base and what only the normalised text shows, by kind, then start.
 
-    A span from the normalised text is left out if it overlaps a base span of its kind.
+    A span from the normalised text is left out only if it lies within a base span of its kind.
     """
     base = base_spans(text)
     traced = normalised(text)
@@ -163,7 +163,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     seen, more = set(base), []
     for kind, a, b in base_spans(traced.text):
         a, b = traced.back(a, b)
-        if (kind, a, b) not in seen and not any(k == kind and a < y and x < b for k, x, y in base):
+        if (kind, a, b) not in seen and not any(k == kind and x <= a and b <= y for k, x, y in base):
             seen.add((kind, a, b))
             more.append((kind, a, b))
     return base, sorted([*base, *more], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))

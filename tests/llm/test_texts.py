@@ -126,6 +126,19 @@ def test_no_disguise(text):
     assert personal_data.all_spans(text) == ([], [])
 
 
+@pytest.mark.parametrize(("text", "kind", "part"), [
+    ("mail jаne.doe@example.com now", "email", "jаne.doe@example.com"), ("mail jane.doe@example.com.аu", "email", "jane.doe@example.com.аu"), ("call +49 30 1234567８９ now", "phone", "+49 30 1234567８９"), ("at 192.168.1.1５ ok", "ip", "192.168.1.1５"),
+])
+def test_disguises_around_a_base_span(text, kind, part):
+    base, every = personal_data.all_spans(text)
+    assert [k for k, *_ in base] == [kind] and set(base) < set(every) and (kind, text.index(part), text.index(part) + len(part)) in every
+
+
+def test_no_span_within_a_base_span():
+    text = "jane@mail.org and ｊ"
+    assert personal_data.all_spans(text) == ([("email", 0, 13)], [("email", 0, 13)])
+
+
 def test_personal_odd_rows(odd, empty):
     assert personal_data.personal_data(odd).count() == odd.count() and personal_data.personal_data(empty).count() == 0
 
