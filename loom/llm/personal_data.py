@@ -73,9 +73,12 @@ class Traced:
     def __init__(self, text: str) -> None:
         self.text, self.source = text, None
 
-    def replace(self, pattern: re.Pattern, write: Callable[[re.Match], str | None]) -> Traced:
-        """Writes each match anew; None leaves it. All written characters stand for the whole match."""
-        edits = [(m.start(), m.end(), w) for m in pattern.finditer(self.text) if (w := write(m)) is not None]
+    def replace(self, pattern: re.Pattern, write: Callable[[re.Match], str]) -> Traced:
+        """Writes each match anew. All written characters stand for the whole match."""
+        return self.edited([(m.start(), m.end(), write(m)) for m in pattern.finditer(self.text)])
+
+    def edited(self, edits: list[tuple[int, int, str]]) -> Traced:
+        """Writes ranges anew, which are in order and apart. All written characters stand for their range."""
         if not edits:
             return self
         old = self.source or [(i, i + 1) for i in range(len(self.text))]
@@ -115,39 +118,61 @@ BRACKETED_AT = re.compile(r"[\x20\t]*[\[({<][\x20\t]*(?:at|@|arobase|arroba)[\x2
 BRACKETED_DOT = re.compile(r"[\x20\t]*[\[({<][\x20\t]*(?:dot|\.|punkt|point|punto)[\x20\t]*[\])}>][\x20\t]*", re.I)
 SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})\x20+at\x20+([A-Za-z0-9-]{1,63}(?:\x20+dot\x20+[A-Za-z0-9-]{1,63}){1,8})(?![A-Za-z0-9-])", re.I)
 DOT = re.compile(r"\x20+dot\x20+", re.I)
-#: So many digit names in a row are read as a number.
-SPELLED = 7
+#: Either sign spoken by itself: a dot between labels, an at before a domain whose last label has a letter.
+SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9_-])\x20+dot\x20+(?=[A-Za-z0-9_-])", re.I)
+SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\x20+at\x20+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[0-9-]*[A-Za-z])", re.I)
+#: Letters that ignoring case takes for ASCII ones.
+CASED = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
 
 
 def _spelled(names: tuple[str, ...]) -> tuple[re.Pattern, dict[str, str]]:
-    one = "(?:" + "|".join(sorted(names, key=len, reverse=True)) + ")"
-    joint = r"(?:[\x20,-]{1,3}|\x20(?:dot|punkt|point|punto)\x20)"
-    return re.compile(rf"(?<!\w)(?:plus\x20)?{one}(?:{joint}{one}){{{SPELLED - 1},}}(?!\w)", re.I), {n: str(i) for i, n in enumerate(names)}
+    """Runs of two or more names and written numbers, of which one at least is a name."""
+    one = "(?:" + "|".join(sorted(names, key=len, reverse=True)) + r")(?!\w)"
+    written = r"[0-9](?:[0-9.]*[0-9])?(?!\w)"
+    joint = r"(?:[\x20,-]{1,3}|\.|\x20(?:dot|punkt|point|punto)\x20)"
+    run = rf"(?:plus\x20)?{one}(?:{joint}(?:{one}|{written}))+|{written}(?:{joint}{written})*{joint}{one}(?:{joint}(?:{one}|{written}))*"
+    return re.compile(rf"(?<!\w)(?:{run})", re.I), {n: str(i) for i, n in enumerate(names)}
 
 
 SPELLINGS = [(names, *_spelled(names)) for names in DIGIT_NAMES]
-WORDS = re.compile(r"\w+")
+PIECES = re.compile(r"\w+|\W+")
+SIGNS = {"plus": "+", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
+
+
+def _lower(text: str) -> str:
+    return (text if text.isascii() else text.translate(CASED)).lower()
 
 
-def _digits(value: dict[str, str]) -> Callable[[re.Match], str]:
-    signs = {"plus": "+", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
-    return lambda m: "".join(value.get(w, signs.get(w, "")) for w in WORDS.findall(m[0].lower()))
+def _digits(text: str, run: re.Pattern, value: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    """Edits: names to digits, signs' names to signs; what joins two names goes, and beside a written number one sign of it stays."""
+    for m in run.finditer(text):
+        pieces = [(p.start(), p.end(), _lower(p[0])) for p in PIECES.finditer(text, *m.span())]
+        for k, (a, b, p) in enumerate(pieces):
+            if p in value or p in SIGNS:
+                yield a, b, value.get(p) or SIGNS[p]
+            elif k % 2 and "." not in p:  # the run begins with a word, so joints have odd places
+                beside = pieces[k - 1][2], pieces[k + 1][2]
+                if any(w in SIGNS for w in beside) or not any(w.isdigit() for w in beside):
+                    yield a, b, ""
+                elif not all(w.isdigit() for w in beside):
+                    yield a, b, "-" if "-" in p else " "
 
 
 def normalised(text: str) -> Traced:
     out = Traced(text)
     if not text.isascii() and FOLDED.search(text):
         out = Traced(text.translate(FOLD))  # one character for one
-    low = out.text.lower()
-    if len(low) == len(out.text):
-        for names, pattern, value in SPELLINGS:
-            if sum(low.count(n) for n in names) >= SPELLED:
-                out = out.replace(pattern, _digits(value))
+    low = _lower(out.text)
+    for names, pattern, value in SPELLINGS:
+        if any(n in low for n in names):
+            out = out.edited(list(_digits(out.text, pattern, value)))
     for signs, pattern, sign in ((("at", "@", "aro", "arr"), BRACKETED_AT, "@"), (("dot", ".", "pun", "poi"), BRACKETED_DOT, ".")):
         if any(b in low for b in "[({<") and any(s in low for s in signs):
             out = out.replace(pattern, lambda m, s=sign: s)
     if " dot " in low:
-        out = out.replace(SPOKEN, lambda m: f"{m[1]}@{DOT.sub('.', m[2])}")
+        out = out.replace(SPOKEN, lambda m: f"{m[1]}@{DOT.sub('.', m[2])}").replace(SPOKEN_DOT, lambda m: ".")
+    if " at " in low:
+        out = out.replace(SPOKEN_AT, lambda m: "@")
     return out
 
 

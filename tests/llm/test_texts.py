@@ -126,6 +126,22 @@ def test_no_disguise(text):
     assert personal_data.all_spans(text) == ([], [])
 
 
+@pytest.mark.parametrize(("text", "kind", "part"), [
+    ("İ call plus four nine three zero one two three four five six seven", "phone", "plus four nine three zero one two three four five six seven"), ("at one dot two dot three dot four ok", "ip", "one dot two dot three dot four"),
+    ("pay 4111 1111 1111 one one one one now", "card", "4111 1111 1111 one one one one"), ("ip 10 dot zero dot 0 dot 1 ok", "ip", "10 dot zero dot 0 dot 1"), ("on 192.168.one.one ok", "ip", "192.168.one.one"),
+    ("to jane [at] mail dot org now", "email", "jane [at] mail dot org"), ("to jane at mail [dot] org now", "email", "jane at mail [dot] org"), ("to jane at mail.org now", "email", "jane at mail.org"), ("to jane@mail dot org now", "email", "jane@mail dot org"),
+])
+def test_mixed_and_short_disguises(text, kind, part):
+    base, every = personal_data.all_spans(text)
+    assert set(base) <= set(every) and (kind, text.index(part), text.index(part) + len(part)) in every
+
+
+@pytest.mark.parametrize("text", ["arrive at 10.30 or at noon.", "one of the 12 and two more", "192.168.1.1 one more"])
+def test_plain_names_of_digits(text):
+    base, every = personal_data.all_spans(text)
+    assert base == every
+
+
 @pytest.mark.parametrize(("text", "kind", "part"), [
     ("mail jаne.doe@example.com now", "email", "jаne.doe@example.com"), ("mail jane.doe@example.com.аu", "email", "jane.doe@example.com.аu"), ("call +49 30 1234567８９ now", "phone", "+49 30 1234567８９"), ("at 192.168.1.1５ ok", "ip", "192.168.1.1５"),
 ])
