@@ -1,7 +1,8 @@
 """Secrets: fixed patterns, and a character convolutional network over every other candidate.
 
-A candidate is a run of token characters with letters and digits; the network reads its characters
-and those around it.  It is trained here, in numpy, on labelled findings: by default on generated
+A candidate is a run of token characters that are varied enough by their entropy; the network reads
+its characters and those around it, in windows over the whole of a long one, of which the highest
+score counts.  It is trained here, in numpy, on labelled findings: by default on generated
 ones (keys, tokens and passwords of many shapes in code, configuration and prose; identifiers,
 hashes of versions, numbers, links and words that are none), or on a bounded sample of yours.  The
 scores are calibrated by Platt's method on held-out findings, and the threshold is the highest that
@@ -11,6 +12,7 @@ keeps a given recall there.
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -31,7 +33,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 # ---
 KINDS_ALL = (*KINDS, "network")
 KEYWORD = re.compile("passw|secret|token|api_?key", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Shorter runs are words as often as not, unless letters and digits are mixed.
+SHORT, MIXED = 12, 8
+#: Bits a character, at least.
+ENTROPY = 2.5
+#: Words and numbers, also joined; and what names a key or quotes or assigns it.
+PLAIN = re.compile(r"[-_/=+]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/=+]+|$))+")
+NAMED = re.compile(r"""(?:["'`=:]\s*|\b(?:bearer|basic|\w*key|\w*auth|credentials?|pwd|pin|code)\W{1,3}(?:is\W{1,2})?)$""", re.I)
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIXED)
 
 Span = tuple[str, int, int]
 
@@ -45,17 +54,32 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def entropy(t: str) -> float:
+    """Bits a character."""
+    counts = [t.count(c) for c in set(t)]
+    return math.log2(len(t)) - sum(n * math.log2(n) for n in counts) / len(t)
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of 16 or more token characters with at least two digits and three letters."""
+    """Runs of 16 or more token characters with two digits and three letters, and others of enough entropy.
+
+    The others have SHORT or more characters, or MIXED with a digit and letters of both cases.  If they
+    look like words or numbers, only what stands before them tells a key, and it must be there.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
         t = m[0]
-        if sum(map(t.count, string.digits)) >= 2 and sum(c.isalpha() for c in t) >= 3:
+        if len(t) >= 16 and sum(map(t.count, string.digits)) >= 2 and sum(c.isalpha() for c in t) >= 3:
+            out.append(m.span())
+            continue
+        if len(t) < SHORT and not (any(map(str.isdigit, t)) and any(map(str.islower, t)) and any(map(str.isupper, t))):
+            continue
+        if entropy(t) >= ENTROPY and not (PLAIN.fullmatch(t) and not NAMED.search(text[max(0, m.start() - BEFORE) : m.start()])):
             out.append(m.span())
     return out
 
 
-#: Characters before a candidate, of it, and after it that the network reads.  Of a longer candidate it reads the first.
+#: Characters before a candidate, of it, and after it that the network reads at once.
 BEFORE, OF, AFTER = 24, 48, 8
 WIDTH, CHANNELS, LENGTH = 5, 24, BEFORE + OF + AFTER
 #: Character classes: lower, upper, digits, single signs, white space, other, nothing; and the same inside a candidate.
@@ -67,6 +91,17 @@ for _i in range(128):
 OTHER, CLASSES = 9 + len(SIGNS), 10 + len(SIGNS)
 
 
+SEPARATOR = re.compile("[/=]")
+
+
+def pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The candidate in windows of OF characters that overlap by half, and those after each separator, so that all of it is read."""
+    if b - a <= OF:
+        return [(a, b)]
+    starts = {*range(a, b - OF // 2, OF // 2), b - OF, *(m.end() for m in SEPARATOR.finditer(text, a, b) if b - m.end() >= SHORT)}
+    return [(s, min(b, s + OF)) for s in sorted(starts)]
+
+
 def windows(text: str, spans: Sequence[tuple[int, int]]) -> np.ndarray:
     """Class numbers of the characters around each candidate; those of the candidate shifted by CLASSES."""
     out = np.zeros((len(spans), LENGTH), np.int64)
@@ -134,13 +169,13 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling, then a threshold.
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, starts: np.ndarray) -> None:
+        """Platt scaling, then a threshold.  x has the windows of findings one after another, from starts on.
 
         Of the thresholds with that recall, those with the fewest false findings; of these the middle
         one, so that it is not tied to one held-out finding.
         """
-        z = self.forward(x)[0]
+        z = np.maximum.reduceat(self.logits(x), starts)
         scale = float(z.std()) or 1.0
         target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
         design, w = np.stack((z / scale, np.ones_like(z)), axis=1), np.zeros(2)
@@ -153,16 +188,16 @@ class Network:
                 size /= 2
             w = w - size * step
         self.slope, self.shift = float(w[0] / scale), float(w[1])
-        p = self.probability(x)
+        p = np.maximum.reduceat(self.probability(x), starts)
         high = float(np.sort(p[y == 1])[int((1 - recall) * y.sum())])
         below = p[(y == 0) & (p < high)]
         self.threshold = (high + (float(below.max()) if len(below) else 0.0)) / 2
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.zeros(0)
-        z = np.concatenate([self.forward(x[i : i + 512])[0] for i in range(0, len(x), 512)])
-        return _logistic(self.slope * z + self.shift)
+        return _logistic(self.slope * self.logits(x) + self.shift)
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self.forward(x[i : i + 512])[0] for i in range(0, len(x), 512))])
 
 
 def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
@@ -195,17 +230,65 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def wide_findings(n: int, seed: int) -> list[tuple[str, int, int, int, int]]:
+    """(text, start, end, label, start of what is labelled): keys of letters or digits only, short ones and ends of long runs, and what looks like them."""
+    r = random.Random(seed)
+    pick = lambda chars, a, b: "".join(r.choices(chars, k=r.randint(a, b)))
+    vowels, heads, tails = "a e i o u ou ie ea eau ai ei y".split(), "b c d f g h j k l m n p qu r s t v w z ch sh th st tr pr pl gr br sch str".split(), ["", "", "", *"n r s t l ng st nt x ck m ch cht pf schst nd chpf lich heit keit".split()]
+    word = lambda least=1, most=3: "".join(r.choice(heads) + r.choice(vowels) + r.choice(tails) for _ in range(r.randint(least, most)))
+    alnum = string.ascii_letters + string.digits
+    path = lambda a, b: "/".join(r.choice((word, word, lambda: f"{word()}-{word()}", lambda: f"{word()}_{r.randint(1, 999)}", lambda: f"v{r.randint(1, 9)}"))() for _ in range(r.randint(a, b)))
+    token = (lambda: pick(alnum, 20, 48), lambda: r.choice(("sk_live_", "pk_test_", "ghp_", "xoxb-")) + pick(alnum, 20, 40), lambda: pick(alnum + "-_", 22, 43), lambda: pick(string.ascii_letters, 20, 40), lambda: pick(string.ascii_uppercase + string.digits, 20, 40))
+    # (text, whether only a name before it tells what it is)
+    secret = (
+        lambda: ("", pick(string.ascii_letters, 16, 40), False), lambda: ("", pick(string.ascii_lowercase, 20, 40), True), lambda: ("", pick(string.ascii_uppercase, 16, 40), True), lambda: ("", pick(string.digits, 16, 40), True), lambda: ("", pick(alnum, 10, 16), True),
+        lambda: ("/" + path(4, 12) + r.choice(("/", "/keys/", "/token=", "=")), r.choice(token)(), False), lambda: (path(6, 12) + "/", r.choice(token)(), False),
+    )
+    plain = (
+        lambda: word(3, 6), lambda: word(3, 6).title(), lambda: path(2, 4), lambda: "/" + path(6, 20), lambda: "-".join(word() for _ in range(r.randint(2, 16))), lambda: "_".join(word() for _ in range(r.randint(2, 12))),
+        lambda: "".join(word().title() for _ in range(r.randint(3, 12))), lambda: pick(string.digits, 12, 20), lambda: word().title() + str(r.randint(1, 9999)) + word().title(), lambda: word(3, 6).upper(), lambda: word(3, 6), lambda: pick(string.digits, 13, 19), lambda: word() + "=" * r.randint(5, 40) + word(2, 4),
+    )
+    prose = lambda: " ".join(word() for _ in range(r.randint(1, 6)))
+    keyed = (lambda: f'{word()}_key = "', lambda: "Authorization: Bearer ", lambda: f"export {word().upper()}_KEY=", lambda: f'"{word()}Credential": "', lambda: f"{prose()} key ")
+    loose = (lambda: f"{prose()} ", lambda: f"{prose()}, ", lambda: f"{prose()} (", lambda: f"{prose()}: ", lambda: f"https://{word()}.com")
+    assigned = (*loose, lambda: f'{word()} = "', lambda: f"{prose()}: ", lambda: f'"{word()}": "', lambda: f"{word()}=")
+    out = []
+    while len(out) < n:
+        label = len(out) % 2
+        lead, made, named = r.choice(secret)() if label else ("", r.choice(plain)(), False)
+        left = r.choice(keyed if named else loose + keyed if label else assigned)()
+        text = left + lead + made + r.choice((" ", "\n", ". ", ")", '",', ";")) + prose()
+        hit = next(((a, b) for a, b in candidates(text) if a <= len(left) + len(lead) and len(left + lead + made) <= b), None)
+        if hit:
+            out.append((text, *hit, label, len(left) + len(lead)))
+    return out
+
+
+def _windowed(made: Sequence[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of findings, where they start, the windows' labels (-1: neither), and the findings'."""
+    x, starts, y = [], [], []
+    for text, a, b, label, *begin in made:
+        starts.append(len(y))
+        parts = pieces(text, a, b)
+        x.append(windows(text, parts))
+        for _, e in parts:
+            seen = e - max(a, *begin) if begin else e - a
+            y.append(label if not label or seen >= 16 or len(parts) == 1 else 0 if seen <= 0 else -1)
+    return np.concatenate(x), np.array(starts), np.array(y, float), np.array([m[3] for m in made], float)
+
+
 @lru_cache(maxsize=4)
 def trained(findings: int = 4000, recall: float = 0.95, seed: int = 11) -> Network:
-    """Trained on generated findings, calibrated on a quarter as many others; deterministic."""
+    """Trained on generated findings of both kinds, calibrated on a quarter as many others; deterministic."""
 
-    def data(n: int, s: int) -> tuple[np.ndarray, np.ndarray]:
-        made = generated_findings(n, s)
-        return np.concatenate([windows(t, [(a, b)]) for t, a, b, _ in made]), np.array([y for *_, y in made], float)
+    def data(n: int, s: int):
+        return _windowed([*generated_findings(n, s), *wide_findings(2 * n, s)])
 
     net = Network()
-    net.train(*data(findings, seed))
-    net.calibrate(*data(findings // 4, seed + 1), recall)
+    x, _, y, _ = data(findings, seed)
+    net.train(x[y >= 0], y[y >= 0])
+    x, starts, _, y = data(findings // 4, seed + 1)
+    net.calibrate(x, y, recall, starts)
     return net
 
 
@@ -214,25 +297,37 @@ def trained_on(labelled: DataFrame, most: int = 20_000, recall: float = 0.95) ->
     from pyspark.sql import functions as F
 
     rows = labelled.select("text", "start", "end", "label").dropna().orderBy(F.xxhash64("text", "start")).limit(most).collect()
-    x, y = np.concatenate([windows(r.text, [(r.start, r.end)]) for r in rows]), np.array([float(r.label) for r in rows])
     cut, net = len(rows) * 4 // 5, Network()
-    net.train(x[:cut], y[:cut])
-    net.calibrate(x[cut:], y[cut:], recall)
+    x, _, y, _ = _windowed(rows[:cut])
+    net.train(x, y)
+    x, starts, _, y = _windowed(rows[cut:])
+    net.calibrate(x, y, recall, starts)
     return net
 
 
+def _covered(a: int, b: int, base: Sequence[Span]) -> bool:
+    """Whether base spans cover the candidate; what precedes an assignment is its name."""
+    for kind, x, y in sorted(base, key=lambda s: s[1]):
+        if x <= a < y or (kind == "assign" and a < x < b):
+            a = y
+    return a >= b
+
+
 def found(texts: Sequence[str], net: Network) -> list[tuple[list[Span], list[Span]]]:
-    """(base, all) spans per text: all holds the base ones, and candidates beside them that the network takes."""
+    """(base, all) spans per text: all holds the base ones, and candidates not covered by them that the network takes."""
     base = [base_spans(t) for t in texts]
-    free = [[(a, b) for a, b in candidates(t) if not any(x < b and a < y for _, x, y in s)] for t, s in zip(texts, base, strict=True)]
-    at = [(i, span) for i, spans in enumerate(free) for span in spans]
+    free = [[(a, b) for a, b in candidates(t) if not _covered(a, b, s)] for t, s in zip(texts, base, strict=True)]
+    at = [(i, span, p) for i, spans in enumerate(free) for span in spans for p in pieces(texts[i], *span)]
     every = [list(s) for s in base]
+    best: dict[tuple[int, tuple[int, int]], float] = {}
     for k in range(0, len(at), 4096):
         part = at[k : k + 4096]
-        scores = net.probability(np.concatenate([windows(texts[i], [span]) for i, span in part]))
-        for (i, (a, b)), p in zip(part, scores, strict=True):
-            if p >= net.threshold:
-                every[i].append(("network", a, b))
+        scores = net.probability(np.concatenate([windows(texts[i], [p]) for i, _, p in part]))
+        for (i, span, _), p in zip(part, scores, strict=True):
+            best[i, span] = max(p, best.get((i, span), 0.0))
+    for (i, (a, b)), p in best.items():
+        if p >= net.threshold:
+            every[i].append(("network", a, b))
     return [(s, sorted(e, key=lambda x: (x[1], KINDS_ALL.index(x[0])))) for s, e in zip(base, every, strict=True)]
 
 
