@@ -4,8 +4,9 @@ Rules are per-text expressions.  The ratio compares two multinomials over hashed
 pairs: one of trusted texts, one of the whole raw corpus; a text's score is the mean over its
 n-grams of log(trusted / raw), and texts that score below a threshold go.
 
-The trusted and the rejected texts that fix the multinomial and the threshold are bounded samples of
-labelled rows (``LABELLED`` of each, smallest hashes first); the raw counts cover all texts.
+The trusted texts that fix the multinomial are a bounded sample of labelled rows (``LABELLED``,
+smallest hashes first); the raw counts cover all texts, and the threshold all labelled ones.  Texts of
+the sample are scored for it by counts without their fold, so none is scored by its own.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from loom.llm.common import WORD, materialise, table
 BUCKETS = 1 << 15
 #: Labelled texts of either kind, at most.
 LABELLED = 20_000
+#: Folds of the sample; and so many labels are broadcast at most, more are joined by a shuffle.
+FOLDS, BROADCAST_LABELS = 5, 1_000_000
 #: Positions that fit beside a hash's upper bits; longer texts are sorted as pairs.
 INDEX_BITS = 20
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -93,31 +96,45 @@ class LikelihoodRatio:
     def __init__(self, docs: DataFrame, labels: DataFrame, keep: float = 0.999) -> None:
         """keep: the share of trusted texts that the threshold keeps at least; labels: doc_id, quality, toxic."""
         quality = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        pick = lambda x: x.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-        good = pick(quality.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))).withColumn("good", F.lit(1))
-        bad = pick(quality.where(F.col("quality") == 0)).withColumn("good", F.lit(0))
-        known = good.unionByName(bad).groupBy("doc_id").agg(F.min("good").alias("good"))  # at most 2 * LABELLED rows
+        trusted_label = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+        stated = quality.select("doc_id", F.when(trusted_label, 1).when(F.col("quality") == 0, 0).alias("good")).where("good IS NOT NULL")
+        every = materialise(stated.groupBy("doc_id").agg(F.min("good").alias("good")), "labels")
+        sample = every.where("good = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+        known = materialise(sample.select("doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "sample")
         marked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left")
-        grams = _word_hashes(marked).select("good", F.explode(_features()).alias("bucket"))
-        counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if(F.col("good") == 1).alias("trusted")).collect()
-        raw, trusted = [1] * BUCKETS, [1] * BUCKETS  # add-one smoothing
+        grams = _word_hashes(marked).select("fold", F.explode(_features()).alias("bucket"))
+        folds = [F.count_if(F.col("fold") == k).alias(f"f{k}") for k in range(FOLDS)]
+        counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), *folds).collect()
+        raw, trusted = [1] * BUCKETS, [[1] * BUCKETS for _ in range(FOLDS + 1)]  # add-one smoothing; the last has all folds
         for r in counts:
             raw[r.bucket] += r.raw
-            trusted[r.bucket] += r.trusted
-        r, t = sum(raw), sum(trusted)
-        self.table = [math.log(b / t) - math.log(a / r) if t > BUCKETS else 0.0 for a, b in zip(raw, trusted, strict=True)]
-        known = _word_hashes(marked.where(F.col("good").isNotNull()))
-        # at most 2 * LABELLED rows, written once: two statistics are drawn from them
-        scored = materialise(known.select("good", F.when(F.size("w") >= 50, self.score()).alias("score")), "scores")
-        low, middle = scored.agg(F.min(F.when(F.col("good") == 1, F.col("score"))), F.percentile(F.when(F.col("good") == 0, F.col("score")), F.lit(0.5))).first()
-        tail = scored.where("good = 1").agg(F.percentile("score", F.lit(1 - keep))).first()[0]
+            for k in range(FOLDS + 1):
+                trusted[k][r.bucket] += sum(r[f"f{j}"] for j in range(FOLDS) if j != k)
+        ratios = [self._ratios(raw, t) for t in trusted]
+        self.table = ratios[-1]
+        # all labelled rows, written once as scores: two statistics are drawn from them
+        labelled = every.join(F.broadcast(known), "doc_id", "left").select("doc_id", "good", F.coalesce("fold", F.lit(FOLDS)).alias("fold"))
+        if labelled.count() <= BROADCAST_LABELS:
+            labelled = F.broadcast(labelled)
+        scored = _word_hashes(docs.select("doc_id", "text").join(labelled, "doc_id")).where(F.size("w") >= 50)
+        scored = materialise(scored.select("good", self._mean(F.get(F.from_json(F.lit(json.dumps(ratios)), "array<array<double>>"), F.col("fold"))).alias("score")), "scores")
+        of = lambda good, q: F.percentile_approx(F.when(F.col("good") == good, F.col("score")), q, 1_000_000)
+        low, middle, tail = scored.agg(F.min(F.when(F.col("good") == 1, F.col("score"))), of(0, 0.5), of(1, 1 - keep)).first()
         self.found = (low, tail, middle)
         #: Halfway between the low end of trusted texts and the middle of rejected ones; never above that low end.
         self.threshold = -math.inf if tail is None or middle is None else min(tail, (tail + middle) / 2)
 
+    @staticmethod
+    def _ratios(raw: list[int], trusted: list[int]) -> list[float]:
+        r, t = sum(raw), sum(trusted)
+        return [math.log(b / t) - math.log(a / r) if t > BUCKETS else 0.0 for a, b in zip(raw, trusted, strict=True)]
+
     def score(self) -> Column:
         """Of rows with w; null for texts without words."""
-        ratios = F.from_json(F.lit(json.dumps(self.table)), "array<double>")
+        return self._mean(F.from_json(F.lit(json.dumps(self.table)), "array<double>"))
+
+    @staticmethod
+    def _mean(ratios: Column) -> Column:
         buckets = _features()
         return F.aggregate(buckets, F.lit(0.0), lambda total, b: total + F.get(ratios, b)) / F.nullif(F.size(buckets), F.lit(0))
 

@@ -67,6 +67,17 @@ def test_ratio_drops_junk(spark):
     assert {r.doc_id for r in found.where("kept").collect()} == set(range(60))
 
 
+def test_threshold_covers_all_labelled_texts(spark, monkeypatch):
+    """Two kinds of trusted texts, of which the sample holds few: the tail of all is found, and not by their own counts."""
+    monkeypatch.setattr(quality_rules, "LABELLED", 10)
+    vocabulary, other = prose(9, 80).split(), prose(10, 80).split()
+    docs = [(i, " ".join(random.Random(i).choices(other if i % 10 == 0 else vocabulary, k=150))) for i in range(200)] + [(500 + i, " ".join(f"x{i}y{k}" for k in range(150))) for i in range(20)]
+    labels = [(i, 1, 0) for i in range(200)] + [(500 + i, 0, 0) for i in range(20)]
+    model = quality_rules.LikelihoodRatio(*(spark.createDataFrame(x, y) for x, y in ((docs, "doc_id long, text string"), (labels, "doc_id long, quality int, toxic int"))))
+    scores = [r.s for r in quality_rules._word_hashes(spark.createDataFrame(docs[:200], "doc_id long, text string")).select(model.score().alias("s")).collect()]
+    assert model.found[0] <= min(scores) + 1e-9 and model.threshold <= min(scores) + 1e-9
+
+
 def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 
