@@ -1,11 +1,15 @@
 """Exact dedup against a persistent digest index: a table bucketed and sorted by digest.
 
 Only DataFrame operations.  A batch is grouped by digest, joined to the index by a sort-merge join
-for which the index needs neither shuffle nor sort, and the digests that the index lacks are appended.
+for which the index needs no shuffle (each task sorts its own bucket, whose files are sorted runs, one
+per batch), and the digests that the index lacks are appended.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +27,40 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far, at a path in the shared store; made where there is none, else opened."""
+    """Digests seen so far, at a path in the shared store; made where there is none, else opened.
+
+    The number of buckets is fixed when an index is made and kept beside its data, so that it opens
+    alike whatever the session's settings; asking for another number is an error.  The catalog entry,
+    named after the whole path, is only a handle: it is made anew by each opening, and ``close`` drops it.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
-        self.spark, self.path = spark, path
-        self.name = "loom_digests_" + path.rstrip("/").rpartition("/")[2].replace("-", "_").replace(".", "_")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark, self.path = spark, path.rstrip("/")
+        self.name = "loom_digests_" + hashlib.sha256(self.path.encode()).hexdigest()[:32]
+        self.buckets = self._fixed_buckets()
+        if self.buckets is None:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1).write.parquet(f"{self.path}/made")
+        elif buckets not in (None, self.buckets):
+            raise ValueError(f"the index at {self.path} has {self.buckets} buckets, not {buckets}")
+        self.close()
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/digests'"
         )
 
+    def _fixed_buckets(self) -> int | None:
+        try:
+            return self.spark.read.schema("buckets int").parquet(f"{self.path}/made").first().buckets
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def close(self) -> None:
+        """Drops the catalog entry; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def digests(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -55,7 +82,7 @@ class DigestIndex:
         groups = materialise(groups.hint("merge").join(before.hint("merge"), "digest", "left"), "groups")
         fresh = groups.where("old IS NULL").select("digest", F.col("top.doc_id").alias("keep_id"), F.lit(batch).alias("batch"))
         fresh = fresh.join(self.digests().hint("merge"), "digest", "left_anti")
-        fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
+        fresh.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.path}/digests").saveAsTable(self.name)
         found = with_groups(rows, groups, "digest", total)
         keep = F.when(F.col("old"), F.col("old_id")).otherwise(F.col("top.doc_id"))
         return found.select("doc_id", keep.alias("keep_id"), "group_size", (F.col("old").isNull() & (F.col("row") == F.col("top.row"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
@@ -82,7 +109,10 @@ def distinct_documents(docs: DataFrame, index: DigestIndex, batch: str) -> DataF
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` as one batch for a new index."""
-    return DigestIndex(spark, new_path(spark, "digest-index")).add(table(spark, sf_dir, "documents"), "documents")
+    index = DigestIndex(spark, new_path(spark, "digest-index"))
+    found = index.add(table(spark, sf_dir, "documents"), "documents")
+    index.close()
+    return found
 
 
 OP10_SQL = f"""

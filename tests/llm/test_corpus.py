@@ -114,14 +114,29 @@ def test_index_remembers(spark):
     docs = lambda *x: spark.createDataFrame(list(x), "doc_id long, text string")
     first = exact_dedup.DigestIndex(spark, path, 4)
     assert first.add(docs((1, "a"), (2, "b")), "one").where("kept").count() == 2
-    spark.catalog.dropTempView("none")
-    spark.sql(f"DROP TABLE {first.name}")  # the files stay; opened again, as by another session
+    first.close()  # the files stay; opened again, as by another session
     again = exact_dedup.DigestIndex(spark, path, 4)
     found = {r.doc_id: (r.keep_id, r.kept) for r in again.add(docs((5, "A"), (6, "c")), "two").collect()}
     assert found == {5: (1, False), 6: (6, True)} and again.digests().count() == 3
     assert {r.doc_id: r.kept for r in again.add(docs((5, "A"), (6, "c")), "two").collect()} == {5: False, 6: True} and again.digests().count() == 3
 
 
+def test_index_opens_alike(spark):
+    """With other settings, and beside an index whose folder has the same name."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    here, there = (f"{new_path(spark, 'a')}/idx" for _ in range(2))
+    assert exact_dedup.DigestIndex(spark, here, 16).add(docs, "one").where("kept").count() == 200
+    again = exact_dedup.DigestIndex(spark, here + "/")  # the session has 4 shuffle partitions
+    assert again.buckets == 16 and again.digests().count() == 200
+    assert again.add(docs, "two").where("kept").count() == 0 and again.digests().count() == 200
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, here, 4)
+    other = exact_dedup.DigestIndex(spark, there)
+    assert other.digests().count() == 0 and other.add(docs, "one").where("kept").count() == 200
+    other.close(), again.close()
+    assert not [t for t in spark.catalog.listTables() if t.name in (other.name, again.name)]
+
+
 def plain_targets(sizes, weights, times=3):
     """Caps and reshares round by round."""
     out, capped = [0.0] * len(sizes), set()
