@@ -19,7 +19,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id."""
-    return exact_dedup.distinct_documents(docs, exact_dedup.DigestIndex(spark, new_path(spark, "digest-index")), "documents")
+    index = exact_dedup.DigestIndex(spark, new_path(spark, "digest-index"))
+    kept = exact_dedup.distinct_documents(docs, index, "documents")
+    index.close()
+    return kept
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
