@@ -10,32 +10,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-#: Buckets of the numbering.
-BUCKETS = 1024
+#: Buckets of a numbering, at least, and the rows of one, about.
+BUCKETS, BUCKET_ROWS = 1024, 200_000
+
+
+def _buckets(rows: int) -> int:
+    return max(BUCKETS, -(-rows // BUCKET_ROWS))
 
 
 def _numbered(df: DataFrame, bucket: Column, order: list, out: str) -> DataFrame:
     marked = df.withColumn("_b", bucket)
-    counts = marked.groupBy("_b").agg(F.count("*").alias("_n"))  # at most BUCKETS rows
+    counts = marked.groupBy("_b").agg(F.count("*").alias("_n"))  # one row per bucket
     before = F.coalesce(F.sum("_n").over(W.Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_b", before.alias("_o"))
     number = F.row_number().over(W.Window.partitionBy("_b").orderBy(*order)) - 1
     return marked.join(F.broadcast(offsets), "_b").withColumn(out, (F.col("_o") + number).cast("long")).drop("_b", "_o")
 
 
+def by_value(df: DataFrame, key: str) -> Column | None:
+    """The bucket of a numeric key: equal widths of its range, as many as the rows ask for; null without rows."""
+    low, high, rows = df.agg(F.min(key), F.max(key), F.count("*")).first()
+    if low is None:
+        return None
+    width = (high - low) / _buckets(rows)
+    return F.floor((F.col(key) - F.lit(low)) / F.lit(float(width))) if width else F.lit(0).cast("long")
+
+
 def indexed(df: DataFrame, key: str, out: str = "row_idx") -> DataFrame:
     """Adds the 0-based place of a row by a numeric unique key."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(out, F.lit(0).cast("long"))
-    width = max(1, (high - low) // BUCKETS + 1)
-    return _numbered(df, F.floor((F.col(key) - low) / width), [key], out)
+    bucket = by_value(df, key)
+    return df.withColumn(out, F.lit(0).cast("long")) if bucket is None else _numbered(df, bucket, [key], out)
 
 
 def shuffled(df: DataFrame, key: str, seed: int, out: str = "row_idx") -> DataFrame:
-    """Adds the 0-based place of a row in a seeded order of its key's digest."""
+    """Adds the 0-based place of a row in a seeded order of its key's digest, whose first digits are its bucket."""
     digest = F.md5(F.concat_ws("_", F.lit(str(seed)), F.col(key).cast("string")))
-    return _numbered(df.withColumn("_h", digest), F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"), ["_h", key], out).drop("_h")
+    digits = next(d for d in range(3, 16) if 16**d >= _buckets(df.count()))
+    return _numbered(df.withColumn("_h", digest), F.conv(F.substring("_h", 1, digits), 16, 10).cast("long"), ["_h", key], out).drop("_h")
+
+
+def running_sum(df: DataFrame, key: str, amount: str, out: str) -> DataFrame:
+    """Adds the sum of ``amount`` over rows with smaller keys; keys are numeric and distinct."""
+    bucket = by_value(df, key)
+    if bucket is None:
+        return df.withColumn(out, F.col(amount))
+    marked = df.withColumn("_b", bucket)
+    first = lambda w: F.coalesce(F.sum(F.col("_n")).over(w.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = marked.groupBy("_b").agg(F.sum(amount).alias("_n")).select("_b", first(W.Window.partitionBy(F.lit(0)).orderBy("_b")).alias("_o"))
+    within = F.sum(amount).over(W.Window.partitionBy("_b").orderBy(key).rowsBetween(W.Window.unboundedPreceding, -1))
+    return marked.join(F.broadcast(offsets), "_b").withColumn(out, F.col("_o") + F.coalesce(within, F.lit(0))).drop("_b", "_o")
 
 
 def sliced(df: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:

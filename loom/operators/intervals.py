@@ -87,14 +87,33 @@ def adjacent_gaps(events: DataFrame) -> DataFrame:
 def candidate_types(events: DataFrame, gaps: tuple[float, float] = (0.05, 5.0), least: float = 0.05) -> DataFrame:
     """Per clip, the question types its events allow, by coarse tests; [] for less than two events short of the span."""
     core = events.where(~is_full(strict=True))
+    order = W.Window.partitionBy("clip_id").orderBy("idx")
+    reach = F.max("end_s").over(order.rowsBetween(W.Window.unboundedPreceding, -1))
+    common = F.least("reach", "end_s") - F.col("start_s")
     facts = core.groupBy("clip_id").agg(F.count("*").alias("n"), F.count_distinct(F.round("len", 2)).alias("lengths"), F.count_distinct("label").alias("labels"))
-    tested = pairs(core, ordered=False).groupBy("clip_id").agg(F.bool_or(gap().between(*gaps)).alias("gap"), F.bool_or((F.col("a_idx") < F.col("b_idx")) & (overlap() > least)).alias("overlap"))
-    made = events.select("clip_id").distinct().join(facts, "clip_id", "left").join(tested, "clip_id", "left")
+    laps = core.withColumn("reach", reach).groupBy("clip_id").agg(F.bool_or(F.col("reach").isNotNull() & (common > least)).alias("overlap"))
+    made = events.select("clip_id").distinct().join(facts, "clip_id", "left").join(laps, "clip_id", "left").join(_with_gap(core, *gaps), "clip_id", "left")
     tests = (("gap", F.col("gap")), ("overlap", F.col("overlap")), ("duration_compare", F.col("lengths") >= 2), ("repeated_event_gap", F.col("n") > F.col("labels")), ("order", F.col("n") >= 3))
     types = F.array_compact(F.array(*[F.when((F.col("n") >= 2) & test, name) for name, test in tests]))
     return made.select("clip_id", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_core"), types.alias("types"))
 
 
+def _with_gap(events: DataFrame, low: float, high: float) -> DataFrame:
+    """Per clip, whether some event begins between low and high after another's end: a search of the next starts.
+
+    Ends, moved by low, and starts lie on one line per clip; the first two starts from an end on decide,
+    for the first may miss low by rounding (bounds have three decimals).
+    """
+    starts = events.select("clip_id", F.col("start_s").alias("at")).distinct()
+    starts = starts.withColumn("then", F.lead("at").over(W.Window.partitionBy("clip_id").orderBy("at")))
+    line = starts.select("clip_id", "at", F.struct("at", "then").alias("s"), F.lit(None).cast("double").alias("end_s"))
+    line = line.unionByName(events.select("clip_id", (F.col("end_s") + (low - 0.0005)).alias("at"), F.lit(None).cast("struct<at: double, then: double>").alias("s"), "end_s"))
+    following = W.Window.partitionBy("clip_id").orderBy("at").rowsBetween(0, W.Window.unboundedFollowing)
+    met = line.withColumn("next", F.first("s", ignorenulls=True).over(following)).where("end_s IS NOT NULL")
+    near = lambda c: F.coalesce((F.col(f"next.{c}") - F.col("end_s")).between(low, high), F.lit(False))
+    return met.groupBy("clip_id").agg(F.bool_or(near("at") | near("then")).alias("gap"))
+
+
 def reasons(events: DataFrame, clips: DataFrame, types: DataFrame) -> DataFrame:
     """The first reason for which a clip is left out, or null: one pass gives both the counts and what stays.
 
@@ -205,8 +224,11 @@ def qa_count_before(events: DataFrame, slack: float = 0.02) -> DataFrame:
     """Events over before the first target, from the third on, that one to eight precede."""
     short = _short(events)
     number = short.withColumn("nth", F.row_number().over(W.Window.partitionBy("clip_id").orderBy("idx")))
-    over = pairs(number, ordered=False).where((F.col("a_end_s") <= F.col("b_start_s") - slack) & (F.col("b_nth") >= 3))
-    counted = over.groupBy("clip_id", "b_idx", "b_phrase").agg(F.count("*").alias("done")).where(F.col("done").between(1, 8))
+    # ends and starts on one line per clip: the ends so far are the events over
+    line = number.select("clip_id", F.col("end_s").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("b_idx"), F.lit(None).cast("string").alias("b_phrase"), F.lit(None).cast("int").alias("nth"))
+    line = line.unionByName(number.select("clip_id", (F.col("start_s") - slack).alias("at"), F.lit(1).alias("kind"), F.col("idx").alias("b_idx"), F.col("phrase").alias("b_phrase"), "nth"))
+    so_far = W.Window.partitionBy("clip_id").orderBy("at", "kind").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+    counted = line.withColumn("done", F.count_if(F.col("kind") == 0).over(so_far)).where((F.col("nth") >= 3) & F.col("done").between(1, 8))
     found = counted.groupBy("clip_id").agg(F.min_by(F.struct("b_phrase", "done"), "b_idx").alias("t")).select("clip_id", "t.*")
     return _question(found, "count_before", F.format_string("How many timestamped sound events have finished before %s begins?", "b_phrase"), fmt.count_choices(F.col("done")), F.col("done").cast("string"))
 

@@ -7,21 +7,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from loom.functions import text as T
+from loom.sources.files import written
+
+#: Grams of up to so many rows are broadcast to pick their texts out.
+BROADCAST_GRAMS = 200_000
+
+
+def _numbered_grams(n: int) -> Column:
+    """n, hash and place of the runs of n words, from the words' own hashes in w."""
+    places = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(*(F.get("w", i + k) for k in range(n))).alias("g"), i.alias("i")))
 
 
 def ngram_stats(docs: DataFrame, words: Column, sizes: tuple[int, ...] = (2, 3, 4, 5), top: int = 3) -> DataFrame:
-    """Per n: total, unique, repeated occurrences, and the most common grams.
+    """Per n: total, unique, repeated occurrences, and the most common grams, ties by their text.
 
-    All sizes are exploded at once, counted with map-side combining, and then summed per size.
+    Grams travel as 64-bit hashes of their words' hashes and are counted with map-side combining, in a
+    table of their own, for three statistics are drawn from it.  Only grams as common as the top-th one
+    become texts: they are picked out where they stand, and again counted by hash.
     """
-    per = lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, n), " ").alias("g")))
-    grams = docs.select(words.alias("w")).select(F.explode(F.concat(*[per(n) for n in sizes])).alias("x")).groupBy("x.n", "x.g").agg(F.count("*").alias("c"))
-    common = top_counts(grams, ["n"], "g", "c", top).groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), F.col("g")))), lambda s: s["g"]), "|").alias("top"))
+    tokens = docs.select(words.alias("words")).withColumn("w", F.transform("words", lambda x: F.xxhash64(x)))
+    exploded = tokens.select(F.explode(F.concat(*map(_numbered_grams, sizes))).alias("x"))
+    grams = written(exploded.groupBy("x.n", "x.g").agg(F.count("*").alias("c")), "grams")
+    picked = written(_most_counted(grams, top), "picked")
+    few = picked.count() <= BROADCAST_GRAMS
+    found = tokens.select("words", F.explode(F.concat(*map(_numbered_grams, sizes))).alias("x")).select("words", "x.*").join(F.broadcast(picked) if few else picked, ["n", "g"])
+    texts = found.select("n", "g", "c", F.array_join(F.slice("words", F.col("i") + 1, F.col("n")), " ").alias("text")).groupBy("n", "g", "c").agg(F.min("text").alias("text"))
+    common = top_counts(texts, ["n"], "text", "c", top).groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), F.col("text")))), lambda s: s["text"]), "|").alias("top"))
     sums = grams.groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("unique"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("repeated"))
     pct = lambda x: F.round(x * 100 / F.col("total"), 1)
     return sums.join(common, "n").select("n", "total", "unique", pct(F.col("unique")).alias("unique_rate"), pct(F.col("total") - F.col("unique")).alias("repeat_rate"), pct(F.col("repeated")).alias("repeated_pct"), "top")
 
 
+def _most_counted(grams: DataFrame, top: int) -> DataFrame:
+    """Per n, the grams whose count is at least the top-th largest: that count comes from a histogram of counts."""
+    levels = grams.groupBy("n", "c").agg(F.count("*").alias("k"))
+    above = F.sum("k").over(W.Window.partitionBy("n").orderBy(F.desc("c")))
+    least = levels.withColumn("above", above).where((F.col("above") - F.col("k")) < top).groupBy("n").agg(F.min("c").alias("least"))
+    return grams.join(F.broadcast(least), "n").where("c >= least").drop("least")
+
+
 def top_counts(counts: DataFrame, by: list[str], value: str, count: str, top: int) -> DataFrame:
     """The most common values by key; ties by value."""
     order = W.Window.partitionBy(*by).orderBy(F.desc(count), value)

@@ -7,6 +7,8 @@ and variance, which is one row and joined by broadcast.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -70,24 +72,39 @@ def length_baseline(uid: str, r: str, length: str) -> Column:
     return F.when(F.count("*").over(w) == 1, F.col(r)).otherwise(F.col(r) - F.sum(F.col(length) * F.col(r)).over(w) / F.sum(length).over(w))
 
 
+def _flowing_back(df: DataFrame, x: Column, factor: float, by: list[str], out: str) -> DataFrame:
+    """Adds y[pos] = x[pos] + factor * y[pos + 1] within ``by``; pos is gapless and factor within [0, 1].
+
+    A stretch of positions is one window of scaled sums, x * factor ** place / factor ** place, and is
+    short enough for the powers to stay above 1e-100.  What flows in from beyond the next stretch is
+    below that share, so that the next one's own sum stands for all of it.
+    """
+    if factor == 0:
+        return df.withColumn(out, x)
+    place = F.col("pos").cast("long")
+    stretch = F.lit(2**62) if factor >= 1 else F.lit(max(1, int(math.log(1e-100) / math.log(factor))))
+    cut = df.withColumn("_x", x).withColumn("_s", F.floor(place / stretch)).withColumn("_p", F.pow(F.lit(float(factor)), place % stretch))
+    back = W.Window.partitionBy(*by, "_s").orderBy(F.desc("pos")).rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+    summed = cut.withColumn(out, F.sum(F.col("_x") * F.col("_p")).over(back) / F.col("_p"))
+    if factor < 1:
+        after = W.Window.partitionBy(*by).orderBy("_s").rangeBetween(1, 1)
+        head = F.max(F.when(place % stretch == 0, F.col(out))).over(after)
+        summed = summed.withColumn(out, F.col(out) + F.coalesce(head, F.lit(0.0)) * F.lit(float(factor)) ** (stretch - place % stretch))
+    return summed.drop("_x", "_s", "_p")
+
+
 def generalised_advantage(df: DataFrame, gamma: float, lam: float) -> DataFrame:
-    """adv and ret per token: sums of discounted differences, as one window over each sequence reversed."""
+    """adv and ret per token: discounted differences that flow back over each sequence, of any length."""
     order = W.Window.partitionBy("seq").orderBy("pos")
     delta = F.col("r") + gamma * F.coalesce(F.lead("v").over(order), F.lit(0.0)) - F.col("v")
-    g = gamma * lam
-    scaled = df.withColumn("_d", delta * F.pow(F.lit(g), F.col("pos")))
-    back = W.Window.partitionBy("seq").orderBy(F.desc("pos")).rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    out = scaled.withColumn("adv", F.sum("_d").over(back) / F.pow(F.lit(g), F.col("pos")))
-    return out.withColumn("ret", F.col("adv") + F.col("v")).drop("_d")
+    return _flowing_back(df.withColumn("_d", delta), F.col("_d"), gamma * lam, ["seq"], "adv").withColumn("ret", F.col("adv") + F.col("v")).drop("_d")
 
 
 def discounted_returns(df: DataFrame, gamma: float) -> DataFrame:
     """Discounted reward to go; nothing flows back past a masked-out token, which begins a stretch of its own."""
     order = W.Window.partitionBy("seq").orderBy("pos")
     cut = df.withColumn("_k", F.sum(F.lit(1) - F.col("mask")).over(order.rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)))
-    weight = F.pow(F.lit(gamma), F.col("pos"))
-    back = W.Window.partitionBy("seq", "_k").orderBy(F.desc("pos")).rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
-    return cut.withColumn("ret", F.sum(F.col("r") * weight).over(back) / weight).drop("_k")
+    return _flowing_back(cut, F.col("r"), gamma, ["seq", "_k"], "ret").drop("_k")
 
 
 def reward_to_go(df: DataFrame, baseline: Column) -> DataFrame:

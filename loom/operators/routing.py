@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loom.functions import tags
 from loom.operators.messages import filled
+from loom.sources.files import written
 
 
 def unambiguous(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -110,14 +111,26 @@ def preferences(nodes: DataFrame, threshold: float) -> DataFrame:
     return kids.where(F.col("good_score") - F.col("bad_score") > threshold)
 
 
-def path_rewards(nodes: DataFrame, depth: int) -> DataFrame:
-    """Terminal nodes with the mean and least reward along their path, by at most ``depth`` joins up."""
-    parents = nodes.select(F.col("node_id").alias("_id"), F.col("parent_id").alias("_up"), F.col("outcome_reward").alias("_r"))
-    walk = nodes.where("terminated").select("node_id", "correct", F.col("parent_id").alias("at"), F.col("outcome_reward").alias("total"), F.col("outcome_reward").alias("least"), F.lit(1).alias("n"))
-    for _ in range(depth):
-        up = walk.join(parents, walk["at"] == parents["_id"], "left")
-        walk = up.select("node_id", "correct", F.col("_up").alias("at"), (F.col("total") + F.coalesce("_r", F.lit(0.0))).alias("total"), F.least("least", "_r").alias("least"), (F.col("n") + F.when(F.col("_id").isNotNull(), 1).otherwise(0)).alias("n"))
-    return walk.select("node_id", "correct", (F.col("total") / F.col("n")).alias("mean_reward"), F.col("least").alias("min_reward"))
+def path_rewards(nodes: DataFrame) -> DataFrame:
+    """Terminal nodes with the mean and least reward along their path to the root, of any length.
+
+    Pointer jumping: every node holds the sums of a stretch of its path and the node above that stretch;
+    each round joins it to that node's own stretch, so a path of n nodes takes log2(n) rounds, each of
+    them a table.  A missing parent ends a path; a cycle is an error.
+    """
+    spark = nodes.sparkSession
+    reward = F.col("outcome_reward")
+    walk = written(nodes.select("node_id", F.col("parent_id").alias("at"), reward.alias("total"), reward.alias("least"), F.lit(1).cast("long").alias("n")), "paths")
+    most = walk.count()
+    while not walk.where("at IS NOT NULL").isEmpty():
+        if walk.agg(F.max("n")).first()[0] > most:
+            raise ValueError("a cycle of parents")
+        above = walk.select(F.col("node_id").alias("at"), F.col("at").alias("_at"), F.col("total").alias("_total"), F.col("least").alias("_least"), F.col("n").alias("_n"))
+        joined = walk.join(above, "at", "left")
+        step = joined.select("node_id", F.col("_at").alias("at"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), F.least("least", "_least").alias("least"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+        walk = written(step, "paths")
+    ends = nodes.where("terminated").select("node_id", "correct")
+    return ends.join(walk, "node_id").select("node_id", "correct", (F.col("total") / F.col("n")).alias("mean_reward"), F.col("least").alias("min_reward"))
 
 
 def item_id(orders: list[Column], line: Column) -> Column:

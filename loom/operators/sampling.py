@@ -94,7 +94,7 @@ def resampled(df: DataFrame, key: str, weight: str, seed: int) -> DataFrame:
     rows, total = df.agg(F.count("*"), F.sum(weight)).first()
     if not rows:
         return df
-    placed = batch.shuffled(df, key, seed).withColumn("_g", F.floor(F.col("row_idx") / 1000))
+    placed = batch.shuffled(df, key, seed).withColumn("_g", F.floor(F.col("row_idx") / batch.BUCKET_ROWS))
     sums = placed.groupBy("_g").agg(F.sum(weight).alias("_s"))
     offsets = sums.select("_g", (F.sum("_s").over(W.Window.orderBy("_g")) - F.col("_s")).alias("_o"))
     run = F.sum(weight).over(W.Window.partitionBy("_g").orderBy("row_idx"))

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from loom.operators import batch
+
 #: Queries of up to so many rows are broadcast to the documents; more are dealt to blocks.
 BROADCAST_QUERIES = 10_000
+#: Words asked for, and distinct values, of up to so many rows are broadcast.
+BROADCAST_WORDS, BROADCAST_VALUES = 200_000, 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,10 +37,15 @@ def paired(df: DataFrame, place: str, vector: str, label: str) -> DataFrame:
     return df.groupBy(k).agg(F.min_by(vector, place).alias("a"), F.max_by(vector, place).alias("b"), F.min_by(label, place).alias("label"), F.count("*").alias("n")).where("n = 2").drop("n")
 
 
-def average_rank(x: str) -> Column:
-    """Ranks of equal values averaged; over the whole batch."""
-    w = W.Window.orderBy(x)
-    return F.rank().over(w) + (F.count("*").over(W.Window.partitionBy(x)) - 1) / 2
+def with_average_rank(df: DataFrame, x: str, out: str) -> DataFrame:
+    """Adds the rank of x over the whole batch, equal values' ranks averaged: a running sum of the counts of values.
+
+    Few distinct values are joined back by broadcast (their number is checked), many by a shuffle.
+    """
+    values = df.groupBy(F.col(x).alias("_v")).agg(F.count("*").alias("_n"))
+    few = values.count() <= BROADCAST_VALUES
+    ranks = batch.running_sum(values, "_v", "_n", "_r").select("_v", (F.col("_r") + (F.col("_n") + 1) / 2).alias(out))
+    return df.join(F.broadcast(ranks) if few else ranks, F.col(x) == F.col("_v")).drop("_v")
 
 
 def paired_metrics(pairs: DataFrame) -> DataFrame:
@@ -46,7 +55,9 @@ def paired_metrics(pairs: DataFrame) -> DataFrame:
     """
     sims = {"cosine": cosine(F.col("a"), F.col("b")), "manhattan": -distance(F.col("a"), F.col("b"), 1), "euclidean": -distance(F.col("a"), F.col("b"), 2), "dot_product": dot(F.col("a"), F.col("b"))}
     scored = pairs.select(F.col("label").cast("double").alias("label"), *[c.alias(k) for k, c in sims.items()])
-    ranked = scored.select("*", *[average_rank(c).alias(f"r_{c}") for c in ("label", *sims)])
+    ranked = scored
+    for c in ("label", *sims):
+        ranked = with_average_rank(ranked, c, f"r_{c}")
     swapped = {"manhattan": "euclidean", "euclidean": "manhattan"}
     return ranked.agg(*[F.corr("label", c).alias(f"pearson_{swapped.get(c, c)}") for c in sims], *[F.corr("r_label", f"r_{c}").alias(f"spearman_{c}") for c in sims])
 
@@ -92,13 +103,19 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, score: Column) -> DataF
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """The k best documents per query by BM25 over word lists (query_id, words; doc_id, words)."""
-    terms = docs.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    """The k best documents per query by BM25 over word lists (query_id, words; doc_id, words).
+
+    Words that no query asks for go before anything is shuffled.  While the words asked for are few
+    (the count is checked) they and their document counts are broadcast, so that no word is a key.
+    """
     stats = F.broadcast(docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")))
     asked = queries.select("query_id", F.explode(F.array_distinct("words")).alias("w"))
-    needed = terms.join(asked.select("w").distinct(), "w", "left_semi")
+    few = asked.count() <= BROADCAST_WORDS
+    small = F.broadcast if few else (lambda df: df)
+    words = docs.select("doc_id", F.size("words").alias("len"), F.explode("words").alias("w")).join(small(asked.select("w").distinct()), "w", "left_semi")
+    needed = words.groupBy("doc_id", "w").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     rare = needed.groupBy("w").agg(F.count("*").alias("df"))
-    hit = needed.join(asked, "w").join(rare, "w").join(stats)
+    hit = needed.join(small(asked), "w").join(small(rare), "w").join(stats)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scored = hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))

@@ -26,8 +26,8 @@ over("judged_routes__QA11_SNK02", lambda v: FLAGS(v).groupBy(rt.judged_route(C("
 over("policy_routes__QA12", lambda v: v.groupBy(rt.policy_route(C("lang"), C("source"), ["fr"], [("src1", "en"), ("src2", "de")]).alias("route")).agg(F.count("*").alias("n")), " SELECT CASE WHEN lang = 'fr' THEN 'review_type:fr' WHEN source = 'src1' AND lang = 'en' THEN 'review_pair:src1:en' WHEN source = 'src2' AND lang = 'de' THEN 'review_pair:src2:de' ELSE 'sft' END AS route, count(*) AS n FROM v GROUP BY 1")
 NODES = "SELECT o_orderkey AS node_id, CASE WHEN o_orderkey > 1 THEN CAST(floor(o_orderkey / 4) AS BIGINT) END AS parent_id, o_totalprice / 1000.0E0 AS outcome_reward, o_orderkey % 4 = 3 AS terminated, o_orderkey % 3 = 0 AS correct FROM {orders}"
 over("tree_preferences__QA13", lambda v: rt.preferences(v, 50.0), " SELECT parent_id, max_by(node_id, outcome_reward) AS good, max(outcome_reward) AS good_score, min_by(node_id, outcome_reward) AS bad, min(outcome_reward) AS bad_score FROM v WHERE parent_id IS NOT NULL GROUP BY 1 HAVING max(outcome_reward) - min(outcome_reward) > 50", NODES)
-over("tree_paths__QA13", lambda v: rt.path_rewards(v, 8).select("node_id", "correct", F.round("mean_reward", 9).alias("mean_reward"), F.round("min_reward", 7).alias("min_reward")),
-    ", w AS (SELECT node_id, correct, node_id AS at, 0 AS d FROM v WHERE terminated UNION ALL SELECT w.node_id, w.correct, CAST(w.at // 4 AS BIGINT), d + 1 FROM w WHERE d < 8 AND w.at > 1) SELECT w.node_id, any_value(w.correct) AS correct, round(avg(n.outcome_reward), 9) AS mean_reward, round(min(n.outcome_reward), 7) AS min_reward FROM w JOIN v n ON n.node_id = w.at GROUP BY 1", NODES)
+over("tree_paths__QA13", lambda v: rt.path_rewards(v).select("node_id", "correct", F.round("mean_reward", 9).alias("mean_reward"), F.round("min_reward", 7).alias("min_reward")),
+    ", w AS (SELECT node_id, correct, node_id AS at FROM v WHERE terminated UNION ALL SELECT w.node_id, w.correct, CAST(w.at // 4 AS BIGINT) FROM w WHERE w.at > 1) SELECT w.node_id, any_value(w.correct) AS correct, round(avg(n.outcome_reward), 9) AS mean_reward, round(min(n.outcome_reward), 7) AS min_reward FROM w JOIN v n ON n.node_id = w.at GROUP BY 1", NODES)
 LOOK = "SELECT l_orderkey AS k, l_partkey % 3 AS val FROM {lineitem}"
 over("unambiguous_keys__JON01", lambda v: rt.unambiguous(v, "k", "val"), " SELECT k, min(val) AS val FROM v GROUP BY 1 HAVING count(DISTINCT val) = 1", LOOK)
 over("index_groups__JON02", lambda v: rt.with_index(v, rt.last_index(v.where("doc_id % 3 = 0").select("source", C("doc_id").alias("idx")), "source", "idx"), "source", "idx").select("doc_id", rt.source_group(C("idx"), 995).alias("g")), ", l AS (SELECT source, max(doc_id) AS idx FROM v WHERE doc_id % 3 = 0 GROUP BY 1) SELECT doc_id, CASE WHEN coalesce(idx, -1) < 995 THEN 'polished' ELSE 'template' END AS g FROM v LEFT JOIN l USING (source)")

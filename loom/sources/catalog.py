@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from loom.operators import sampling
 from loom.sources import files
 
+#: What is a path and no name.
+PATH = re.compile(r".*://|[/.~]|[^:]*\.(?:jsonl?|csv|tsv|txt|parquet)$")
+
 
 @dataclass(frozen=True)
 class Request:
@@ -22,13 +25,17 @@ class Request:
 
 
 def parse(text: str) -> Request:
-    """The hub before the first "::", rows after the last "#", subsets after the first ":" (not in paths that exist)."""
+    """The hub before the first "::", rows after the last "#", subsets after the first ":" (not in paths).
+
+    A path has a scheme, begins with a slash, a dot or a tilde, or ends in a file name's extension; no file
+    system is asked, for the driver's is not the cluster's.
+    """
     hub, sep, rest = text.partition("::")
     if not sep:
         hub, rest = None, text
     head, sep, tail = rest.rpartition("#")
     rows, body = (int(tail), head) if sep and tail.isdigit() else (None, rest)
-    if Path(body).exists() or "://" in body or body.startswith("/"):
+    if PATH.match(body):
         return Request(body, hub, (), rows)
     name, sep, subsets = body.partition(":")
     return Request(name, hub, tuple(s for s in subsets.split("/") if s), rows)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,14 +10,18 @@ from pyspark.sql import window as W
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new path in the folder that executors share: spark.checkpoint.dir, else the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/loom/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lines(spark: SparkSession, path: str, first: int = 1) -> DataFrame:
     """file, line_no (from ``first``) and line of text files; blank lines count but are left out.
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loom.operators import batch, intervals, messages, reports, rl, sampling, sequential
+from loom.operators import batch, intervals, messages, reports, rl, routing, sampling, sequential
 from loom.sources import catalog
 
 
@@ -117,6 +117,8 @@ def test_rollout_fold():
 
 def test_requests():
     assert catalog.parse("hf::team/set:a/b#500") == catalog.Request("team/set", "hf", ("a", "b"), 500)
+    assert catalog.parse("sub/x.jsonl#10") == catalog.Request("sub/x.jsonl", None, (), 10)
+    assert catalog.parse("s3://bucket/x:y") == catalog.Request("s3://bucket/x:y")
     assert catalog.parse("/data/x.jsonl#10") == catalog.Request("/data/x.jsonl", None, (), 10)
     c = catalog.Catalog()
     d = catalog.Dataset("team/set", lambda s, n: None, subsets=("a", "b"), weak=("b",))
@@ -132,3 +134,27 @@ def test_dataset_info():
     c = catalog.Catalog()
     c.register_info('[{"name": "x", "path": "/tmp/x.jsonl", "columns": {"q": "query"}}]')
     assert c.find("x").name == "x"
+
+
+@pytest.mark.parametrize("gamma,lam", [(0.9, 0.0), (0.0, 0.9), (1.0, 0.95), (0.5, 0.2), (1.0, 1.0)])
+def test_long_sequences_flow_back(spark, gamma, lam):
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).alias("seq"), F.col("id").cast("int").alias("pos"), (F.col("id") % 7 / 3 - 1).alias("r"), (F.col("id") % 5 / 4).alias("v"), F.when(F.col("id") % 6000 == 5999, 0).otherwise(1).alias("mask"))
+    rows = df.orderBy("pos").collect()
+    adv, ret, last, flow, ahead = [0.0] * n, [0.0] * n, 0.0, 0.0, 0.0
+    for i in reversed(range(n)):
+        last = rows[i].r + gamma * ahead - rows[i].v + gamma * lam * last
+        ahead, adv[i] = rows[i].v, last
+        flow = rows[i].r + gamma * (0.0 if i + 1 < n and not rows[i + 1].mask else flow)
+        ret[i] = flow
+    assert [r.adv for r in rl.generalised_advantage(df, gamma, lam).orderBy("pos").collect()] == pytest.approx(adv, rel=1e-9, abs=1e-9)
+    assert [r.ret for r in rl.discounted_returns(df, gamma).orderBy("pos").collect()] == pytest.approx(ret, rel=1e-9, abs=1e-9)
+
+
+def test_paths_of_any_length(spark):
+    schema = "node_id long, parent_id long, outcome_reward double, terminated boolean, correct boolean"
+    chain = [(i, i - 1 if i else None, float(i), i == 99, True) for i in range(100)]
+    found = routing.path_rewards(spark.createDataFrame([*chain, (200, 555, 7.0, True, False)], schema)).collect()
+    assert {(r.node_id, r.mean_reward, r.min_reward) for r in found} == {(99, 49.5, 0.0), (200, 7.0, 7.0)}
+    with pytest.raises(ValueError):
+        routing.path_rewards(spark.createDataFrame([(1, 2, 0.0, True, True), (2, 1, 0.0, False, True)], schema))
