@@ -114,8 +114,9 @@ FOLD |= {0xFF01 + i: chr(0x21 + i) for i in range(94)}  # full-width ASCII
 FOLD |= {start + i: str(i) for start in (0x0660, 0x06F0, 0x0966) for i in range(10)}  # Arabic-Indic, Persian, Devanagari digits
 FOLDED = re.compile("[" + re.escape("".join(map(chr, FOLD))) + "]")
 
-BRACKETED_AT = re.compile(r"[\x20\t]*[\[({<][\x20\t]*(?:at|@|arobase|arroba)[\x20\t]*[\])}>][\x20\t]*", re.I)
-BRACKETED_DOT = re.compile(r"[\x20\t]*[\[({<][\x20\t]*(?:dot|\.|punkt|point|punto)[\x20\t]*[\])}>][\x20\t]*", re.I)
+#: From the bracket on: the blanks before it are taken by a look back, so that long runs of blanks are read once.
+BRACKETED_AT = re.compile(r"[\[({<][\x20\t]*(?:at|@|arobase|arroba)[\x20\t]*[\])}>][\x20\t]*", re.I)
+BRACKETED_DOT = re.compile(r"[\[({<][\x20\t]*(?:dot|\.|punkt|point|punto)[\x20\t]*[\])}>][\x20\t]*", re.I)
 SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})\x20+at\x20+([A-Za-z0-9-]{1,63}(?:\x20+dot\x20+[A-Za-z0-9-]{1,63}){1,8})(?![A-Za-z0-9-])", re.I)
 DOT = re.compile(r"\x20+dot\x20+", re.I)
 #: Either sign spoken by itself: a dot between labels, an at before a domain whose last label has a letter.
@@ -126,12 +127,10 @@ CASED = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
 
 
 def _spelled(names: tuple[str, ...]) -> tuple[re.Pattern, dict[str, str]]:
-    """Runs of two or more names and written numbers, of which one at least is a name."""
-    one = "(?:" + "|".join(sorted(names, key=len, reverse=True)) + r")(?!\w)"
-    written = r"[0-9](?:[0-9.]*[0-9])?(?!\w)"
+    """Whole runs of two or more names and written numbers, each read once; those without a name are no digits' names."""
+    item = "(?:" + "|".join(sorted(names, key=len, reverse=True)) + r"|[0-9]++)(?!\w)"
     joint = r"(?:[\x20,-]{1,3}|\.|\x20(?:dot|punkt|point|punto)\x20)"
-    run = rf"(?:plus\x20)?{one}(?:{joint}(?:{one}|{written}))+|{written}(?:{joint}{written})*{joint}{one}(?:{joint}(?:{one}|{written}))*"
-    return re.compile(rf"(?<!\w)(?:{run})", re.I), {n: str(i) for i, n in enumerate(names)}
+    return re.compile(rf"(?<!\w)(?:plus\x20)?{item}(?:{joint}{item})+", re.I), {n: str(i) for i, n in enumerate(names)}
 
 
 SPELLINGS = [(names, *_spelled(names)) for names in DIGIT_NAMES]
@@ -147,6 +146,8 @@ def _digits(text: str, run: re.Pattern, value: dict[str, str]) -> Iterator[tuple
     """Edits: names to digits, signs' names to signs; what joins two names goes, and beside a written number one sign of it stays."""
     for m in run.finditer(text):
         pieces = [(p.start(), p.end(), _lower(p[0])) for p in PIECES.finditer(text, *m.span())]
+        if not any(p in value for _, _, p in pieces):
+            continue
         for k, (a, b, p) in enumerate(pieces):
             if p in value or p in SIGNS:
                 yield a, b, value.get(p) or SIGNS[p]
@@ -158,6 +159,14 @@ def _digits(text: str, run: re.Pattern, value: dict[str, str]) -> Iterator[tuple
                     yield a, b, "-" if "-" in p else " "
 
 
+def _with_blanks(text: str, pattern: re.Pattern, sign: str) -> Iterator[tuple[int, int, str]]:
+    """Edits: matches and the blanks before them to a sign."""
+    end = 0
+    for m in pattern.finditer(text):
+        yield end + len(text[end : m.start()].rstrip(" \t")), m.end(), sign
+        end = m.end()
+
+
 def normalised(text: str) -> Traced:
     out = Traced(text)
     if not text.isascii() and FOLDED.search(text):
@@ -168,7 +177,7 @@ def normalised(text: str) -> Traced:
             out = out.edited(list(_digits(out.text, pattern, value)))
     for signs, pattern, sign in ((("at", "@", "aro", "arr"), BRACKETED_AT, "@"), (("dot", ".", "pun", "poi"), BRACKETED_DOT, ".")):
         if any(b in low for b in "[({<") and any(s in low for s in signs):
-            out = out.replace(pattern, lambda m, s=sign: s)
+            out = out.edited(list(_with_blanks(out.text, pattern, sign)))
     if " dot " in low:
         out = out.replace(SPOKEN, lambda m: f"{m[1]}@{DOT.sub('.', m[2])}").replace(SPOKEN_DOT, lambda m: ".")
     if " at " in low:
@@ -218,4 +227,5 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every document; texts are read whole."""
     return personal_data(table(spark, sf_dir, "documents"))

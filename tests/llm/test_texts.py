@@ -205,3 +205,25 @@ def test_token_odd_rows(spark, odd, empty):
         path = new_path(spark, "tokens")
         token_scan.write_tokens(docs, path)
         assert token_scan.token_counts(spark, path).count() == n
+
+
+def test_long_runs_are_read_once():
+    """Blanks, brackets, digits, numbers and dots by the hundred thousand, beside disguises that are still found."""
+    import time
+
+    tail = " call plus four nine three zero one two three four five six seven or jane (at) mail (dot) org"
+    for run in (" " * 1_000_000, "\t" * 1_000_000, "( " * 300_000, "[" * 500_000, "1" * 300_000, "1 2 " * 100_000, "1.1." * 100_000, "one " * 50_000, "a." * 200_000, "a@" * 200_000, "+" * 300_000, "+1 " * 100_000):
+        began = time.process_time()
+        spans = personal_data.all_spans(run + " x" + tail)[1]
+        assert time.process_time() - began < 8, run[:4]
+        assert {k for k, _, _ in spans} >= {"phone", "email"}, run[:4]
+    began = time.process_time()
+    personal_data.all_spans(" " * 1_000_000 + "x")
+    assert time.process_time() - began < 1
+
+
+def test_changed_lengths_hide_nothing():
+    """Letters whose lower case is longer, and spelled addresses of networks."""
+    for before in ("", "\u0130 ", "x" * 70 + " \u0130\u0130 "):
+        text = before + "at one dot two dot three dot four or plus four nine three zero one two three four five six"
+        assert {k for k, _, _ in personal_data.all_spans(text)[1]} == {"ip", "phone"}
