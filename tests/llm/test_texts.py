@@ -227,3 +227,51 @@ def test_changed_lengths_hide_nothing():
     for before in ("", "\u0130 ", "x" * 70 + " \u0130\u0130 "):
         text = before + "at one dot two dot three dot four or plus four nine three zero one two three four five six"
         assert {k for k, _, _ in personal_data.all_spans(text)[1]} == {"ip", "phone"}
+
+
+def test_parts_are_tokenised_alike():
+    encode = token_scan._encoding("byte_bpe_multi_50k.tiktoken").encode_ordinary
+    text = "It's  one\n two\t three   4 5!? \u3000 ünï cödé, x" * 50
+    for size in (1, 7, 50, 10**6):
+        cut = list(token_scan.parts(text, size))
+        assert "".join(cut) == text and sum(map(encode, cut), []) == encode(text)
+    assert list(token_scan.parts("x" * 500, 10)) == ["x" * 500]
+
+
+def plain_counts(ids, end):
+    """(start, tokens) of the documents of a list of ids."""
+    out, start = [], 0
+    for i, x in enumerate(ids):
+        if x == end:
+            out.append((start, i - start))
+            start = i + 1
+    return out + ([(start, len(ids) - start)] if start < len(ids) else [])
+
+
+def test_any_token_file_is_scanned(spark, tmp_path):
+    """Other names, other separators, no headers, documents over many blocks, an open end, an odd byte, empty files."""
+    import random
+
+    import numpy as np
+
+    r, expected = random.Random(3), {}
+    for name, n in (("a.bin", 5000), ("tokens", 1), ("b.u16", 777), ("empty.bin", 0)):
+        ids = [r.choice((7, 1, 2, 3)) if r.random() < 0.2 else 9 for _ in range(n)]
+        (tmp_path / name).write_bytes(np.array(ids, ">u2").tobytes() + (b"\0" if name == "b.u16" else b""))
+        expected |= {(name, s): c for s, c in plain_counts(ids, 7)}
+    for block in (1, 4, 1000, 1 << 20):
+        found = token_scan.token_counts(spark, f"file://{tmp_path}", end_id=7, head=0, block=block).collect()
+        assert {(x.file, x.start): x.n_tokens for x in found} == expected and len(found) == len(expected)
+
+
+def test_files_beyond_two_gigabytes(spark, tmp_path):
+    """A sparse file: zeros, with separators beyond the second gigabyte."""
+    import numpy as np
+
+    at = [5, 1_100_000_000, 1_250_000_000]
+    with open(tmp_path / "big", "wb") as f:
+        for i in at:
+            f.seek(2 * i)
+            f.write(np.array([7], ">u2").tobytes())
+    found = token_scan.token_counts(spark, f"file://{tmp_path}", end_id=7, head=0, block=1 << 24).collect()
+    assert {(x.start, x.n_tokens) for x in found} == {(0, 5), (6, at[1] - 6), (at[1] + 1, at[2] - at[1] - 1)}
