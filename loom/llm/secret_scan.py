@@ -1,8 +1,9 @@
-"""Secrets: fixed patterns, and a character convolutional network over every other candidate.
+"""Secrets: fixed patterns, and a character convolutional network over every candidate.
 
 A candidate is a run of token characters that are varied enough by their entropy; the network reads
 its characters and those around it, in windows over the whole of a long one, of which the highest
-score counts.  It is trained here, in numpy, on labelled findings: by default on generated
+score counts.  Candidates within a pattern's span are scored like all others, so that the network's
+recall can be told from documents.  It is trained here, in numpy, on labelled findings: by default on generated
 ones (keys, tokens and passwords of many shapes in code, configuration and prose; identifiers,
 hashes of versions, numbers, links and words that are none), or on a bounded sample of yours.  The
 scores are calibrated by Platt's method on held-out findings, and the threshold is the highest that
@@ -127,6 +128,7 @@ class Network:
         rng = np.random.default_rng(seed)
         norm = lambda *s: rng.normal(0, 1, s)
         self.p = {"embed": norm(2 * CLASSES, self.DEPTH) * 0.5, "filter": norm(WIDTH * self.DEPTH, CHANNELS) / np.sqrt(WIDTH * self.DEPTH), "bias": np.zeros(CHANNELS), "out": norm(2 * CHANNELS) * 0.1, "base": np.zeros(1)}
+        self.p = {k: a.astype(np.float32) for k, a in self.p.items()}
         self.slope, self.shift, self.threshold = 1.0, 0.0, 0.5
 
     def forward(self, x: np.ndarray):
@@ -140,7 +142,7 @@ class Network:
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         z, (cols, h, pooled) = self.forward(x)
         n, places, _ = h.shape
-        d = (_logistic(z) - y) / n
+        d = ((_logistic(z) - y) / n).astype(np.float32)
         g = {"out": pooled.T @ d, "base": d.sum(keepdims=True)}
         dp = d[:, None] * self.p["out"]
         dh = np.repeat(dp[:, None, CHANNELS:] / places, places, axis=1)
@@ -149,7 +151,7 @@ class Network:
         dh = (dh * (h > 0)).reshape(-1, CHANNELS)
         g["filter"], g["bias"] = cols.T @ dh, dh.sum(axis=0)
         dc = (dh @ self.p["filter"].T).reshape(n, places, WIDTH, self.DEPTH)
-        de = np.zeros((n, LENGTH, self.DEPTH))
+        de = np.zeros((n, LENGTH, self.DEPTH), np.float32)
         for k in range(WIDTH):
             de[:, k : k + places] += dc[:, :, k]
         g["embed"] = np.zeros_like(self.p["embed"])
@@ -165,9 +167,9 @@ class Network:
             for i in range(0, len(x), batch):
                 step += 1
                 for k, g in self.gradients(x[order[i : i + batch]], y[order[i : i + batch]]).items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                    m[k] += np.float32(0.1) * (g - m[k])
+                    v[k] += np.float32(0.001) * (g * g - v[k])
+                    self.p[k] -= np.float32(rate / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.999**step)) + np.float32(1e-8))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, starts: np.ndarray) -> None:
         """Platt scaling, then a threshold.  x has the windows of findings one after another, from starts on.
@@ -305,19 +307,10 @@ def trained_on(labelled: DataFrame, most: int = 20_000, recall: float = 0.95) ->
     return net
 
 
-def _covered(a: int, b: int, base: Sequence[Span]) -> bool:
-    """Whether base spans cover the candidate; what precedes an assignment is its name."""
-    for kind, x, y in sorted(base, key=lambda s: s[1]):
-        if x <= a < y or (kind == "assign" and a < x < b):
-            a = y
-    return a >= b
-
-
 def found(texts: Sequence[str], net: Network) -> list[tuple[list[Span], list[Span]]]:
-    """(base, all) spans per text: all holds the base ones, and candidates not covered by them that the network takes."""
+    """(base, all) spans per text: all holds the base ones, and the candidates that the network takes."""
     base = [base_spans(t) for t in texts]
-    free = [[(a, b) for a, b in candidates(t) if not _covered(a, b, s)] for t, s in zip(texts, base, strict=True)]
-    at = [(i, span, p) for i, spans in enumerate(free) for span in spans for p in pieces(texts[i], *span)]
+    at = [(i, span, p) for i, t in enumerate(texts) for span in candidates(t) for p in pieces(t, *span)]
     every = [list(s) for s in base]
     best: dict[tuple[int, tuple[int, int]], float] = {}
     for k in range(0, len(at), 4096):
@@ -358,4 +351,5 @@ def secrets(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every document; texts are read whole."""
     return secrets(table(spark, sf_dir, "documents"))
