@@ -1,17 +1,18 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 1. Targets: sources share all words by weight; a target stops at ``times`` its source's size and the
-   excess is reshared by weight until none is above.
-2. Each (source, shard) cell lays its documents out in a seeded order and cuts that line into equal
-   blocks of about ``block_words`` words.
-3. Highest quotients (target / 1, 3, 5, ...) give each source an integer number of blocks, and again
-   each of a source's shards by its size.
-4. A cell's quota takes every block in whole passes, and the rest as a run of blocks from a seeded
-   start: the documents lie in a seeded order, so the run is a seeded sample, and only the documents
-   at its two ends are cut.
-
-Shards are salts: a source of any share of the rows is spread over as many cells as its size asks
-for.  Only one row per source comes to the driver.
+   excess is reshared by weight until none is above.  The level is found by rounds of two sums over
+   the sources' table, which is as long as it may be.
+2. Each source has blocks of its own size, a 64th of its size or target and ``block_words`` at most,
+   and as many shards as its words and documents ask for.  A cell (source and shard) lays its
+   documents out in a seeded order and cuts that line into equal blocks.
+3. A source has as many blocks as quotients target / 1, 3, 5, ... reach half of a block's words; the
+   highest quotients of its shards' words give each of them an integer quota of these.
+4. A cell's quota takes every block in whole passes; of the rest, blocks are chosen one by one by a
+   seeded rule that takes exactly as many and spreads them evenly over the seeded line.  Documents are
+   cut only at the edges of chosen blocks.
+
+Shards are salts: a source of any share of the rows is spread over as many cells as its size asks for.
 """
 
 from __future__ import annotations
@@ -25,24 +26,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from loom.llm.common import materialise, n_words, table
+from loom.llm.common import materialise, n_words, table, with_groups
 
 WEIGHTS = (5, 2, 1)
-BLOCK_WORDS = 32
+#: Words of a block, at most, and blocks of a source or of its target, at least (where it has so many words).
+BLOCK_WORDS, BLOCKS = 65_536, 64
 #: A cell holds about so many words and documents.
 SHARD_WORDS, SHARD_DOCS = 10_000_000, 50_000
-#: Sources come to the driver and are broadcast; more than this is an error, not a silent slow path.
-MAX_SOURCES = 100_000
+#: Sources of up to so many rows are broadcast; more are joined as groups of which a few may be hot.
+BROADCAST_SOURCES = 100_000
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], times: float = 3) -> list[float]:
-    """Shares of sum(sizes) by weight, none above times its size; the excess goes to the others by weight."""
-    order = sorted(range(len(sizes)), key=lambda i: times * sizes[i] / weights[i])
-    left, weight, out = float(sum(sizes)), float(sum(weights)), [0.0] * len(sizes)
-    for i in order:
-        out[i] = float(min(times * sizes[i], left * weights[i] / weight)) if weight > 0 else 0.0
-        left, weight = left - out[i], weight - weights[i]
-    return out
+def ranked(sources: DataFrame) -> DataFrame:
+    """Adds rank, the 0-based place in code point order, null last: numbered in ranges, of which each is a task's."""
+    order = [F.col("source").isNull(), F.col("source")]
+    parts = max(1, sources.count() // BROADCAST_SOURCES)
+    ranges = materialise(sources.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    before = W.Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("part").agg(F.count("*").alias("rows")).select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    number = F.row_number().over(W.Window.partitionBy("part").orderBy(*order)) - 1
+    return ranges.join(F.broadcast(offsets), "part").withColumn("rank", (F.col("offset") + number).cast("long")).drop("part", "offset")
+
+
+def with_targets(sources: DataFrame, weights: Sequence[float], times: float) -> DataFrame:
+    """Adds target to a table of rank and words: shares of all words by weight, none above times its words.
+
+    A target is weight * level or the source's bound.  The level rises from round to round as bounds are
+    reached, until no further one is; its rounds are few, for each counts all bounds below it at once.
+    """
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
+    bound = F.col("words") * F.lit(float(times))
+    total = sources.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    level, stopped = 0.0, -1
+    while True:
+        at = bound <= weight * F.lit(level)
+        capped, free, n = sources.agg(F.coalesce(F.sum(F.when(at, bound)), F.lit(0.0)), F.coalesce(F.sum(F.when(~at, weight)), F.lit(0.0)), F.count_if(at)).first()
+        if n == stopped or not free:
+            return sources.withColumn("target", F.when(at, bound).otherwise(weight * F.lit(level)).cast("double"))
+        level, stopped = (total - capped) / free, n
 
 
 def apportion(seats: int, votes: Sequence[float], most: Sequence[int]) -> list[int]:
@@ -81,54 +102,57 @@ def _cell_quotas(times: int):
         """Of one source: its quota over its shards by their sizes; one row per shard."""
         cells = cells.sort_values("shard").reset_index(drop=True)
         blocks = cells["blocks"].tolist()
-        return cells.assign(quota=apportion(int(cells["source_quota"].iloc[0]), [float(x) for x in cells["words"]], [times * b for b in blocks]))[["rank", "shard", "words", "blocks", "quota"]]
+        quota = int(cells["target"].iloc[0] * sum(blocks) / max(1, cells["words"].sum()) + 0.5)
+        return cells.assign(quota=apportion(quota, [float(x) for x in cells["words"]], [times * b for b in blocks]))[["rank", "shard", "words", "blocks", "quota"]]
 
     return run
 
 
-def _blocks(words: Column, block_words: int) -> Column:
-    return F.when(words > 0, F.greatest(F.lit(1), F.round(words / block_words))).otherwise(0).cast("long")
-
-
-def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, times: int = 3, block_words: int = BLOCK_WORDS, seed: int = 1, shard_words: int = SHARD_WORDS) -> DataFrame:
+def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, times: int = 3, block_words: int = BLOCK_WORDS, seed: int = 1, shard_words: int = SHARD_WORDS, measured: DataFrame | None = None) -> DataFrame:
     """Adds source_size, target, passes, spans and taken to rows of doc_id, source, size (and one more column, doc).
 
     passes: how often the whole document is taken; spans: word ranges [from, to) taken once more.
     Sources are weighted in code point order, null last, the weights repeating.  The order depends on
     doc_id and size only, so reruns agree; rows that repeat both are interchangeable.  Documents
-    without words take nothing; no rows give no rows.
+    without words take nothing; no rows give no rows.  measured: the same rows as a table without doc,
+    where rows are dear to compute.
     """
-    spark = rows.sparkSession
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes.sort(key=lambda r: (r.source is None, r.source or ""))
-    words = [r.words for r in sizes]
-    wanted = targets(words, [weights[i % len(weights)] for i in range(len(sizes))], times)
-    shards = max(1, -(-sum(words) // shard_words), -(-sum(r.n for r in sizes) // SHARD_DOCS))
-    quotas = apportion(round(sum(words) / block_words), wanted, [times * max(w, 1) for w in words])
-    source_type = rows.schema["source"].dataType
-    kind = T.StructType([T.StructField("of", source_type), T.StructField("rank", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("source_quota", T.LongType())])
-    sources = spark.createDataFrame([(r.source, i, r.words, wanted[i], quotas[i]) for i, r in enumerate(sizes)], kind)
-    placed = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.lit("shard")), F.lit(shards)))
-    cells = placed.groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota")).withColumn("blocks", _blocks(F.col("words"), block_words))
-    cells = materialise(cells.groupBy("rank").applyInPandas(_cell_quotas(times), "rank int, shard long, words long, blocks long, quota long"), "cells")
+    known = rows if measured is None else measured
+    sizes = materialise(known.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "sources")
+    sources = with_targets(materialise(ranked(sizes), "ranked"), weights, times)
+    block = F.least(F.lit(block_words), F.greatest(F.lit(1), F.floor(F.least(F.col("words"), F.col("target")) / BLOCKS)))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("words") / shard_words), F.ceil(F.col("n") / SHARD_DOCS))
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    sources = materialise(sources.select(key(F.col("source")).alias("key"), "rank", "n", F.col("words").alias("source_size"), "target", block.cast("long").alias("block"), shards.cast("long").alias("shards")), "targets")
+    few, total = sources.count() <= BROADCAST_SOURCES, known.count()
+
+    def placed(of: DataFrame) -> DataFrame:
+        keyed = of.withColumn("key", key(F.col("source")))
+        joined = keyed.join(F.broadcast(sources), "key") if few else with_groups(keyed, sources, "key", total, "n")
+        return joined.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.lit("shard")), F.col("shards"))).drop("key", "n", "shards")
+
+    cells = placed(known).groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("block").alias("block"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
+    cells = cells.withColumn("blocks", F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / F.col("block")))).otherwise(0).cast("long"))
+    cells = materialise(cells.withColumn("alone", F.col("words") == F.col("source_size")), "cells")
+    # a source in one cell needs no shares; others are apportioned, a source at a time
+    one = F.least(F.floor(F.col("target") * F.col("blocks") / F.greatest(F.col("words"), F.lit(1)) + 0.5), F.lit(times) * F.col("blocks")).cast("long")
+    shared = cells.where("NOT alone").select("rank", "shard", "words", "target", "blocks").groupBy("rank").applyInPandas(_cell_quotas(times), "rank long, shard long, words long, blocks long, quota long")
+    cells = materialise(cells.where("alone").select("rank", "shard", "words", "blocks", one.alias("quota")).unionByName(shared), "quotas")
 
     order = W.Window.partitionBy("rank", "shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size")
     begin = F.sum("size").over(order.rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)) - F.col("size")
-    laid = placed.withColumn("begin", begin).join(cells, ["rank", "shard"])
-    edge = lambda b: F.floor(b * F.col("words") / F.greatest(F.col("blocks"), F.lit(1))).cast("long")
-    laid = laid.withColumn("passes", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).cast("int"))
-    laid = laid.withColumn("rest", F.col("quota") - F.col("passes") * F.col("blocks"))
-    laid = laid.withColumn("start", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed), "rank", "shard"), F.greatest(F.col("blocks"), F.lit(1)))).otherwise(0))
-    stop = F.col("start") + F.col("rest")
-    clip = lambda x: F.least(F.greatest(x - F.col("begin"), F.lit(0)), F.col("size"))
-    span = lambda a, b: F.struct(clip(a).alias("from"), clip(b).alias("to"))
-    runs = F.array(
-        span(F.lit(0).cast("long"), edge(F.greatest(stop - F.col("blocks"), F.lit(0)))),
-        span(edge(F.col("start")), edge(F.least(stop, F.col("blocks")))),
-    )
-    laid = laid.withColumn("spans", F.filter(runs, lambda s: s["to"] > s["from"]))
+    laid = placed(rows).withColumn("begin", begin).join(cells, ["rank", "shard"])
+    full = F.col("blocks") > 0
+    laid = laid.withColumn("passes", F.when(full, F.expr("quota div blocks")).otherwise(0).cast("int")).withColumn("rest", F.when(full, F.expr("quota % blocks")).otherwise(0))
+    laid = laid.withColumn("start", F.when(full, F.pmod(F.xxhash64(F.lit(seed), "rank", "shard"), F.col("blocks"))).otherwise(0))
+    # of every blocks blocks, this takes rest; the block of a word is the last one that begins at it or before
+    taken = lambda b: f"pmod(({b}) * rest + start, blocks) < rest"
+    laid = laid.withColumn("first", F.expr("((begin + 1) * blocks - 1) div words")).withColumn("last", F.expr("((begin + size) * blocks - 1) div words"))
+    laid = laid.withColumn("chosen", F.when((F.col("size") > 0) & (F.col("rest") > 0), F.expr(f"filter(sequence(first, last), b -> {taken('b')})")).otherwise(F.array().cast("array<bigint>")))
+    clip = lambda b: f"least(greatest({b} * words div blocks - begin, 0L), size)"
+    runs = f"""zip_with(filter(chosen, b -> b = first OR NOT {taken('b - 1')}), filter(chosen, b -> b = last OR NOT {taken('b + 1')}),
+        (a, b) -> named_struct('from', {clip('a')}, 'to', {clip('(b + 1)')}))"""
+    laid = laid.withColumn("spans", F.filter(F.expr(runs), lambda s: s["to"] > s["from"]))
     partly = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
     return laid.withColumn("taken", F.col("passes") * F.col("size") + partly).select(*rows.columns, "source_size", "target", "passes", "spans", "taken")
 
@@ -138,8 +162,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Keeps all columns of docs, whatever their names; n_chars, where there is one, follows a cut text.
     """
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    mixed = plan(rows, **how)
+    mixed = plan(rows, measured=materialise(sized, "sizes"), **how)
     words = F.regexp_extract_all(F.col("doc.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = lambda s: F.when(s["to"] - s["from"] == F.col("size"), F.col("doc.text")).otherwise(F.regexp_replace(F.array_join(F.slice(words, s["from"].cast("int") + 1, (s["to"] - s["from"]).cast("int")), ""), r"^[\x20\x09-\x0D]+", ""))
     texts = F.concat(F.array_repeat("doc.text", F.col("passes")), F.transform("spans", cut))
