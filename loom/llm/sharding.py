@@ -7,12 +7,15 @@ holds room at its start, so departures need no counting.  In each round every hu
 the first of its wishes with room; a shard admits, in a seeded order, what its quota leaves, and who
 is refused asks for the next, until no request is left.  Admission is by thresholds on histograms of
 the requests (at most shards * BINS rows on the driver, at any input size), so no task sorts a
-shard's requests.  Large groups, of which there are few, come first: each gets an ordered run of
-shards, one where one has room for it.  Documents without links, and those of groups for which no
-shard has room, then fill what capacity is left: each takes its place on the line of free bytes by
-its place in a seeded order, where a group's documents are neighbours.
-
-The law is ``bytes``: shards' sizes are near equal.
+shard's requests.  Large groups and long documents, of which there are few, come first, the largest
+first: each group gets an ordered run of shards, one where one has room for it, and each document the
+emptiest shard.  Short documents without links, and those of groups for which no shard has room, then
+fill what capacity is left: each takes its place on the line of free bytes by its place in a seeded
+order, where a group's documents are neighbours.
+
+The law is ``bytes``: shards' sizes are near equal, to half a short document where long documents and
+groups leave room for it.  Seeded orders rest on doc_id and text, not on the order of a scan, so that
+documents which differ in either lie the same way however the input is split.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from loom.llm.common import HOT_SHARE, materialise, table
 BINS = 4096
 #: Rows of one numbering task, about; and of a large group.
 SLOT_ROWS, PART_ROWS = 200_000, 1000
-#: A group with more than this part of a shard's capacity is large.
-LARGE = 1 / 64
+#: A group with more than this part of a shard's capacity is large; a document, long.
+LARGE, LONG = 1 / 64, 1 / 512
 
 
 def _bins(seed: int, *key: str):
@@ -55,11 +58,12 @@ def _runs(large: list, free: list[float]) -> list[tuple]:
     """(key, rows, upto, run) of large groups, the largest first: a run of shards, and how many rows they hold up to each.
 
     A group goes whole to the first shard of its wishes that has room for it; if none has, it fills
-    the emptiest shard and goes on with the rest.  free is what the shards have left.
+    the emptiest shard and goes on with the rest.  A single document, which has no wishes, goes to the
+    emptiest.  free is what the shards have left.
     """
     out = []
     for g in sorted(large, key=lambda g: (-g.group_size * g.size, bytes(g.key))):
-        order = [*g.wishes, *(s for s in range(len(free)) if s not in set(g.wishes))]
+        order = [*g.wishes, *(s for s in range(len(free)) if s not in set(g.wishes))] if g.wishes else sorted(range(len(free)), key=free.__getitem__, reverse=True)
         left, upto, run = g.group_size, [], []
         while left:
             s = next((s for s in order if free[s] >= left * g.size), None)
@@ -79,10 +83,10 @@ def _dealt(linked: DataFrame, runs: list[tuple], seed: int) -> DataFrame:
     """Rows of large groups over their runs, by their numbers within the group, which are counted in parallel parts."""
     table = F.broadcast(linked.sparkSession.createDataFrame(runs, "key binary, rows long, upto array<long>, run array<int>"))
     parts = F.least(F.lit(BINS), F.ceil(F.col("rows") / PART_ROWS))
-    cut = linked.drop("shard").join(table, "key").withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 3), "row"), parts).cast("int"))
+    cut = linked.drop("shard").join(table, "key").withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 3), "place"), parts).cast("int"))
     before = W.Window.partitionBy("key").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = cut.groupBy("key", "part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    number = F.row_number().over(W.Window.partitionBy("key", "part").orderBy("row"))
+    number = F.row_number().over(W.Window.partitionBy("key", "part").orderBy("place", "doc_id", "row"))
     placed = cut.withColumn("number", number).join(offsets, ["key", "part"]).withColumn("rank", F.col("offset") + F.col("number") - 1)
     return placed.select("row", "size", F.get("run", F.size(F.filter("upto", lambda u: u <= F.col("rank")))).alias("shard"))
 
@@ -142,7 +146,7 @@ def _fill(alone: DataFrame, loads: list[int], seed: int) -> DataFrame:
         end += max(0.0, high - x)
         ends.append(end)
     ends[-1] = float("inf")
-    within = W.Window.partitionBy("bin", "sub").orderBy("node", "row")
+    within = W.Window.partitionBy("bin", "sub").orderBy("node", "place", "row")
     # a bin is cut into subs of about SLOT_ROWS rows, whose sums order them on the line
     subs = max(1, alone.count() // (BINS * SLOT_ROWS) + 1)
     binned = binned.withColumn("sub", F.pmod(F.xxhash64(F.lit(seed + 1), "node"), F.lit(subs)).cast("int"))
@@ -161,10 +165,10 @@ def _fill(alone: DataFrame, loads: list[int], seed: int) -> DataFrame:
 def _slots(placed: DataFrame, rows: int, shards: int, seed: int) -> DataFrame:
     """Numbers each shard's rows from 0 without gaps, in parallel parts whose counts give the offsets."""
     parts = max(1, -(-rows // (shards * SLOT_ROWS)))
-    cut = placed.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 2), "row"), F.lit(parts)).cast("int"))
+    cut = placed.withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 2), "place"), F.lit(parts)).cast("int"))
     before = W.Window.partitionBy("shard").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = cut.groupBy("shard", "part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    number = F.row_number().over(W.Window.partitionBy("shard", "part").orderBy("row"))
+    number = F.row_number().over(W.Window.partitionBy("shard", "part").orderBy("place", "doc_id", "row"))
     return cut.withColumn("number", number).join(offsets, ["shard", "part"]).withColumn("slot", (F.col("offset") + F.col("number") - 1).cast("long"))
 
 
@@ -181,30 +185,43 @@ def sharded(docs: DataFrame, shards: int = 40, slack: float = 0.0, seed: int = 1
         "doc_id", F.monotonically_increasing_id().alias("row"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.unhex(F.md5(F.when(F.col("text").isNull(), F.lit("null")).otherwise(F.concat(F.lit("text "), "text")))).alias("key"),
     )
-    sized = materialise(sized, "sized")
+    # place: the same for rows that are equal in doc_id and text, and only for those (but for collisions, which doc_id tells apart)
+    sized = materialise(sized.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "key")), "sized")
     total = sized.count()
     whole = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     capacity = whole / shards * (1 + slack)
-    groups = materialise(sized.groupBy("key").agg(F.count("*").alias("group_size"), F.max("size").alias("size")).where("group_size > 1"), "groups")
-    start = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(shards)).cast("int").alias("shard")
+    groups = materialise(sized.groupBy("key").agg(F.count("*").alias("group_size"), F.max("size").alias("size")), "groups")
+    start = F.pmod(F.col("place"), F.lit(shards)).cast("int").alias("shard")
     # by a broadcast of large groups' keys and a shuffle for the others no partition is hot
     bytes_, free = F.col("group_size") * F.col("size"), [float(capacity)] * shards
-    is_large = (bytes_ > F.lit(capacity * LARGE)) | (F.col("group_size") > F.lit(max(1, int(total * HOT_SHARE))))
-    large = groups.where(is_large).select("key")  # at most shards / LARGE + 1 / HOT_SHARE
-    one = sized.join(F.broadcast(large), "key").select("row", "key", "size", start)
-    rest = sized.join(F.broadcast(large), "key", "left_anti").join(groups.where(~is_large).select("key"), "key", "left_semi").select("row", "key", "size", start)
-    one, rest = materialise(one, "large"), materialise(rest, "linked")
-    runs = _runs(groups.where(is_large).join(_wishes(one, seed), "key").collect(), free)
-    hubs = groups.where(~is_large).select("key", bytes_.alias("bytes")).join(_wishes(rest, seed), "key")
+    linked, alone = F.col("group_size") > 1, F.col("group_size") == 1
+    is_large = linked & ((bytes_ > F.lit(capacity * LARGE)) | (F.col("group_size") > F.lit(max(1, int(total * HOT_SHARE))))) | alone & (F.col("size") > F.lit(capacity * LONG))
+    large = groups.where(is_large)  # at most shards * (1 / LARGE + 1 / LONG) + 1 / HOT_SHARE
+    columns = ["row", "doc_id", "place", "key", "size"]
+    one = materialise(sized.join(F.broadcast(large.select("key")), "key").select(*columns, start), "large")
+    others = sized.join(F.broadcast(large.select("key")), "key", "left_anti").select(*columns)
+    others = materialise(others.join(groups.where(~is_large).select("key", "group_size"), "key"), "others")
+    rest = materialise(others.where(linked).select(*columns, start), "linked")
+    wishes = _wishes(one.join(F.broadcast(large.where(linked).select("key")), "key"), seed)
+    runs = _runs(large.join(wishes, "key", "left").collect(), free)
+    hubs = groups.where(linked & ~is_large).select("key", bytes_.alias("bytes")).join(_wishes(rest, seed), "key")
     settled = materialise(rest.drop("shard").join(_settled(hubs, free, seed), "key"), "settled")
-    linked = materialise(_dealt(one, runs, seed).unionByName(settled.where("shard IS NOT NULL").select("row", "size", "shard")), "placed")
-    alone = sized.join(groups, "key", "left_anti").select("row", "size", F.xxhash64(F.lit(seed), "row").alias("node"))
-    alone = alone.unionByName(settled.where("shard IS NULL").select("row", "size", F.xxhash64("key").alias("node")))
-    filled = _fill(materialise(alone, "alone"), _loads(linked, shards), seed)
-    placed = materialise(linked.select("row", "shard").unionByName(filled.select("row", "shard")), "placed")
-    out = sized.drop("key").join(_slots(placed, total, shards, seed).select("row", "shard", "slot"), "row")
+    placed = materialise(_dealt(one, runs, seed).unionByName(settled.where("shard IS NOT NULL").select("row", "size", "shard")), "placed")
+    left = others.where(alone).select("row", "place", "size", F.col("place").alias("node"))
+    left = left.unionByName(settled.where("shard IS NULL").select("row", "place", "size", F.xxhash64("key").alias("node")))
+    filled = _fill(materialise(left, "alone"), _loads(placed, shards), seed)
+    found = materialise(placed.select("row", "shard").unionByName(filled.select("row", "shard")), "placed")
+    out = _slots(sized.drop("key").join(found, "row"), total, shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard"))
 
 
+def cut_edges(placed: DataFrame, group: str, shard: str = "shard") -> int:
+    """Links to a group's hub that leave its shard: rows of a group outside the shard that holds most of them."""
+    held = placed.groupBy(group, shard).agg(F.count("*").alias("n"))
+    per = held.groupBy(group).agg((F.sum("n") - F.max("n")).alias("cut"))
+    return per.agg(F.coalesce(F.sum("cut"), F.lit(0))).first()[0]
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law ("bytes"), shard (of 40), slot, grown_shard (null) for every document."""
     return sharded(table(spark, sf_dir, "documents"), 40)

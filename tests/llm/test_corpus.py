@@ -250,6 +250,41 @@ def test_shards(spark, sf_dir, texts):
     for r in found:
         shards[r.shard].append(r)
     assert set(shards) <= set(range(40)) and all(sorted(r.slot for r in x) == list(range(len(x))) for x in shards.values())
+    # even but for what long documents and groups, which lie whole, allow
+    sizes, mean = [sum(r.size for r in x) for x in shards.values()], sum(r.size for r in found) / 40
+    groups = collections.Counter()
+    for r in found:
+        groups[texts[r.doc_id]] += r.size
+    longest = max(groups.values())
+    over = [x for x in sizes if x > 1.02 * mean]
+    assert len(shards) == 40 and (longest > mean or max(sizes) <= 1.02 * mean) and all(any(r.size > 0.02 * mean for r in x) for s, x in shards.items() if sum(r.size for r in x) in over)
+
+
+@pytest.mark.parametrize("shards", [5, 40])
+def test_shards_with_long_documents(spark, shards):
+    """Sizes from ten to a third of a shard: long documents first leave all shards even to 2 %."""
+    r = random.Random(8)
+    texts = [f"{i} " + "x" * int(10 ** r.uniform(1, 4.2)) for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sharding.sharded(docs, shards)
+    sizes = [x.s for x in found.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    mean = sum(sizes) / shards
+    assert len(sizes) == shards and max(sizes) <= 1.02 * mean and min(sizes) >= 0.98 * mean
+
+
+def test_shards_do_not_depend_on_splits(spark):
+    texts = [f"text {i} " * (1 + i % 40) for i in range(700)] + [f"copy {i % 20}" * 30 for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b = ({x.doc_id: (x.shard, x.slot) for x in sharding.sharded(d, 7).collect()} for d in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).repartition(9)))
+    assert a == b
+
+
+def test_propagation_cuts_few_edges(spark):
+    """Against the seeded starts: of 40 groups of 30 rows, nearly all links are cut before and none after."""
+    docs = spark.createDataFrame([(i, f"group {i % 40} " * 10) for i in range(1200)] + [(5000 + i, f"alone {i} " * 3) for i in range(800)], "doc_id long, text string")
+    found = materialise(sharding.sharded(docs, 8).join(docs, "doc_id"), "found")
+    seeded = found.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    assert sharding.cut_edges(found, "text") == 0 and sharding.cut_edges(seeded, "text") > 800
 
 
 def test_shards_are_even_and_keep_groups(spark):
