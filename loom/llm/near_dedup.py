@@ -6,8 +6,9 @@
    with the center of one of its buckets (the best one by the registers' corrected estimate), which
    contracts large groups with one comparison a node.
 3. In buckets that still hold several components, the nodes outside the bucket's largest component
-   are compared with the others: by a join in small buckets, block by block in large ones.  No pair
-   inside a component is ever formed.
+   are compared with the others: by a join in small buckets, block by block in large ones, to which
+   the main component's nodes go once per block of the others.  Registers travel first, and full sets
+   only of nodes that have a likely partner.  No pair inside a component is ever formed.
 4. Pairs whose estimate is not far below the threshold are confirmed on full shingle sets; the
    confirmed links' connected components are the result.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loom.llm.common import materialise, released, small_batches, table, with_groups
+from loom.llm.common import HOT_SHARE, materialise, released, small_batches, table, with_groups
 from loom.llm.graph import components
 from loom.llm.sketch import ODD, HyperMinHash, U, WordHasher, mix, sets
 
@@ -33,6 +34,8 @@ BANDS, ROWS = 32, 5
 BROADCAST_IDS = 1_000_000
 #: Buckets of up to so many nodes are paired by a join, larger ones in groups of two blocks of so many nodes.
 SMALL, BLOCK_NODES = 24, 512
+#: A node with more pairs than this, and than HOT_SHARE of all, is met by its partners in parts.
+HOT_PAIRS = 1000
 
 
 def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
@@ -87,8 +90,8 @@ def _estimated(bands: int, rows: int, threshold: float):
     return released(run)
 
 
-def _links_within(main, component, side, node, n, registers, found, band, sketch, percent):
-    """Confirmed links of one group: nodes outside the main component against all of other components."""
+def _likely_within(main, component, side, node, n, registers, band, sketch, percent):
+    """(x, its likely partners, the likeliest first) of one group: nodes outside the main component against all of other components."""
     threshold = percent / 100
     for x in np.flatnonzero(~main):
         other = (component != component[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
@@ -105,33 +108,48 @@ def _links_within(main, component, side, node, n, registers, found, band, sketch
         estimate = (same.mean(axis=1) - chance) / (1 - chance)
         least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.minimum(sketch.m, np.minimum(n[y], n[x])))
         order = np.argsort(-estimate, kind="stable")
+        yield x, y[order[estimate[order] >= least[order]]]
+
+
+def _links_within(likely, component, node, found, percent):
+    """Confirmed links of one group, at most one of a node to a component."""
+    for x, partners in likely:
         done = set()
-        for k in order[estimate[order] >= least[order]]:
-            if component[y[k]] in done:
+        for y in partners:
+            if component[y] in done:
                 continue
-            s = found[y[k]]
+            s = found[y]
             at = np.searchsorted(found[x], s)
             both = int((found[x][np.minimum(at, len(found[x]) - 1)] == s).sum())
             if 100 * both >= percent * (len(s) + len(found[x]) - both):
-                done.add(component[y[k]])
-                yield min(node[x], node[y[k]]), max(node[x], node[y[k]])
+                done.add(component[y])
+                yield min(node[x], node[y]), max(node[x], node[y])
+
 
+def _meeting(bands: int, rows: int, percent: int, full: bool):
+    """Of groups (key, i, j): without full sets the nodes that have a likely partner there, with them the links."""
 
-def _meeting(bands: int, rows: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = HyperMinHash(bands, rows)
 
-        def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def met(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts)
             col = lambda c: t.column(c).to_numpy()
             registers = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, sketch.m)
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            main = t.column("main").to_numpy(zero_copy_only=False)
+            likely = _likely_within(main, col("component"), col("own") if i != j else None, col("node"), col("n"), registers, t.column("band")[0].as_py(), sketch, percent)
+            if not full:
+                hit = np.zeros(t.num_rows, bool)
+                for x, partners in likely:
+                    hit[partners] = True
+                    hit[x] |= len(partners) > 0
+                names = ["key", "i", "j", "node"]
+                return pa.RecordBatch.from_arrays([pa.array(col(c)[hit]) for c in names], names)
             sets_ = t.column("set").combine_chunks()
             ends, flat = sets_.offsets.to_numpy(), np.ascontiguousarray(sets_.values.to_numpy()).view(np.uint64)
             found = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            main = t.column("main").to_numpy(zero_copy_only=False)
-            n = np.diff(ends).astype(np.int64)
-            out = list(_links_within(main, col("component"), col("own") if i != j else None, col("node"), n, registers, found, t.column("band")[0].as_py(), sketch, percent))
+            out = list(_links_within(likely, col("component"), col("node"), found, percent))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
         held, last = [], None
@@ -142,12 +160,12 @@ def _meeting(bands: int, rows: int, percent: int):
             cuts = np.flatnonzero((np.diff(ids, axis=0) != 0).any(axis=1)) + 1
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 if last is not None and tuple(ids[a]) != last:
-                    yield links(held)
+                    yield met(held)
                     held = []
                 held.append(batch.slice(a, b - a))
                 last = tuple(ids[a])
         if held:
-            yield links(held)
+            yield met(held)
 
     return released(run)
 
@@ -159,29 +177,43 @@ class NearDuplicates:
         self.docs = small_batches(docs).select("doc_id", "text")
         self.shingle, self.percent, self.bands, self.rows = shingle, percent, bands, rows
 
+    def _met(self, pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+        """pairs, a table, with a's row for their a and b's for their b.
+
+        An a with many pairs is one key: its row is repeated for parts of HOT_PAIRS pairs, so that no
+        task holds them all.  There are at most 1 / HOT_SHARE such keys; only they are broadcast.
+        """
+        limit = max(HOT_PAIRS, int(pairs.count() * HOT_SHARE))
+        hot = F.broadcast(materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts")).where("parts > 1"), "hot"))
+        dealt = pairs.join(hot, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+        there = a.join(hot, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return dealt.join(there, ["a", "part"]).join(b, "b")
+
     def _candidates(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimated(self.bands, self.rows, self.percent / 100), "a long, b long, estimate double")
+        return self._met(materialise(pairs, "pairs"), side("a"), side("b")).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated(self.bands, self.rows, self.percent / 100), "a long, b long, estimate double")
 
     def _sets(self, ids: DataFrame) -> DataFrame:
-        """The full shingle sets of the documents in ids, a table."""
+        """The full shingle sets of the documents in ids, a table; of a doc_id with several texts, the least set."""
         few = ids.count() <= BROADCAST_IDS
         picked = self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        return materialise(picked.mapInArrow(_full_sets(self.shingle), "doc_id long, set array<long>").dropDuplicates(["doc_id"]), "sets")
+        return materialise(picked.mapInArrow(_full_sets(self.shingle), "doc_id long, set array<long>").groupBy("doc_id").agg(F.min("set").alias("set")), "sets")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs that hold on full sets; pairs is a table."""
         full = self._sets(materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids"))
         side = lambda x: full.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
         both = F.size(F.array_intersect("sa", "sb"))
-        found = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
+        found = self._met(pairs.select("a", "b"), side("a"), side("b")).select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
         return found.where(F.lit(100) * F.col("i") >= F.lit(self.percent) * (F.col("t") - F.col("i"))).select("a", "b")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept: see the query.
 
         Rows without a doc_id are linked with nothing: component_id is null and kept true.  Rows that
-        repeat a doc_id are one document; each returns its row.
+        repeat a doc_id are one document; each returns its row with its own text's n_shingles.  Where
+        such rows differ in their texts, the document has the links of the set that sorts first, and
+        the documents whose sets equal one of the others are linked to it, too.
         """
         known = self.docs.where(F.col("doc_id").isNotNull())
         sketched = materialise(known.mapInArrow(_sketches(self.shingle, self.bands, self.rows), "doc_id long, n long, fp binary, registers binary"), "sketches")
@@ -216,7 +248,7 @@ class NearDuplicates:
 
         held = materialise(members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "held")
         parts = held.groupBy("key", "component").agg(F.count("*").alias("size"))
-        mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("bucket_size")).where("parts > 1")
+        mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("bucket_size"), F.max("size").alias("main_size")).where("parts > 1")
         several = materialise(with_groups(held.drop("bucket_size"), materialise(mixed.drop("parts"), "mixed"), "key", total, "bucket_size"), "several")
         small = self._small_buckets(several.where(F.col("bucket_size") <= SMALL)).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         second = self._confirmed(materialise(self._candidates(small, nodes), "pairs"))
@@ -232,19 +264,35 @@ class NearDuplicates:
         return cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def _large_buckets(self, several: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Links across components in larger buckets, found where blocks of their full sets meet.
+        """Links across components in larger buckets, found where blocks of their nodes meet.
 
-        A bucket is dealt into blocks of about BLOCK_NODES nodes; every two blocks meet in a group of
-        their own, so that no group grows with the bucket, and only confirmed links leave it.
+        Registers meet first; the nodes that have a likely partner in a group meet there again with
+        their full sets, and only confirmed links leave it.
         """
-        blocks = F.ceil(F.col("bucket_size") / BLOCK_NODES).cast("int")
-        own = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
-        dealt = several.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "component", (F.col("component") == F.col("most")).alias("main"))
-        ids = materialise(several.select(F.col("node").alias("doc_id")).distinct(), "ids")
-        full = self._sets(ids).join(nodes.select(F.col("node").alias("doc_id"), "registers"), "doc_id").withColumnRenamed("doc_id", "node")
-        rows = dealt.join(full, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-        return rows.mapInArrow(_meeting(self.bands, self.rows, self.percent), "a long, b long").distinct()
+        dealt = materialise(_dealt(several), "dealt")
+        grouped = lambda rows: rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        sketched = dealt.join(nodes.select("node", "n", "registers"), "node")
+        likely = grouped(sketched).mapInArrow(_meeting(self.bands, self.rows, self.percent, False), "key long, i int, j int, node long")
+        likely = materialise(likely, "likely")
+        full = self._sets(materialise(likely.select(F.col("node").alias("doc_id")).distinct(), "ids")).withColumnRenamed("doc_id", "node")
+        rows = sketched.join(likely, ["key", "i", "j", "node"]).join(full, "node")
+        return grouped(rows).mapInArrow(_meeting(self.bands, self.rows, self.percent, True), "a long, b long").distinct()
+
+
+def _dealt(several: DataFrame) -> DataFrame:
+    """Rows of buckets dealt to the groups (key, i, j) where two blocks of about BLOCK_NODES nodes meet.
+
+    Nodes outside the main component have the first blocks, and meet in pairs of blocks all others; the
+    main component's nodes have the further ones, and meet the first ones only.  A bucket with one node
+    outside has as many groups as main blocks, and each main node is in one.
+    """
+    main = F.col("component") == F.col("most")
+    blocks = lambda n: F.ceil(n / BLOCK_NODES).cast("int")
+    first, all_ = blocks(F.col("bucket_size") - F.col("main_size")), blocks(F.col("bucket_size") - F.col("main_size")) + blocks(F.col("main_size"))
+    own = F.when(main, first + F.pmod(F.xxhash64("node", F.lit(3)), blocks(F.col("main_size")))).otherwise(F.pmod(F.xxhash64("node", F.lit(3)), first)).cast("int")
+    dealt = several.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, first).otherwise(all_) - 1)))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "component", main.alias("main"))
+
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id linked, directly or not), kept; see the module.
@@ -267,6 +315,7 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document, by three-word shingles and a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 

@@ -67,6 +67,49 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(docs, 3, 85)
 
 
+def test_one_outlier_ships_main_nodes_once(spark):
+    """5,000 nodes of a component and one outside: a row for each main node, and the outlier's for each main block."""
+    rows = [(1, 0, k, 7 if k < 5000 else 9, 7, 5001, 5000) for k in range(5001)]
+    several = spark.createDataFrame(rows, "key long, band int, node long, component long, most long, bucket_size long, main_size long")
+    dealt = near_dedup._dealt(several).collect()
+    main = [r for r in dealt if r.main]
+    assert len(main) == 5000 and len(dealt) - len(main) <= -(-5000 // near_dedup.BLOCK_NODES) + 1
+    meet = {(r.i, r.j) for r in main}
+    assert meet == {(r.i, r.j) for r in dealt if not r.main} - {(0, 0)}
+
+
+def test_blocks_meet_once(spark, monkeypatch):
+    """Every pair that has a node outside the main component meets in exactly one group."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 4)
+    rows = [(1, 0, k, 7 if k < 30 else 100 + k % 5, 7, 45, 30) for k in range(45)]
+    several = spark.createDataFrame(rows, "key long, band int, node long, component long, most long, bucket_size long, main_size long")
+    groups, met = {}, {}
+    for r in near_dedup._dealt(several).collect():
+        groups.setdefault((r.i, r.j), []).append(r)
+    for (i, j), g in groups.items():
+        for a in g:
+            for b in g:
+                if a.node < b.node and not (a.main and b.main) and (i == j or a.own != b.own):
+                    met[a.node, b.node] = met.get((a.node, b.node), 0) + 1
+    assert met == {(a, b): 1 for a in range(45) for b in range(max(a + 1, 30), 45)}
+
+
+def test_hot_centers_are_met_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_PAIRS", 5)
+    monkeypatch.setattr(near_dedup, "HOT_SHARE", 0.0)
+    docs = family(60, 4)
+    found = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(docs, 3, 85)
+
+
+def test_a_doc_id_with_two_texts(spark):
+    docs = [(1, prose(1, 50)), (1, prose(2, 50)), (2, prose(1, 50)), (3, prose(2, 50)), (4, prose(3, 50))]
+    for part in (1, 3):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(part)
+        found = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df, 3, 85).collect())
+        assert found == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_documents(spark, sf_dir, texts):
     found = near_dedup.op4_near_dedup(spark, sf_dir).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(list(texts.items()), 3, 85)
