@@ -3,7 +3,8 @@
 The model escapes spaces as a marker and no piece has a marker after another character, so merges
 never cross from a character to a following marker: a text is cut there into marked words, each
 distinct one is segmented once, and ids are joined back by position.  The same table holds each
-chunk's decoded text, for decoding is by piece.  A worker's table is bounded; full, it starts anew.
+chunk's decoded text, for decoding is by piece.  A worker keeps its table from task to task; it is
+bounded, and when full its older half goes.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +58,12 @@ class ChunkTable:
 
     def learn(self, texts: Sequence[list[str]], want: Sequence[str]) -> None:
         """Segments the chunks that the table lacks, each once."""
+        needed = {c for chunks in texts for c in chunks}
         if len(self.ids) > ENTRIES:
-            for x in (self.ids, self.decimal, self.decoded):
-                x.clear()
-        new = list({c for chunks in texts for c in chunks} - self.ids.keys())
+            for c in list(islice(self.ids, len(self.ids) // 2)):
+                for x in (self.ids, self.decimal, self.decoded):
+                    x.pop(c, None)
+        new = [c for c in needed if c not in self.ids or ("ids_text" in want and c not in self.decimal) or ("decoded" in want and c not in self.decoded)]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             found = self.sp.encode([c[1:].replace(MARK, " ") for c in part])  # the library puts the first marker back
@@ -100,6 +105,12 @@ class ChunkTable:
         return out
 
 
+@lru_cache(maxsize=1)
+def _kept(model: str) -> ChunkTable:
+    """The worker's table."""
+    return ChunkTable(model)
+
+
 def _lists(ids: list[bytes]) -> pa.ListArray:
     ends = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32())
     return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32)))
@@ -110,7 +121,7 @@ _KINDS = {"ids": ("array<int>", None), "ids_text": ("string", pa.string()), "n_t
 
 def _run(model: str | None, want: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunked = ChunkTable(model or default_model())
+        chunked = _kept(model or default_model())
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

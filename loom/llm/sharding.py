@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from loom.llm.common import HOT_SHARE, materialise, table
+from loom.llm.common import HOT_SHARE, discard, materialise, table
 
 #: Bins of the seeded order within a shard's requests, and of the fill line.
 BINS = 4096
@@ -123,6 +123,7 @@ def _settled(hubs: DataFrame, free: list[float], seed: int) -> DataFrame:
             return reduce(DataFrame.unionByName, [*done, asked.select("key", F.lit(None).cast("int").alias("shard"))])
         limits = F.broadcast(spark.createDataFrame(admit, "to int, upto int"))
         answered = materialise(asked.join(limits, "to", "left").withColumn("ok", F.coalesce(bin_ <= F.col("upto"), F.lit(False))), "answered")
+        discard(asked)
         done.append(answered.where("ok").select("key", F.col("to").alias("shard")))
         waiting = answered.where("NOT ok").select("key", "bytes", "wishes")
 

@@ -78,6 +78,38 @@ def test_threshold_covers_all_labelled_texts(spark, monkeypatch):
     assert model.found[0] <= min(scores) + 1e-9 and model.threshold <= min(scores) + 1e-9
 
 
+def test_ratio_and_verdicts_against_plain_counts(spark, sf_dir, texts):
+    """Every document's llr and verdict, from counts of hashed words and pairs made one by one."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = {}
+    for r in labels:
+        if r.doc_id is not None and r.quality is not None and (r.quality == 0 or (r.toxic or 0) == 0):
+            good[r.doc_id] = min(good.get(r.doc_id, 1), 1 if r.quality == 1 else 0)
+    hashed = docs.select("doc_id", F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.xxhash64(w)).alias("w"))
+    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1)))
+    grams = {r.doc_id: [h % quality_rules.BUCKETS for h in (*r.w, *r.p)] for r in hashed.select("doc_id", "w", pairs.alias("p")).collect()}
+    n_words = {i: len(WORD.findall(t or "")) for i, t in texts.items()}
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(quality_rules.FOLDS)).alias("f")).collect()}
+    raw = collections.Counter(b for g in grams.values() for b in g)
+
+    def ratios(without):
+        trusted = collections.Counter(b for i, g in grams.items() if good.get(i) == 1 and fold[i] != without for b in g)
+        t, r = sum(trusted.values()) + quality_rules.BUCKETS, sum(raw.values()) + quality_rules.BUCKETS
+        return lambda g: sum(math.log((trusted[b] + 1) / t) - math.log((raw[b] + 1) / r) for b in g) / len(g) if g else None
+
+    score, folded = ratios(None), [ratios(k) for k in range(quality_rules.FOLDS)]
+    trusted = sorted(folded[fold[i]](grams[i]) for i in good if good[i] and n_words.get(i, 0) >= 50)
+    bad = sorted(score(grams[i]) for i in good if not good[i] and n_words.get(i, 0) >= 50)
+    tail, middle = trusted[max(0, math.ceil(0.001 * len(trusted)) - 1)], bad[max(0, math.ceil(0.5 * len(bad)) - 1)]
+    threshold = min(tail, (tail + middle) / 2)
+    for r in quality_rules.op9_quality_rules(spark, sf_dir).collect():
+        llr = score(grams[r.doc_id])
+        assert r.llr == (None if llr is None else pytest.approx(llr, abs=1e-9))
+        if llr is None or abs(llr - threshold) > 1e-9:
+            assert r.kept == (not r.base_failed and (llr is None or llr >= threshold))
+
+
 def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 
