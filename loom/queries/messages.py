@@ -11,26 +11,16 @@ from loom.queries import simple
 
 C = F.col
 TEXT = lambda m: F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")
-DOCS = "SELECT doc_id, lang, source, substring(regexp_replace(text, '[^A-Za-z ]', ''), 1, 40) AS t, substring(regexp_replace(text, '[^A-Za-z ]', ''), 41, 20) AS u FROM {documents}"
+#: Whole texts, in halves.
+DOCS = "SELECT doc_id, lang, source, substring(text, 1, CAST(floor(length(text) / 2) AS INT)) AS t, substring(text, CAST(floor(length(text) / 2) AS INT) + 1) AS u FROM {documents}"
 
 
 def over(name, operator, sql=None, text=DOCS):
     simple(name, text, operator, sql)
 
 
-_regex = "regexp_replace(text, '[^A-Za-z ]', '')"
-DUCK = views.duck(DOCS).replace(_regex, "regexp_replace(text, '[^A-Za-z ]', '', 'g')")
-
-
-#: Whole texts, in halves.
-WHOLE = "SELECT doc_id, lang, source, substring(text, 1, CAST(floor(length(text) / 2) AS INT)) AS t, substring(text, CAST(floor(length(text) / 2) AS INT) + 1) AS u FROM {documents}"
-
-
-def docs(name, operator, sql, whole_sql=None):
-    from loom.queries import query
-
-    over(f"whole_{name}", operator, whole_sql or sql, WHOLE)
-    query(name, f"WITH v AS ({DUCK}) {sql}" if sql else None)(lambda spark, sf_dir: operator(views.view(spark, sf_dir, DOCS)))
+def docs(name, operator, sql):
+    over(name, operator, sql)
 
 
 docs("safe_renames__PRJ01_PRJ02_PRJ03", lambda v: op.pruned(op.renamed_twice(v.select("doc_id", C("t").alias("Query"), C("u").alias("answer"), C("lang").alias("output"), C("source").alias("channel")), {"query": "label"}, {"answer": "response", "output": "response"}), ("label", "channel", "answer", "output")),
@@ -42,7 +32,7 @@ docs("response_messages__PRJ07_PRJ11", lambda v: op.automatic(v.select("doc_id",
      " SELECT doc_id, concat_ws('|', CASE WHEN doc_id % 3 = 0 THEN 'system:' || source END, 'user:' || lang, 'assistant:x', 'user:' || t, CASE WHEN doc_id % 4 > 0 THEN 'assistant:' || u END) AS m FROM v")
 docs("alpaca_messages__PRJ08_PRJ11", lambda v: op.automatic(v.select("doc_id", F.when(C("doc_id") % 2 == 0, C("t")).otherwise("").alias("instruction"), F.when(C("doc_id") % 3 > 0, C("lang")).alias("input"), C("u").alias("output"))).select("doc_id", TEXT(C("messages")).alias("m")),
      " SELECT doc_id, concat_ws('|', 'user:' || CASE WHEN doc_id % 2 = 0 AND doc_id % 3 > 0 AND t <> '' THEN t || chr(10) || lang WHEN doc_id % 2 = 0 AND t <> '' THEN t WHEN doc_id % 3 > 0 THEN lang END, 'assistant:' || u) AS m FROM v")
-CONV = "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS role, substring(text, 1, 20) AS text FROM {conversations}"
+CONV = "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS role, text FROM {conversations}"
 GROUP = lambda v: v.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.struct(s["role"].alias("role"), s["text"].alias("content"))).alias("messages"))
 STD = "CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE role END"
 over("standard_messages__PRJ09_PRJ11", lambda v: GROUP(v).select("conv_id", TEXT(op.standard_roles(C("messages"), F.lit("sys"))).alias("m")),
@@ -57,8 +47,7 @@ docs("placeholder_parts__PRJ15", lambda v: v.select("doc_id", F.array_join(F.tra
 over("leading_system__PRJ16", lambda v: GROUP(v).select("conv_id", op.without_system(op.standard_roles(C("messages"))).alias("s")).select("conv_id", F.coalesce("s.system", F.lit("-")).alias("system"), F.size("s.messages").alias("n")),
     ", g AS (SELECT conv_id, first(role ORDER BY turn) AS f, first(text ORDER BY turn) AS t, count(*) AS n FROM v GROUP BY 1) SELECT conv_id, CASE WHEN f = 'system' THEN t ELSE '-' END AS system, CAST(n - CASE WHEN f = 'system' THEN 1 ELSE 0 END AS INTEGER) AS n FROM g", CONV)
 over("boxes__PRJ17", lambda v: v.select("vec_id", F.array_join(op.boxes(F.array(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))))[0], ",").isNotNull().alias("ok"), F.round(op.boxes(F.array(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))))[0][2], 6).alias("x1")), " SELECT vec_id, true AS ok, round(CAST(greatest(embedding[1], embedding[3]) AS DOUBLE), 6) AS x1 FROM v", "SELECT vec_id, embedding FROM {embeddings}")
-docs("training_rows__PRJ18_PRJ19_PRJ21", lambda v: v.select(*op.training_row("docs", C("t"), C("lang"), "qa", "train", C("doc_id"))).select("data_source", op.nested(C("extra_info"), ["index"]).alias("index"), op.nested(C("reward_model"), ["ground_truth"]).alias("truth"), F.to_json("prompt").alias("prompt")), """ SELECT 'docs' AS data_source, doc_id AS index, lang AS truth, '[{"role":"user","content":"' || t || '"}]' AS prompt FROM v""",
-     """ SELECT 'docs' AS data_source, doc_id AS index, lang AS truth, '[{"role":"user","content":' || CAST(to_json(t) AS VARCHAR) || '}]' AS prompt FROM v""")
+docs("training_rows__PRJ18_PRJ19_PRJ21", lambda v: v.select(*op.training_row("docs", C("t"), C("lang"), "qa", "train", C("doc_id"))).select("data_source", op.nested(C("extra_info"), ["index"]).alias("index"), op.nested(C("reward_model"), ["ground_truth"]).alias("truth"), F.to_json("prompt").alias("prompt")), """ SELECT 'docs' AS data_source, doc_id AS index, lang AS truth, '[{"role":"user","content":' || CAST(to_json(t) AS VARCHAR) || '}]' AS prompt FROM v""")
 docs("unpaired_preferences__PRJ20", lambda v: op.unpaired(v.select(C("doc_id").alias("prompt"), C("t").alias("chosen"), C("lang").alias("rejected")), "prompt", "chosen", "rejected"), " SELECT doc_id AS prompt, t AS response FROM v UNION ALL SELECT doc_id, lang FROM v")
 over("valid_messages__FLT05", lambda v: GROUP(v.withColumn("role", F.when(C("conv_id") % 7 == 0, "narrator").otherwise(C("role")))).select("conv_id", op.valid(op.standard_roles(C("messages"))).alias("ok")), " SELECT DISTINCT conv_id, conv_id % 7 <> 0 AS ok FROM v", CONV)
 MSG = lambda *pairs: F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in pairs])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loom import views
 from loom.functions import rewards, tags
-from loom.queries import query, simple
+from loom.queries import simple
 
 R, G = (lambda: F.col("response")), (lambda: F.col("gold"))
 ANS = r"trim(regexp_extract(response, '(?s)<answer>(.*?)</answer>', 1), E' \t\n\r')"
@@ -19,20 +19,13 @@ def over(name, operator, sql):
     simple(name, views.RESPONSES, operator, sql)
 
 
-def cut(name, operator, sql):
-    """An operator that cuts responses itself has no second query over whole texts here."""
-    query(name, f"WITH RECURSIVE v AS ({views.duck(views.RESPONSES)}) {sql}")(lambda spark, sf_dir: operator(views.view(spark, sf_dir, views.RESPONSES)))
-
-
 over("answers__STR01", lambda v: v.select("doc_id", tags.answer(R()).alias("first"), tags.answer(R(), 2).alias("second"), tags.answer(R(), -1).alias("last")),
     r""", a AS (SELECT doc_id, list_transform(regexp_extract_all(response, '(?s)<answer>(.*?)</answer>', 1), lambda x: trim(x, E' \t\n\r')) AS a FROM v) SELECT doc_id, coalesce(a[1], '') AS first, coalesce(a[2], '') AS second, coalesce(a[-1], '') AS last FROM a""")
 over("segments__STR02_FLT11", lambda v: v.select("doc_id", F.posexplode(tags.segments(R())).alias("k", "s")).select("doc_id", F.col("k").cast("long").alias("k"), F.col("s.start").alias("start"), F.col("s.end").alias("stop")),
     f""", a AS (SELECT doc_id, regexp_extract_all(response, '{SEG}', 1) AS s, regexp_extract_all(response, '{SEG}', 2) AS e FROM v) SELECT doc_id, k, CAST(s[k + 1] AS DOUBLE) AS start, CAST(e[k + 1] AS DOUBLE) AS stop FROM (SELECT *, unnest(range(len(s))) AS k FROM a)""")
 over("invalid_segments__FLT11", lambda v: v.select("doc_id", tags.segment_count_valid(R(), F.lit(3.5)).alias("invalid")),
     f""", a AS (SELECT doc_id, list_zip(regexp_extract_all(response, '{SEG}', 1), regexp_extract_all(response, '{SEG}', 2)) AS z FROM v) SELECT doc_id, CAST(len(list_filter(z, lambda p: CAST(p[2] AS DOUBLE) < CAST(p[1] AS DOUBLE) OR CAST(p[2] AS DOUBLE) > 3.5)) AS INTEGER) AS invalid FROM a""")
-cut("normalised_answers__STR03_STR04", lambda v: v.select("doc_id", tags.normalised_answer(tags.answer(R())).alias("norm"), tags.qa_normalised(F.regexp_replace(R().substr(1, 80), "[^ -~]", "")).alias("qa")),
-    rf" SELECT doc_id, {NORM.format(ANS)} AS norm, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(substring(response, 1, 80), '[^ -~]', '', 'g')), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS qa FROM v")
-simple("whole_normalised_answers__STR03_STR04", views.whole(views.RESPONSES), lambda v: v.select("doc_id", tags.normalised_answer(tags.answer(R())).alias("norm"), tags.qa_normalised(F.regexp_replace(R(), "[^ -~]", "")).alias("qa")),
+over("normalised_answers__STR03_STR04", lambda v: v.select("doc_id", tags.normalised_answer(tags.answer(R())).alias("norm"), tags.qa_normalised(F.regexp_replace(R(), "[^ -~]", "")).alias("qa")),
     rf" SELECT doc_id, {NORM.format(ANS)} AS norm, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(response, '[^ -~]', '', 'g')), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS qa FROM v")
 over("structure__FLT17", lambda v: v.select("doc_id", tags.has_think(R()).alias("think"), tags.has_answer(R()).alias("answer"), tags.opens_think(R()).alias("opens"), tags.structured(R()).alias("structured"), (tags.n_segments(R()) > 0).alias("seg")),
     rf""" SELECT doc_id, regexp_matches(response, '(?s)<think>(.*?)</think>') AS think, regexp_matches(response, '(?s)<answer>(.*?)</answer>') AS answer, contains(response, '<think>') AS opens,
@@ -64,7 +57,7 @@ over("choice_matches__RWD16_RWD17_FLT18", lambda v: v.select("doc_id", rewards.t
     rf""", a AS (SELECT doc_id, response, gold, {ANS} AS p, ['0.7', 'No', '2 seconds', 'maybe not'] AS ch FROM v), w AS (SELECT *, list_distinct(regexp_extract_all(lower(p), '\b\w+\b')) AS pw, list_distinct(regexp_extract_all(lower(gold), '\b\w+\b')) AS gw, list_distinct(flatten(list_transform(list_filter(ch, lambda c: c <> gold), lambda c: regexp_extract_all(lower(c), '\b\w+\b')))) AS ww FROM a)
     SELECT doc_id, len(pw) > 0 AND list_has_all(pw, gw) AND NOT list_has_any(list_filter(ww, lambda x: NOT list_contains(gw, x)), pw) AS tokens, coalesce(list_filter(ch, lambda c: contains(response, c))[1], ch[1]) AS fallback, list_contains(ch, p) AS exact,
     list_contains(list_transform(ch, lambda c: lower(c)), lower(p)) AS lower, list_contains(list_transform(ch, lambda c: rtrim(lower(c), '.')), rtrim(lower(p), '.')) AS loose FROM w""")
-NUM = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(substring(text, 1, 30), ' #### 1,2', CAST(doc_id % 10 AS STRING), '4 .') WHEN doc_id % 3 = 1 THEN concat('x ', CAST(doc_id % 7 AS STRING), '.5 then .') ELSE 'none' END AS t, CAST(doc_id % 10 * 10 + 1204 AS STRING) AS gold FROM {documents}"
+NUM = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(text, ' #### 1,2', CAST(doc_id % 10 AS STRING), '4 .') WHEN doc_id % 3 = 1 THEN concat('x ', CAST(doc_id % 7 AS STRING), '.5 then .') ELSE 'none' END AS t, CAST(doc_id % 10 * 10 + 1204 AS STRING) AS gold FROM {documents}"
 simple("final_numbers__RWD08_DSP34", NUM, lambda v: v.select("doc_id", rewards.final_number(F.col("t")).alias("strict"), rewards.final_number(F.col("t"), strict=False).alias("flexible"), rewards.matches(rewards.final_number(F.col("t")), F.col("gold")).alias("score")),
     r""", a AS (SELECT doc_id, gold, replace(nullif(regexp_extract(t, '#### (-?[0-9.,]+)', 1), ''), ',', '') AS strict, regexp_extract_all(t, '-?[0-9.,]+') AS n FROM v) SELECT doc_id, strict, coalesce(list_filter(n, lambda x: x <> '.')[-1], n[-1]) AS flexible, CASE WHEN strict = gold THEN 1.0::DOUBLE ELSE 0.0 END AS score FROM a""")
 over("length_rewards__MTH05_RWD13", lambda v: v.select("doc_id", F.round(rewards.cosine_length(F.length(R()), rewards.correct(R(), G())), 8).alias("cosine"), F.round(rewards.soft_overlong(F.length(R()), 150, 50), 8).alias("overlong"), F.round(rewards.repetition_penalty(F.concat_ws(" ", F.col("lang"), F.col("lang"), F.col("lang"), F.col("lang"), R())), 8).alias("repetition")),

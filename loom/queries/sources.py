@@ -11,7 +11,6 @@ from loom.sources import catalog, files
 from loom.streaming import flows
 
 C = F.col
-DOCS = "SELECT doc_id, lang, source, substring(text, 1, 30) AS t FROM {documents}"
 
 
 def _jsonl(spark, sf_dir):

@@ -14,11 +14,11 @@ EVENTS = """SELECT clip_id, event_id, start_s, end_s, label, max(end_s) OVER (PA
     CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) AS start_s,
     CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) + value * 60 AS end_s, event_type AS label FROM {events}) x"""
 
-#: Tagged responses with every shape the scorers tell apart, by doc_id.
+#: Tagged responses with every shape the scorers tell apart, by doc_id; the text is whole, in halves.
 RESPONSES = """SELECT doc_id, lang, source, gold, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE -(doc_id % 13) / 10.0E0 END AS logprob,
-  concat(CASE WHEN doc_id % 11 = 0 THEN '' ELSE '<think>' END, substring(text, 1, 60),
+  concat(CASE WHEN doc_id % 11 = 0 THEN '' ELSE '<think>' END, substring(text, 1, CAST(floor(length(text) / 2) AS INT)),
     CASE WHEN doc_id % 3 = 0 THEN ' <seg>1.5, 3</seg> then' WHEN doc_id % 3 = 1 THEN ' <seg> 2 ,4.25 </seg>  However <seg>1,2.5</seg><seg>9</seg>' ELSE '' END,
-    substring(text, 61, 40), CASE WHEN doc_id % 5 = 0 THEN '' ELSE '</think>' END,
+    substring(text, CAST(floor(length(text) / 2) AS INT) + 1), CASE WHEN doc_id % 5 = 0 THEN '' ELSE '</think>' END,
     CASE WHEN doc_id % 6 = 0 THEN '' ELSE concat('<answer> ', pred, '</answer>') END,
     CASE WHEN doc_id % 8 = 0 THEN concat('<answer>', gold, '</answer>') ELSE '' END) AS response
   FROM (SELECT d.doc_id, lang, source, text, CASE WHEN quality = 1 THEN '2 seconds' WHEN quality = 0 THEN 'No' ELSE '0.7' END AS gold,
@@ -50,15 +50,6 @@ def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text, **{t: read(spark, sf_dir, t) for t in used})
 
 
-def whole(text: str) -> str:
-    """The view without its cuts of texts and without a filter on lang; where it shows two parts of a text, these are halves."""
-    half = "CAST(floor(length(text) / 2) AS INT)"
-    cuts = (r"substring\(text, 1, 60\)", f"substring(text, 1, {half})"), (r"substring\(text, 61, 40\)", f"substring(text, {half} + 1)")
-    for cut, instead in cuts if "substring(text, 61" in text else ((r"substring\(text, 1, \d+\)", "text"), (r" WHERE lang = 'en'$", "")):
-        text = re.sub(cut, instead, text)
-    return text
-
-
 def duck(text: str) -> str:
     """The view's text for DuckDB."""
     return re.sub(r"\{(\w+)\}", r"\1", text)
