@@ -191,3 +191,22 @@ def rounds_needed(df: DataFrame, length: str, most: int, multiple: int = 1) -> D
     """How many micro-batches a token budget asks for, no more than rows, rounded up to a multiple."""
     n = F.least(F.count("*"), F.ceil(F.sum(length) / most))
     return df.agg((F.ceil(n / multiple) * multiple).cast("long").alias("micro_batches"))
+
+
+def places_of(tokens: Column, part: Column) -> Column:
+    """0-based places at which a token list has the list ``part``; overlapping ones count, an empty part has none."""
+    starts = F.sequence(F.lit(0), F.size(tokens) - F.size(part))
+    found = F.filter(starts, lambda i: F.slice(tokens, i + 1, F.size(part)) == part)
+    return F.when((F.size(part) > 0) & (F.size(tokens) >= F.size(part)), found).otherwise(F.array().cast("array<int>"))
+
+
+def first_filled(nested: Column, depth: int = 1) -> Column:
+    """The first value that is neither null nor empty of lists nested ``depth`` times within a list; null if there is none."""
+    for _ in range(depth):
+        nested = F.flatten(F.filter(nested, lambda x: x.isNotNull()))
+    return F.get(F.filter(nested, lambda x: x.isNotNull() & (x.cast("string") != "")), F.lit(0))
+
+
+def least_by(df: DataFrame, value: str, key: str, n: int = 20) -> DataFrame:
+    """The n rows with the least values, null ones left out; ties by key. Each task keeps n."""
+    return df.where(F.col(value).isNotNull()).orderBy(value, key).limit(n)

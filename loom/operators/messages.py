@@ -190,3 +190,14 @@ def speakers(text: Column, marks: str) -> Column:
     parts = F.filter(parts, lambda x: x != "")
     n = F.floor(F.size(parts) / 2).cast("int") * 2
     return F.transform(F.slice(parts, 1, n), lambda x, i: message(F.when(i % 2 == 0, "user").otherwise("assistant"), x))
+
+
+def json_safe(values: Column, masked: bool = True) -> Column:
+    """JSON of a map of strings; values whose key speaks of a token are null if masked."""
+    shown = F.transform_values(values, lambda k, v: F.when(k.contains("_token"), F.lit(None)).otherwise(v)) if masked else values
+    return F.to_json(shown, {"ignoreNullFields": "false"})
+
+
+def json_safe_bytes(x: Column) -> Column:
+    """Binary values have no JSON: a mark instead."""
+    return F.when(x.isNotNull(), F.lit("<<<bytes>>>"))

@@ -222,3 +222,24 @@ def dated(df: DataFrame, column: str, low: str, high: str) -> DataFrame:
     return df.where((C(column) >= low) & (C(column) < high))
 
 
+# --- fixed values: the prompts of the knights and knaves set
+KNIGHTS_PROMPTS = {
+    "base": """The user asks a question, and the Assistant solves it.The assistant first thinks about the reasoning process in the mind and then provides the user with the final answer. The reasoning process and answer are enclosed within <think> </think> and <answer> </answer> tags, respectively, i.e., <think> reasoning process here </think><answer> answer here </answer>. Now the user asks you to solve a logical reasoning problem. After thinking, when you finally reach a conclusion, clearly state the identity of each character within <answer> </answer> tags. List the identity of each person one by one, for example, <answer> (1) Zoey is a knight\n(2) Oliver is a knight\n(3)... </answer>.\n\nUser:{quiz}\nAssistant: <think>""",
+    "qwen-instruct": """<|im_start|>system\nYou are a helpful assistant. The assistant first thinks about the reasoning process in the mind and then provides the user with the answer. The reasoning process and answer are enclosed within <think> </think> and<answer> </answer> tags, respectively, i.e., <think> reasoning process here </think><answer> answer here </answer>.  Now the user asks you to solve a logical reasoning problem. After thinking, when you finally reach a conclusion, clearly state the identity of each character within <answer> </answer> tags. i.e., <answer> (1) Zoey is a knight\n(2) ... </answer>.\n<|im_end|>\n<|im_start|>user\n{quiz}\n<|im_end|>\n<|im_start|>assistant\n<think>""",
+}
+# ---
+
+
+def knights_prompt(quiz: Column, template: str) -> Column:
+    """The quiz in the prompt of a template."""
+    before, after = KNIGHTS_PROMPTS[template].split("{quiz}")
+    return F.concat(F.lit(before), quiz, F.lit(after))
+
+
+def query_and_response(df: DataFrame) -> DataFrame:
+    return df.select("query", "response")
+
+
+def with_files(df: DataFrame, path: str, files: DataFrame) -> DataFrame:
+    """Rows whose path is among the files' names (column path); rows without one go. A semi-join with a listing, no look at a disk per row."""
+    return df.where(F.coalesce(F.col(path), F.lit("")) != "").join(files.select(F.col("path").alias("_path")), F.col(path) == F.col("_path"), "left_semi")

@@ -223,3 +223,16 @@ def best_and_worst(df: DataFrame, uid: str, key: str, prm: str, orm: str, n_best
 
 def uct(value: Column, visits: Column, parent_visits: Column, c: float = 1.4) -> Column:
     return F.when(visits == 0, F.lit(float("inf"))).otherwise(value / visits + c * F.sqrt(F.log(parent_visits) / visits))
+
+
+def at_last_token(tokens: DataFrame, scores: DataFrame, score: str = "score", out: str = "reward") -> DataFrame:
+    """Adds out to tokens (seq, pos, mask): the sequence's score at its last valid token, else 0.
+
+    The mask covers a head of the sequence; where it covers nothing, the score stands at the last place.
+    Sequences without a score have 0 everywhere.
+    """
+    of = W.Window.partitionBy("seq")
+    valid = F.sum("mask").over(of)
+    last = F.when(valid > 0, valid - 1).otherwise(F.max("pos").over(of))
+    placed = tokens.withColumn("_last", last).join(scores.select("seq", F.col(score).alias("_score")), "seq", "left")
+    return placed.withColumn(out, F.when(F.col("pos") == F.col("_last"), F.coalesce(F.col("_score").cast("double"), F.lit(0.0))).otherwise(0.0)).drop("_last", "_score")

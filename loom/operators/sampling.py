@@ -128,3 +128,11 @@ def filled(batches: list[DataFrame], keep, want: int, key: str) -> DataFrame:
         if got.count() >= want:
             return got.orderBy(key).limit(want)
     return batches[0]
+
+
+def shuffled_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """Adds split ("train" for the first share of a seeded order, else "test") and index, the place within the split."""
+    cut = int(df.count() * share)
+    placed = batch.shuffled(df, key, seed)
+    first = F.col("row_idx") < cut
+    return placed.withColumn("split", F.when(first, "train").otherwise("test")).withColumn("index", F.when(first, F.col("row_idx")).otherwise(F.col("row_idx") - cut)).drop("row_idx")

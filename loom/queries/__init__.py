@@ -31,5 +31,5 @@ def simple(name: str, text: str, operator: Callable, sql: str | None = None) ->
     query(name, f"WITH RECURSIVE v AS ({views.duck(text)}) {sql}" if sql else None)(lambda spark, sf_dir: operator(views.view(spark, sf_dir, text)))
 
 
-for _module in ("intervals", "rewards", "text", "rl", "batch", "messages", "reports", "sources"):
+for _module in ("intervals", "rewards", "text", "rl", "batch", "messages", "reports", "sources", "narration"):
     import_module(f"loom.queries.{_module}")

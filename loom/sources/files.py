@@ -106,3 +106,10 @@ def merged_lists(spark: SparkSession, paths: list[str], schema: str) -> DataFram
 
 def record(columns: dict[str, Column]) -> Column:
     return F.struct(*[c.alias(k) for k, c in columns.items()])
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """path (relative to the folder) and length of every file below it; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("_full"), "length")
+    inside = path.rstrip("/").partition(":")[2].lstrip("/") or path.strip("/")
+    return files.select(F.regexp_replace(F.substring_index("_full", inside + "/", -1), "^/+", "").alias("path"), "length")

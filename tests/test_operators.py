@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loom.operators import batch, intervals, messages, reports, rl, routing, sampling, sequential
+from loom.operators import batch, intervals, messages, narration, reports, rl, routing, sampling, sequential
+from loom.plans import hooks
 from loom.sources import catalog
 
 
@@ -158,3 +159,31 @@ def test_paths_of_any_length(spark):
     assert {(r.node_id, r.mean_reward, r.min_reward) for r in found} == {(99, 49.5, 0.0), (200, 7.0, 7.0)}
     with pytest.raises(ValueError):
         routing.path_rewards(spark.createDataFrame([(1, 2, 0.0, True, True), (2, 1, 0.0, False, True)], schema))
+
+
+def test_diversified_falls_back_to_padding(spark):
+    df = spark.createDataFrame([("k",)], "key string")
+    text = narration.diversified(F.col("key"), [[F.lit("one two"), F.lit("one two three")]], F.lit("plain words"), ["and more.", "so it is."], 9, 12)
+    found = df.select(text.alias("t")).first().t
+    assert found.startswith("plain words ") and 9 <= len(found.split()) <= 11
+    assert df.select(narration.diversified(F.col("key"), [[F.lit("one two")]], F.lit("x"), ["y"], 1, 2).alias("t")).first().t == "one two"
+
+
+def test_event_labels(spark):
+    texts = ["The first male speech segment ends at", "First noise:", "contains the music", "", "The impact sounds, which begins at", "one two three four five six seven eight nine ten"]
+    found = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(narration.event_label(F.col("t")).alias("x")).collect()]
+    assert found == ["the first male speech segment", "the First noise", "the contains the music", "this sound", "the impact sounds, which", "the one two three four five six seven eight"]
+
+
+def test_hooks(spark):
+    r = hooks.Registry("scorer")
+    assert r.register("a", 1) == 1 and r.register("b")(2) == 2 and r["b"] == 2
+    with pytest.raises(ValueError):
+        r.register("a", 3)
+    with pytest.raises(KeyError):
+        r["c"]
+    df = spark.createDataFrame([(1, "a"), (2, None)], "x long, t string")
+    assert hooks.row_map(df, lambda row: {"n": len(row["t"])}, "n long").collect() == [(1,)]
+    with pytest.raises(Exception):
+        hooks.row_map(df, lambda row: {"n": len(row["t"])}, "n long", strict=True).collect()
+    assert hooks.row_map(df.limit(0), lambda row: row, "x long, t string").count() == 0
