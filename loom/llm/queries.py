@@ -11,7 +11,7 @@ _NAMES = {
     "op3_token_counts": ("token_scan", "op3_token_counts", None),
     "op4_near_dedup": ("near_dedup", "op4_near_dedup", "OP4_SQL"),
     "op5_secret_scan": ("secret_scan", "op5_secret_scan", None),
-    "op6_backoff_scores": ("backoff_lm", "op6_backoff_scores", None),
+    "op6_backoff_scores": ("backoff_lm", "op6_backoff_scores", "OP6_SQL"),
     "op7_personal_data": ("personal_data", "op7_personal_data", None),
     "op8_sharding": ("sharding", "op8_sharding", None),
     "op9_quality_rules": ("quality_rules", "op9_quality_rules", None),

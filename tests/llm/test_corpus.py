@@ -365,11 +365,19 @@ def test_scores(spark, odd, empty, monkeypatch):
     assert backoff_lm.backoff_scores(empty).count() == 0
 
 
+def test_plain_scores_count_own_occurrences(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "a c")], "doc_id long, text string")
+    found = {r.doc_id: r.log_score for r in backoff_lm.backoff_scores(docs, without_own=False).collect()}
+    assert found[2] == pytest.approx(math.log(3 / 5) + math.log(1 / 3)) and found[1] == pytest.approx(math.log(3 / 5) + math.log(1 / 3) + math.log(1 / 1))
+
+
 def test_packing():
     import numpy as np
 
     values = np.unique(np.random.default_rng(1).integers(0, 2**44, 500, dtype=np.uint64))
-    assert (backoff_lm.unpacked(backoff_lm.packed(values)) == values).all()
+    assert (backoff_lm.unpacked(backoff_lm.packed(values), 500) == values).all()
+    few = np.array([0, 5, 2**43, 2**63], np.uint64)  # differences of more than 32 bits take 12 bytes
+    assert (backoff_lm.unpacked(backoff_lm.packed(few), 4) == few).all() and len(backoff_lm.packed(few)) == 4 * 4 + 2 * 8
     counts = np.array([1, 254, 255, 256, 10**9, 3])
     assert (backoff_lm.from_small_ints(backoff_lm.small_ints(counts), 6) == counts).all()
 
