@@ -114,25 +114,17 @@ def quota_choice(df: DataFrame, shard: Column, key: str, kinds: str, targets: di
     return df.select(shard.cast("long").alias("shard"), F.col(key).cast("long").alias(key), kinds).groupBy("shard").applyInPandas(run, f"shard long, {key} long, kind string")
 
 
+_DECODER = json.JSONDecoder()
+
+
 def json_object(text: str) -> str | None:
-    """The first balanced {...} of a text that is JSON, strings minded."""
-    for start in (m.start() for m in re.finditer(r"\{", text)):
-        depth, quoted, escaped = 0, False, False
-        for i in range(start, len(text)):
-            c = text[i]
-            if quoted:
-                quoted = escaped or c != '"'
-                escaped = c == "\\" and not escaped
-                continue
-            if c == '"':
-                quoted = True
-            depth += (c == "{") - (c == "}")
-            if depth == 0:
-                try:
-                    json.loads(text[start : i + 1])
-                except ValueError:
-                    break
-                return text[start : i + 1]
+    """The first {...} of a text that is JSON: from each brace on, as far as a JSON parser goes."""
+    at = text.find("{")
+    while at >= 0:
+        try:
+            return text[at : _DECODER.raw_decode(text, at)[1]]
+        except (ValueError, RecursionError):
+            at = text.find("{", at + 1)
     return None
 
 
@@ -149,20 +141,40 @@ def boxed(text: str) -> str | None:
     return None
 
 
+# --- fixed values: spellings of a LaTeX answer that count as one, replaced in this order
+MATH_SPELLINGS = (
+    ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
+)
+MATH_UNIT = "\\text{ "
+MATH_NUMBERS = (("\\%", ""), (" .", " 0."), ("{.", "{0."))
+MATH_HALF = ("0.5", "\\frac{1}{2}")
+# ---
+#: A command and what follows it without a brace.
+_BARE_ROOT, _BARE_FRACTION = re.compile(r"\\sqrt([^{])"), re.compile(r"\\frac([^{])(\{?)(.?)")
+_QUOTIENT = re.compile(r"(0|-?[1-9]\d*)/(0|-?[1-9]\d*)")
+
+
 def plain_math(x: str) -> str:
-    """A LaTeX answer without sizes, spaces, units and double forms of fractions."""
-    x = x.replace("\n", "").replace("\\!", "").replace("\\\\", "\\").replace("tfrac", "frac").replace("dfrac", "frac")
-    x = re.sub(r"\\left|\\right|\^\\circ|\^\{\\circ\}|\\\$|\\%|%", "", x)
-    x = re.sub(r"\\text\{ .*", "", x).replace(" .", " 0.").replace("{.", "{0.")
-    x = re.sub(r"\\sqrt([^{\s])", r"\\sqrt{\1}", x).replace(" ", "")
-    x = re.sub(r"\\frac([^{\s])([^{\s])", r"\\frac{\1}{\2}", x)
-    x = re.sub(r"\\frac\{(\d+)\}(\d)", r"\\frac{\1}{\2}", x)
+    """A LaTeX answer in the one spelling that equal answers share: arguments braced, no sizes, units, percent signs or blanks.
+
+    A name of one or two characters before a single equals sign goes, its blanks counted; an unbraced
+    fraction that lacks an argument leaves all fractions as they are.
+    """
+    for old, new in MATH_SPELLINGS:
+        x = x.replace(old, new)
+    x = x.partition(MATH_UNIT)[0]
+    for old, new in MATH_NUMBERS:
+        x = x.replace(old, new)
     x = "0" + x if x.startswith(".") else x
-    x = x.split("=")[1] if x.count("=") == 1 and len(x.split("=")[0]) <= 2 else x
-    if re.fullmatch(r"-?\d+/\d+", x):
-        a, b = x.split("/")
-        x = f"\\frac{{{a}}}{{{b}}}"
-    return "\\frac{1}{2}" if x == "0.5" else x
+    name, _, value = x.partition("=")
+    x = value if x.count("=") == 1 and len(name) <= 2 else x
+    x = _BARE_ROOT.sub(r"\\sqrt{\1}", x).replace(" ", "")
+    found = list(_BARE_FRACTION.finditer(x))
+    if all(m[2] or m[3] for m in found):
+        x = _BARE_FRACTION.sub(lambda m: f"\\frac{{{m[1]}}}" + (f"{{{m[3]}" if m[2] else f"{{{m[3]}}}"), x)
+    x = MATH_HALF[1] if x == MATH_HALF[0] else x
+    whole = _QUOTIENT.fullmatch(x)
+    return f"\\frac{{{whole[1]}}}{{{whole[2]}}}" if whole else x
 
 
 def action(text: str) -> tuple[str, str]:

@@ -60,7 +60,15 @@ over("weighted_source_choice__SMP06_SET02", lambda v: v.select("id", smp.weighte
 over("range_split__SMP13", lambda v: op.indexed(v, "id").select("id", F.when(F.col("row_idx") < 1500 * 3 // 4, "sft").otherwise("rm").alias("part")), IDX + " SELECT id, CASE WHEN row_idx < 1125 THEN 'sft' ELSE 'rm' END AS part FROM i")
 over("resample_weights__SMP10", lambda v: smp.resample_weights(v, "bal", "pow").select("id", F.round("weight", 4).alias("pow")).join(smp.resample_weights(v, "bal", "max_min").select("id", F.round("weight", 4).alias("extreme")), "id").join(smp.resample_weights(v, "bal", "max_random").select("id", F.round("weight", 4).alias("top")), "id"),
     " SELECT id, round(pow(abs(bal), 2) + 1e-8, 4) AS pow, CASE WHEN bal IN ((SELECT max(bal) FROM v), (SELECT min(bal) FROM v)) THEN 1.0 ELSE 0.0 END AS extreme, CASE WHEN bal = (SELECT max(bal) FROM v) THEN 0.4 ELSE 0.1 END AS top FROM v")
-over("resampled_rows__SMP10", lambda v: smp.resampled(smp.resample_weights(v, "bal", "pow"), "id", "weight", 3).agg(F.count("*").alias("n")))
+def _draws(v):
+    """Rows drawn, and whether each row's draws are its share of them to one."""
+    weighted = smp.resample_weights(v, "bal", "pow")
+    drawn = smp.resampled(weighted, "id", "weight", 3).groupBy("id").agg(F.count("*").alias("k"))
+    per = weighted.join(drawn, "id", "left").join(F.broadcast(weighted.agg(F.sum("weight").alias("all"), F.count("*").alias("rows"))))
+    return per.agg(F.sum("k").alias("n"), (F.max(F.abs(F.coalesce("k", F.lit(0)) - F.col("weight") * F.col("rows") / F.col("all"))) < 1).alias("fair"))
+
+
+over("resampled_rows__SMP10", _draws, " SELECT count(*) AS n, true AS fair FROM v")
 over("bootstrap__SMP11_AGG21", lambda v: smp.bootstrap(v, ["uid"], "reward", "rid", 4, 50, 42), None, views.ROLLOUTS)
 over("interleaved_sources__SET02", lambda v: smp.interleaved([v.where("lang = 'en'"), v.where("lang <> 'en'")], "id", [0.7, 0.3], 1, "all").groupBy("source_no").agg(F.count("*").alias("n")), " SELECT CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS source_no, count(*) AS n FROM v GROUP BY 1", DOCS)
 over("filled_batch__SMP12", lambda v: smp.filled([v.where(f"id % 3 = {k}") for k in range(3)], lambda b: b.where("nation > 12"), 400, "id").agg(F.count("*").alias("n")), " SELECT CASE WHEN (SELECT count(*) FROM v WHERE nation > 12) >= 400 THEN 400 ELSE (SELECT count(*) FROM v WHERE id % 3 = 0) END AS n")

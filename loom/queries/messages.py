@@ -46,7 +46,8 @@ docs("content_parts__PRJ14", lambda v: v.select("doc_id", op.parts_to_text(PARTS
 docs("placeholder_parts__PRJ15", lambda v: v.select("doc_id", F.array_join(F.transform(op.text_to_parts(F.concat(F.lit("<image>"), C("lang"), F.lit("<image>")), F.array(F.lit("p"), F.lit("q"))), lambda p: F.concat(p["type"], F.lit("="), p["value"])), ";").alias("parts")), " SELECT doc_id, 'image=p;text=' || lang || ';image=q' AS parts FROM v")
 over("leading_system__PRJ16", lambda v: GROUP(v).select("conv_id", op.without_system(op.standard_roles(C("messages"))).alias("s")).select("conv_id", F.coalesce("s.system", F.lit("-")).alias("system"), F.size("s.messages").alias("n")),
     ", g AS (SELECT conv_id, first(role ORDER BY turn) AS f, first(text ORDER BY turn) AS t, count(*) AS n FROM v GROUP BY 1) SELECT conv_id, CASE WHEN f = 'system' THEN t ELSE '-' END AS system, CAST(n - CASE WHEN f = 'system' THEN 1 ELSE 0 END AS INTEGER) AS n FROM g", CONV)
-over("boxes__PRJ17", lambda v: v.select("vec_id", F.array_join(op.boxes(F.array(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))))[0], ",").isNotNull().alias("ok"), F.round(op.boxes(F.array(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))))[0][2], 6).alias("x1")), " SELECT vec_id, true AS ok, round(CAST(greatest(embedding[1], embedding[3]) AS DOUBLE), 6) AS x1 FROM v", "SELECT vec_id, embedding FROM {embeddings}")
+over("boxes__PRJ17", lambda v: v.select("vec_id", op.boxes(F.array(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")), F.transform(F.slice("embedding", 3, 2), lambda x: x.cast("double")))).alias("b")).select("vec_id", *[F.round(F.get(C("b")[0], F.lit(i)), 6).alias(f"x{i}") for i in range(4)], F.round(C("b")[1][0], 6).alias("p")),
+    " SELECT vec_id, round(CAST(least(embedding[1], embedding[3]) AS DOUBLE), 6) AS x0, round(CAST(least(embedding[2], embedding[4]) AS DOUBLE), 6) AS x1, round(CAST(greatest(embedding[1], embedding[3]) AS DOUBLE), 6) AS x2, round(CAST(greatest(embedding[2], embedding[4]) AS DOUBLE), 6) AS x3, round(CAST(embedding[3] AS DOUBLE), 6) AS p FROM v", "SELECT vec_id, embedding FROM {embeddings}")
 docs("training_rows__PRJ18_PRJ19_PRJ21", lambda v: v.select(*op.training_row("docs", C("t"), C("lang"), "qa", "train", C("doc_id"))).select("data_source", op.nested(C("extra_info"), ["index"]).alias("index"), op.nested(C("reward_model"), ["ground_truth"]).alias("truth"), F.to_json("prompt").alias("prompt")), """ SELECT 'docs' AS data_source, doc_id AS index, lang AS truth, '[{"role":"user","content":' || CAST(to_json(t) AS VARCHAR) || '}]' AS prompt FROM v""")
 docs("unpaired_preferences__PRJ20", lambda v: op.unpaired(v.select(C("doc_id").alias("prompt"), C("t").alias("chosen"), C("lang").alias("rejected")), "prompt", "chosen", "rejected"), " SELECT doc_id AS prompt, t AS response FROM v UNION ALL SELECT doc_id, lang FROM v")
 over("valid_messages__FLT05", lambda v: GROUP(v.withColumn("role", F.when(C("conv_id") % 7 == 0, "narrator").otherwise(C("role")))).select("conv_id", op.valid(op.standard_roles(C("messages"))).alias("ok")), " SELECT DISTINCT conv_id, conv_id % 7 <> 0 AS ok FROM v", CONV)
@@ -62,18 +63,20 @@ docs("prompt_templates__DSP08_DSP10_DSP16", lambda v: ps.text_to_sql(v.select("d
 docs("chapters_and_fences__DSP11_DSP12", lambda v: ps.chapters(v.select("doc_id", C("lang").alias("type"), C("source").alias("title"), F.when(C("doc_id") % 2 == 0, "c1").alias("chapter1"), F.lit("c2").alias("chapter2"), C("t").alias("response")), ["chapter1", "chapter2"]).select("doc_id", "response").join(ps.at_fence(v.select("doc_id", F.concat(F.lit("# "), C("t"), F.lit("```python\nx\n``` ")).alias("code_with_problem"), C("lang").alias("explanation_only"))).select("doc_id", TEXT(C("messages")).alias("m")), "doc_id"),
      " SELECT doc_id, lang || chr(10) || source || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'c1' ELSE '' END || 'c2' || t AS response, 'user:' || t || '|assistant:```python' || chr(10) || 'x' || chr(10) || '```' || chr(10) || chr(10) || lang AS m FROM v")
 docs("similarity_sets__DSP13", lambda v: ps.similarity_prompt(ps.similarity(v.select("doc_id", C("t").alias("sentence1"), C("u").alias("sentence2"), ((C("doc_id") % 8) / 8).alias("score")), 0.75)).select("doc_id", F.md5(TEXT(C("messages"))).alias("h")), """ SELECT doc_id, md5('user:Task: Based on the given two sentences, provide a similarity score between 0.0 and 1.0.' || chr(10) || 'Sentence 1: ' || t || chr(10) || 'Sentence 2: ' || u || chr(10) || 'Similarity score: |assistant:' || CASE WHEN doc_id % 8 = 6 THEN '0.8' ELSE '0.9' END) AS h FROM v WHERE doc_id % 8 >= 6""")
-docs("json_repairs__DSP14_DSP22_DSP20", lambda v: v.select("doc_id", F.size(F.from_json(ps.repaired_json(F.concat(F.lit('[{"a":1}\n {"a":2}]'))), "array<struct<a:int>>")).alias("n"), F.size(ps.tool_calls(F.lit('[{"name":"f","arguments":{"x":"1"}},{"name":"g","arguments":{}}]'))).alias("calls")), " SELECT doc_id, 2::INTEGER AS n, 2::INTEGER AS calls FROM v")
+docs("json_repairs__DSP14_DSP22_DSP20", lambda v: v.select("doc_id", F.array_join(F.transform(F.from_json(ps.repaired_json(F.concat(F.lit('[{"a":'), C("doc_id").cast("string"), F.lit("}"), F.expr("repeat('\\n {\"a\":7}', CAST(doc_id % 4 AS INT))"), F.lit("]"))), "array<struct<a:long>>"), lambda x: x["a"].cast("string")), ",").alias("n"),
+    TEXT(ps.tool_calls(F.concat(F.lit('[{"name":"'), C("lang"), F.lit('","arguments":{"x":"'), C("doc_id").cast("string"), F.lit('"}}'), F.when(C("doc_id") % 2 == 0, ',{"name":"g","arguments":{}}').otherwise(""), F.lit("]")))).alias("calls")),
+    """ SELECT doc_id, doc_id || repeat(',7', doc_id % 4) AS n, 'tool_call:{"name":"' || lang || '","arguments":{"x":"' || doc_id || '"}}' || CASE WHEN doc_id % 2 = 0 THEN '|tool_call:{"name":"g","arguments":{}}' ELSE '' END AS calls FROM v""")
 over("folded_chats__DSP15", lambda v: ps.folded_chat(GROUP(v).where(F.size("messages") > 1).withColumn("messages", op.standard_roles(C("messages"))), "!").select("conv_id", "query", "response"),
     ", g AS (SELECT conv_id, first(role ORDER BY turn) AS f, first(text ORDER BY turn) AS query, last(text ORDER BY turn) AS response, count(*) AS n FROM v GROUP BY 1) SELECT conv_id, query, response FROM g WHERE f = 'human' AND n > 1 AND query <> '' AND response <> ''", CONV)
 docs("origin_questions__DSP17", lambda v: ps.human_or_not(v.select(C("t").alias("query"), F.array("lang", "source").alias("human_answers"), F.array("u").alias("chatgpt_answers")), 3).groupBy("response").agg(F.count("*").alias("n")), " SELECT response, n FROM (SELECT unnest(['Human', 'ChatGPT']) AS response, count(*) AS n FROM v)")
 docs("question_generation__DSP18", lambda v: ps.question_generation(v.select("doc_id", F.concat(C("lang"), F.lit("[SEP]"), C("t")).alias("text1"), C("u").alias("text2"))).select("doc_id", TEXT(C("messages")).alias("m")), " SELECT doc_id, 'user:Task: Question Generation' || chr(10) || 'Context: ' || t || chr(10) || 'Answer: ' || lang || chr(10) || 'Question:|assistant:' || u AS m FROM v")
 docs("transcripts__DSP19_DSP21", lambda v: ps.transcripts(v.where("trim(u) <> '' AND trim(t) <> ''").select("doc_id", F.concat(F.lit("\n\nHuman: "), C("t"), F.lit("\n\nAssistant: "), C("lang"), F.lit("\n\nHum: "), C("u"), F.lit("\n\nAssistant: z")).alias("chosen"), F.concat(F.lit("Human: "), C("t"), F.lit("\n\nAssistant: y")).alias("rejected"))).select("doc_id", TEXT(C("messages")).alias("m"), F.size("rejected_messages").alias("r")), " SELECT doc_id, 'user:' || trim(t) || '|assistant:' || lang || '|user:' || trim(u) || '|assistant:z' AS m, 2::INTEGER AS r FROM v WHERE trim(u) <> '' AND trim(t) <> ''")
-docs("emoji_and_sources__DSP23_DSP27", lambda v: ps.without_source(v, "src1").select("doc_id", F.length(ps.plain_emoji(F.concat(F.lit("❤️"), C("lang")))).alias("n")), " SELECT doc_id, 3::INTEGER AS n FROM v WHERE source <> 'src1'")
+docs("emoji_and_sources__DSP23_DSP27", lambda v: ps.without_source(v, "src1").select("doc_id", F.md5(ps.plain_emoji(F.concat(C("t"), F.lit("❤️"), C("u"), F.lit("️")))).alias("n")), " SELECT doc_id, md5(t || '❤' || u) AS n FROM v WHERE source <> 'src1'")
 docs("delimited_turns__DSP24", lambda v: ps.delimited(v.select("doc_id", F.when(C("doc_id") % 3 == 0, "").when(C("doc_id") % 3 == 1, "User: a Assistant: b").otherwise("Assistant: x").alias("instruction"), F.concat(F.lit("User: "), C("lang")).alias("input"), C("source").alias("output"))).select("doc_id", TEXT(C("messages")).alias("m")), " SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'user:a|assistant:b|' ELSE '' END || 'user:' || lang || '|assistant:' || source AS m FROM v WHERE doc_id % 3 < 2")
 docs("tools_and_context__DSP25_DSP26", lambda v: ps.described_tools(v.select("doc_id", F.lit("a\n\nb").alias("function_description"), MSG(("system", C("lang")), ("user", C("t"))).alias("messages"))).select("doc_id", F.size("tools").alias("tools"), TEXT(C("messages")).alias("m")).join(ps.with_context(v.select("doc_id", F.when(C("doc_id") % 2 == 0, C("lang")).alias("context"), C("t").alias("instruction"), C("u").alias("response"))).select("doc_id", TEXT(C("messages")).alias("n")), "doc_id"),
      " SELECT doc_id, 2::INTEGER AS tools, 'user:' || t AS m, 'user:' || CASE WHEN doc_id % 2 = 0 THEN 'Here gives some useful information:' || chr(10) || lang || chr(10) ELSE '' END || t || '|assistant:' || u AS n FROM v")
 docs("filled_names__DSP28_DSP29", lambda v: ps.named(ps.templated(v.select("doc_id", F.lit("I am {{NAME}}").alias("query"), F.lit("by {{AUTHOR}}").alias("response"), F.when(C("lang") == "en", "en").otherwise("zh").alias("tag")), "Q: {{QUERY}}"), {"name": ("甲", "A"), "author": ("乙", "B")}, suffix="?", prefix="> ").select("doc_id", "query", "response"), " SELECT doc_id, CASE WHEN lang = 'en' THEN 'Q: I am A?' ELSE 'Q: I am 甲?' END AS query, CASE WHEN lang = 'en' THEN '> by B' ELSE '> by 乙' END AS response FROM v")
-over("classified_prompts__DSP29", lambda v: ps.classified(v.select("doc_id", F.lit("s").alias("sentence"), C("quality").alias("label")), ["bad", "good"], "Quality").select("doc_id", "query", "response"), " SELECT doc_id, 'Task: Quality' || chr(10) || 'Sentence: s' || chr(10) || 'Category: bad, good' || chr(10) || 'Output:' AS query, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS response FROM v", "SELECT doc_id, quality FROM {labels}")
+over("classified_prompts__DSP29", lambda v: ps.classified(v.select("doc_id", F.concat(F.lit("row "), C("doc_id").cast("string")).alias("sentence"), C("quality").alias("label")), ["bad", "good"], "Quality").select("doc_id", "query", "response"), " SELECT doc_id, 'Task: Quality' || chr(10) || 'Sentence: row ' || doc_id || chr(10) || 'Category: bad, good' || chr(10) || 'Output:' AS query, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS response FROM v", "SELECT doc_id, quality FROM {labels}")
 docs("grounding_prompts__DSP30", lambda v: v.select(ps.grounding_prompt(C("doc_id"), ["a", "b"], ["甲"], 1).alias("p")).groupBy("p").agg(F.count("*").alias("n")), None)
 docs("paths_and_letters__DSP31", lambda v: ps.existing(v.select("doc_id", ps.rewritten_path(F.concat(F.lit("coco/"), C("lang")), {"coco/": "/data/coco/"}).alias("p"), ps.option_letter(C("doc_id") % 4).alias("letter")), C("p"), v.sparkSession.createDataFrame([("/data/coco/en",), ("/data/coco/de",)], "path string")), " SELECT doc_id, '/data/coco/' || lang AS p, chr(CAST(65 + doc_id % 4 AS INTEGER)) AS letter FROM v WHERE lang IN ('en', 'de')")
 SPANS = lambda: F.array(F.struct(F.lit(2).alias("start"), F.lit(5).alias("end")), F.struct((C("doc_id") % 6 + 1).cast("int").alias("start"), (C("doc_id") % 6 + 3).cast("int").alias("end")))

@@ -51,24 +51,25 @@ def _routes(spark, sf_dir):
     return spark.read.json(path).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("merged_lists__SNK10", "SELECT lang, count(*) AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY 1")
+@query("merged_lists__SNK10", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
 def _merged(spark, sf_dir):
-    paths = []
-    for lang in ("en", "de"):
-        rows = views.read(spark, sf_dir, "documents").where(C("lang") == lang).agg(F.to_json(F.collect_list(F.struct("doc_id", "lang"))).alias("value"))
-        paths.append(files.scratch(spark, f"list-{lang}"))
-        rows.coalesce(1).write.text(paths[-1])
+    """Two sets of list files, of a few hundred rows a list; every row of documents is in one of them."""
+    paths, rows = [], views.read(spark, sf_dir, "documents").select("doc_id", "lang")
+    for part in (0, 1):
+        lists = rows.where(C("doc_id") % 2 == part).groupBy(F.floor(C("doc_id") / 1000).alias("list")).agg(F.to_json(F.collect_list(F.struct("doc_id", "lang"))).alias("value"))
+        paths.append(files.scratch(spark, f"list-{part}"))
+        lists.write.partitionBy("list").text(paths[-1])
     return files.merged_lists(spark, paths, "struct<doc_id:long,lang:string>").groupBy("item.lang").agg(F.count("*").alias("n"))
 
 
-@query("finished_files__SRC12", "SELECT 1::BIGINT AS n")
+@query("finished_files__SRC12", "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey IN (1, 3)")
 def _finished(spark, sf_dir):
-    path = files.scratch(spark, "marked")
-    df = views.read(spark, sf_dir, "region").select("r_name").coalesce(1)
-    for name in ("a", "b"):
-        df.write.text(f"{path}/{name}")
-    df.write.mode("append").option("compression", "gzip").text(f"{path}/a")  # the marker
-    return files.finished(spark, path, "part-*.txt", "part-*.gz").agg(F.count("*").alias("n"))
+    """A folder per nation, a marker in those of two regions."""
+    path, nation = files.scratch(spark, "marked"), views.read(spark, sf_dir, "nation").withColumn("k", C("n_nationkey"))
+    nation.select("k", "n_name").write.partitionBy("k").text(path)
+    nation.where("n_regionkey IN (1, 3)").select("k", F.lit("").alias("value")).write.mode("append").option("compression", "gzip").partitionBy("k").text(path)
+    found = files.finished(spark, path, "part-*.txt", "part-*.gz").select(F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("long").alias("k"))
+    return found.join(nation.select(C("k").cast("long").alias("k"), C("n_name").alias("name")), "k").select("k", "name")
 
 
 @query("catalog_requests__SRC07_SRC08_SRC09_SRC11", "SELECT CASE WHEN lang = 'en' THEN 'en' ELSE 'other' END AS part, least(count(*), CASE WHEN lang = 'en' THEN 40 ELSE count(*) END) AS n FROM documents WHERE lang IN ('en', 'de') GROUP BY lang")
@@ -85,17 +86,39 @@ KINDS = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'gap' WHEN 1 T
 simple("quota_choice__SMP07", KINDS, lambda v: seq.quota_choice(v.withColumn("k", F.array_distinct(F.array("a", "b"))), F.floor(C("id") / 4096), "id", "k", {"gap": 2, "order": 1, "overlap": 1}).groupBy("kind").agg(F.count("*").alias("n")))
 
 
-@query("parsed_texts__STR08_STR23_STR24_RWD10", """SELECT doc_id, '{"a": {"b": "}"}}' AS object, '\\frac{1}{2}' AS math, 'f' AS name, CASE WHEN doc_id % 3 = 1 THEN 1.0::DOUBLE ELSE 0.0 END AS f1 FROM documents""")
-def _parsed(spark, sf_dir):
-    t = F.concat(F.lit('x {"a": {"b": "}"}} y \\boxed{\\frac12} Action: f Action Input: {"q": '), (C("doc_id") % 3).cast("string"), F.lit("}"))
-    v = views.read(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
-    return v.select("doc_id", seq.texts(seq.json_object)("t").alias("object"), seq.texts(lambda x: seq.plain_math(seq.boxed(x) or ""))("t").alias("math"), seq.texts(lambda x: seq.action(x)[0])("t").alias("name"), seq.texts(lambda x: seq.argument_f1(seq.action(x)[1], '{"q": 1}'), "double")("t").alias("f1"))
+MATH = """CASE doc_id % 6 WHEN 0 THEN '\\frac{' || a || '}{' || b || '}' WHEN 1 THEN '\\frac{' || a || '}{' || b || '}' WHEN 2 THEN '\\frac{' || a || '}{' || b || '}' WHEN 3 THEN '\\sqrt{' || b || '}x' WHEN 4 THEN 'ab=' || a ELSE CASE b WHEN 5 THEN '\\frac{1}{2}' ELSE '0.' || b END END"""
 
 
-@query("generation_metrics__AGG29", "SELECT 100.0::DOUBLE AS rouge_1, 100.0::DOUBLE AS rouge_2, 100.0::DOUBLE AS rouge_l, 100.0::DOUBLE AS bleu_4")
+@query("parsed_texts__STR08_STR23_STR24_RWD10", f"""SELECT doc_id, '{{"id": ' || doc_id || ', "t": {{"s": "' || source || '}}"}}}}' AS object, {MATH} AS math, 'tool_' || doc_id % 5 AS name,
+  CASE WHEN doc_id % 7 = 0 THEN 0.0 ELSE 2.0 * (CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END) / 4 END::DOUBLE AS f1 FROM (SELECT *, doc_id % 9 + 1 AS a, doc_id % 8 + 2 AS b FROM documents)""")
+def _parsed(spark, sf_dir):
+    """Whole texts with an object, a boxed answer in six spellings, and an action among them."""
+    cat, lit = F.concat, F.lit
+    v = views.read(spark, sf_dir, "documents").withColumn("a", (C("doc_id") % 9 + 1).cast("string")).withColumn("b", (C("doc_id") % 8 + 2).cast("string"))
+    spellings = [cat(lit("\\dfrac"), C("a"), C("b")), cat(lit("\\left "), C("a"), lit("/"), C("b"), lit("\\text{ cm}")), cat(lit("x=\\tfrac{"), C("a"), lit("}{"), C("b"), lit("}")), cat(lit("\\sqrt"), C("b"), lit(" x")), cat(lit("a b = "), C("a")), cat(lit("."), C("b"), lit("\\%"))]
+    math = F.element_at(F.array(*spellings), (C("doc_id") % 6 + 1).cast("int"))
+    plain = F.translate("text", "{}\\\\", "")
+    t = cat(plain, lit("{bad} {"), lit(' "x" {"id": '), C("doc_id").cast("string"), lit(', "t": {"s": "'), C("source"), lit('}"}} '), plain, lit(" \\boxed{1} \\boxed{"), math, lit("} Action: none Action Input: {} Action: tool_"), (C("doc_id") % 5).cast("string"),
+            lit('\nAction Input: {"q": '), (C("doc_id") % 3).cast("string"), lit(', "lang": "'), C("lang"), F.when(C("doc_id") % 7 == 0, '"').otherwise('"}'))
+    v = v.select("doc_id", t.alias("t"))
+    return v.select("doc_id", seq.texts(seq.json_object)("t").alias("object"), seq.texts(lambda x: seq.plain_math(seq.boxed(x) or ""))("t").alias("math"), seq.texts(lambda x: seq.action(x)[0])("t").alias("name"), seq.texts(lambda x: seq.argument_f1(seq.action(x)[1], '{"q": 1, "lang": "en"}'), "double")("t").alias("f1"))
+
+
+GRAMS = lambda n: f"list_transform(range(1, len({{0}}) - {n} + 2), lambda i: array_to_string({{0}}[i:i + {n - 1}], ' '))"
+#: Common n-grams with their lesser counts, per item, and the n-grams of what was said and of what is true.
+HITS = " ".join(f""", h{n} AS (SELECT item_id, sum(least(x.c, y.c)) AS h FROM (SELECT item_id, g, count(*) AS c FROM (SELECT item_id, unnest({GRAMS(n).format('s')}) AS g FROM w) GROUP BY ALL) x
+  JOIN (SELECT item_id, g, count(*) AS c FROM (SELECT item_id, unnest({GRAMS(n).format('t')}) AS g FROM w) GROUP BY ALL) y USING (item_id, g) GROUP BY 1)""" for n in (1, 2, 3, 4))
+
+
+@query("generation_metrics__AGG29", f"""WITH w AS (SELECT item_id, t, list_filter(t, lambda x, i: i % 3 > 0) AS s FROM (SELECT item_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t FROM benchmark)) {HITS},
+m AS (SELECT item_id, len(s) AS p, len(t) AS r, coalesce(h1.h, 0) AS a, coalesce(h2.h, 0) AS b, coalesce(h3.h, 0) AS c, coalesce(h4.h, 0) AS d FROM w LEFT JOIN h1 USING (item_id) LEFT JOIN h2 USING (item_id) LEFT JOIN h3 USING (item_id) LEFT JOIN h4 USING (item_id)),
+z AS (SELECT *, 1 AS z1, CASE WHEN b = 0 THEN 2 ELSE 1 END AS z2 FROM m), y AS (SELECT *, CASE WHEN c = 0 THEN 2 * z2 ELSE z2 END AS z3 FROM z), x AS (SELECT *, CASE WHEN d = 0 THEN 2 * z3 ELSE z3 END AS z4 FROM y)
+SELECT round(avg(2 * a / (p + r)) * 100, 6) AS rouge_1, round(avg(CASE WHEN b = 0 THEN 0 ELSE 2 * b / (p + r - 2) END) * 100, 6) AS rouge_2, round(avg(2 * p / (p + r)) * 100, 6) AS rouge_l,
+  round(avg(exp((ln(a / p) + ln(CASE WHEN b > 0 THEN b / (p - 1) ELSE 1 / (z2 * greatest(1, p - 1)) END) + ln(CASE WHEN c > 0 THEN c / (p - 2) ELSE 1 / (z3 * greatest(1, p - 2)) END) + ln(CASE WHEN d > 0 THEN d / (p - 3) ELSE 1 / (z4 * greatest(1, p - 3)) END)) / 4) * least(1.0, exp(1 - r / p))) * 100, 6) AS bleu_4 FROM x""")
 def _generation(spark, sf_dir):
-    v = views.read(spark, sf_dir, "benchmark").select("text")
-    return seq.generation_metrics(v.withColumn("b", C("text")), "text", "b")
+    """Each text without every third word, against the text."""
+    v = views.read(spark, sf_dir, "benchmark").select("text", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
+    return seq.generation_metrics(v.withColumn("said", F.array_join(F.filter("w", lambda w, i: (i + 1) % 3 > 0), " ")), "said", "text")
 
 
 simple("accumulated_means__AGG30", "SELECT o_custkey % 10 AS k, o_totalprice AS x FROM {orders}", lambda v: seq.accumulated(v, "k", "x").select("k", F.round("value", 3).alias("value")), " SELECT k, round(avg(x), 3) AS value FROM v GROUP BY 1")

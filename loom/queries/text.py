@@ -31,13 +31,13 @@ over("compact_text__STR07", lambda v: v.select("doc_id", T.compact(X(), 90).alia
 CLEAN = "SELECT doc_id, concat('<think>  ', text, ' × — ', chr(160), '  </think>   <answer>≤3</answer> ') AS text FROM {documents}"
 over("cleaned_text__STR09", lambda v: v.select("doc_id", T.cleaned(X()).alias("c")), r""" SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(text, '×', ' times '), '—', '-'), chr(160), ' '), '≤', ' less than or equal to '),
   '</think>\s+<answer>', '</think><answer>', 'g'), '<think>\s+', '<think>', 'g'), '\s+</think>', '</think>', 'g'), '\s{2,}', ' ', 'g')) AS c FROM v""", CLEAN)
-FENCE = "SELECT doc_id, concat('```json', chr(10), '{{\"a\": ', CAST(doc_id AS STRING), '}}', chr(10), '```') AS text FROM {documents}".replace("{{", "[").replace("}}", "]")
-over("code_fence__STR08", lambda v: v.select("doc_id", T.without_fence(X()).alias("c")), " SELECT doc_id, '[\"a\": ' || doc_id || ']' AS c FROM v", FENCE)
+FENCE = "SELECT doc_id, text AS inside, concat(CASE doc_id % 4 WHEN 0 THEN concat('```json', chr(10)) WHEN 1 THEN concat('  ```', chr(10)) WHEN 2 THEN '```Python ' ELSE '' END, text, CASE WHEN doc_id % 4 < 3 THEN concat(chr(10), '```') ELSE '' END, chr(10)) AS text FROM {documents}"
+over("code_fence__STR08", lambda v: v.select("doc_id", F.md5(T.without_fence(X())).alias("c")), r" SELECT doc_id, md5(regexp_replace(inside, '^\s+|\s+$', '', 'g')) AS c FROM v", FENCE)
 OPTIONS = "SELECT item_id AS doc_id, concat('Which ', text, '?', chr(10), 'Options:', chr(10), 'A. yes', chr(10), ' B.  no', chr(10), chr(10), 'other ', CAST(item_id AS STRING)) AS text FROM {benchmark}"
 over("option_lists__STR11_STR15", lambda v: v.select("doc_id", T.options(X()).alias("o")).select("doc_id", F.col("o.question").alias("question"), T.prompt(F.col("o.question"), F.col("o.choices")).alias("prompt")),
     """, q AS (SELECT doc_id, replace(split_part(text, chr(10) || 'Options:', 1), chr(10), ' ') AS question FROM v) SELECT doc_id, trim(question) AS question, trim(question) || ' Choose the answer from ["yes", "no", "other ' || doc_id || '"]. Think step-by-step. Refer to the specific audio segments while thinking, and indicate the corresponding timestamps with <seg>start, end</seg>. Answer in the format of <think>...</think><answer>...</answer>.' AS prompt FROM q""", OPTIONS)
-LISTS = """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '["a", "b c"]' WHEN doc_id % 3 = 1 THEN concat('[', chr(39), 'a', chr(39), ', ', chr(39), 'b c', chr(39), ']') ELSE concat('x ', chr(39), 'a', chr(39), ' y ', chr(39), 'b c', chr(39)) END AS text FROM {documents}"""
-over("parsed_lists__PRJ22", lambda v: v.select("doc_id", F.array_join(T.parsed_list(X()), "|").alias("l")), " SELECT doc_id, 'a|b c' AS l FROM v", LISTS)
+LISTS = """SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 0 THEN concat('["', lang, '", "', source, ' ', CAST(doc_id AS STRING), '"]') WHEN doc_id % 3 = 1 THEN concat('[', chr(39), lang, chr(39), ', ', chr(39), source, ' ', CAST(doc_id AS STRING), chr(39), ']') ELSE concat('x ', chr(39), lang, chr(39), ' y ', chr(39), source, ' ', CAST(doc_id AS STRING), chr(39)) END AS text FROM {documents}"""
+over("parsed_lists__PRJ22", lambda v: v.select("doc_id", F.array_join(T.parsed_list(X()), "|").alias("l")), " SELECT doc_id, lang || '|' || source || ' ' || doc_id AS l FROM v", LISTS)
 QUESTIONS = """SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'What is the time gap?' WHEN 1 THEN 'Do they overlap?' WHEN 2 THEN 'How many sounds?' WHEN 3 THEN 'Which event first?' WHEN 4 THEN 'Which lasts longer?' WHEN 5 THEN 'What percentage?' WHEN 6 THEN 'How far, in percent?' WHEN 7 THEN 'recurring sound' ELSE 'hm' END AS text FROM {documents}"""
 over("question_types__STR12", lambda v: v.groupBy(T.question_type(X()).alias("t")).agg(F.count("*").alias("n")), """ SELECT CASE doc_id % 9 WHEN 0 THEN 'gap' WHEN 1 THEN 'overlap' WHEN 2 THEN 'count_before' WHEN 3 THEN 'order' WHEN 4 THEN 'duration_compare' WHEN 5 THEN 'duration_percentage' WHEN 6 THEN 'start_percentage' WHEN 7 THEN 'repeated_event_gap' ELSE 'unknown' END AS t, count(*) AS n FROM v GROUP BY 1""", QUESTIONS)
 VERDICT = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('[QA Valid]: ', CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'No' END, CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' cot valid : YES' END) END AS text FROM {documents}"

@@ -187,3 +187,16 @@ def test_hooks(spark):
     with pytest.raises(Exception):
         hooks.row_map(df, lambda row: {"n": len(row["t"])}, "n long", strict=True).collect()
     assert hooks.row_map(df.limit(0), lambda row: row, "x long, t string").count() == 0
+
+
+@pytest.mark.parametrize(("given", "plain"), [
+    ("k = 5", "k=5"), ("k=5", "5"), ("ab=5", "5"), ("abc=5", "abc=5"), ("\\tfrac12", "\\frac{1}{2}"), ("\\frac1{72}", "\\frac{1}{72}"), ("\\frac{1}2", "\\frac{1}2"), ("\\frac12+\\frac3", "\\frac12+\\frac3"),
+    ("\\sqrt3+\\sqrt{2}", "\\sqrt{3}+\\sqrt{2}"), ("3/4", "\\frac{3}{4}"), ("03/4", "03/4"), ("0.5", "\\frac{1}{2}"), (".5", "\\frac{1}{2}"), ("10\\%", "10"), ("10%", "10%"), ("5\\text{ cm}", "5"), ("90^\\circ", "90"), ("\\left( x \\right)", "(x)"),
+])
+def test_plain_math(given, plain):
+    assert sequential.plain_math(given) == plain
+
+
+def test_json_object():
+    assert sequential.json_object('x {a} {"b": "}"} {"c": 1}') == '{"b": "}"}'
+    assert sequential.json_object('{"a": {"b": 1}') == '{"b": 1}' and sequential.json_object("{" * 50_000) is None and sequential.json_object("none") is None
