@@ -190,7 +190,7 @@ def test_hooks(spark):
 
 
 @pytest.mark.parametrize(("given", "plain"), [
-    ("k = 5", "k=5"), ("k=5", "5"), ("ab=5", "5"), ("abc=5", "abc=5"), ("\\tfrac12", "\\frac{1}{2}"), ("\\frac1{72}", "\\frac{1}{72}"), ("\\frac{1}2", "\\frac{1}2"), ("\\frac12+\\frac3", "\\frac12+\\frac3"),
+    ("k = 5", "5"), ("k=5", "5"), ("ab = 5", "ab=5"), ("ab=5", "5"), ("abc=5", "abc=5"), ("\\tfrac12", "\\frac{1}{2}"), ("\\frac1{72}", "\\frac{1}{72}"), ("\\frac{1}2", "\\frac{1}2"), ("\\frac12+\\frac3", "\\frac12+\\frac3"),
     ("\\sqrt3+\\sqrt{2}", "\\sqrt{3}+\\sqrt{2}"), ("3/4", "\\frac{3}{4}"), ("03/4", "03/4"), ("0.5", "\\frac{1}{2}"), (".5", "\\frac{1}{2}"), ("10\\%", "10"), ("10%", "10%"), ("5\\text{ cm}", "5"), ("90^\\circ", "90"), ("\\left( x \\right)", "(x)"),
 ])
 def test_plain_math(given, plain):
