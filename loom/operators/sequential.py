@@ -309,6 +309,14 @@ class Accumulator:
     def compute(self):
         raise NotImplementedError
 
+    def states(self) -> dict:
+        return {k: getattr(self, k) for k in self.defaults}
+
+    def merge(self, states: dict) -> None:
+        """Adds another accumulator's states: sums, unless a metric says otherwise."""
+        for k, v in states.items():
+            setattr(self, k, getattr(self, k) + v)
+
 
 class Mean(Accumulator):
     def __init__(self, empty: float = 0.0) -> None:
@@ -326,12 +334,23 @@ class Mean(Accumulator):
 
 
 def accumulated(df: DataFrame, by: str, x: str, make=Mean) -> DataFrame:
-    """An accumulator per group, as a grouped aggregate over Arrow."""
-
-    @F.pandas_udf("double")
-    def run(v: pd.Series) -> float:
+    """An accumulator per group: its states per Arrow batch, merged per group, so that no worker holds a group's values."""
+    kind = df.schema[by].dataType.simpleString()
+
+    def part(batches):
+        for pdf in batches:
+            rows = []
+            for key, values in pdf.groupby(by, dropna=False)[x]:
+                metric = make()
+                metric.update(values.dropna().tolist())
+                rows.append((key, json.dumps(metric.states())))
+            yield pd.DataFrame(rows, columns=[by, "states"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         metric = make()
-        metric.update(v.tolist())
-        return metric.compute()
+        for states in pdf["states"]:
+            metric.merge(json.loads(states))
+        return pd.DataFrame({by: pdf[by].iloc[:1], "value": [metric.compute()]})
 
-    return df.groupBy(by).agg(run(F.col(x)).alias("value"))
+    parts = df.select(by, x).mapInPandas(part, f"{by} {kind}, states string")
+    return parts.groupBy(by).applyInPandas(merge, f"{by} {kind}, value double")

@@ -116,6 +116,11 @@ c AS (SELECT b.clip_id, b.i, b.ph, count(*) AS done FROM nn a JOIN nn b ON a.cli
 SELECT clip_id, 'count_before' AS qa_type, 'How many timestamped sound events have finished before ' || ph || ' begins?' AS question, CAST(done AS STRING) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY i) AS k FROM c) WHERE k = 1""")
 
 
-@query("skeleton_counts__QA_AGG01")
+from loom.queries import SQL  # noqa: E402
+
+_ASKED = " UNION ALL ".join(f"SELECT clip_id, qa_type FROM ({SQL[n]})" for n in ("qa_start_percentage__QA1_SRT07", "qa_duration_percentage__QA2", "qa_gap__QA3_JON11", "qa_overlap__QA4", "qa_count_before__QA5_WIN14", "qa_repeated_gap__QA6", "qa_duration_compare__QA7", "qa_order__QA8"))
+
+
+@query("skeleton_counts__QA_AGG01", f"SELECT qa_type, count(*) AS n, count(DISTINCT clip_id || ':' || qa_type) AS ids FROM ({_ASKED}) WHERE clip_id IN ({EV} SELECT clip_id FROM x GROUP BY 1 HAVING count(*) >= 2) GROUP BY 1")
 def _skeletons(spark, sf_dir):
     return op.skeletons(_events(spark, sf_dir), **WINDOWS).groupBy("qa_type").agg(F.count("*").alias("n"), F.count_distinct("skeleton_id").alias("ids"))

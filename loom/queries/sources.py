@@ -134,26 +134,30 @@ def _streamed(spark, sf_dir, columns, table="orders"):
 
 @query("streamed_profile__SRC14", "SELECT o_orderstatus AS st, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def _profile(spark, sf_dir):
-    name = "loom_profile_" + files.scratch(spark, "q").rpartition("-")[2]
-    out = flows.run(flows.profile(_streamed(spark, sf_dir, [C("o_orderstatus").alias("st"), C("o_totalprice").alias("x")]), "st", "x"), name, files.scratch(spark, "checkpoint"))
+    out = flows.run(flows.profile(_streamed(spark, sf_dir, [C("o_orderstatus").alias("st"), C("o_totalprice").alias("x")]), "st", "x"), files.scratch(spark, "stream-out"), files.scratch(spark, "checkpoint"))
     return out.select("st", "n", F.round("total", 2).alias("total"))
 
 
 @query("streamed_once__SRC13", "SELECT count(DISTINCT l_orderkey) AS n FROM lineitem")
 def _once(spark, sf_dir):
-    name = "loom_once_" + files.scratch(spark, "q").rpartition("-")[2]
-    return flows.run(flows.once_by_id(_streamed(spark, sf_dir, [C("l_orderkey").alias("id")], "lineitem"), "id"), name, files.scratch(spark, "checkpoint"), "append").agg(F.count("*").alias("n"))
+    return flows.run(flows.once_by_id(_streamed(spark, sf_dir, [C("l_orderkey").alias("id")], "lineitem"), "id"), files.scratch(spark, "stream-out"), files.scratch(spark, "checkpoint"), "append").agg(F.count("*").alias("n"))
 
 
-@query("streamed_packing__SET16")
+@query("streamed_packing__SET16", "SELECT o_custkey % 4 AS shard, true AS fits, true AS once, true AS few FROM orders GROUP BY 1")
 def _packing(spark, sf_dir):
-    name = "loom_pack_" + files.scratch(spark, "q").rpartition("-")[2]
-    stream = _streamed(spark, sf_dir, [(C("o_custkey") % 4).alias("shard"), C("o_orderkey").alias("id"), (C("o_orderkey") % 50 + 1).alias("len")])
-    return flows.run(flows.packed(stream, "shard", "id", "len", 128), name, files.scratch(spark, "checkpoint"), "append")
+    """Per shard: no bin holds more than 128, no row is packed twice, and less than an interval of rows still waits."""
+    columns = [(C("o_custkey") % 4).alias("shard"), C("o_orderkey").alias("id"), (C("o_orderkey") % 50 + 1).alias("len")]
+    out = flows.run(flows.packed(_streamed(spark, sf_dir, columns), "shard", "id", "len", 128), files.scratch(spark, "stream-out"), files.scratch(spark, "checkpoint"), "append")
+    rows = views.read(spark, sf_dir, "orders").select(*columns)
+    bins = out.join(rows.select("id", "len"), "id").groupBy("shard", "bin").agg(F.sum("len").alias("held"), F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    per = bins.groupBy("shard").agg((F.max("held") <= 128).alias("fits"), (F.sum("n") == F.sum("ids")).alias("once"), F.sum("n").alias("n"))
+    return per.join(rows.groupBy("shard").agg(F.count("*").alias("all")), "shard").select("shard", "fits", "once", (F.col("all") - F.col("n")).between(0, 127).alias("few"))
 
 
-@query("streamed_rollouts__STREAM")
+@query("streamed_rollouts__STREAM", f"""WITH v AS ({views.duck(ROLL)}), k AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY order_no) AS k FROM v)
+SELECT request, CASE WHEN min(CASE WHEN reason = 'answer' THEN k END) <= 8 THEN 'answer' WHEN count(*) >= 8 THEN 'finalized' ELSE 'open' END AS finish FROM k GROUP BY 1""")
 def _rollouts(spark, sf_dir):
-    name = "loom_roll_" + files.scratch(spark, "q").rpartition("-")[2]
+    """Each request's state after the last batch that had outputs of it."""
     stream = _streamed(spark, sf_dir, [C("o_custkey").alias("request"), C("o_orderkey").alias("order_no"), F.when(C("o_orderkey") % 5 == 0, "answer").otherwise("seg").alias("reason"), (C("o_orderkey") % 7).cast("double").alias("start"), (C("o_orderkey") % 7 + 2).cast("double").alias("end"), F.lit(10.0).alias("duration")])
-    return flows.run(flows.rollouts(stream, "request", "order_no"), name, files.scratch(spark, "checkpoint"), "update")
+    out = flows.run(flows.rollouts(stream, "request", "order_no"), files.scratch(spark, "stream-out"), files.scratch(spark, "checkpoint"), "update")
+    return out.groupBy("request").agg(F.max_by("finish", "batch").alias("finish"))

@@ -1,4 +1,7 @@
-"""Structured Streaming: incremental profiles, packing with carry-over, rollouts, dedup by id."""
+"""Structured Streaming: incremental profiles, packing with carry-over, rollouts, dedup by id.
+
+Results go to Parquet, never to the driver.
+"""
 
 from __future__ import annotations
 
@@ -21,15 +24,26 @@ def profile(stream: DataFrame, by: str, value: str) -> DataFrame:
     return stream.groupBy(by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
-def once_by_id(stream: DataFrame, key: str) -> DataFrame:
+def once_by_id(stream: DataFrame, key: str, time: str | None = None, late: str = "1 day") -> DataFrame:
+    """The first row of each key. With a time column, keys are held for ``late`` only, which bounds the state."""
+    if time:
+        return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
     return stream.dropDuplicates([key])
 
 
-def run(query_frame: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs until the input is read, into an in-memory table."""
-    q = query_frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return query_frame.sparkSession.table(name)
+def run(query_frame: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs until the input is read, into Parquet at path: the latest result (complete) or what each batch added, with its number.
+
+    A batch that is run again after a failure replaces what it wrote.
+    """
+    schema = query_frame.schema.add("batch", "long") if mode != "complete" else query_frame.schema
+
+    def write(df: DataFrame, number: int) -> None:
+        out = f"{path}/batch={number}" if mode != "complete" else f"{path}/latest"
+        df.write.mode("overwrite").parquet(out)
+
+    query_frame.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return query_frame.sparkSession.read.schema(schema).parquet(f"{path}/latest" if mode == "complete" else path)
 
 
 def packed(stream: DataFrame, shard: str, key: str, length: str, most: int, interval: int = 128) -> DataFrame:
