@@ -45,12 +45,12 @@ o AS (SELECT *, sum(w) OVER k AS wk, sum(3 * size) OVER k AS ck FROM s WINDOW k
 l AS (SELECT greatest(max((t - ck) / nullif(tw - wk, 0)), any_value(t / tw)) AS level FROM o, (SELECT sum(size) AS t, sum(w) AS tw FROM s))
 SELECT doc_id, n AS size, CAST(size AS BIGINT) AS source_size, CAST(round(least(3 * size, w * level)) AS BIGINT) AS target_words FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, l"""),
     "secret_counts": ("op5_secret_scan", ("doc_id", "n_assign", "n_access", "n_hex"), rf"""
-SELECT doc_id, len(list_filter({_FOUND('(?i:(password|passwd|secret|token|api_?key)["'"''"']?\x20*[:=]\x20*["'"''"']?([A-Za-z0-9+/_.=-]+))', 2)}, lambda x: length(x) >= 6)) AS n_assign,
-  len(list_filter({_FOUND('AKIA[A-Z0-9]+')}, lambda x: length(x) >= 20)) AS n_access, len(list_filter({_FOUND('[0-9a-f]+')}, lambda x: length(x) >= 24)) AS n_hex FROM documents"""),
+SELECT doc_id, len(list_filter({_FOUND(r'(?i:(password|passwd|secret|token|api_?key)["'"''"']?\x20*[:=]\x20*["'"''"']?([A-Za-z0-9+/_.=-]+))', 2)}, lambda x: length(x) >= 6)) AS n_assign,
+  len(list_filter({_FOUND(r'AKIA[A-Z0-9]+')}, lambda x: length(x) >= 20)) AS n_access, len(list_filter({_FOUND(r'[0-9a-f]+')}, lambda x: length(x) >= 24)) AS n_hex FROM documents"""),
     "personal_counts": ("op7_personal_data", ("doc_id", "n_email", "n_ip", "n_card", "n_phone"), rf"""
-SELECT doc_id, len({_FOUND('[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')}) AS n_email, len(list_filter({_FOUND('[0-9]+(?:\.[0-9]+){3}')}, lambda x: list_max(list_transform(string_split(x, '.'), lambda q: CASE WHEN length(ltrim(q, '0')) > 3 THEN 999 ELSE q::INT END)) <= 255)) AS n_ip,
-  len(list_filter({_FOUND('[0-9](?:[\x20-]?[0-9])+')}, lambda x: length({_DIGITS.format('x')}) BETWEEN 13 AND 19 AND {_LUHN})) AS n_card,
-  len(list_filter({_FOUND('\+[0-9][\x20().0-9-]+[0-9]')}, lambda x: length({_DIGITS.format('x')}) BETWEEN 9 AND 15)) AS n_phone FROM documents"""),
+SELECT doc_id, len({_FOUND(r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')}) AS n_email, len(list_filter({_FOUND(r'[0-9]+(?:\.[0-9]+){3}')}, lambda x: list_max(list_transform(string_split(x, '.'), lambda q: CASE WHEN length(ltrim(q, '0')) > 3 THEN 999 ELSE q::INT END)) <= 255)) AS n_ip,
+  len(list_filter({_FOUND(r'[0-9](?:[\x20-]?[0-9])+')}, lambda x: length({_DIGITS.format('x')}) BETWEEN 13 AND 19 AND {_LUHN})) AS n_card,
+  len(list_filter({_FOUND(r'\+[0-9][\x20().0-9-]+[0-9]')}, lambda x: length({_DIGITS.format('x')}) BETWEEN 9 AND 15)) AS n_phone FROM documents"""),
     "shard_row_sizes": ("op8_sharding", ("doc_id", "size", "law"), "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, 'bytes' AS law FROM documents"),
     "quality_rule_columns": ("op9_quality_rules", ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
