@@ -27,7 +27,7 @@ LABELLED = 20_000
 FOLDS, BROADCAST_LABELS = 5, 1_000_000
 #: Positions that fit beside a hash's upper bits; longer texts are sorted as pairs.
 INDEX_BITS = 20
-SYMBOLS = r"[^#*$%&|<>]+"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def _word_hashes(docs: DataFrame) -> DataFrame:
@@ -36,10 +36,19 @@ def _word_hashes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("words", words).withColumn("w", F.transform("words", lambda x: F.xxhash64(x)))
 
 
-def _grams(n: int) -> Column:
-    """Hashes of the runs of n words, in order."""
-    last = F.size("w") - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(n))))).otherwise(F.array().cast("array<bigint>"))
+def _after(n: int) -> Column:
+    """w from its n-th place on."""
+    return F.slice("w", n + 1, F.greatest(F.size("w") - n, F.lit(0)))
+
+
+def _pairs() -> Column:
+    """Hashes of neighbouring words, in order: the words' own ones, shifted apart and combined."""
+    return F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), _after(1), lambda a, b: F.shiftleft(a, 1).bitwiseXOR(b))
+
+
+def _triples() -> Column:
+    """The same of three words in a row; two runs of words share one by chance in 2 ** 62."""
+    return F.zip_with(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))), _after(2), lambda p, c: F.shiftleft(p, 1).bitwiseXOR(c))
 
 
 def _repeated_positions(grams: Column) -> Column:
@@ -63,16 +72,17 @@ def _repeated_positions(grams: Column) -> Column:
 
 
 def rules(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
-    """The ``keep`` column, w and the rules' columns for rows with a text."""
+    """The ``keep`` column, w, p (hashes of words and of pairs) and the rules' columns for rows with a text."""
     text, none = F.coalesce("text", F.lit("")), F.lit("")
     worded = _word_hashes(docs.select(keep, "text"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     counted = worded.select(
         keep, "w", F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
-        lines.alias("lines"), _grams(3).alias("g3"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        lines.alias("lines"), _pairs().alias("p"),
     )
+    counted = counted.withColumn("g3", _triples())
     counted = counted.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     again = F.when(F.size(F.array_distinct("g3")) < F.size("g3"), _repeated_positions(F.col("g3"))).otherwise(F.array().cast("array<int>"))
     counted = counted.withColumn("again", again)
@@ -80,14 +90,12 @@ def rules(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
     covered = F.aggregate("again", start, lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(3), p - s["last"])).alias("n")), lambda s: s["n"])
     counted = counted.withColumn("n_repeat_words", covered)
     failed = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
-    return counted.select(keep, "w", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return counted.select(keep, "w", "p", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
-def _features() -> Column:
-    bucket = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    last = F.size("w") - 2
-    pair = F.transform(F.sequence(F.lit(0), last), lambda i: bucket(F.xxhash64(F.get("w", i), F.get("w", i + 1))))
-    return F.concat(F.transform("w", bucket), F.when(last >= 0, pair).otherwise(F.array().cast("array<int>")))
+def _bucket(h: Column) -> Column:
+    """The hash's last bits; BUCKETS is a power of two."""
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 class LikelihoodRatio:
@@ -102,7 +110,7 @@ class LikelihoodRatio:
         sample = every.where("good = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
         known = materialise(sample.select("doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "sample")
         marked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left")
-        grams = _word_hashes(marked).select("fold", F.explode(_features()).alias("bucket"))
+        grams = _word_hashes(marked).select("fold", F.explode(F.concat("w", _pairs())).alias("h")).select("fold", _bucket(F.col("h")).alias("bucket"))
         folds = [F.count_if(F.col("fold") == k).alias(f"f{k}") for k in range(FOLDS)]
         counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), *folds).collect()
         raw, trusted = [1] * BUCKETS, [[1] * BUCKETS for _ in range(FOLDS + 1)]  # add-one smoothing; the last has all folds
@@ -117,7 +125,7 @@ class LikelihoodRatio:
         if labelled.count() <= BROADCAST_LABELS:
             labelled = F.broadcast(labelled)
         scored = _word_hashes(docs.select("doc_id", "text").join(labelled, "doc_id")).where(F.size("w") >= 50)
-        scored = materialise(scored.select("good", self._mean(F.get(F.from_json(F.lit(json.dumps(ratios)), "array<array<double>>"), F.col("fold"))).alias("score")), "scores")
+        scored = materialise(scored.withColumn("p", _pairs()).select("good", self._mean(F.get(F.from_json(F.lit(json.dumps(ratios)), "array<array<double>>"), F.col("fold"))).alias("score")), "scores")
         of = lambda good, q: F.percentile_approx(F.when(F.col("good") == good, F.col("score")), q, 1_000_000)
         low, middle, tail = scored.agg(F.min(F.when(F.col("good") == 1, F.col("score"))), of(0, 0.5), of(1, 1 - keep)).first()
         self.found = (low, tail, middle)
@@ -130,13 +138,13 @@ class LikelihoodRatio:
         return [math.log(b / t) - math.log(a / r) if t > BUCKETS else 0.0 for a, b in zip(raw, trusted, strict=True)]
 
     def score(self) -> Column:
-        """Of rows with w; null for texts without words."""
+        """Of rows with w and p; null for texts without words."""
         return self._mean(F.from_json(F.lit(json.dumps(self.table)), "array<double>"))
 
     @staticmethod
     def _mean(ratios: Column) -> Column:
-        buckets = _features()
-        return F.aggregate(buckets, F.lit(0.0), lambda total, b: total + F.get(ratios, b)) / F.nullif(F.size(buckets), F.lit(0))
+        total = F.aggregate("p", F.aggregate("w", F.lit(0.0), lambda s, h: s + F.get(ratios, _bucket(h))), lambda s, h: s + F.get(ratios, _bucket(h)))
+        return total / F.nullif(F.size("w") + F.size("p"), F.lit(0))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,7 +160,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _verdicts(docs: DataFrame, model: LikelihoodRatio, keep: str) -> DataFrame:
     kept = ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= F.lit(model.threshold))
-    return rules(docs, keep).withColumn("llr", model.score()).withColumn("kept", kept).drop("w")
+    return rules(docs, keep).withColumn("llr", model.score()).withColumn("kept", kept).drop("w", "p")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

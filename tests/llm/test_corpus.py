@@ -74,7 +74,7 @@ def test_threshold_covers_all_labelled_texts(spark, monkeypatch):
     docs = [(i, " ".join(random.Random(i).choices(other if i % 10 == 0 else vocabulary, k=150))) for i in range(200)] + [(500 + i, " ".join(f"x{i}y{k}" for k in range(150))) for i in range(20)]
     labels = [(i, 1, 0) for i in range(200)] + [(500 + i, 0, 0) for i in range(20)]
     model = quality_rules.LikelihoodRatio(*(spark.createDataFrame(x, y) for x, y in ((docs, "doc_id long, text string"), (labels, "doc_id long, quality int, toxic int"))))
-    scores = [r.s for r in quality_rules._word_hashes(spark.createDataFrame(docs[:200], "doc_id long, text string")).select(model.score().alias("s")).collect()]
+    scores = [r.s for r in quality_rules._word_hashes(spark.createDataFrame(docs[:200], "doc_id long, text string")).withColumn("p", quality_rules._pairs()).select(model.score().alias("s")).collect()]
     assert model.found[0] <= min(scores) + 1e-9 and model.threshold <= min(scores) + 1e-9
 
 
@@ -87,8 +87,7 @@ def test_ratio_and_verdicts_against_plain_counts(spark, sf_dir, texts):
         if r.doc_id is not None and r.quality is not None and (r.quality == 0 or (r.toxic or 0) == 0):
             good[r.doc_id] = min(good.get(r.doc_id, 1), 1 if r.quality == 1 else 0)
     hashed = docs.select("doc_id", F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.xxhash64(w)).alias("w"))
-    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1)))
-    grams = {r.doc_id: [h % quality_rules.BUCKETS for h in (*r.w, *r.p)] for r in hashed.select("doc_id", "w", pairs.alias("p")).collect()}
+    grams = {r.doc_id: [h % quality_rules.BUCKETS for h in (*r.w, *((a << 1) ^ b for a, b in zip(r.w, r.w[1:], strict=False)))] for r in hashed.collect()}
     n_words = {i: len(WORD.findall(t or "")) for i, t in texts.items()}
     fold = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(quality_rules.FOLDS)).alias("f")).collect()}
     raw = collections.Counter(b for g in grams.values() for b in g)
