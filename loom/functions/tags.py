@@ -54,16 +54,21 @@ def structured(response: Column) -> Column:
     return response.rlike(WHOLE) & think.rlike(SEGMENT) & (found != "")
 
 
+# --- fixed values: what normalising strips from answers
+SECONDS, PUNCTUATION, ARTICLES = r"(\d+(?:\.\d+)?)\s*seconds?", r"[!-/:-@\[-`{-~]", r"\b(a|an|the)\b"
+# ---
+
+
 def normalised_answer(x: Column) -> Column:
     """Lower case, single blanks, no final periods, and "N seconds" as N."""
     x = F.rtrim(F.regexp_replace(F.lower(strip(x)), r"\s+", " "), F.lit("."))
-    return strip(F.regexp_replace(x, r"(\d+(?:\.\d+)?)\s*seconds?", "$1"))
+    return strip(F.regexp_replace(x, SECONDS, "$1"))
 
 
 def qa_normalised(x: Column) -> Column:
     """Lower case without ASCII punctuation, articles and extra blanks."""
-    x = F.regexp_replace(F.lower(x), r"[!-/:-@\[-`{-~]", "")
-    return strip(F.regexp_replace(F.regexp_replace(x, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    x = F.regexp_replace(F.lower(x), PUNCTUATION, "")
+    return strip(F.regexp_replace(F.regexp_replace(x, ARTICLES, " "), r"\s+", " "))
 
 
 def segment_count_valid(response: Column, duration: Column | None = None) -> Column:

@@ -23,9 +23,14 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"(?U)[\w']+|[^\w\s]"), F.lit(0))
 
 
+# --- fixed values: what a template generalises, in this order
+NUMBER, SEGMENT = (r"\b\d+\.?\d*\b", "NUM"), (r"<seg>\s*[\d.]+\s*,\s*[\d.]+\s*</seg>", "<seg>SEG</seg>")
+# ---
+
+
 def template(x: Column) -> Column:
     """Numbers generalised first, then segments (whose numbers are then gone, so that rule finds none)."""
-    return F.regexp_replace(F.regexp_replace(x, r"\b\d+\.?\d*\b", "NUM"), r"<seg>\s*[\d.]+\s*,\s*[\d.]+\s*</seg>", "<seg>SEG</seg>")
+    return F.regexp_replace(F.regexp_replace(x, *NUMBER), *SEGMENT)
 
 
 def opening(x: Column, words: int = 5) -> Column:
@@ -124,6 +129,12 @@ def question_type(x: Column) -> Column:
     return out
 
 
+# --- fixed values: the patterns and bounds of a bad description
+SPELLED_OUT, REPEATED_DIGITS = r"\b(?:[A-Za-z]\s+){3,}[A-Za-z]\b", ("(?:1000){5,}", r"(?:0\s*){20,}")
+LEAST_WORDS, LONG_TEXT, LONG_LEAST_WORDS, SHORT_SHARE, MOST_DIGITS = 6, 200, 10, 0.35, 50
+# ---
+
+
 def bad_description(x: Column) -> Column:
     """Echoed prompts, too few words, spelled-out words, runs of digits."""
     low, words = F.lower(F.trim(x)), F.regexp_extract_all(x, F.lit("[A-Za-z]+"), F.lit(0))
@@ -132,8 +143,8 @@ def bad_description(x: Column) -> Column:
     for p in BAD_DESCRIPTIONS:
         echoed = echoed | low.contains(p)
     return (
-        (F.coalesce(x, F.lit("")) == "") | echoed | (F.size(words) < 6) | ((F.length(x) > 200) & (F.size(words) < 10)) | x.rlike(r"\b(?:[A-Za-z]\s+){3,}[A-Za-z]\b")
-        | (short > F.size(words) * 0.35) | (F.regexp_count(x, F.lit(r"\d")) > 50) | x.rlike("(?:1000){5,}") | x.rlike(r"(?:0\s*){20,}")
+        (F.coalesce(x, F.lit("")) == "") | echoed | (F.size(words) < LEAST_WORDS) | ((F.length(x) > LONG_TEXT) & (F.size(words) < LONG_LEAST_WORDS)) | x.rlike(SPELLED_OUT)
+        | (short > F.size(words) * SHORT_SHARE) | (F.regexp_count(x, F.lit(r"\d")) > MOST_DIGITS) | x.rlike(REPEATED_DIGITS[0]) | x.rlike(REPEATED_DIGITS[1])
     )
 
 
