@@ -72,7 +72,7 @@ def length_baseline(uid: str, r: str, length: str) -> Column:
     return F.when(F.count("*").over(w) == 1, F.col(r)).otherwise(F.col(r) - F.sum(F.col(length) * F.col(r)).over(w) / F.sum(length).over(w))
 
 
-def _flowing_back(df: DataFrame, x: Column, factor: float, by: list[str], out: str) -> DataFrame:
+def _flowing_back(df: DataFrame, x: Column, factor: float, by: list[str], out: str, pos: str = "pos") -> DataFrame:
     """Adds y[pos] = x[pos] + factor * y[pos + 1] within ``by``; pos is gapless and factor within [0, 1].
 
     A stretch of positions is one window of scaled sums, x * factor ** place / factor ** place, and is
@@ -81,10 +81,10 @@ def _flowing_back(df: DataFrame, x: Column, factor: float, by: list[str], out: s
     """
     if factor == 0:
         return df.withColumn(out, x)
-    place = F.col("pos").cast("long")
+    place = F.col(pos).cast("long")
     stretch = F.lit(2**62) if factor >= 1 else F.lit(max(1, int(math.log(1e-100) / math.log(factor))))
     cut = df.withColumn("_x", x).withColumn("_s", F.floor(place / stretch)).withColumn("_p", F.pow(F.lit(float(factor)), place % stretch))
-    back = W.Window.partitionBy(*by, "_s").orderBy(F.desc("pos")).rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+    back = W.Window.partitionBy(*by, "_s").orderBy(F.desc(pos)).rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
     summed = cut.withColumn(out, F.sum(F.col("_x") * F.col("_p")).over(back) / F.col("_p"))
     if factor < 1:
         after = W.Window.partitionBy(*by).orderBy("_s").rangeBetween(1, 1)
@@ -167,13 +167,12 @@ def positions(df: DataFrame) -> Column:
     return F.when(F.col("mask") == 1, F.sum("mask").over(W.Window.partitionBy("seq").orderBy("pos")) - 1).otherwise(0)
 
 
-def smoothed(df: DataFrame, by: list[str], order: list[str], x: str, factor: float) -> Column:
-    """Exponential average with bias correction, as a weighted sum over the series so far."""
-    w = W.Window.partitionBy(*by).orderBy(*order)
-    k = F.row_number().over(w)
-    past = F.collect_list(x).over(w.rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow))
-    total = F.aggregate(past, F.lit(0.0), lambda a, v: a * factor + v)
-    return total * (1 - factor) / (1 - F.pow(F.lit(factor), k))
+def smoothed(df: DataFrame, by: list[str], order: list[str], x: str, factor: float, out: str = "smooth") -> DataFrame:
+    """Adds the exponential average with bias correction of each series so far, for series of any length."""
+    series = W.Window.partitionBy(*by)
+    placed = df.withColumn("_k", F.row_number().over(series.orderBy(*order))).withColumn("_back", F.count("*").over(series) - F.col("_k"))
+    summed = _flowing_back(placed, F.col(x), factor, by, "_sum", "_back")
+    return summed.withColumn(out, F.col("_sum") * (1 - factor) / (1 - F.pow(F.lit(factor), F.col("_k")))).drop("_k", "_back", "_sum")
 
 
 def preferred(pair: str, score: str, place: str) -> Column:

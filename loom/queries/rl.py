@@ -53,7 +53,7 @@ tok("entropy__WIN15_MTH06", lambda v: v.select("seq", "pos", R10(op.entropy(F.ar
 tok("loss_aggregates__AGG17", lambda v: op.losses(v, F.col("p"), 12).select(*[F.round(c, 6).alias(c) for c in ("token_mean", "seq_mean_token_sum", "seq_mean_token_mean", "seq_mean_token_sum_norm")]),
     ", s AS (SELECT seq, sum(p * mask) AS s, sum(mask) AS n FROM v GROUP BY 1) SELECT round(sum(s) / (sum(n) + 1e-8), 6) AS token_mean, round(avg(s), 6) AS seq_mean_token_sum, round(avg(s / nullif(n, 0)), 6) AS seq_mean_token_mean, round(sum(s) / 12, 6) AS seq_mean_token_sum_norm FROM s")
 SERIES = "SELECT l_orderkey AS seq, pos, q FROM (" + views.TOKENS.replace("AS seq", "AS l_orderkey") + ") z"
-over("smoothed_series__WIN16", lambda v: v.select("seq", "pos", F.round(op.smoothed(v, ["seq"], ["pos"], "q", 0.9), 6).alias("s")), " SELECT seq, pos, round(sum(q * pow(0.9, -pos)) OVER (PARTITION BY seq ORDER BY pos) * pow(0.9, pos) * 0.1 / (1 - pow(0.9, pos + 1)), 6) AS s FROM v", views.TOKENS)
+over("smoothed_series__WIN16", lambda v: op.smoothed(v, ["seq"], ["pos"], "q", 0.9).select("seq", "pos", F.round("smooth", 6).alias("s")), " SELECT seq, pos, round(sum(q * pow(0.9, -pos)) OVER (PARTITION BY seq ORDER BY pos) * pow(0.9, pos) * 0.1 / (1 - pow(0.9, pos + 1)), 6) AS s FROM v", views.TOKENS)
 PAIRS = "SELECT o_orderkey AS rid, o_custkey AS uid, CAST(o_orderkey % 4 AS DOUBLE) AS score, CAST(floor(o_orderkey / 2) AS BIGINT) AS pair FROM {orders}"
 over("pair_preferences__WIN17_WIN18", lambda v: v.select("rid", op.preferred("pair", "score", "rid").alias("chosen"), op.bucket(F.col("rid"), 8).alias("bucket")), " SELECT rid, row_number() OVER (PARTITION BY pair ORDER BY score DESC, rid) = 1 AS chosen, CAST(floor(rid / 8) AS BIGINT) AS bucket FROM v", PAIRS)
 ACC = "SELECT o_custkey AS uid, o_orderkey AS rid, o_totalprice AS score, CAST(o_orderkey % 3 AS DOUBLE) / 2 AS acc FROM {orders}"

@@ -200,3 +200,14 @@ def test_plain_math(given, plain):
 def test_json_object():
     assert sequential.json_object('x {a} {"b": "}"} {"c": 1}') == '{"b": "}"}'
     assert sequential.json_object('{"a": {"b": 1}') == '{"b": 1}' and sequential.json_object("{" * 50_000) is None and sequential.json_object("none") is None
+
+
+@pytest.mark.parametrize("factor", [0.0, 0.5, 0.99])
+def test_smoothing_of_long_series(spark, factor):
+    n = 8000
+    rows = spark.range(n).select(F.lit(1).alias("g"), "id", (F.col("id") % 11 / 2).alias("x"))
+    total, expected = 0.0, []
+    for i in range(n):
+        total = total * factor + (1 - factor) * (i % 11 / 2)
+        expected.append(total / (1 - factor ** (i + 1)))
+    assert [r.smooth for r in rl.smoothed(rows, ["g"], ["id"], "x", factor).orderBy("id").collect()] == pytest.approx(expected, rel=1e-9)
