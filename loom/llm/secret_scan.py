@@ -132,15 +132,18 @@ class Network:
         self.slope, self.shift, self.threshold = 1.0, 0.0, 0.5
 
     def forward(self, x: np.ndarray):
+        """Logits.  A class has one product with each of the filter's places: the convolution is a sum of five look-ups."""
         places = LENGTH - WIDTH + 1
-        e = self.p["embed"][x]
-        cols = np.lib.stride_tricks.sliding_window_view(e, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(x) * places, WIDTH * self.DEPTH)
-        h = np.maximum(cols @ self.p["filter"] + self.p["bias"], 0).reshape(len(x), places, CHANNELS)
+        look = self.p["embed"] @ self.p["filter"].reshape(WIDTH, self.DEPTH, CHANNELS)  # place, class, channel
+        h = look[0][x[:, :places]] + self.p["bias"]
+        for k in range(1, WIDTH):
+            h += look[k][x[:, k : k + places]]
+        np.maximum(h, 0, out=h)
         pooled = np.concatenate((h.max(axis=1), h.mean(axis=1)), axis=1)
-        return pooled @ self.p["out"] + self.p["base"], (cols, h, pooled)
+        return pooled @ self.p["out"] + self.p["base"], (h, pooled)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        z, (cols, h, pooled) = self.forward(x)
+        z, (h, pooled) = self.forward(x)
         n, places, _ = h.shape
         d = ((_logistic(z) - y) / n).astype(np.float32)
         g = {"out": pooled.T @ d, "base": d.sum(keepdims=True)}
@@ -149,13 +152,16 @@ class Network:
         top = h.argmax(axis=1)
         dh[np.arange(n)[:, None], top, np.arange(CHANNELS)] += dp[:, :CHANNELS]
         dh = (dh * (h > 0)).reshape(-1, CHANNELS)
-        g["filter"], g["bias"] = cols.T @ dh, dh.sum(axis=0)
-        dc = (dh @ self.p["filter"].T).reshape(n, places, WIDTH, self.DEPTH)
-        de = np.zeros((n, LENGTH, self.DEPTH), np.float32)
-        for k in range(WIDTH):
-            de[:, k : k + places] += dc[:, :, k]
-        g["embed"] = np.zeros_like(self.p["embed"])
-        np.add.at(g["embed"], x.ravel(), de.reshape(-1, self.DEPTH))
+        g["bias"] = dh.sum(axis=0)
+        look = np.zeros((WIDTH, 2 * CLASSES, CHANNELS), np.float32)
+        for k in range(WIDTH):  # sums of the places' gradients by class
+            at = x[:, k : k + places].astype(np.uint8).ravel()
+            order = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.diff(at[order].astype(np.int64), prepend=-1))
+            look[k, at[order[starts]]] = np.add.reduceat(dh[order], starts, axis=0)
+        filters = self.p["filter"].reshape(WIDTH, self.DEPTH, CHANNELS)
+        g["filter"] = (self.p["embed"].T @ look).reshape(WIDTH * self.DEPTH, CHANNELS)
+        g["embed"] = (look @ filters.transpose(0, 2, 1)).sum(axis=0)
         return g
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 6) -> None:
