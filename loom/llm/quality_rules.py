@@ -27,6 +27,8 @@ LABELLED = 20_000
 FOLDS, BROADCAST_LABELS = 5, 1_000_000
 #: Positions that fit beside a hash's upper bits; longer texts are sorted as pairs.
 INDEX_BITS = 20
+#: Decimals of a ratio: the tables are literals, and plans are printed and logged with theirs.
+DIGITS = 4
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -135,7 +137,7 @@ class LikelihoodRatio:
     @staticmethod
     def _ratios(raw: list[int], trusted: list[int]) -> list[float]:
         r, t = sum(raw), sum(trusted)
-        return [math.log(b / t) - math.log(a / r) if t > BUCKETS else 0.0 for a, b in zip(raw, trusted, strict=True)]
+        return [round(math.log(b / t) - math.log(a / r), DIGITS) if t > BUCKETS else 0.0 for a, b in zip(raw, trusted, strict=True)]
 
     def score(self) -> Column:
         """Of rows with w and p; null for texts without words."""
@@ -143,7 +145,7 @@ class LikelihoodRatio:
 
     @staticmethod
     def _mean(ratios: Column) -> Column:
-        total = F.aggregate("p", F.aggregate("w", F.lit(0.0), lambda s, h: s + F.get(ratios, _bucket(h))), lambda s, h: s + F.get(ratios, _bucket(h)))
+        total = F.aggregate(F.concat("w", "p"), F.lit(0.0), lambda s, h: s + F.get(ratios, _bucket(h)))
         return total / F.nullif(F.size("w") + F.size("p"), F.lit(0))
 
 

@@ -95,7 +95,7 @@ def test_ratio_and_verdicts_against_plain_counts(spark, sf_dir, texts):
     def ratios(without):
         trusted = collections.Counter(b for i, g in grams.items() if good.get(i) == 1 and fold[i] != without for b in g)
         t, r = sum(trusted.values()) + quality_rules.BUCKETS, sum(raw.values()) + quality_rules.BUCKETS
-        return lambda g: sum(math.log((trusted[b] + 1) / t) - math.log((raw[b] + 1) / r) for b in g) / len(g) if g else None
+        return lambda g: sum(round(math.log((trusted[b] + 1) / t) - math.log((raw[b] + 1) / r), 4) for b in g) / len(g) if g else None
 
     score, folded = ratios(None), [ratios(k) for k in range(quality_rules.FOLDS)]
     trusted = sorted(folded[fold[i]](grams[i]) for i in good if good[i] and n_words.get(i, 0) >= 50)
