@@ -6,6 +6,8 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
+from loom.llm.whitening import WHITENED_ROWS_SQL
+
 #: name: (module, function, SQL constant or None)
 _NAMES = {
     "op1_source_mix": ("source_mix", "op1_source_mix", None),
@@ -18,10 +20,12 @@ _NAMES = {
     "op8_sharding": ("sharding", "op8_sharding", None),
     "op9_quality_rules": ("quality_rules", "op9_quality_rules", None),
     "op10_exact_dedup": ("exact_dedup", "op10_exact_dedup", "OP10_SQL"),
+    "op11_line_dedup": ("line_dedup", "op11_line_dedup", "OP11_SQL"),
+    "op12_merkle_manifest": ("merkle", "op12_merkle_manifest", "OP12_SQL"),
+    "op13_whitening": ("whitening", "op13_whitening", None),
 }
 
 
-
 def _columns(name: str, *columns: str):
     """The columns of an operator's query that SQL can express."""
 
@@ -51,6 +55,7 @@ SELECT doc_id, len(list_filter({_FOUND(r'(?i:(password|passwd|secret|token|api_?
 SELECT doc_id, len({_FOUND(r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')}) AS n_email, len(list_filter({_FOUND(r'[0-9]+(?:\.[0-9]+){3}')}, lambda x: list_max(list_transform(string_split(x, '.'), lambda q: CASE WHEN length(ltrim(q, '0')) > 3 THEN 999 ELSE q::INT END)) <= 255)) AS n_ip,
   len(list_filter({_FOUND(r'[0-9](?:[\x20-]?[0-9])+')}, lambda x: length({_DIGITS.format('x')}) BETWEEN 13 AND 19 AND {_LUHN})) AS n_card,
   len(list_filter({_FOUND(r'\+[0-9][\x20().0-9-]+[0-9]')}, lambda x: length({_DIGITS.format('x')}) BETWEEN 9 AND 15)) AS n_phone FROM documents"""),
+    "whitened_rows": ("op13_whitening", ("vec_id", "component", "n", "deviation"), WHITENED_ROWS_SQL),
     "shard_row_sizes": ("op8_sharding", ("doc_id", "size", "law"), "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, 'bytes' AS law FROM documents"),
     "quality_rule_columns": ("op9_quality_rules", ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
