@@ -140,6 +140,7 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
     A part of the range sort is one task's; a tie that ``order`` leaves must be between equal rows.
     """
+    size = CHUNK
 
     @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +151,7 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
             chunks, places = [], []
             for grp in batch["grp"].to_pylist():
                 last, local = grp, local + 1 if grp == last else 0
-                chunks.append(f"{part}-{row // CHUNK}")
+                chunks.append(f"{part}-{row // size}")
                 places.append(local)
                 row += 1
             more = [pa.array([part] * batch.num_rows, pa.int32()), pa.array(chunks, pa.string()), pa.array(places, pa.int64())]

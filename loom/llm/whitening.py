@@ -150,7 +150,7 @@ def _projected(model: Whitening):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = model.components
         for batch in batches:
-            if batch.num_rows:
+            if batch.num_rows and k:
                 off = deviations(_matrix(batch.column(1)), model.n, model.sums)
                 w = model.project(off)
                 if off.dtype != object and float(abs(off).max(initial=0)) ** 2 * off.shape[1] < 2**62:
