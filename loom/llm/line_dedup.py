@@ -26,11 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loom.llm.common import discard, materialise, released, small_batches, table, with_groups
-from loom.llm.exact_dedup import LOWER, UPPER
 
 #: Stripped at both ends of a line: the blank and the controls 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
-LOWER_CASED = str.maketrans(UPPER, LOWER)
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Of the filters: bits set per hash, hashes per 64-bit word on average (16 bits a hash).
 PROBES, PER_WORD = 4, 4
@@ -44,7 +42,7 @@ def _keys(text: str | None, least_chars: int) -> Iterator[tuple[int, bytes]]:
     """Place and key of each line long enough."""
     for pos, line in enumerate(text.split("\n") if text else ()):
         if len(line) >= least_chars and len(key := line.strip(BLANKS)) >= least_chars:
-            yield pos, (key.lower() if key.isascii() else key.translate(LOWER_CASED)).encode()
+            yield pos, key.encode().lower()  # of bytes, lower() takes A-Z only
 
 
 def _hashes(keys: list[bytes]) -> np.ndarray:
