@@ -260,21 +260,28 @@ def texts(function, kind: str = "string"):
     return run
 
 
+def rollout_step(used: list[tuple[float, float]], output: dict, n: int, threshold: float = 0.8, most: int = 8, finalise: bool = True) -> str | None:
+    """Takes a request's n-th output (reason, start, end, duration); adds its segment to ``used`` or says how the request ends."""
+    if output["reason"] == "answer":
+        return "answer"
+    if output["reason"] != "seg":
+        return "finalized" if finalise else output["reason"]
+    a, b = (max(0.0, min(output[x], output["duration"])) for x in ("start", "end"))
+    if a < b:
+        common = [max(0.0, min(b, y) - max(a, x)) for x, y in used]
+        if not any(c / ((b - a) + (y - x) - c) >= threshold for c, (x, y) in zip(common, used, strict=True)):
+            used.append((a, b))
+    if n >= most:
+        return "finalized" if finalise else "max_rounds"
+    return None
+
+
 def rollout(steps: Sequence[dict], threshold: float = 0.8, most: int = 8, finalise: bool = True) -> dict:
     """Folds a request's outputs (reason, start, end, duration) in order: accepted segments, rounds, and how it ended."""
     used: list[tuple[float, float]] = []
     for n, s in enumerate(steps, 1):
-        if s["reason"] == "answer":
-            return {"rounds": n, "segments": len(used), "finish": "answer"}
-        if s["reason"] != "seg":
-            return {"rounds": n, "segments": len(used), "finish": "finalized" if finalise else s["reason"]}
-        a, b = max(0.0, min(s["start"], s["duration"])), max(0.0, min(s["end"], s["duration"]))
-        if a < b:
-            common = [max(0.0, min(b, y) - max(a, x)) for x, y in used]
-            if not any(c / ((b - a) + (y - x) - c) >= threshold for c, (x, y) in zip(common, used, strict=True)):
-                used.append((a, b))
-        if n >= most:
-            return {"rounds": n, "segments": len(used), "finish": "finalized" if finalise else "max_rounds"}
+        if finish := rollout_step(used, s, n, threshold, most, finalise):
+            return {"rounds": n, "segments": len(used), "finish": finish}
     return {"rounds": len(steps), "segments": len(used), "finish": "open"}
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loom import views
@@ -143,21 +146,80 @@ def _once(spark, sf_dir):
     return flows.run(flows.once_by_id(_streamed(spark, sf_dir, [C("l_orderkey").alias("id")], "lineitem"), "id"), files.scratch(spark, "stream-out"), files.scratch(spark, "checkpoint"), "append").agg(F.count("*").alias("n"))
 
 
-@query("streamed_packing__SET16", "SELECT o_custkey % 4 AS shard, true AS fits, true AS once, true AS few FROM orders GROUP BY 1")
+def _in_runs(spark, parts, shard, make, mode="append", end=True):
+    """Writes the parts one after the other as a stream's input and runs the query after each, from its checkpoint; then end markers."""
+    path, out, checkpoint = (files.scratch(spark, x) for x in ("stream-in", "stream-out", "checkpoint"))
+    for part in [*parts, *([flows.end_markers(reduce(DataFrame.unionByName, parts), shard)] if end else [])]:
+        part.write.mode("append").parquet(path)
+        found = flows.run(make(flows.source(spark, path, part.schema, files_per_trigger=10_000)), out, checkpoint, mode)
+    return found
+
+
+def _halves(rows, key):
+    """Rows up to the middle of the key's range, and those above."""
+    middle = rows.agg(F.avg(key).alias("m")).first().m or 0
+    return [rows.where(C(key) <= middle), rows.where(C(key) > middle)]
+
+
+@query("streamed_packing__SET16", "SELECT o_orderkey AS id, o_custkey % 4 AS shard, o_orderkey % 50 + 1 AS len, true AS fits FROM orders")
 def _packing(spark, sf_dir):
-    """Per shard: no bin holds more than 128, no row is packed twice, and less than an interval of rows still waits."""
-    columns = [(C("o_custkey") % 4).alias("shard"), C("o_orderkey").alias("id"), (C("o_orderkey") % 50 + 1).alias("len")]
-    out = flows.run(flows.packed(_streamed(spark, sf_dir, columns), "shard", "id", "len", 128), files.scratch(spark, "stream-out"), files.scratch(spark, "checkpoint"), "append")
-    rows = views.read(spark, sf_dir, "orders").select(*columns)
-    bins = out.join(rows.select("id", "len"), "id").groupBy("shard", "bin").agg(F.sum("len").alias("held"), F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
-    per = bins.groupBy("shard").agg((F.max("held") <= 128).alias("fits"), (F.sum("n") == F.sum("ids")).alias("once"), F.sum("n").alias("n"))
-    return per.join(rows.groupBy("shard").agg(F.count("*").alias("all")), "shard").select("shard", "fits", "once", (F.col("all") - F.col("n")).between(0, 127).alias("few"))
+    """Every row once, in a bin of its shard that holds no more than 128; the query is stopped twice on the way."""
+    rows = views.read(spark, sf_dir, "orders").select((C("o_custkey") % 4).alias("shard"), C("o_orderkey").alias("id"), (C("o_orderkey") % 50 + 1).alias("len"))
+    out = _in_runs(spark, _halves(rows, "id"), "shard", lambda stream: flows.packed(stream, "shard", "id", "len", 128))
+    packed = out.select("id", "shard", "bin").join(rows.select("id", "len"), "id")
+    held = packed.groupBy("shard", "bin").agg((F.sum("len") <= 128).alias("fits"))
+    return packed.join(held, ["shard", "bin"]).select("id", "shard", "len", "fits")
+
+
+@query("streamed_shuffle__SMP03", "SELECT o_orderkey AS id, o_custkey % 4 AS shard, o_orderstatus AS st, true AS near, true AS placed FROM orders")
+def _stream_shuffle(spark, sf_dir):
+    """Every row once, at a place of its own, and none a buffer's size or more before the place it came at."""
+    rows = views.read(spark, sf_dir, "orders").select((C("o_custkey") % 4).alias("shard"), C("o_orderkey").alias("id"), C("o_orderstatus").alias("st"))
+    out = _in_runs(spark, _halves(rows, "id"), "shard", lambda stream: flows.shuffled(stream, "shard", "id", 200, 7))
+    came, went = (F.row_number().over(Window.partitionBy("shard").orderBy(c)) - 1 for c in ("id", "at"))
+    return out.withColumn("came", came).withColumn("went", went).select("id", "shard", "st", (C("at") > C("came") - 200).alias("near"), (C("went") == C("at")).alias("placed"))
+
+
+@query("streamed_split__SMP02", "SELECT id, shard, CASE WHEN k <= 20 THEN 'val' ELSE 'train' END AS part FROM (SELECT o_orderkey AS id, o_custkey % 4 AS shard, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 200")
+def _stream_split(spark, sf_dir):
+    """The first 200 rows of each shard, a tenth of them held out."""
+    rows = views.read(spark, sf_dir, "orders").select((C("o_custkey") % 4).alias("shard"), C("o_orderkey").alias("id"))
+    return _in_runs(spark, _halves(rows, "id"), "shard", lambda stream: flows.split(stream, "shard", "id", 200, 0.1), end=False).select("id", "shard", "part")
+
+
+@query("cycled_rows__STREAM", "SELECT CAST(e AS INTEGER) AS epoch, o_orderkey AS id, true AS alike FROM orders, range(3) t(e)")
+def _cycled(spark, sf_dir):
+    """Two epochs, then one more from the checkpoint; a row has the same place in each."""
+    path, out, checkpoint = (files.scratch(spark, x) for x in ("cycle-in", "cycle-out", "checkpoint"))
+    views.read(spark, sf_dir, "orders").select(C("o_orderkey").alias("id")).repartitionByRange(4, "id").write.parquet(path)
+    for epochs in (2, 3):
+        found = flows.run(flows.cycle(spark, path, "id long", epochs), out, checkpoint, "append")
+    places = found.groupBy("id").agg((F.count_distinct("place", "row") == 1).alias("alike"))
+    return found.join(places, "id").select("epoch", "id", "alike")
+
+
+LINE = "CASE WHEN o_orderkey % 50 = 7 THEN '{bad' WHEN o_orderkey % 50 = 9 THEN '' ELSE '{\"id\": ' || o_orderkey || ', \"st\": \"' || o_orderstatus || '\", \"labels\": [\"' || o_orderpriority || '\", \"x\"]}' END"
+_TAILED = "SELECT *, o_orderkey % 50 NOT IN (7, 9) AS good FROM orders"
+
+
+@query("tailed_counters__SRC14", f"""WITH o AS ({_TAILED}), c AS (SELECT 'lines' AS counter, NULL AS key, count(*) AS n FROM o UNION ALL SELECT 'bad', NULL, count(*) FILTER (WHERE o_orderkey % 50 = 7) FROM o UNION ALL SELECT 'samples', NULL, count(*) FILTER (WHERE good) FROM o
+  UNION ALL SELECT 'ids', NULL, coalesce(sum(o_orderkey) FILTER (WHERE good), 0) FROM o UNION ALL SELECT 'open', NULL, count(*) FILTER (WHERE good AND o_orderstatus = 'O') FROM o UNION ALL SELECT 'status', o_orderstatus, count(*) FROM o WHERE good GROUP BY ALL
+  UNION ALL SELECT 'label', o_orderpriority, count(*) FROM o WHERE good GROUP BY ALL UNION ALL SELECT 'label', 'x', count(*) FROM o WHERE good HAVING count(*) > 0) SELECT counter, key, CAST(n AS BIGINT) AS n FROM c""")
+def _tailed(spark, sf_dir):
+    """JSON lines in eight files that grow between two runs of one query: blank and broken lines among them."""
+    path, out, checkpoint = (files.scratch(spark, x) for x in ("grows", "counters", "checkpoint"))
+    rows = views.read(spark, sf_dir, "orders")
+    for part in _halves(rows, "o_orderkey"):
+        files.append_lines(part.select("o_custkey", F.expr(LINE).alias("line")), "line", C("o_custkey") % 8, path)
+        found = flows.running_counters(flows.tail(spark, path), "id long, st string, labels array<string>", {"ids": C("r.id"), "open": C("r.st") == "O"}, {"status": C("r.st"), "label": C("r.labels")}, out, checkpoint)
+    return found.groupBy("counter", "key").agg(F.sum("n").cast("long").alias("n"))
 
 
 @query("streamed_rollouts__STREAM", f"""WITH v AS ({views.duck(ROLL)}), k AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY order_no) AS k FROM v)
 SELECT request, CASE WHEN min(CASE WHEN reason = 'answer' THEN k END) <= 8 THEN 'answer' WHEN count(*) >= 8 THEN 'finalized' ELSE 'open' END AS finish FROM k GROUP BY 1""")
 def _rollouts(spark, sf_dir):
-    """Each request's state after the last batch that had outputs of it."""
-    stream = _streamed(spark, sf_dir, [C("o_custkey").alias("request"), C("o_orderkey").alias("order_no"), F.when(C("o_orderkey") % 5 == 0, "answer").otherwise("seg").alias("reason"), (C("o_orderkey") % 7).cast("double").alias("start"), (C("o_orderkey") % 7 + 2).cast("double").alias("end"), F.lit(10.0).alias("duration")])
-    out = flows.run(flows.rollouts(stream, "request", "order_no"), files.scratch(spark, "stream-out"), files.scratch(spark, "checkpoint"), "update")
+    """Each request's state after the last batch that had outputs of it; every third output comes before its turn."""
+    rows = views.view(spark, sf_dir, ROLL).withColumn("place", F.row_number().over(Window.partitionBy("request").orderBy("order_no")) - 1).drop("order_no")
+    early = C("place") % 3 == 2
+    out = _in_runs(spark, [rows.where(early), rows.where(~early)], "request", lambda stream: flows.rollouts(stream, "request", "place"), "update", end=False)
     return out.groupBy("request").agg(F.max_by("finish", "batch").alias("finish"))

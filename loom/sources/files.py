@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -22,6 +25,53 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _store(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where there is no folder."""
+    place, store = _store(spark, path)
+    return sorted(x.getPath().getName() for x in store.listStatus(place)) if store.exists(place) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder; nothing may read it any more."""
+    place, store = _store(spark, path)
+    store.delete(place, True)
+
+
+def append_lines(df: DataFrame, line: str, bucket: Column, path: str, suffix: str = ".jsonl") -> None:
+    """Appends the column ``line`` to one file per bucket of a folder on a mount that all executors share.
+
+    A task first cuts its file to the length that it had before, so a repeated task appends once.
+    """
+    spark = df.sparkSession
+    base = path.removeprefix("file://")
+    if ":/" in base:
+        raise ValueError(f"{path}: files are appended to on shared mounts only")
+    known = {x: os.path.getsize(f"{base}/{x}") for x in (os.listdir(base) if os.path.isdir(base) else [])}
+    os.makedirs(base, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, file, n = None, None, 0
+        for batch in batches:
+            for bucket, text in zip(batch["bucket"].to_pylist(), batch["line"].to_pylist(), strict=True):
+                if bucket != last or file is None:
+                    if file:
+                        file.close()
+                    file, last, n = open(f"{base}/{bucket}{suffix}", "ab"), bucket, n + 1  # noqa: SIM115
+                    file.truncate(known.get(f"{bucket}{suffix}", 0))
+                file.write((text or "").encode() + b"\n")
+        if file:
+            file.close()
+        yield pa.RecordBatch.from_pydict({"files": [n]})
+
+    rows = df.select(bucket.cast("string").alias("bucket"), F.col(line).alias("line"))
+    rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
 def lines(spark: SparkSession, path: str, first: int = 1) -> DataFrame:
     """file, line_no (from ``first``) and line of text files; blank lines count but are left out.
 

@@ -1,24 +1,38 @@
-"""Structured Streaming: incremental profiles, packing with carry-over, rollouts, dedup by id.
+"""Structured Streaming: incremental profiles, tails of growing files, packing, shuffling, splitting, rollouts, dedup by id.
 
-Results go to Parquet, never to the driver.
+Results go to Parquet, never to the driver.  The machines with state are those of ``loom.streaming.state``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+
+from loom.sources import files
+from loom.streaming import sources, state
 
-from loom.operators.sequential import pack, rollout
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def source(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
+def tail(spark: SparkSession, path: str, suffix: str = ".jsonl", unfinished: bool = False) -> DataFrame:
+    """file, at, line, rebuilt: lines as they are appended to the files of a folder."""
+    sources.register(spark)
+    return spark.readStream.format("loom_tail").option("path", path).option("suffix", suffix).option("unfinished", str(unfinished)).load()
+
+
+def cycle(spark: SparkSession, path: str, columns: str, epochs: int = 0, units: int = 0, progress: str | None = None) -> DataFrame:
+    """epoch, place, row and columns of Parquet files, over and over; see ``loom.streaming.sources.Cycle``."""
+    sources.register(spark)
+    reader = spark.readStream.format("loom_cycle").option("path", path).option("columns", columns).option("epochs", epochs).option("units", units)
+    return (reader.option("progress", progress) if progress else reader).load()
+
+
 def profile(stream: DataFrame, by: str, value: str) -> DataFrame:
     """Running counts, sums and extremes per key; the checkpoint holds how far the files were read."""
     return stream.groupBy(by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"))
@@ -36,47 +50,113 @@ def run(query_frame: DataFrame, path: str, checkpoint: str, mode: str = "complet
 
     A batch that is run again after a failure replaces what it wrote.
     """
+    spark = query_frame.sparkSession
     schema = query_frame.schema.add("batch", "long") if mode != "complete" else query_frame.schema
 
     def write(df: DataFrame, number: int) -> None:
         out = f"{path}/batch={number}" if mode != "complete" else f"{path}/latest"
         df.write.mode("overwrite").parquet(out)
 
-    query_frame.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return query_frame.sparkSession.read.schema(schema).parquet(f"{path}/latest" if mode == "complete" else path)
+    # machines with several states need a store with column families; the session's own choice comes back
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        query_frame.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
+    return spark.read.schema(schema).parquet(f"{path}/latest" if mode == "complete" else path)
+
+
+COUNTERS = "file string, counter string, key string, n double"
+
+
+def running_counters(stream: DataFrame, schema: str, totals: dict[str, Column], histograms: dict[str, Column], path: str, checkpoint: str) -> DataFrame:
+    """file, counter, key, n over all lines that ``tail`` has given so far; the counters go on in the next call.
+
+    Counters: "lines" (all), "bad" (not blank and no JSON), "samples" (records), each of ``totals``
+    (summed over records, a condition counts as 0 or 1) and each of ``histograms`` (a count per value;
+    of an array, of each element).  Columns see the record as ``r``.  A batch adds its own counts to
+    the table before it, so that a repeated batch counts once; a file that was rebuilt begins anew.
+    The latest table lies at path/batch=N; older ones than the last two are deleted.
+    """
+    spark = stream.sparkSession
+    entry = lambda name, key, n: F.struct(F.lit(name).alias("counter"), key.cast("string").alias("key"), n.cast("double").alias("n"))
+    nothing = F.lit(None).cast("string")
+
+    def values(name: str, x: Column) -> Column:
+        return F.transform(F.when(F.col("good"), x.cast("array<string>")).otherwise(F.array().cast("array<string>")), lambda v: entry(name, v, F.lit(1)))
 
+    def counted(df: DataFrame) -> DataFrame:
+        parsed = F.try_parse_json("line")
+        good = parsed.isNotNull() & (F.schema_of_variant(parsed).startswith("OBJECT"))
+        rows = df.where("line IS NOT NULL").select("file", "line", (F.trim("line") == "").alias("blank"), F.coalesce(good, F.lit(False)).alias("good"), F.from_json("line", schema).alias("r"))
+        one = [entry("lines", nothing, F.lit(1)), entry("bad", nothing, (~F.col("blank") & ~F.col("good")).cast("int")), entry("samples", nothing, F.col("good").cast("int"))]
+        one += [entry(name, nothing, F.when(F.col("good"), F.coalesce(x.cast("double"), F.lit(0))).otherwise(0)) for name, x in totals.items()]
+        each = [values(name, x if isinstance(rows.select(x).schema[0].dataType, T.ArrayType) else F.array(x)) for name, x in histograms.items()]
+        return rows.select("file", F.explode(F.concat(F.array(*one), *each)).alias("c")).groupBy("file", "c.counter", "c.key").agg(F.sum("c.n").alias("n"))
 
-def packed(stream: DataFrame, shard: str, key: str, length: str, most: int, interval: int = 128) -> DataFrame:
-    """shard, key, bin: items are packed when ``interval`` of them wait; the last bin is carried over."""
+    def add(df: DataFrame, number: int) -> None:
+        found = counted(df)
+        if number:
+            before = spark.read.schema(COUNTERS).parquet(f"{path}/batch={number - 1}")
+            again = df.where("rebuilt").select("file").distinct()
+            found = before.join(again, "file", "left_anti").unionByName(found).groupBy("file", "counter", "key").agg(F.sum("n").alias("n"))
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for old in files.folders(spark, path):
+            if old.startswith("batch=") and int(old[6:]) < number - 1:
+                files.delete(spark, f"{path}/{old}")
 
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, done = (list(map(list, state.get[0])), state.get[1]) if state.exists else ([], 0)
-        rows = []
-        for pdf in batches:
-            waiting += [[int(k), int(n)] for k, n in zip(pdf[key], pdf[length], strict=True)]
-        while len(waiting) >= interval:
-            bins = pack([n for _, n in waiting], most)
-            last = max(bins)
-            rows += [(keys[0], k, done + b) for (k, _), b in zip(waiting, bins, strict=True) if b < last or last == 0]
-            waiting = [w for w, b in zip(waiting, bins, strict=True) if b == last and last > 0]
-            done += max(1, last)
-        state.update((waiting, done))
-        yield pd.DataFrame(rows, columns=[shard, key, "bin"])
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    last = max((int(x[6:]) for x in files.folders(spark, path) if x.startswith("batch=")), default=None)
+    return spark.createDataFrame([], COUNTERS) if last is None else spark.read.schema(COUNTERS).parquet(f"{path}/batch={last}")
 
-    return stream.groupBy(shard).applyInPandasWithState(step, f"{shard} long, {key} long, bin int", "waiting array<array<long>>, done int", "append", GroupStateTimeout.NoTimeout)
 
+def end_markers(rows: DataFrame, shard: str) -> DataFrame:
+    """A row per shard of ``rows``, null in all other columns: appended to a stream's input, it ends the shard's."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    return rows.select(shard).distinct().select(*[F.col(c) if c == shard else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
 
-def rollouts(stream: DataFrame, request: str, order: str, threshold: float = 0.8, most: int = 8) -> DataFrame:
-    """A request's state after each batch of its outputs; ended requests take no more."""
-    fields = "order_no long, reason string, start double, end double, duration double"
 
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = [list(x) for x in state.get[0]] if state.exists else []
-        for pdf in batches:
-            seen += pdf[[order, "reason", "start", "end", "duration"]].values.tolist()
-        seen.sort(key=lambda s: s[0])
-        end = rollout([dict(zip(("order_no", "reason", "start", "end", "duration"), s, strict=True)) for s in seen], threshold, most)
-        state.update(([(int(s[0]), *s[1:]) for s in seen],))
-        yield pd.DataFrame([(keys[0], end["rounds"], end["segments"], end["finish"])], columns=[request, "rounds", "segments", "finish"])
+def _mode(limit: int | None) -> str:
+    return "ProcessingTime" if limit else "None"
 
-    return stream.groupBy(request).applyInPandasWithState(step, f"{request} long, rounds int, segments int, finish string", f"seen array<struct<{', '.join(f.replace(' ', ':') for f in fields.split(', '))}>>", "update", GroupStateTimeout.NoTimeout)
+
+def packed(stream: DataFrame, shard: str, key: str, length: str, most: int, interval: int = 128, idle: int | None = None) -> DataFrame:
+    """shard, key, bin: rows of a shard are packed with what waits whenever ``interval`` of them have come; the last bin goes on waiting.
+
+    End markers or a shard's silence of ``idle`` milliseconds give out what waits: no row is lost.  The
+    state of a shard is less than an interval of rows and one bin.  A length above ``most`` has a bin of its own.
+    """
+    kind = stream.schema[shard].dataType.simpleString()
+    machine = state.Packing(shard, key, length, most, interval, idle)
+    return stream.select(shard, key, length).groupBy(shard).transformWithStateInPandas(machine, f"{shard} {kind}, {key} long, bin int", "Append", _mode(idle))
+
+
+def shuffled(stream: DataFrame, shard: str, key: str, buffer: int = 1000, seed: int = 0, idle: int | None = None) -> DataFrame:
+    """The stream's columns and at (place in the shard's output): rows drawn from a buffer of the last ``buffer`` that were not given out.
+
+    A row moves forward by less than the buffer's size, and back by any number of places.  Draws rest
+    on seed, shard and the row's number; rows of a batch are taken in the order of their keys.
+    """
+    columns = [f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields]
+    machine = state.Shuffling(stream.columns, ", ".join(columns), shard, key, buffer, seed, idle)
+    return stream.groupBy(shard).transformWithStateInPandas(machine, ", ".join([*columns, "at long"]), "Append", _mode(idle))
+
+
+def split(stream: DataFrame, shard: str, key: str, sample: int, ratio: float) -> DataFrame:
+    """The first ``sample`` rows of each shard and part: "val" for the first int(sample * ratio), then "train"."""
+    if sample <= 0 or not 0 <= ratio <= 1:
+        raise ValueError("sample must be positive and ratio between 0 and 1")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
+    return stream.groupBy(shard).transformWithStateInPandas(state.Splitting(stream.columns, key, int(sample * ratio), sample), f"{columns}, part string", "Append", "None")
+
+
+def rollouts(stream: DataFrame, request: str, place: str, threshold: float = 0.8, most: int = 8, keep: int | None = None) -> DataFrame:
+    """request, rounds, segments, finish after each batch of its outputs, numbered from 0 by ``place``.
+
+    Outputs that come before their turn wait; an ended request takes no more, and a number that came
+    counts once.  State is bounded by ``most`` and forgotten ``keep`` milliseconds after its last change.
+    """
+    kind = stream.schema[request].dataType.simpleString()
+    machine = state.Rollouts(request, place, threshold, most, keep)
+    return stream.groupBy(request).transformWithStateInPandas(machine, f"{request} {kind}, rounds int, segments int, finish string", "Update", _mode(keep))
