@@ -75,7 +75,7 @@ def running_counters(stream: DataFrame, schema: str, totals: dict[str, Column],
 
     Counters: "lines" (all), "bad" (not blank and no JSON), "samples" (records), each of ``totals``
     (summed over records, a condition counts as 0 or 1) and each of ``histograms`` (a count per value;
-    of an array, of each element).  Columns see the record as ``r``.  A batch adds its own counts to
+    of an array, of each element; nulls have none).  Columns see the record as ``r``.  A batch adds its own counts to
     the table before it, so that a repeated batch counts once; a file that was rebuilt begins anew.
     The latest table lies at path/batch=N; older ones than the last two are deleted.
     """
@@ -84,7 +84,8 @@ def running_counters(stream: DataFrame, schema: str, totals: dict[str, Column],
     nothing = F.lit(None).cast("string")
 
     def values(name: str, x: Column) -> Column:
-        return F.transform(F.when(F.col("good"), x.cast("array<string>")).otherwise(F.array().cast("array<string>")), lambda v: entry(name, v, F.lit(1)))
+        given = F.coalesce(F.when(F.col("good"), x.cast("array<string>")), F.array().cast("array<string>"))
+        return F.transform(F.filter(given, lambda v: v.isNotNull()), lambda v: entry(name, v, F.lit(1)))
 
     def counted(df: DataFrame) -> DataFrame:
         parsed = F.try_parse_json("line")
@@ -121,15 +122,30 @@ def _mode(limit: int | None) -> str:
     return "ProcessingTime" if limit else "None"
 
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _as_text(stream: DataFrame, shard: str) -> tuple[DataFrame, list[str]]:
+    """The stream with whole numbers besides its shard as text, and its schema in parts."""
+    kinds = {c: "string" if kind in WHOLE and c != shard else kind for c, kind in stream.dtypes}
+    return stream.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()]), [f"`{c}` {kind}" for c, kind in kinds.items()]
+
+
+def _as_before(found: DataFrame, stream: DataFrame, *more: str) -> DataFrame:
+    return found.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in stream.dtypes], *more)
+
+
 def packed(stream: DataFrame, shard: str, key: str, length: str, most: int, interval: int = 128, idle: int | None = None) -> DataFrame:
     """shard, key, bin: rows of a shard are packed with what waits whenever ``interval`` of them have come; the last bin goes on waiting.
 
     End markers or a shard's silence of ``idle`` milliseconds give out what waits: no row is lost.  The
-    state of a shard is less than an interval of rows and one bin.  A length above ``most`` has a bin of its own.
+    state of a shard is less than an interval of rows and one bin.  A length above ``most`` has a bin of
+    its own.  Keys are whole numbers; a batch's are taken in their order.
     """
     kind = stream.schema[shard].dataType.simpleString()
     machine = state.Packing(shard, key, length, most, interval, idle)
-    return stream.select(shard, key, length).groupBy(shard).transformWithStateInPandas(machine, f"{shard} {kind}, {key} long, bin int", "Append", _mode(idle))
+    rows = stream.select(shard, F.col(key).cast("string").alias(key), length)
+    return rows.groupBy(shard).transformWithStateInPandas(machine, f"{shard} {kind}, {key} long, bin int", "Append", _mode(idle))
 
 
 def shuffled(stream: DataFrame, shard: str, key: str, buffer: int = 1000, seed: int = 0, idle: int | None = None) -> DataFrame:
@@ -138,17 +154,19 @@ def shuffled(stream: DataFrame, shard: str, key: str, buffer: int = 1000, seed:
     A row moves forward by less than the buffer's size, and back by any number of places.  Draws rest
     on seed, shard and the row's number; rows of a batch are taken in the order of their keys.
     """
-    columns = [f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields]
-    machine = state.Shuffling(stream.columns, ", ".join(columns), shard, key, buffer, seed, idle)
-    return stream.groupBy(shard).transformWithStateInPandas(machine, ", ".join([*columns, "at long"]), "Append", _mode(idle))
+    rows, columns = _as_text(stream, shard)
+    machine = state.Shuffling(stream.columns, ", ".join(columns), key, dict(stream.dtypes)[key] in WHOLE, buffer, seed, idle)
+    found = rows.groupBy(shard).transformWithStateInPandas(machine, ", ".join([*columns, "at long"]), "Append", _mode(idle))
+    return _as_before(found, stream, "at")
 
 
 def split(stream: DataFrame, shard: str, key: str, sample: int, ratio: float) -> DataFrame:
     """The first ``sample`` rows of each shard and part: "val" for the first int(sample * ratio), then "train"."""
     if sample <= 0 or not 0 <= ratio <= 1:
         raise ValueError("sample must be positive and ratio between 0 and 1")
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
-    return stream.groupBy(shard).transformWithStateInPandas(state.Splitting(stream.columns, key, int(sample * ratio), sample), f"{columns}, part string", "Append", "None")
+    rows, columns = _as_text(stream, shard)
+    machine = state.Splitting(stream.columns, key, dict(stream.dtypes)[key] in WHOLE, int(sample * ratio), sample)
+    return _as_before(rows.groupBy(shard).transformWithStateInPandas(machine, ", ".join([*columns, "part string"]), "Append", "None"), stream, "part")
 
 
 def rollouts(stream: DataFrame, request: str, place: str, threshold: float = 0.8, most: int = 8, keep: int | None = None) -> DataFrame:

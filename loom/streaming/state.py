@@ -1,7 +1,8 @@
 """Keyed state machines of streams: packing, shuffling, splitting and rollouts, whose state has a fixed bound.
 
 A row without a key (``id`` null) is an end marker: it ends its shard's input, and what waits is given
-out.  In time mode "None" streams end by such markers only; with ``idle`` milliseconds a timer does the
+out.  Numbers of rows travel as text: pandas makes doubles of whole numbers where there are nulls, and
+large ids would change.  In time mode "None" streams end by such markers only; with ``idle`` milliseconds a timer does the
 same once a shard has had no rows for so long, and with ``keep`` milliseconds unused state is forgotten.
 """
 
@@ -79,11 +80,12 @@ class Packing(Waiting):
         """Rows of a batch are taken by their ids."""
         shard, name, _ = self.names
         given = pd.concat([pdf[[name, self.length]] for pdf in rows])
-        new = given.dropna(subset=[name]).sort_values(name)
+        new = given.dropna(subset=[name])
         self.later(timers)
-        yield self._step(plain(key[0]), list(zip(new[name].astype(int).tolist(), new[self.length].fillna(0).astype(int).tolist(), strict=True)), bool(given[name].isna().any()))
+        rows = sorted(zip(new[name].astype(int).tolist(), new[self.length].fillna(0).astype(int).tolist(), strict=True))
+        yield self._step(plain(key[0]), rows, bool(given[name].isna().any()))
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._step(plain(key[0]), [], True)
 
 
@@ -95,9 +97,10 @@ def draw(seed: int, shard, n: int, most: int) -> int:
 class Shuffling(Waiting):
     """One row in, one row out: a full buffer gives the row at a drawn place and keeps the new one there; the end gives the rest, shuffled."""
 
-    def __init__(self, columns: list[str], state: str, shard: str, key: str, buffer: int, seed: int, idle: int | None = None) -> None:
+    def __init__(self, columns: list[str], state: str, key: str, whole: bool, buffer: int, seed: int, idle: int | None = None) -> None:
+        """whole: keys are whole numbers, as text."""
         super().__init__(idle)
-        self.columns, self.state, self.shard, self.key, self.buffer, self.seed = columns, state, shard, key, buffer, seed
+        self.columns, self.state, self.key, self.whole, self.buffer, self.seed = columns, state, key, whole, buffer, seed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -122,24 +125,24 @@ class Shuffling(Waiting):
         elif self.held.exists():
             self.held.clear()
         self.seen.update((seen, given + len(out)))
-        return pd.DataFrame([(*row, given + i) for i, row in enumerate(out)], columns=[*self.columns, "at"])
+        return pd.DataFrame([(*row, given + i) for i, row in enumerate(out)], columns=[*self.columns, "at"], dtype=object)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         """Rows of a batch are taken by their keys."""
         given = pd.concat(list(rows))[self.columns]
-        new = given.dropna(subset=[self.key]).sort_values(self.key)
+        new = given.dropna(subset=[self.key]).sort_values(self.key, key=(lambda k: k.astype(int)) if self.whole else None)
         self.later(timers)
         yield self._step(plain(key[0]), [tuple(map(plain, r)) for r in new.astype(object).itertuples(index=False)], bool(given[self.key].isna().any()))
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._step(plain(key[0]), [], True)
 
 
 class Splitting(StatefulProcessor):
     """The first ``val`` rows of a shard are "val", those up to ``sample`` "train"; more are left out.  The state is a count."""
 
-    def __init__(self, columns: list[str], key: str, val: int, sample: int) -> None:
-        self.columns, self.key, self.val, self.sample = columns, key, val, sample
+    def __init__(self, columns: list[str], key: str, whole: bool, val: int, sample: int) -> None:
+        self.columns, self.key, self.whole, self.val, self.sample = columns, key, whole, val, sample
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.count = handle.getValueState("count", "n long")
@@ -147,7 +150,7 @@ class Splitting(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         n = self.count.get()[0] if self.count.exists() else 0
         if n < self.sample:
-            new = pd.concat(list(rows))[self.columns].dropna(subset=[self.key]).sort_values(self.key)
+            new = pd.concat(list(rows))[self.columns].dropna(subset=[self.key]).sort_values(self.key, key=(lambda k: k.astype(int)) if self.whole else None)
             self.count.update((n + len(new),))
             new = new.iloc[: self.sample - n]
             yield new.assign(part=["val" if n + i < self.val else "train" for i in range(len(new))])
