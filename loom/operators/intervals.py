@@ -1,8 +1,8 @@
 """Algebra of labelled intervals in clips, and the questions built on it.
 
 Input rows: clip, start, end, label and the clip's duration, under the names given in ``C``.  Pairs
-are equi-joins on the clip, so work is spread by clip and bounded by a clip's events; existence tests
-that need no pair are aggregates.
+within reach of each other meet in bins of time, so that one clip is spread over tasks and only pairs
+that may qualify are made; existence tests that need no pair are aggregates.
 """
 
 from __future__ import annotations
@@ -49,6 +49,39 @@ def pairs(events: DataFrame, ordered: bool = True, other: DataFrame | None = Non
     return a.join(b, "clip_id").where(F.col("a_idx") < F.col("b_idx") if ordered else F.col("a_idx") != F.col("b_idx"))
 
 
+def near_pairs(a: DataFrame, b: DataFrame, low: Column, high: Column, at: Column, width: float) -> DataFrame:
+    """Pairs of a clip's events as columns a_* and b_* where ``at`` of b lies from ``low`` to ``high`` of a, each once.
+
+    Time is cut into bins of ``width``: b is in the bin of its ``at``, a in all that its reach covers, so
+    a clip of any length is dealt to as many keys as it has bins.  Choose the width of the reach, about.
+    """
+    bin_of = lambda x: F.floor(x / width).cast("long")
+    name = lambda df, x: [F.col(c).alias(c if c == "clip_id" else f"{x}_{c}") for c in df.columns]
+    left = a.select(*name(a, "a"), low.alias("_low"), high.alias("_high"), F.explode(F.sequence(bin_of(low), F.greatest(bin_of(low), bin_of(high)))).alias("_bin"))
+    right = b.select(*name(b, "b"), at.alias("_at"), bin_of(at).alias("_bin"))
+    return left.join(right, ["clip_id", "_bin"]).where(F.col("_at").between(F.col("_low"), F.col("_high"))).drop("_bin", "_at", "_low", "_high")
+
+
+#: Bounds have three decimals; reaches are widened by less, and the exact test follows.
+SLACK = 0.0005
+
+
+def gap_pairs(a: DataFrame, low: float, high: float, b: DataFrame | None = None) -> DataFrame:
+    """Pairs of which b begins between ``low`` and ``high`` after a's end."""
+    end = F.col("end_s")
+    found = near_pairs(a, a if b is None else b, end + (low - SLACK), end + (high + SLACK), F.col("start_s"), max(high - low, 1e-3))
+    return found.where(gap().between(low, high) & (F.col("a_idx") != F.col("b_idx")))
+
+
+def overlap_pairs(events: DataFrame) -> DataFrame:
+    """Pairs that overlap or touch, a before b by idx, which orders by start: they meet where b begins.
+
+    Bins are as wide as events are long on average, so that events lie in two bins on average.
+    """
+    width = events.agg(F.avg("len")).first()[0] or 1.0
+    return near_pairs(events, events, F.col("start_s"), F.col("end_s"), F.col("start_s"), width).where("a_idx < b_idx")
+
+
 def overlap() -> Column:
     return F.least("a_end_s", "b_end_s") - F.greatest("a_start_s", "b_start_s")
 
@@ -59,7 +92,7 @@ def gap() -> Column:
 
 def overlap_by_labels(events: DataFrame, least: float = 0.05) -> DataFrame:
     """Overlapping pairs and their common length by label pair."""
-    found = pairs(events).where(overlap() > least)
+    found = overlap_pairs(events).where(overlap() > least)
     return found.groupBy("a_label", "b_label").agg(F.count("*").alias("pairs"), F.round(F.sum(overlap()), 3).alias("seconds"))
 
 
@@ -102,14 +135,15 @@ def _with_gap(events: DataFrame, low: float, high: float) -> DataFrame:
     """Per clip, whether some event begins between low and high after another's end: a search of the next starts.
 
     Ends, moved by low, and starts lie on one line per clip; the first two starts from an end on decide,
-    for the first may miss low by rounding (bounds have three decimals).
+    for the first may miss low by rounding (bounds have three decimals).  The line is walked from its
+    end, for a frame that grows is kept from row to row, and one that shrinks is made anew for each.
     """
     starts = events.select("clip_id", F.col("start_s").alias("at")).distinct()
     starts = starts.withColumn("then", F.lead("at").over(W.Window.partitionBy("clip_id").orderBy("at")))
     line = starts.select("clip_id", "at", F.struct("at", "then").alias("s"), F.lit(None).cast("double").alias("end_s"))
     line = line.unionByName(events.select("clip_id", (F.col("end_s") + (low - 0.0005)).alias("at"), F.lit(None).cast("struct<at: double, then: double>").alias("s"), "end_s"))
-    following = W.Window.partitionBy("clip_id").orderBy("at").rowsBetween(0, W.Window.unboundedFollowing)
-    met = line.withColumn("next", F.first("s", ignorenulls=True).over(following)).where("end_s IS NOT NULL")
+    following = W.Window.partitionBy("clip_id").orderBy(F.desc("at"), F.col("s").isNull()).rowsBetween(W.Window.unboundedPreceding, 0)
+    met = line.withColumn("next", F.last("s", ignorenulls=True).over(following)).where("end_s IS NOT NULL")
     near = lambda c: F.coalesce((F.col(f"next.{c}") - F.col("end_s")).between(low, high), F.lit(False))
     return met.groupBy("clip_id").agg(F.bool_or(near("at") | near("then")).alias("gap"))
 
@@ -161,7 +195,7 @@ def _short(events: DataFrame) -> DataFrame:
 
 
 def qa_gap(events: DataFrame, low: float = 0.1, high: float = 5.0) -> DataFrame:
-    found = first_pairs(pairs(_short(events), ordered=False).where((F.col("b_start_s") > F.col("a_end_s")) & gap().between(low, high) & (F.col("a_label") != F.col("b_label"))))
+    found = first_pairs(gap_pairs(_short(events), low, high).where((F.col("b_start_s") > F.col("a_end_s")) & (F.col("a_label") != F.col("b_label"))))
     return _question(found, "gap", F.format_string("How long after %s ends does %s begin?", "a_phrase", "b_phrase"), fmt.second_choices(gap()), fmt.seconds(gap()))
 
 
@@ -169,7 +203,7 @@ def qa_overlap(events: DataFrame, least: float = 0.2, least_full: float = 0.5) -
     """Two events short of the span; else a full one and another."""
     short, full = events.where(~is_full()), events.where(is_full())
     differ = F.col("a_label") != F.col("b_label")
-    two = first_pairs(pairs(short).where((overlap() >= least) & differ)).withColumn("kind", F.lit(0))
+    two = first_pairs(overlap_pairs(short).where((overlap() >= least) & differ)).withColumn("kind", F.lit(0))
     one = first_pairs(pairs(full, ordered=False, other=short).where((overlap() >= least_full) & differ)).withColumn("kind", F.lit(1))
     found = two.unionByName(one).withColumn("rank", F.row_number().over(W.Window.partitionBy("clip_id").orderBy("kind"))).where("rank = 1")
     a, b = (F.concat(F.lit("the "), F.lower(c)) for c in ("a_label", "b_label"))
@@ -197,7 +231,9 @@ def qa_duration_compare(events: DataFrame, least: float = 0.2) -> DataFrame:
 
 def qa_order(events: DataFrame, low: float = 0.2, high: float = 6.0) -> DataFrame:
     short = phrased(events.where(~is_full() & (F.col("start_s") > TOLERANCE)))
-    found = first_pairs(pairs(short).where((F.col("b_start_s") - F.col("a_start_s")).between(low, high) & (F.col("a_label") != F.col("b_label"))))
+    start = F.col("start_s")
+    near = near_pairs(short, short, start + (low - SLACK), start + (high + SLACK), start, max(high - low, 1e-3)).where("a_idx < b_idx")
+    found = first_pairs(near.where((F.col("b_start_s") - F.col("a_start_s")).between(low, high) & (F.col("a_label") != F.col("b_label"))))
     choices = F.array("a_phrase", "b_phrase", F.lit("they start at the same time"), F.lit("neither sound occurs"))
     return _question(found, "order", F.format_string("Which event begins first, %s or %s?", "a_phrase", "b_phrase"), choices, F.col("a_phrase"))
 

@@ -45,7 +45,7 @@ _over_events("full_span__MTH03", lambda e: e.select("event_id", op.is_full().ali
 _over_events("occurrence_phrases__WIN01_STR13", lambda e: op.phrased(e).select("event_id", "phrase"), (PH + " SELECT event_id, ph AS phrase FROM p").replace("WHERE NOT isfull", ""))
 _over_events("overlap_pairs__JON08", op.overlap_by_labels, """SELECT a.label AS a_label, b.label AS b_label, count(*) AS pairs, round(sum(least(a.e, b.e) - greatest(a.s, b.s)), 3) AS seconds
 FROM x a JOIN x b ON a.clip_id = b.clip_id AND a.i < b.i AND least(a.e, b.e) - greatest(a.s, b.s) > 0.05 GROUP BY 1, 2""")
-_over_events("gap_pairs__JON07", lambda e: op.pairs(e, ordered=False).where(op.gap().between(60, 7200)).groupBy("clip_id").agg(F.count("*").alias("gaps"), F.round(F.min(op.gap()), 3).alias("least")),
+_over_events("gap_pairs__JON07", lambda e: op.gap_pairs(e, 60, 7200).groupBy("clip_id").agg(F.count("*").alias("gaps"), F.round(F.min(op.gap()), 3).alias("least")),
     "SELECT a.clip_id, count(*) AS gaps, round(min(b.s - a.e), 3) AS least FROM x a JOIN x b ON a.clip_id = b.clip_id AND a.i <> b.i AND b.s - a.e BETWEEN 60 AND 7200 GROUP BY 1")
 _over_events("ordered_non_overlap__JON09", op.ordered_without_overlap, "SELECT clip_id, EXISTS (SELECT 1 FROM x a JOIN x b ON a.clip_id = b.clip_id AND a.i <> b.i AND a.e < b.s WHERE a.clip_id = c.clip_id) AS ordered FROM (SELECT DISTINCT clip_id FROM x) c")
 _over_events("adjacent_same_label__JON10", lambda e: op.adjacent_gaps(e).withColumn("idx", F.col("idx").cast("long")), "SELECT clip_id, label, i AS idx, round(n - e, 3) AS gap FROM (SELECT *, lead(s) OVER (PARTITION BY clip_id, label ORDER BY s, i) AS n FROM x) WHERE n IS NOT NULL")

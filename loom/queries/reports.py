@@ -10,8 +10,10 @@ from loom.functions import text as T
 from loom.operators import intervals
 from loom.operators import reports as rp
 from loom.operators import routing as rt
+from loom.operators import vector_index
 from loom.operators import vectors as vec
-from loom.queries import query, simple
+from loom.queries import SQL, query, simple
+from loom.sources import files
 
 C = F.col
 TRI = "CASE WHEN qa_raw = 'True' THEN true WHEN qa_raw = 'no' THEN false END AS qa, CASE WHEN cot_raw = '1' THEN true WHEN cot_raw = 'false' THEN false END AS cot"
@@ -86,6 +88,29 @@ over("group_margins__AGG27", lambda v: vec.group_margins(v.withColumn("g", F.flo
 over("nearest_vectors__JON14", lambda v: vec.nearest(v.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("q")), v.select(C("vec_id").alias("doc_id"), C("embedding").alias("d")), 5, F.round(vec.dot(C("q"), C("d")), 6)).select("query_id", "doc_id", "rank"),
     f", s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({DOT.format('q.embedding', 'd.embedding')}, 6) AS s FROM v q JOIN v d ON q.vec_id % 50 = 0) SELECT query_id, doc_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS k FROM s) WHERE k <= 5", VEC)
 
+def _indexed(spark, sf_dir):
+    v = views.view(spark, sf_dir, VEC)
+    index = vector_index.InvertedFile.build(v.select(C("vec_id").alias("doc_id"), C("embedding").alias("d")), files.scratch(spark, "vectors"))
+    return v, index, v.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("q"))
+
+
+@query("indexed_neighbours__JON14", SQL["nearest_vectors__JON14"])
+def _neighbours(spark, sf_dir):
+    """The same through the inverted file, where its bound makes it exact."""
+    _, index, queries = _indexed(spark, sf_dir)
+    return index.search(queries, 5, exact=True).select("query_id", "doc_id", "rank")
+
+
+@query("index_recall__JON14", "SELECT vec_id AS query_id, 5 AS k, true AS recalled FROM embeddings WHERE vec_id % 50 = 0")
+def _recall(spark, sf_dir):
+    """How many a query finds without that, and whether all find nine in ten of those of a scan."""
+    v, index, queries = _indexed(spark, sf_dir)
+    found = files.written(index.search(queries, 5).select("query_id", "doc_id"), "found")
+    scan = vec.nearest(queries, v.select(C("vec_id").alias("doc_id"), C("embedding").alias("d")), 5, F.round(vec.dot(C("q"), C("d")), 6)).select("query_id", "doc_id")
+    share = found.join(scan, ["query_id", "doc_id"]).agg(F.count("*").alias("hit")).join(scan.agg(F.count("*").alias("all"))).select((C("hit") >= 0.9 * C("all")).alias("recalled"))
+    return found.groupBy("query_id").agg(F.count("*").cast("int").alias("k")).join(F.broadcast(share))
+
+
 @query("bm25_search__JON14", r"""WITH b AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS m FROM d),
 t AS (SELECT doc_id, len, w, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS w FROM d) GROUP BY 1, 2, 3), f AS (SELECT w, count(*) AS df FROM t GROUP BY 1), q AS (SELECT query_id, unnest(w) AS w FROM b),
 s AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * len / m))), 9) AS s FROM q JOIN t USING (w) JOIN f USING (w), st GROUP BY 1, 2) SELECT query_id, doc_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS k FROM s) WHERE k <= 3""")
