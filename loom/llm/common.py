@@ -32,13 +32,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store; nothing may read it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes what ``materialise`` wrote; nothing may read these tables any more."""
     for df in tables:
         if path := getattr(df, "loom_path", None):
-            spark = df.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+            remove(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from loom.llm.common import new_path, released, small_batches, table
+from loom.llm.common import materialise, new_path, released, remove, small_batches, table
 
 #: The end-of-document id: free in the 50k vocabulary, and its two bytes are the UTF-8 of one character,
 #: so that the text sink can write it as its line separator.
@@ -31,6 +31,8 @@ END_ID, SEPARATOR = 0xC480, "Ā"
 HEADER, RADIX, FIRST = 5, 15_000, 0xC481
 #: Ids in a block, blocks in a task, about, and documents in a file at most.
 BLOCK_IDS, TASK_BLOCKS, FILE_DOCS = 1 << 20, 8, 100_000
+#: Blocks that one task scans for their closing ends.
+GROUP_BLOCKS = 1024
 #: Characters tokenised at once, about; longer texts are cut before a single space between words, which no
 #: token of these vocabularies holds but as its first character.
 PIECE, CUT = 100_000, re.compile(r"(?<=\S) (?=\S)")
@@ -157,16 +159,32 @@ def token_counts(spark: SparkSession, path: str, end_id: int = END_ID, head: int
     tasks = -(-(files.agg(F.coalesce(F.sum(F.ceil(F.col("total") / block)), F.lit(0))).first()[0]) // TASK_BLOCKS)
     schema = "file string, block long, total long, docs array<long>, starts array<long>, counts array<long>, open_doc long, open_start long, first_end long"
     scanned = blocks.repartition(max(1, tasks), "path", "block").mapInArrow(_scan(end_id, head, block), schema)
-    later = W.Window.partitionBy("file").orderBy("block").rowsBetween(1, W.Window.unboundedFollowing)
-    stitched = scanned.withColumn("close", F.coalesce(F.min("first_end").over(later), "total"))
-    inside = F.arrays_zip("docs", "counts", "starts")
-    across = F.when(F.col("open_start").isNotNull(), F.array(F.struct(F.col("open_doc").alias("docs"), F.greatest(F.col("close") - F.col("open_start") - head, F.lit(0)).alias("counts"), F.col("open_start").alias("starts"))))
-    rows = stitched.select("file", F.explode(F.concat(inside, F.coalesce(across, F.slice(inside, 1, 0)))).alias("d"))
-    return rows.select(F.col("d.docs").alias("doc_id"), F.col("d.counts").alias("n_tokens"), F.regexp_extract("file", "[^/]*$", 0).alias("file"), F.col("d.starts").alias("start"))
+    scanned = materialise(scanned, "token-blocks")
+    inside = scanned.select("file", F.explode(F.arrays_zip("docs", "counts", "starts")).alias("d")).select("file", "d.docs", "d.counts", "d.starts")
+    closed = closing_ends(scanned.select("file", "block", "total", "open_doc", "open_start", "first_end")).where("open_start IS NOT NULL")
+    across = closed.select("file", F.col("open_doc").alias("docs"), F.greatest(F.col("close") - F.col("open_start") - head, F.lit(0)).alias("counts"), F.col("open_start").alias("starts"))
+    rows = inside.unionByName(across)
+    return rows.select(F.col("docs").alias("doc_id"), F.col("counts").alias("n_tokens"), F.regexp_extract("file", "[^/]*$", 0).alias("file"), F.col("starts").alias("start"))
+
+
+def closing_ends(blocks: DataFrame) -> DataFrame:
+    """Adds close: the first separator in a later block of the file, else the file's total.
+
+    Blocks hold one narrow row each.  The scan runs backwards, within groups of ``GROUP_BLOCKS`` blocks
+    and then over a file's groups, so a task sees one group, or one row per group of a file.
+    """
+    rows = blocks.withColumn("_g", F.floor(F.col("block") / GROUP_BLOCKS))
+    later = lambda *keys: W.Window.partitionBy(*keys).rowsBetween(W.Window.unboundedPreceding, -1)
+    groups = rows.groupBy("file", "_g").agg(F.min("first_end").alias("_first"))
+    groups = groups.select("file", "_g", F.min("_first").over(later("file").orderBy(F.desc("_g"))).alias("_beyond"))
+    near = F.min("first_end").over(later("file", "_g").orderBy(F.desc("block")))
+    return rows.withColumn("_near", near).join(groups, ["file", "_g"]).withColumn("close", F.coalesce("_near", "_beyond", "total")).drop("_near", "_beyond", "_g")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in token files of all of ``documents``."""
     path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
-    return token_counts(spark, path)
+    found = token_counts(spark, path)
+    remove(spark, path)  # the scan's blocks are a table by now
+    return found

@@ -200,35 +200,91 @@ def test_ranks(spark, monkeypatch):
     assert sorted(found, key=found.get) == [*sorted(n for n in names if n), None] and sorted(found.values()) == list(range(len(names)))
 
 
-def plain_taken(cell, quota, blocks, seed_start):
-    """Words taken of each document of a cell's line, block by block, word by word."""
-    words = sum(cell)
-    of = [k for k, n in enumerate(cell) for _ in range(n)]
-    rest, out = quota % blocks, [n * (quota // blocks) for n in cell]
-    for b in range(blocks):
-        if (b * rest + seed_start) % blocks < rest:
-            for w in range(b * words // blocks, (b + 1) * words // blocks):
-                out[of[w]] += 1
-    return out
-
-
-def test_blocks_against_single_words(spark):
-    """One source in one cell: the chosen blocks word by word."""
-    from pyspark.sql import functions as F
-
+def plain_seats(seats, votes, most):
+    """One seat after the other to the highest quotient."""
+    got = [0] * len(votes)
+    for _ in range(seats):
+        open_ = [i for i, v in enumerate(votes) if got[i] < most[i] and v > 0]
+        if not open_:
+            break
+        got[max(open_, key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
+    return got
+
+
+def plain_mix(spark, docs, block, shards, times=3, seed=1):
+    """doc -> words taken, by dealing seats one by one, drawing blocks by their hashes, and counting word by word."""
+    h = lambda *x: F.xxhash64(F.lit(seed), *x)
+    names = sorted({d[1] for d in docs}, key=lambda x: (x is None, x or ""))
+    sizes = [sum(d[2] for d in docs if d[1] == n) for n in names]
+    targets = plain_targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    seats = plain_seats(int(sum(targets) / block + 0.5), targets, [times * s // block for s in sizes])
+    frame = spark.createDataFrame(docs, "doc_id long, source string, size long")
+    places = {r.doc_id: (r.s, r.o) for r in frame.select("doc_id", h("doc_id", F.lit("shard")).alias("s"), h("doc_id").alias("o")).collect()}
+    out, quotas = {}, {}
+    for rank, name in enumerate(names):
+        wanted = seats[rank] * block
+        if abs(wanted - targets[rank]) > 0.005 * targets[rank]:
+            wanted = math.floor(targets[rank] + 0.5)
+        cells = collections.defaultdict(list)
+        for d in docs:
+            if d[1] == name:
+                cells[places[d[0]][0] % shards[name]].append(d)
+        order = sorted(cells)
+        words = [sum(d[2] for d in cells[c]) for c in order]
+        quota = [n * block for n in plain_seats(min(seats[rank], wanted // block), words, [times * w // block for w in words])]
+        left = wanted - sum(quota)
+        for i, w in enumerate(words):
+            more = min(left, times * w - quota[i])
+            quota[i], left = quota[i] + more, left - more
+        for c, w, q in zip(order, words, quota, strict=True):
+            quotas[name, c] = q
+            line = [d[0] for d in sorted(cells[c], key=lambda d: (places[d[0]][1], d[0], d[2])) for _ in range(d[2])]
+            for d in cells[c]:
+                out[d[0]] = d[2] * (q // w) if w else 0
+            rest = q % w if w else 0
+            hashes = {r.b: r.h for r in spark.range(w // block).select(F.col("id").alias("b"), h(F.lit(rank).cast("long"), F.lit(c).cast("long"), "id").alias("h")).collect()}
+            drawn = [*sorted(hashes, key=lambda b: (hashes[b], b)), w // block]
+            for b in drawn:
+                for at in range(b * block, min((b + 1) * block, w, b * block + rest)):
+                    out[line[at]] += 1
+                rest -= min(block, rest)
+    return out, quotas
+
+
+@pytest.mark.parametrize(("block", "cell"), [(1, 10**9), (7, 900), (40, 2000), (40, 10**9), (300, 700)])
+def test_mix_against_single_words(spark, monkeypatch, block, cell):
+    """Seats, cells, draws and partial blocks, word by word; several cells a source."""
+    monkeypatch.setattr(source_mix, "BLOCKS", 1)
     r = random.Random(4)
-    for block in (1, 3, 40):
-        docs = [(i, "a", r.choice((0, 1, 5, 30, 200))) for i in range(60)] + [(100, "b", 5000)]
-        df = spark.createDataFrame(docs, "doc_id long, source string, size long")
-        found = {x.doc_id: x for x in source_mix.plan(df, block_words=block).collect()}
-        order = [x.doc_id for x in df.where("source = 'a'").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").collect()]
-        line = [found[i].size for i in order]
-        size, target = sum(line), found[0].target
-        width = min(block, max(1, int(min(size, target) // 64)))
-        blocks = max(1, math.floor(size / width + 0.5))
-        quota = min(math.floor(target * blocks / size + 0.5), 3 * blocks)
-        start = spark.range(1).select(F.pmod(F.xxhash64(F.lit(1), F.lit(0).cast("long"), F.lit(0).cast("long")), F.lit(blocks))).first()[0]
-        assert [found[i].taken for i in order] == plain_taken(line, quota, blocks, start)
+    docs = [(i, r.choice(["a", "a", "a", "b", None]), r.choice((0, 1, 5, 30, 200))) for i in range(90)] + [(100, "c", 2500), (101, "d", 3), (102, "e", 0)]
+    sizes = collections.Counter()
+    for d in docs:
+        sizes[d[1]] += d[2]
+    shards = {n: max(1, math.ceil(w / cell)) for n, w in sizes.items()}
+    found = source_mix.plan(spark.createDataFrame(docs, "doc_id long, source string, size long"), block_words=block, shard_words=cell).collect()
+    expected, quotas = plain_mix(spark, docs, block, shards)
+    assert {x.doc_id: x.taken for x in found} == expected and (cell > 10**6 or len(quotas) >= 7)
+
+
+def test_seats_decide_the_mix(spark, monkeypatch):
+    """With rounded shares in place of the highest quotients another mix comes out."""
+    docs = [(i, f"s{i % 7}", 400 + 37 * (i % 11)) for i in range(700)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, size long")
+    taken = lambda: {r.doc_id: r.taken for r in source_mix.plan(df, block_words=500, shard_words=9000).collect()}
+    by_quotients = taken()
+    monkeypatch.setattr(source_mix, "apportion", lambda seats, votes, most: [min(m, int(v * seats / sum(votes))) for v, m in zip(votes, most, strict=True)])
+    assert taken() != by_quotients
+
+
+def test_seats_of_parts(spark, monkeypatch):
+    """Sources dealt with in parts: as many seats as there are blocks, and within one of those of a single table, part by part."""
+    sizes = [13 * (i % 17) + 5 for i in range(60)]
+    table = spark.createDataFrame([(i, s, float(s)) for i, s in enumerate(sizes)], "rank long, source_size long, target double")
+    whole = [r.seats for r in source_mix.seated(table, 10, 3).orderBy("rank").collect()]
+    assert whole == plain_seats(int(sum(sizes) / 10 + 0.5), sizes, [3 * s // 10 for s in sizes])
+    monkeypatch.setattr(source_mix, "PART_SOURCES", 7)
+    parts = [r.seats for r in source_mix.seated(table, 10, 3).orderBy("rank").collect()]
+    assert sum(parts) == sum(whole) and all(abs(a - b) <= 1 for a, b in zip(parts, whole, strict=True))
 
 
 def test_every_source_is_near_its_target(spark, monkeypatch):

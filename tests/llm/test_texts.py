@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from loom.llm import personal_data, pieces, secret_scan, token_scan
 from loom.llm.common import new_path
@@ -329,3 +330,19 @@ def test_files_beyond_two_gigabytes(spark, tmp_path):
             f.write(np.array([7], ">u2").tobytes())
     found = token_scan.token_counts(spark, f"file://{tmp_path}", end_id=7, head=0, block=1 << 24).collect()
     assert {(x.start, x.n_tokens) for x in found} == {(0, 5), (6, at[1] - 6), (at[1] + 1, at[2] - at[1] - 1)}
+
+
+def test_closing_ends_of_many_blocks(spark):
+    """A file of 200,000 blocks, some with separators: linear in them, and equal to a walk from the end."""
+    import time
+
+    n = 200_000
+    ends = {b: b * 10 + 3 for b in range(n - 3000) if b % 1777 == 5 or b % 90_000 == 7}
+    blocks = spark.range(n).select(F.lit("f").alias("file"), F.col("id").alias("block"), F.lit(n * 10).cast("long").alias("total"), F.when((F.col("id") < n - 3000) & ((F.col("id") % 1777 == 5) | (F.col("id") % 90_000 == 7)), F.col("id") * 10 + 3).alias("first_end"))
+    began = time.time()
+    found = token_scan.closing_ends(blocks).select("block", "close").toPandas().set_index("block").close
+    assert time.time() - began < 30
+    at = n * 10
+    for b in range(n - 1, -1, -1):
+        assert found[b] == at
+        at = ends.get(b, at)
