@@ -1,8 +1,8 @@
 """Personal data, also where it is disguised, with spans in the source text.
 
 Identifiers are found in the text as it stands, and again in a normalised text that transducers
-write: homoglyphs and full-width forms become ASCII, spelled digits become digits, and at/dot
-disguises become signs.  Each transducer keeps, for every character it writes, the source characters
+write: homoglyphs and forms of letters and digits become ASCII, format signs go, spelled digits become
+digits, and at/dot disguises in four languages become signs.  Each transducer keeps, for every character it writes, the source characters
 it stands for, so that spans of the normalised text map back to the source.
 """
 
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -109,19 +111,42 @@ DIGIT_NAMES = (
     ("cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"),
 )
 # ---
-FOLD = {ord(k): v for k, v in LOOKALIKES.items()}
-FOLD |= {0xFF01 + i: chr(0x21 + i) for i in range(94)}  # full-width ASCII
-FOLD |= {start + i: str(i) for start in (0x0660, 0x06F0, 0x0966) for i in range(10)}  # Arabic-Indic, Persian, Devanagari digits
-FOLDED = re.compile("[" + re.escape("".join(map(chr, FOLD))) + "]")
+
+
+@lru_cache(maxsize=100_000)
+def folded(c: str) -> str | None:
+    """What a character is written as: its lookalike, its digit, the ASCII letters that it is a form of, nothing for a format sign; null if it stays."""
+    if c in LOOKALIKES:
+        return LOOKALIKES[c]
+    if unicodedata.category(c) == "Cf":
+        return ""
+    if (digit := unicodedata.decimal(c, None)) is not None:
+        return str(digit)
+    plain = unicodedata.normalize("NFKC", c)
+    return plain if plain.isascii() and (len(plain) == 1 or c.isalnum()) else None
+
+
+def _unfolded(text: str) -> Traced:
+    """The text with its characters folded."""
+    swaps = {c: w for c in set(text) if not c.isascii() and (w := folded(c)) is not None}
+    if all(len(w) == 1 for w in swaps.values()):
+        return Traced(text.translate({ord(c): w for c, w in swaps.items()})) if swaps else Traced(text)
+    return Traced(text).replace(re.compile("[" + re.escape("".join(sorted(swaps))) + "]"), lambda m: swaps[m[0]])
+
 
 #: From the bracket on: the blanks before it are taken by a look back, so that long runs of blanks are read once.
-BRACKETED_AT = re.compile(r"[\[({<][\x20\t]*(?:at|@|arobase|arroba)[\x20\t]*[\])}>][\x20\t]*", re.I)
+BRACKETED_AT = re.compile(r"[\[({<][\x20\t]*(?:ät|at|@|arobase|arobas|arroba|klammeraffe)[\x20\t]*[\])}>][\x20\t]*", re.I)
 BRACKETED_DOT = re.compile(r"[\[({<][\x20\t]*(?:dot|\.|punkt|point|punto)[\x20\t]*[\])}>][\x20\t]*", re.I)
-SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})\x20+at\x20+([A-Za-z0-9-]{1,63}(?:\x20+dot\x20+[A-Za-z0-9-]{1,63}){1,8})(?![A-Za-z0-9-])", re.I)
-DOT = re.compile(r"\x20+dot\x20+", re.I)
+#: Both signs spoken: name, at, and labels with dots between them.
+AT, OTHER_AT, OTHER_DOT = "(?:ät|at|arobase|arobas|arroba|klammeraffe)", "(?:ät|arobase|arobas|arroba|klammeraffe)", "(?:punkt|point|punto)"
+SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{{1,64}})\x20+{AT}\x20+([A-Za-z0-9-]{{1,63}}(?:\x20+(?:dot|{OTHER_DOT})\x20+[A-Za-z0-9-]{{1,63}}){{1,8}})(?![A-Za-z0-9-])", re.I)
+DOT = re.compile(rf"\x20+(?:dot|{OTHER_DOT})\x20+", re.I)
 #: Either sign spoken by itself: a dot between labels, an at before a domain whose last label has a letter.
+#: The other languages' names of a dot are words of prose: they count from an at sign's first label on.
 SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9_-])\x20+dot\x20+(?=[A-Za-z0-9_-])", re.I)
-SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\x20+at\x20+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[0-9-]*[A-Za-z])", re.I)
+SPOKEN_DOTS = re.compile(rf"(@[A-Za-z0-9-]{{1,63}})((?:\x20+{OTHER_DOT}\x20+[A-Za-z0-9-]{{1,63}}){{1,8}})(?![A-Za-z0-9-])", re.I)
+SPOKEN_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\x20+{AT}\x20+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[0-9-]*[A-Za-z])", re.I)
+AT_WORDS, DOT_WORDS = ("at", "ät", "arobas", "arroba", "klammeraffe"), ("dot", "punkt", "point", "punto")
 #: Letters that ignoring case takes for ASCII ones.
 CASED = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
 
@@ -168,19 +193,22 @@ def _with_blanks(text: str, pattern: re.Pattern, sign: str) -> Iterator[tuple[in
 
 
 def normalised(text: str) -> Traced:
-    out = Traced(text)
-    if not text.isascii() and FOLDED.search(text):
-        out = Traced(text.translate(FOLD))  # one character for one
+    out = Traced(text) if text.isascii() else _unfolded(text)
     low = _lower(out.text)
     for names, pattern, value in SPELLINGS:
         if any(n in low for n in names):
             out = out.edited(list(_digits(out.text, pattern, value)))
-    for signs, pattern, sign in ((("at", "@", "aro", "arr"), BRACKETED_AT, "@"), (("dot", ".", "pun", "poi"), BRACKETED_DOT, ".")):
+    for signs, pattern, sign in (((*AT_WORDS, "@"), BRACKETED_AT, "@"), ((*DOT_WORDS, "."), BRACKETED_DOT, ".")):
         if any(b in low for b in "[({<") and any(s in low for s in signs):
             out = out.edited(list(_with_blanks(out.text, pattern, sign)))
+    at = any(f" {w}" in low for w in AT_WORDS)
+    if at and any(f" {w} " in low for w in DOT_WORDS):
+        out = out.replace(SPOKEN, lambda m: f"{m[1]}@{DOT.sub('.', m[2])}")
     if " dot " in low:
-        out = out.replace(SPOKEN, lambda m: f"{m[1]}@{DOT.sub('.', m[2])}").replace(SPOKEN_DOT, lambda m: ".")
-    if " at " in low:
+        out = out.replace(SPOKEN_DOT, lambda m: ".")
+    if "@" in out.text and any(f" {w} " in low for w in DOT_WORDS):
+        out = out.replace(SPOKEN_DOTS, lambda m: m[1] + DOT.sub(".", m[2]))
+    if at:
         out = out.replace(SPOKEN_AT, lambda m: "@")
     return out
 
