@@ -91,6 +91,7 @@ def parsed_list(x: Column) -> Column:
 
 def prompt(question: Column, choices: Column, stamps: bool = True) -> Column:
     """The question with its choices and the format asked for."""
+    # fixed value: the format asked for
     ask = ". Think step-by-step. Refer to the specific audio segments while thinking, and indicate the corresponding timestamps" + (" with <seg>start, end</seg>" if stamps else "") + ". Answer in the format of <think>...</think><answer>...</answer>."
     return F.concat(question, F.lit(" Choose the answer from "), json_list(choices), F.lit(ask))
 
@@ -115,10 +116,12 @@ QUESTION_TYPES = (
 BAD_DESCRIPTIONS = ("the human:", "human:", "assistant:", "given the audio", "question:", "answer:", "<answer>", "[answer]", "<think>", "[think]", "the a s t o r y", "the a b", "the a v o l u t i o n")
 # --- function words that may repeat
 FUNCTION_WORDS = (
-    "the a an is to of in at on and or for with it that this be are was were been by as from not no yes so if but has have had do does did "
-    "can will would could should may might shall we he she they them their his her my your our its what which who whom where when why how "
-    "also very just all each every some any more most 0 00 1 2 3 4 5 6 7 8 9 10 s t re ve ll m d"
-).split()
+    "the", "a", "an", "is", "to", "of", "in", "at", "on", "and", "or", "for", "with", "it", "that", "this", "be", "are", "was", "were",
+    "been", "by", "as", "from", "not", "no", "yes", "so", "if", "but", "has", "have", "had", "do", "does", "did", "can", "will", "would",
+    "could", "should", "may", "might", "shall", "we", "he", "she", "they", "them", "their", "his", "her", "my", "your", "our", "its",
+    "what", "which", "who", "whom", "where", "when", "why", "how", "also", "very", "just", "all", "each", "every", "some", "any", "more",
+    "most", "0", "00", "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "s", "t", "re", "ve", "ll", "m", "d",
+)
 # ---
 
 

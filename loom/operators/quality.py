@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -13,25 +15,47 @@ from loom.sources.files import written
 BROADCAST_GRAMS = 200_000
 
 
-def _numbered_grams(n: int) -> Column:
-    """n, hash and place of the runs of n words, from the words' own hashes in w."""
-    places = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(*(F.get("w", i + k) for k in range(n))).alias("g"), i.alias("i")))
+def _grams(sizes: tuple[int, ...]) -> dict[int, Column]:
+    """By size, the hashes of the runs of so many words, in order, from the words' own hashes in w; smaller sizes first.
+
+    A run's hash is its first words' turned by seven bits and the last word's hash over it, so each
+    size costs one pass over the one below.  The last bits hold the place of the size in ``sizes``.
+    """
+    bits = (len(sizes) - 1).bit_length()
+    out, h = {}, F.col("w")
+    if min(sizes) < 2:
+        raise ValueError("sizes are 2 or more")
+    for n in range(2, max(sizes) + 1):
+        left = F.greatest(F.size("w") - (n - 1), F.lit(0))
+        turned = lambda x: F.shiftleft(x, 7).bitwiseOR(F.shiftrightunsigned(x, 57))
+        h = F.zip_with(F.slice(h, F.lit(1), left), F.slice("w", F.lit(n), left), lambda a, b: turned(a).bitwiseXOR(b))
+        if n in sizes:
+            out[n] = _tagged(h, sizes.index(n), bits)
+    return out
+
+
+def _tagged(hashes: Column, tag: int, bits: int) -> Column:
+    return F.transform(hashes, lambda x: x.bitwiseAND(F.lit(-1 << bits)).bitwiseOR(F.lit(tag).cast("long")))
 
 
 def ngram_stats(docs: DataFrame, words: Column, sizes: tuple[int, ...] = (2, 3, 4, 5), top: int = 3) -> DataFrame:
-    """Per n: total, unique, repeated occurrences, and the most common grams, ties by their text.
+    """Per n (2 or more): total, unique, repeated occurrences, and the most common grams, ties by their text.
 
-    Grams travel as 64-bit hashes of their words' hashes and are counted with map-side combining, in a
-    table of their own, for three statistics are drawn from it.  Only grams as common as the top-th one
-    become texts: they are picked out where they stand, and again counted by hash.
+    Grams travel as one 64-bit number each, of their words' hashes and their size, and are counted with
+    map-side combining, in a table of their own, for three statistics are drawn from it.  Only grams as
+    common as the top-th one become texts: they are picked out where they stand, and again counted by hash.
     """
     tokens = docs.select(words.alias("words")).withColumn("w", F.transform("words", lambda x: F.xxhash64(x)))
-    exploded = tokens.select(F.explode(F.concat(*map(_numbered_grams, sizes))).alias("x"))
-    grams = written(exploded.groupBy("x.n", "x.g").agg(F.count("*").alias("c")), "grams")
+    hashes = _grams(sizes)
+    size_of = F.element_at(F.array(*map(F.lit, sizes)), (F.col("g").bitwiseAND(F.lit((1 << (len(sizes) - 1).bit_length()) - 1)) + 1).cast("int"))
+    counted = tokens.select(F.explode(F.concat(*hashes.values())).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+    grams = written(counted.select(size_of.alias("n"), "g", "c"), "grams")
     picked = written(_most_counted(grams, top), "picked")
     few = picked.count() <= BROADCAST_GRAMS
-    found = tokens.select("words", F.explode(F.concat(*map(_numbered_grams, sizes))).alias("x")).select("words", "x.*").join(F.broadcast(picked) if few else picked, ["n", "g"])
+    placed = tokens.select("words", F.posexplode(F.concat(*hashes.values())).alias("i", "g")).join(F.broadcast(picked) if few else picked, "g")
+    # grams of smaller sizes stand before those of a size
+    before = reduce(lambda x, y: x + y, [F.when(F.col("n") > n, F.greatest(F.size("words") - (n - 1), F.lit(0))).otherwise(0) for n in sorted(sizes)])
+    found = placed.withColumn("i", F.col("i") - before)
     texts = found.select("n", "g", "c", F.array_join(F.slice("words", F.col("i") + 1, F.col("n")), " ").alias("text")).groupBy("n", "g", "c").agg(F.min("text").alias("text"))
     common = top_counts(texts, ["n"], "text", "c", top).groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), F.col("text")))), lambda s: s["text"]), "|").alias("top"))
     sums = grams.groupBy("n").agg(F.sum("c").alias("total"), F.count("*").alias("unique"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("repeated"))

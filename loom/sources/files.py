@@ -14,7 +14,11 @@ from pyspark.sql import window as W
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that executors share: spark.checkpoint.dir, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and (base.startswith("file:") or ":/" not in base):
+            raise ValueError("set spark.checkpoint.dir: the warehouse is a local folder, which executors don't share")
     return f"{base.rstrip('/')}/loom/{name}-{uuid.uuid4().hex}"
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loom.operators import intervals, vector_index, vectors
+from loom.operators import intervals, rl, vector_index, vectors
 from loom.sources import files
 
 EVENTS = "clip_id string, event_id long, start_s double, end_s double, label string, duration double"
@@ -95,3 +95,32 @@ def test_index_of_nothing(spark, clustered):
     assert empty.search(spark.createDataFrame([(1, [1.0])], "query_id long, q array<double>"), 3, exact=True).count() == 0
     few = vector_index.InvertedFile.build(docs.where("doc_id < 3"), files.scratch(spark, "vectors"))
     assert few.search(docs.where("doc_id = 1").select(F.col("doc_id").alias("query_id"), F.col("d").alias("q")), 5, exact=True).count() == 3
+
+
+def plain_accuracy(rows):
+    """Pair by pair; a row without a score is never alike."""
+    out = {}
+    for uid in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == uid and r[3] is not None), key=lambda r: r[1])
+        pairs = [(a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
+        if pairs:
+            whole = sum(abs(a[3] - b[3]) for a, b in pairs)
+            alike = sum(abs(a[3] - b[3]) for a, b in pairs if None not in (a[2], b[2]) and (a[2] > b[2]) == (a[3] > b[3]))
+            out[uid] = alike / whole if whole else 0.5
+    return out
+
+
+def test_preference_accuracy_without_pairs(spark):
+    r = random.Random(6)
+    rows = [(u, k, r.choice([None, 0.0, 1.0, r.random()]), r.choice([None, 0.0, 1.0, r.random()])) for u in range(12) for k in range(r.choice([1, 2, 3, 40, 150]))]
+    rows += [(50, k, float(k % 3), 1.0) for k in range(9)] + [(51, k, float(k), float(k % 2)) for k in range(64)] + [(52, 1, 1.0, None), (52, 2, 2.0, 1.0)]
+    found = {x.uid: x.accuracy for x in rl.preference_accuracy(spark.createDataFrame(rows, "uid long, k long, s double, a double"), "uid", "k", "s", "a").collect()}
+    expected = plain_accuracy(rows)
+    assert found.keys() == expected.keys() and all(found[u] == pytest.approx(v, abs=1e-9) for u, v in expected.items())
+
+
+def test_a_large_group_is_no_square(spark):
+    """100,000 rows of one group: 5 * 10^9 pairs would not end in time."""
+    one = spark.range(100_000).select(F.lit(1).alias("uid"), F.col("id").alias("k"), ((F.col("id") * 7919) % 100_003).alias("s"), ((F.col("id") * 7919) % 100_003).cast("double").alias("a"))
+    began = time.time()
+    assert rl.preference_accuracy(one, "uid", "k", "s", "a").first().accuracy == pytest.approx(1.0) and time.time() - began < 60
