@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from loom.sources.files import written
+
 
 def rates(df: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:
     """Overall (null keys) and per key: rows, counts and rates of flags. One pass with grouping sets."""
@@ -53,6 +57,63 @@ def validation(df: DataFrame, source: str, prompt: str, x: str) -> DataFrame:
     return per.groupBy(source).agg(*[F.avg(c).alias(c) for c in ("mean", "std", "best", "worst")])
 
 
+#: Draws of validation tables are broadcast while they hold no more indices than this (8 MB).
+BROADCAST_DRAWS = 1_000_000
+
+
+def _draw_sizes(n: Column) -> Column:
+    """2, 4, 8, ... below n, and n."""
+    doubled = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.concat(F.filter(doubled, lambda m: m < n), F.array(n))
+
+
+def _draws(seed: int, m: Column, b: Column, n: Column) -> Column:
+    """m places below n: by the digest of seed, m, the resample's and the draw's number, the same for all prompts."""
+    number = lambda i: F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(str(seed)), m.cast("string"), b.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.transform(F.sequence(F.lit(0), m - 1), lambda i: (number(i) % n).cast("int"))
+
+
+def validation_table(df: DataFrame, source: str, prompt: str, place: str, variables: list[str], pred: str | None = None, times: int = 1000, seed: int = 42) -> DataFrame:
+    """source, variable, metric, value: means over prompts of mean@N, std@N and of resampled best@n, worst@n and maj@n.
+
+    N is a prompt's number of responses, n runs over 2, 4, 8, ... below it and N; of ``times`` resamples
+    of n responses each, the mean ("/mean") and population deviation ("/std") of the best and the worst
+    value, and of the value that the commonest ``pred`` has first (ties: the vote drawn first).  A prompt
+    with one response has a mean only.  A prompt's responses, which are few, travel as one array; null
+    values are left out of extremes and means.  Resamples depend on n and N alone: they are one small
+    table, broadcast while it is small, else made beside each prompt.
+    """
+    given = F.struct(F.col(place).alias("place"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(variables)], (F.col(pred) if pred else F.lit(None)).cast("string").alias("p"))
+    groups = df.groupBy(F.col(source).alias("source"), F.col(prompt).alias("prompt")).agg(F.array_sort(F.collect_list(given)).alias("v"), F.count("*").cast("int").alias("n"))
+    parts = [groups.select("source", "prompt", "n", F.lit(c).alias("variable"), _values(f"x{k}").alias("d")) for k, c in enumerate(variables)]
+    rows = written(reduce(DataFrame.unionByName, parts), "validation")
+    label = lambda name, n, end="": F.concat(F.lit(f"{name}@"), n.cast("string"), F.lit(end))
+    x = F.filter(F.transform("d", lambda s: s["x"]), lambda v: v.isNotNull())
+    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(x), F.lit(0))
+    spread = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean"))) / F.nullif(F.size(x), F.lit(0)))
+    plain = rows.withColumn("mean", mean).withColumn("std", spread)
+    metrics = [plain.select("source", "variable", label("mean", F.col("n")).alias("metric"), F.col("mean").alias("value")), plain.where("n > 1").select("source", "variable", label("std", F.col("n")).alias("metric"), F.col("std").alias("value"))]
+
+    sizes = rows.where("n > 1").select("n").distinct()
+    few = (sizes.agg(F.sum(F.aggregate(_draw_sizes(F.col("n")), F.lit(0), lambda a, m: a + m))).first()[0] or 0) * times <= BROADCAST_DRAWS
+    drawn = lambda of: of.withColumn("m", F.explode(_draw_sizes(F.col("n")))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("i", _draws(seed, F.col("m"), F.col("b"), F.col("n")))
+    many = rows.where("n > 1")
+    resampled = many.join(F.broadcast(drawn(sizes)), "n") if few else drawn(many)
+    picked = resampled.select("source", "prompt", "variable", "m", F.transform("i", lambda i: F.get("d", i)).alias("d"))
+    votes = F.transform("d", lambda s: F.size(F.filter("d", lambda o: o["p"].eqNullSafe(s["p"]))))
+    winner = F.get("d", (F.array_position("votes", F.array_max("votes")) - 1).cast("int"))["x"]
+    each = picked.withColumn("votes", votes if pred else F.lit(None).cast("array<int>")).select("source", "prompt", "variable", "m", F.array_max(F.transform("d", lambda s: s["x"])).alias("best"), F.array_min(F.transform("d", lambda s: s["x"])).alias("worst"), winner.alias("maj"))
+    kinds = ("best", "worst", "maj") if pred else ("best", "worst")
+    per = each.groupBy("source", "prompt", "variable", "m").agg(*[f(c).alias(f"{c}/{end}") for c in kinds for end, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    pairs = F.array(*[F.struct(label(c, F.col("m"), f"/{end}").alias("metric"), F.col(f"`{c}/{end}`").alias("value")) for c in kinds for end in ("mean", "std")])
+    metrics.append(per.select("source", "variable", F.explode(pairs).alias("e")).select("source", "variable", "e.metric", "e.value"))
+    return reduce(DataFrame.unionByName, metrics).groupBy("source", "variable", "metric").agg(F.avg("value").alias("value"))
+
+
+def _values(name: str) -> Column:
+    return F.transform("v", lambda s: F.struct(s[name].alias("x"), s["p"].alias("p")))
+
+
 def list_means(df: DataFrame, source: str, scores: Column) -> DataFrame:
     """A list's mean per row, then the mean per source."""
     mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)

@@ -63,6 +63,13 @@ MET = "SELECT concat(CASE o_orderkey % 3 WHEN 0 THEN 'max_' WHEN 1 THEN 'min_' E
 over("metrics_by_name__AGG20", lambda v: rp.reduced_by_name(v).select("name", F.round("value", 3).alias("value")), " SELECT name, round(CASE WHEN contains(name, 'max') THEN max(value) WHEN contains(name, 'min') THEN min(value) ELSE avg(value) END, 3) AS value FROM v GROUP BY name", MET)
 over("majority_votes__AGG22", lambda v: rp.voted(v, ["uid"], "st", "price", "id"), ", c AS (SELECT uid, st, count(*) AS n, min(id) AS f, arg_min(price, id) AS value FROM v GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, f) AS k FROM c) SELECT uid, st AS vote, value FROM k WHERE k = 1", ORD)
 over("validation_metrics__AGG21", lambda v: rp.validation(v, "st", "uid", "price").select("st", *[F.round(c, 3).alias(c) for c in ("mean", "std", "best", "worst")]), ", p AS (SELECT st, uid, avg(price) AS m, CASE WHEN count(*) > 1 THEN stddev_pop(price) END AS s, max(price) AS b, min(price) AS w FROM v GROUP BY 1, 2) SELECT st, round(avg(m), 3) AS mean, round(avg(s), 3) AS std, round(avg(b), 3) AS best, round(avg(w), 3) AS worst FROM p GROUP BY 1", ORD)
+over("validation_table__AGG21", lambda v: rp.validation_table(v.withColumn("pred", C("id") % 3), "st", "uid", "id", ["price"], "pred", times=20).select("source", "metric", F.round("value", 3).alias("value")),
+    """, g AS (SELECT st, uid, list({'x': CAST(price AS DOUBLE), 'p': id % 3} ORDER BY id) AS d, count(*) AS n FROM v GROUP BY ALL), s AS (SELECT DISTINCT n, unnest(list_append(list_filter([2, 4, 8, 16, 32, 64, 128, 256, 512], lambda k: k < n), n)) AS m FROM g WHERE n > 1),
+w AS (SELECT n, m, list_transform(range(m), lambda i: CAST('0x' || substr(md5('42_' || m || '_' || b || '_' || i), 1, 8) AS BIGINT) % n) AS i FROM s, range(20) t(b)), k AS (SELECT st, uid, m, list_transform(i, lambda j: d[j + 1]) AS d FROM g JOIN w USING (n)),
+e AS (SELECT st, uid, m, d, list_transform(d, lambda r: r.x) AS x, list_transform(d, lambda r: len(list_filter(d, lambda q: q.p = r.p))) AS c FROM k), f AS (SELECT st, uid, m, list_max(x) AS best, list_min(x) AS worst, x[list_position(c, list_max(c))] AS maj FROM e),
+p AS (SELECT st, uid, m, avg(best) AS bm, stddev_pop(best) AS bs, avg(worst) AS wm, stddev_pop(worst) AS ws, avg(maj) AS mm, stddev_pop(maj) AS ms FROM f GROUP BY ALL),
+u AS (SELECT st, 'mean@' || n AS metric, list_avg(list_transform(d, lambda r: r.x)) AS value FROM g UNION ALL SELECT st, 'std@' || n, list_stddev_pop(list_transform(d, lambda r: r.x)) FROM g WHERE n > 1 UNION ALL SELECT st, 'best@' || m || '/mean', bm FROM p UNION ALL SELECT st, 'best@' || m || '/std', bs FROM p
+  UNION ALL SELECT st, 'worst@' || m || '/mean', wm FROM p UNION ALL SELECT st, 'worst@' || m || '/std', ws FROM p UNION ALL SELECT st, 'maj@' || m || '/mean', mm FROM p UNION ALL SELECT st, 'maj@' || m || '/std', ms FROM p) SELECT st AS source, metric, round(avg(value), 3) AS value FROM u GROUP BY ALL""", ORD)
 over("list_means__AGG23", lambda v: rp.list_means(v, "st", F.array(C("price") / 1000, C("price") / 500)).select("st", F.round("score", 6).alias("score")), " SELECT st, round(avg((price / 1000 + price / 500) / 2), 6) AS score FROM v GROUP BY 1", ORD)
 over("batch_metrics__AGG18", lambda v: rp.batch_metrics(v.select(C("reward").alias("score"), (C("reward") * 0.9).alias("value"), C("reward").alias("ret"), "length"), 50).select(*[F.round(c, 5).alias(c) for c in ("score_mean", "score_max", "value_min", "length_mean", "clip_ratio", "explained_variance")]),
     " SELECT round(avg(reward), 5) AS score_mean, round(max(reward), 5) AS score_max, round(min(reward * 0.9), 5) AS value_min, round(avg(length), 5) AS length_mean, round(avg(CASE WHEN length >= 50 THEN 1 ELSE 0 END), 5) AS clip_ratio, round(1 - var_pop(reward - reward * 0.9) / (var_pop(reward) + 1e-5), 5) AS explained_variance FROM v", views.ROLLOUTS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -82,6 +83,17 @@ def _catalog(spark, sf_dir):
     return c.load(spark, ["docs:en#40", "hub::team/docs:de"], "doc_id").groupBy(F.when(C("lang") == "en", "en").otherwise("other").alias("part")).agg(F.count("*").alias("n"))
 
 
+@query("info_file_requests__SRC10", "SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS query FROM customer UNION ALL SELECT CAST(n_nationkey AS BIGINT), n_name FROM nation")
+def _info(spark, sf_dir):
+    """Two datasets registered from an info text, with their columns renamed; one is asked for by the end of its name."""
+    buyers, places = (files.scratch(spark, x) + ".jsonl" for x in ("buyers", "places"))
+    views.read(spark, sf_dir, "customer").select("c_custkey", "c_name").write.json(buyers)
+    views.read(spark, sf_dir, "nation").select("n_nationkey", "n_name").write.json(places)
+    c = catalog.Catalog()
+    c.register_info(json.dumps([{"name": "team/buyers", "path": buyers, "columns": {"c_custkey": "id", "c_name": "query"}}, {"name": "team/places", "path": places, "columns": {"n_nationkey": "id", "n_name": "query"}}]))
+    return c.load(spark, ["buyers", "team/places"], "id").select(C("id").cast("long").alias("id"), "query")
+
+
 LEN = "SELECT o_orderkey AS id, o_orderkey % 50 + 1 AS len, CAST(floor(o_orderkey / 64) AS BIGINT) AS batch FROM {orders}"
 simple("packed_sequences__SET16", LEN, lambda v: seq.packed_rows(seq.packed(v, "id", "len", 128), "id", "len").groupBy("shard").agg(F.sum("len").alias("tokens"), (F.max(C("offset") + C("len")) <= 128).alias("fits")), " SELECT CAST(floor(id / 128) AS BIGINT) AS shard, CAST(sum(len) AS BIGINT) AS tokens, true AS fits FROM v GROUP BY 1")
 simple("balanced_parts__SET17_SET18", LEN, lambda v: seq.balanced_parts(v, "batch", "id", "len", 4).groupBy("batch", "part").agg(F.sum("len").alias("s")).groupBy("batch").agg(F.sum("s").alias("tokens"), (F.max("s") - F.min("s") <= 50).alias("even")), " SELECT batch, CAST(sum(len) AS BIGINT) AS tokens, true AS even FROM v GROUP BY 1")

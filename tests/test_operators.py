@@ -211,3 +211,18 @@ def test_smoothing_of_long_series(spark, factor):
         total = total * factor + (1 - factor) * (i % 11 / 2)
         expected.append(total / (1 - factor ** (i + 1)))
     assert [r.smooth for r in rl.smoothed(rows, ["g"], ["id"], "x", factor).orderBy("id").collect()] == pytest.approx(expected, rel=1e-9)
+
+
+def test_validation_table_beside_prompts(spark, monkeypatch):
+    """Resamples made beside each prompt are those of the table; nulls and single responses have their metrics only."""
+    from loom.operators import reports
+
+    rows = [("s", u, i, None if i % 7 == 3 else float(i % 5), "abc"[i % 3]) for u in range(4) for i in range(u * 5 + 1)] + [("t", 9, 0, None, None)]
+    frame = spark.createDataFrame(rows, "source string, prompt long, id long, x double, pred string")
+    table = lambda: {(r.source, r.metric): r.value for r in reports.validation_table(frame, "source", "prompt", "id", ["x"], "pred", times=7).collect()}
+    few = table()
+    monkeypatch.setattr(reports, "BROADCAST_DRAWS", 0)
+    many = table()
+    assert few.keys() == many.keys() and all(few[k] == many[k] or abs(few[k] - many[k]) < 1e-9 for k in few)
+    assert ("t", "mean@1") in few and few["t", "mean@1"] is None and ("s", "std@1") not in few
+    assert {m for s, m in few if s == "s" and m.endswith("/mean")} == {f"{k}@{n}/mean" for k in ("best", "worst", "maj") for n in (2, 4, 6, 8, 11, 16)}
