@@ -299,7 +299,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     A set holds the distinct shingles of ``shingle`` words (A-Z lower-cased); a shorter text's whole
     word sequence is its one shingle; texts without words (null, empty) have none and link with
-    nothing.  Other columns are ignored.
+    nothing.  Other columns are ignored.  Rows without a doc_id are linked with nothing (component_id
+    null, kept true); rows that repeat one are one document, see ``NearDuplicates.run``.  No rows give no rows.
     """
     return NearDuplicates(docs, shingle, percent, bands, rows).run()
 
@@ -308,6 +309,7 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     """The rows of docs, with all their columns, of one document of each linked group.
 
     The ids that go are broadcast while they are few (the count is checked), else joined by a shuffle.
+    All rows of an id that goes go; rows without an id, or without words, stay.
     """
     going = materialise(near_duplicates(docs, shingle, percent).where("NOT kept").select(F.col("doc_id").alias("__loom_id")).distinct(), "going")
     few = going.count() <= BROADCAST_IDS

@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding by a table of distinct chunks.
+"""SentencePiece encoding and decoding by a table of distinct chunks, of which each worker keeps its own.
 
 The model escapes spaces as a marker and no piece has a marker after another character, so merges
 never cross from a character to a following marker: a text is cut there into marked words, each

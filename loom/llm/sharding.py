@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation under capacity quotas.
 
 Documents are nodes and equal texts are links; a group's hub stands for its links, so a group of n
-has n of them and not n * n / 2.  Documents start at seeded shards, and a hub wishes for the shards
+has n of them and not n * n / 2.  Links of equal texts are stars: a hub's neighbours have no others, so
+one propagation from the start is the fixed point of labels, and what is repeated is the admission.  Documents start at seeded shards, and a hub wishes for the shards
 that hold its group's bytes, those that hold most first.  Its documents take the shard it gets; none
 holds room at its start, so departures need no counting.  In each round every hub that waits asks for
 the first of its wishes with room; a shard admits, in a seeded order, what its quota leaves, and who

@@ -76,3 +76,28 @@ def test_mix(odd):
         taken[r.source] += r.taken
         target[r.source] = r.target
     assert all(abs(taken[s] - t) <= max(1, 0.02 * t) for s, t in target.items())
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3, 4])
+def test_stages_of_the_pipeline(spark, sf_dir, odd, empty, stage):
+    """Each stage on odd rows by itself: what stays, with all columns."""
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    found = run(spark, odd, sf_dir)
+    kept = collections.Counter((r.doc_id, r.text) for r in found.collect()) if stage < 4 else None
+    given = collections.Counter((r.doc_id, r.text) for r in odd.collect())
+    assert run(spark, empty, sf_dir).count() == 0
+    if stage == 4:
+        assert collections.Counter(r.doc_id for r in found.collect()) == collections.Counter(r.doc_id for r in odd.collect())
+        return
+    assert found.columns == odd.columns
+    if stage == 0:
+        assert all(t and len(t.split()) >= 50 for _, t in kept) and kept <= given
+    if stage == 1:
+        lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        assert kept <= given and sorted(lower(t) for _, t in kept) == sorted({lower(t) for _, t in given})
+    if stage == 2:
+        assert kept <= given and {(i, t) for i, t in given if i is None or not (t or "").split()} <= set(kept) and not {8, 9, 10} & {i for i, _ in kept}
+    if stage == 3:
+        assert {i for i, _ in kept} <= {i for i, _ in given} and all(t for _, t in kept)
