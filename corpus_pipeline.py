@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  Stages are
 written as Parquet to the shared folder and read again, so a lost executor costs a stage at most.
+
+Odd rows, in every stage: a null text counts as empty; rows that share an id are judged each by their
+own text, but for near copies, where one set stands for an id and a row without an id is linked with
+nothing and stays; other columns pass through, whatever their names (encoding returns its own); no rows
+give no rows.  Empty texts fail the rules of the first stage, so later ones meet them only by themselves.
 """
 
 from __future__ import annotations
