@@ -41,13 +41,17 @@ def scored(df: DataFrame, names: list[str], response: str, gold: str) -> DataFra
     return df.select("*", *[SCORERS[n](F.col(response), F.col(gold)).alias(n) for n in names])
 
 
-def row_map(df: DataFrame, function: Callable[[dict], dict | list[dict] | None], schema: str, strict: bool = False) -> DataFrame:
+def row_map(df: DataFrame, function: Callable[[dict], dict | list[dict] | None], schema: str, strict: bool = False, error: str | None = None) -> DataFrame:
     """function over each row, a dict: None drops it, a dict replaces it, a list of dicts puts several in its place.
 
-    A row on which the function fails is dropped, unless strict.  Rows travel in Arrow batches, for a
-    user's function knows rows only; what is built in is written as Columns instead.
+    A row on which the function fails is an error where strict; with ``error``, the name of a further
+    column, it is one row of nulls and the failure's text there, so that failures can be counted and
+    read; else it is dropped.  Rows travel in Arrow batches, for a user's function knows rows only; what
+    is built in is written as Columns instead.
     """
     names = df.columns
+    if error:
+        schema += f", `{error}` string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -55,12 +59,13 @@ def row_map(df: DataFrame, function: Callable[[dict], dict | list[dict] | None],
             for values in pdf.itertuples(index=False, name=None):
                 try:
                     made = function(dict(zip(names, values, strict=True)))
-                except Exception:
+                except Exception as e:
                     if strict:
                         raise
+                    out += [{error: f"{type(e).__name__}: {e}"}] if error else []
                     continue
                 out += made if isinstance(made, list) else [] if made is None else [made]
-            yield pd.DataFrame(out, columns=columns)
+            yield pd.DataFrame(out, columns=columns, dtype=object)
 
     columns = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
     return df.mapInPandas(run, schema)

@@ -226,3 +226,10 @@ def test_validation_table_beside_prompts(spark, monkeypatch):
     assert few.keys() == many.keys() and all(few[k] == many[k] or abs(few[k] - many[k]) < 1e-9 for k in few)
     assert ("t", "mean@1") in few and few["t", "mean@1"] is None and ("s", "std@1") not in few
     assert {m for s, m in few if s == "s" and m.endswith("/mean")} == {f"{k}@{n}/mean" for k in ("best", "worst", "maj") for n in (2, 4, 6, 8, 11, 16)}
+
+
+def test_failures_of_row_maps_are_told(spark):
+    frame = spark.range(6)
+    found = hooks.row_map(frame, lambda r: {"k": 6 // (r["id"] % 3)}, "k long", error="why").collect()
+    assert sorted((r.k is None, r.k or 0, r.why) for r in found) == [(False, 3, None), (False, 3, None), (False, 6, None), (False, 6, None)] + [(True, 0, "ZeroDivisionError: integer division or modulo by zero")] * 2
+    assert hooks.row_map(frame, lambda r: {"k": 6 // (r["id"] % 3)}, "k long").count() == 4
