@@ -97,6 +97,14 @@ def _info(spark, sf_dir):
 LEN = "SELECT o_orderkey AS id, o_orderkey % 50 + 1 AS len, CAST(floor(o_orderkey / 64) AS BIGINT) AS batch FROM {orders}"
 simple("packed_sequences__SET16", LEN, lambda v: seq.packed_rows(seq.packed(v, "id", "len", 128), "id", "len").groupBy("shard").agg(F.sum("len").alias("tokens"), (F.max(C("offset") + C("len")) <= 128).alias("fits")), " SELECT CAST(floor(id / 128) AS BIGINT) AS shard, CAST(sum(len) AS BIGINT) AS tokens, true AS fits FROM v GROUP BY 1")
 simple("balanced_parts__SET17_SET18", LEN, lambda v: seq.balanced_parts(v, "batch", "id", "len", 4).groupBy("batch", "part").agg(F.sum("len").alias("s")).groupBy("batch").agg(F.sum("s").alias("tokens"), (F.max("s") - F.min("s") <= 50).alias("even")), " SELECT batch, CAST(sum(len) AS BIGINT) AS tokens, true AS even FROM v GROUP BY 1")
+def _even(v):
+    """Every row in one of 64 parts, of sums that differ by less than the longest row."""
+    split = files.written(seq.balanced_whole(v, "id", "len", 64, 1000, 4), "parts")
+    even = split.groupBy("part").agg(F.sum("len").alias("s")).agg((F.max("s") - F.min("s") < 50).alias("even"), F.count("*").alias("parts"))
+    return split.select("id", "len").join(F.broadcast(even))
+
+
+simple("balanced_whole__SET17", LEN, _even, " SELECT id, len, true AS even, 64 AS parts FROM v")
 KINDS = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'gap' WHEN 1 THEN 'order' ELSE 'overlap' END AS a, 'gap' AS b FROM {orders}"
 simple("quota_choice__SMP07", KINDS, lambda v: seq.quota_choice(v.withColumn("k", F.array_distinct(F.array("a", "b"))), F.floor(C("id") / 4096), "id", "k", {"gap": 2, "order": 1, "overlap": 1}).groupBy("kind").agg(F.count("*").alias("n")))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loom.operators import intervals, rl, vector_index, vectors
+from loom.operators import intervals, rl, sequential, vector_index, vectors
 from loom.sources import files
 
 EVENTS = "clip_id string, event_id long, start_s double, end_s double, label string, duration double"
@@ -124,3 +124,21 @@ def test_a_large_group_is_no_square(spark):
     one = spark.range(100_000).select(F.lit(1).alias("uid"), F.col("id").alias("k"), ((F.col("id") * 7919) % 100_003).alias("s"), ((F.col("id") * 7919) % 100_003).cast("double").alias("a"))
     began = time.time()
     assert rl.preference_accuracy(one, "uid", "k", "s", "a").first().accuracy == pytest.approx(1.0) and time.time() - began < 60
+
+
+def test_balanced_parts_of_many_rows(spark):
+    """The spread of a tree of chunks is near that of one task; every row has one part, whatever its key."""
+    r = random.Random(9)
+    rows = [(r.choice([1, 2, i]), r.choice([None, 1, 5, r.randint(1, 4000)])) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "k long, n long").repartition(5)
+    found = [(x.k, x.n, x.part) for x in sequential.balanced_whole(frame, "k", "n", 16, 1000, 2).collect()]
+    assert sorted(x[:2] for x in found) == sorted((k, n or 0) for k, n in rows)
+    spread = lambda parts: max(parts) - min(parts)
+    sums = [sum(n for _, n, p in found if p == q) for q in range(16)]
+    lengths = [n or 0 for _, n in rows]
+    whole = [0] * 16
+    for n, p in zip(lengths, sequential.balanced(lengths, 16), strict=True):
+        whole[p] += n
+    assert sum(sums) == sum(whole) and spread(sums) <= max(2 * spread(whole), 4)
+    assert sequential.balanced_whole(frame.limit(0), "k", "n", 4).count() == 0
+    assert sorted(x.part for x in sequential.balanced_whole(frame.limit(3), "k", "n", 8).collect()) != [0, 0, 0]
