@@ -35,7 +35,11 @@ def pack(lengths: Sequence[int], most: int) -> list[int]:
 
 
 def packed(df: DataFrame, key: str, length: str, most: int, interval: int = 128) -> DataFrame:
-    """key, length, shard, bin: rows in key order, packed within intervals of rows that are packed apart."""
+    """key, length, shard, bin: rows in key order, packed within intervals of rows.
+
+    Intervals are packed apart, so that each is a task of its own; their last bins are emptier than where
+    a bin is carried on, as ``loom.streaming.flows.packed`` does.
+    """
     shard = F.floor(F.col(key) / interval)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
