@@ -146,11 +146,11 @@ def inverse(order: DataFrame) -> DataFrame:
 
 
 def shard(place: Column, total: int, parts: int, drop_rest: bool = False) -> Column:
-    """The part of a row: equal pieces without the remainder (null), or the remainder spread."""
+    """The part of a row: equal pieces without the remainder (null), or the remainder spread; rows from ``total`` on go to the last part."""
     if drop_rest:
         piece = total // parts
         return F.when(place < piece * parts, F.floor(place / piece))
-    return F.floor(((place + 1) * parts - 1) / total)
+    return F.least(F.floor(((place + 1) * parts - 1) / total), F.lit(parts - 1).cast("long"))
 
 
 def fitted(x: Column, length: int, pad: Column, left: bool = False) -> Column:
