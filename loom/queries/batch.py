@@ -50,7 +50,13 @@ over("imbalance__AGG32", lambda v: op.imbalance(v.withColumn("a", F.floor(F.col(
     """, a AS (SELECT floor(rid / 10000) AS k, sum(length) AS s FROM v GROUP BY 1), b AS (SELECT rid % 4 AS k, sum(length) AS s FROM v GROUP BY 1) SELECT CAST(x.lo AS DOUBLE) AS min, CAST(x.hi AS DOUBLE) AS max, CAST(x.hi - x.lo AS DOUBLE) AS minmax_diff, CAST(y.lo AS DOUBLE) AS balanced_min, CAST(y.hi AS DOUBLE) AS balanced_max, round(x.m, 3) AS mean FROM (SELECT min(s) AS lo, max(s) AS hi, avg(s) AS m FROM a) x, (SELECT min(s) AS lo, max(s) AS hi FROM b) y""", views.ROLLOUTS)
 over("micro_batch_count__SET18", lambda v: op.rounds_needed(v, "length", 4096, 8), " SELECT CAST(ceil(least(count(*), ceil(sum(length) / 4096)) / 8) * 8 AS BIGINT) AS micro_batches FROM v", views.ROLLOUTS)
 
-over("sample_with_repeats__SMP01", lambda v: smp.sampled(v, "id", 4000, 7).groupBy("id").agg(F.count("*").alias("n")), f", p AS (SELECT id, row_number() OVER (ORDER BY {md5(7)}, id) AS k FROM v) SELECT id, CAST(4000 // c + CASE WHEN k <= 4000 % c THEN 1 ELSE 0 END AS BIGINT) AS n FROM p, (SELECT count(*) AS c FROM v)")
+def _times_sampled(v):
+    """How often each row is drawn: 0 for those that are not."""
+    drawn = smp.sampled(v, "id", 4000, 7).groupBy("id").agg(F.count("*").alias("n"))
+    return v.select("id").join(drawn, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+over("sample_with_repeats__SMP01", _times_sampled, f", p AS (SELECT id, row_number() OVER (ORDER BY {md5(7)}, id) AS k FROM v) SELECT id, CAST(4000 // c + CASE WHEN k <= 4000 % c THEN 1 ELSE 0 END AS BIGINT) AS n FROM p, (SELECT count(*) AS c FROM v)")
 over("train_val_split__SMP02", lambda v: smp.split(v, "id", 0.1, 11, 1200).where("part IS NOT NULL").select("id", "part"), f", p AS (SELECT id, row_number() OVER (ORDER BY {md5(11)}, id) AS k FROM v) SELECT id, CASE WHEN k <= greatest(1, floor(least(c, 1200) * 0.1)) THEN 'val' ELSE 'train' END AS part FROM p, (SELECT count(*) AS c FROM v) WHERE k <= 1200")
 over("seeded_shuffle__SMP03", lambda v: op.shuffled(v, "id", 5, "place").select("id", "place"), f" SELECT id, row_number() OVER (ORDER BY {md5(5)}, id) - 1 AS place FROM v")
 over("fixed_manifest__SMP04", lambda v: smp.manifest(v, "id", 200, 900, 50, 42).select("id"), IDX + f" SELECT id FROM i WHERE row_idx BETWEEN 200 AND 899 ORDER BY {md5(42)}, id LIMIT 50")

@@ -31,3 +31,7 @@ def customers(spark):
 
 def test_rows_beyond_the_total_go_to_the_last_shard(same, customers):
     assert same("rank_shards__SRT04_SET20", customer=customers)
+
+
+def test_rows_that_are_not_drawn_count_as_zero(same, customers):
+    assert same("sample_with_repeats__SMP01", customer=customers)
