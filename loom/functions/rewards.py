@@ -121,10 +121,17 @@ def cosine_length(length: Column, right: Column, most: int = 1000, wrong: tuple[
 
 def repetition_penalty(text: Column, n: int = 3, most: float = -1.0) -> Column:
     """The share of repeated n-grams of blank-separated lower-case words, times ``most``."""
+
+    def penalty(words: Column) -> Column:
+        count = F.size(words) - (n - 1)
+        grams = F.slice(words, F.lit(1), F.greatest(count, F.lit(0)))
+        for k in range(1, n):
+            grams = F.zip_with(grams, F.slice(words, F.lit(k + 1), F.greatest(count, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        return F.when(count < 1, 0.0).otherwise((F.lit(1.0) - F.size(F.array_distinct(grams)) / count) * most)
+
+    # the words are a variable of their own, for an expression used at each place would be computed there
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    count = F.size(words) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(count < 1, 0.0).otherwise((F.lit(1.0) - F.size(F.array_distinct(grams)) / count) * most)
+    return F.get(F.transform(F.array(words), penalty), F.lit(0))
 
 
 def soft_overlong(length: Column, most: int, cache: int) -> Column:

@@ -35,3 +35,32 @@ def test_rows_beyond_the_total_go_to_the_last_shard(same, customers):
 
 def test_rows_that_are_not_drawn_count_as_zero(same, customers):
     assert same("sample_with_repeats__SMP01", customer=customers)
+
+
+def documents(spark, *texts):
+    return spark.createDataFrame([(11 + 35 * i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+
+
+def test_spelled_out_words_beside_other_letters_and_an_exact_share(same, spark):
+    """Bounds of words are ASCII ones; 63 letters of 180 words are not above 35 %."""
+    plain = "one two three four five six seven eight nine ten "
+    texts = [plain + "éa b c d", plain + "a b c dé", plain + "xa b c d", plain + "a b c d", plain + "a\x0bb c d", "a bc " * 63 + "de " * 54, "a bc " * 64 + "de " * 52, plain + "0 " * 20, plain + "0 " * 19]
+    assert same("bad_descriptions__FLT12", documents=documents(spark, *texts))
+
+
+def test_shares_are_rounded_as_numbers(same, spark):
+    """33117 of 39840 seconds is 83.125 %, a tie; kinds go by the least event_id."""
+    rows = [(16 * u + 8 * k + 5 + u % 8, f"2024-01-11 {at}", u, "view", value, "") for u in range(8) for k, (at, value) in enumerate([("09:11:57", 29.79), ("10:00:00", 64.0)])]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert same("narrated_questions__STR16", events=events)
+
+
+def test_repetition_of_a_long_text_is_no_square(spark):
+    import time
+
+    from loom.functions import rewards
+
+    long = spark.createDataFrame([(" ".join(f"W{i % 30_000}" for i in range(40_000)),), ("a b a b a",), ("a b",), ("",)], "t string")
+    began = time.time()
+    found = [round(r.p, 6) for r in long.select(rewards.repetition_penalty(F.col("t")).alias("p")).collect()]
+    assert found == [round(-(1 - 30_000 / 39_998), 6), round(-1 / 3, 6), 0.0, 0.0] and time.time() - began < 20
