@@ -54,8 +54,9 @@ def narrated(kind: Column, events: Column, answer: Column, duration: Column, key
     a, b, t = F.get(events, F.lit(0)), F.get(events, F.lit(1)), F.element_at(events, -1)
     total = F.coalesce(F.nullif(duration, F.lit(0.0)), F.lit(10.0))
     length = lambda e: e["end"] - e["start"]
-    three = lambda x: F.format_string("%.3f", x)
-    two = lambda x: F.format_string("%.2f", x)
+    # rounds the number itself, a tie to even, as C's printf does; Java's rounds its shortest decimal text up
+    three = lambda x: F.call_function("format_number", x, F.lit("0.000"))
+    two = lambda x: F.call_function("format_number", x, F.lit("0.00"))
     start, end = F.greatest(a["start"], b["start"]), F.least(a["end"], b["end"])
     done = F.filter(F.slice(events, 1, F.greatest(F.size(events) - 1, F.lit(0))), lambda e: e["end"] <= t["start"] + 1e-6)
     completed = F.transform(done, lambda e, i: filled(COMPLETED, {"seg": segment(e), "k": i + 1, "end": fmt.time(e["end"])}))
