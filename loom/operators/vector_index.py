@@ -25,6 +25,8 @@ from pyspark.sql import window as W
 from loom.sources import files
 
 SAMPLE, BLOCK_ROWS, MOST_CELLS = 16_384, 20_000, 1024
+#: Routes of queries that are made at a time, and products of vectors and centroids, about.
+ROUTED = 500_000
 #: Held out of the sample, to find how many cells must be probed for a recall.
 TUNED, TUNED_K = 256, 10
 MADE = "dimension int, probes int, buckets int"
@@ -96,12 +98,12 @@ class InvertedFile:
         probes = probes_for(x, centers, recall) if count else 0
 
         def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    v = _vectors(batch["d"])
-                    cell = ((centers**2).sum(1) - 2 * v @ centers.T).argmin(1)
-                    off = np.sqrt(((v - centers[cell]) ** 2).sum(1))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(off)], ["doc_id", "d", "cell", "off"])
+            few = max(1, ROUTED // max(1, count))
+            for batch in (whole.slice(a, few) for whole in batches for a in range(0, whole.num_rows, few)):
+                v = _vectors(batch["d"])
+                cell = ((centers**2).sum(1) - 2 * v @ centers.T).argmin(1)
+                off = np.sqrt(((v - centers[cell]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(off)], ["doc_id", "d", "cell", "off"])
 
         placed = files.written(whole.mapInArrow(assigned, "doc_id long, d array<double>, cell int, off double"), "vector-cells")
         held = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("off").alias("radius")).collect()}
@@ -126,9 +128,9 @@ class InvertedFile:
         length = np.sqrt((centers**2).sum(1)).max(initial=0)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            # so few queries at a time that neither their products nor their routes take much memory
+            few = max(1, ROUTED // max(1, sum(parts)))
+            for batch in (whole.slice(a, few) for whole in batches for a in range(0, whole.num_rows, few)):
                 q = _vectors(batch["q"])
                 near = q @ centers.T
                 norm = np.sqrt((q**2).sum(1))[:, None]
@@ -141,10 +143,13 @@ class InvertedFile:
                     margin = 1e-6 + 1e-9 * norm * (length + radius)
                     take = ~take & (np.isnan(least) | (near + norm * radius + margin >= least))
                 row, cell = np.nonzero(take)
-                row, cell = np.repeat(row, parts[cell]), np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in cell]) if len(cell) else np.zeros(0, int)
+                n = parts[cell]
+                # the blocks of a cell follow each other
+                block = np.repeat(first[cell] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                row = np.repeat(row, n)
                 for a in range(0, len(row), 10_000):
                     at = pa.array(row[a : a + 10_000])
-                    yield pa.RecordBatch.from_arrays([batch["query_id"].take(at), batch["q"].take(at), pa.array(cell[a : a + 10_000].astype(np.int32))], ["query_id", "q", "block"])
+                    yield pa.RecordBatch.from_arrays([batch["query_id"].take(at), batch["q"].take(at), pa.array(block[a : a + 10_000].astype(np.int32))], ["query_id", "q", "block"])
 
         return queries.mapInArrow(run, "query_id long, q array<double>, block int")
 
