@@ -92,7 +92,7 @@ over("pair_losses__MTH07", lambda v: vec.pair_losses(PAIRED(v)).select(*[F.round
     PAIR + ", x AS (SELECT y, 1 - c AS d FROM s), b AS (SELECT max(d) FILTER (y = 1) AS pm, min(d) FILTER (y = 0) AS nm FROM x) SELECT round(avg(pow(1 - d - y, 2)), 6) AS cosine, round(avg(0.5 * (y * d * d + (1 - y) * pow(greatest(0.5 - d, 0), 2))), 6) AS contrastive, round(sum(CASE WHEN y = 1 AND d > nm THEN d * d WHEN y = 0 AND d < pm THEN pow(greatest(0.5 - d, 0), 2) ELSE 0 END), 6) AS online FROM x, b", VEC)
 over("group_margins__AGG27", lambda v: vec.group_margins(v.withColumn("g", F.floor(C("vec_id") / 5)), "g", "vec_id", "embedding").select(*[F.round(c, 6).alias(c) for c in ("mean_pos", "mean_neg", "margin")]),
     f", a AS (SELECT x.vec_id // 5 AS g, y.vec_id % 5 AS k, {DOT.format('x.embedding', 'y.embedding')} AS s FROM v x JOIN v y ON x.vec_id % 5 = 0 AND y.vec_id // 5 = x.vec_id // 5 AND y.vec_id % 5 > 0), m AS (SELECT g, max(s) FILTER (k = 1) AS p, max(s) FILTER (k > 1) AS n FROM a GROUP BY 1) SELECT round(avg(s) FILTER (k = 1), 6) AS mean_pos, round(avg(s) FILTER (k > 1), 6) AS mean_neg, round((SELECT avg(p - n) FROM m), 6) AS margin FROM a", VEC)
-over("nearest_vectors__JON14", lambda v: vec.nearest(v.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("q")), v.select(C("vec_id").alias("doc_id"), C("embedding").alias("d")), 5, F.round(vec.dot(C("q"), C("d")), 6)).select("query_id", "doc_id", "rank"),
+over("nearest_vectors__JON14", lambda v: vec.nearest_by_product(v.where("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("q")), v.select(C("vec_id").alias("doc_id"), C("embedding").alias("d")), 5).select("query_id", "doc_id", "rank"),
     f", s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({DOT.format('q.embedding', 'd.embedding')}, 6) AS s FROM v q JOIN v d ON q.vec_id % 50 = 0) SELECT query_id, doc_id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS k FROM s) WHERE k <= 5", VEC)
 
 def _indexed(spark, sf_dir):
@@ -113,7 +113,7 @@ def _recall(spark, sf_dir):
     """How many a query finds without that, and whether all find nine in ten of those of a scan."""
     v, index, queries = _indexed(spark, sf_dir)
     found = files.written(index.search(queries, 5).select("query_id", "doc_id"), "found")
-    scan = vec.nearest(queries, v.select(C("vec_id").alias("doc_id"), C("embedding").alias("d")), 5, F.round(vec.dot(C("q"), C("d")), 6)).select("query_id", "doc_id")
+    scan = vec.nearest_by_product(queries, v.select(C("vec_id").alias("doc_id"), C("embedding").alias("d")), 5).select("query_id", "doc_id")
     share = found.join(scan, ["query_id", "doc_id"]).agg(F.count("*").alias("hit")).join(scan.agg(F.count("*").alias("all"))).select((C("hit") >= 0.9 * C("all")).alias("recalled"))
     return found.groupBy("query_id").agg(F.count("*").cast("int").alias("k")).join(F.broadcast(share))
 

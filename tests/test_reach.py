@@ -142,3 +142,39 @@ def test_balanced_parts_of_many_rows(spark):
     assert sum(sums) == sum(whole) and spread(sums) <= max(2 * spread(whole), 4)
     assert sequential.balanced_whole(frame.limit(0), "k", "n", 4).count() == 0
     assert sorted(x.part for x in sequential.balanced_whole(frame.limit(3), "k", "n", 8).collect()) != [0, 0, 0]
+
+
+@pytest.mark.parametrize("products", [500, 2_000_000])
+def test_products_are_those_of_a_scan(spark, clustered, monkeypatch, products):
+    """Ties of a vector that is nine in ten rows, odd rows on both sides, blocks of queries, and decimal ties."""
+    monkeypatch.setattr(vectors, "PRODUCTS", products)
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 5)
+    docs, rows = clustered
+    docs = docs.unionByName(spark.createDataFrame([(-10 - i, [i * 5e-7, *[0.0] * 11]) for i in range(8)] + [(-20, [float("nan")] * 12)], docs.schema))
+    asked = [(i, rows[i][1]) for i in range(0, 600, 50)] + [(9000, [1.0, *[0.0] * 11]), (9001, None), (9002, [1.0])]
+    queries = spark.createDataFrame(asked, "query_id long, q array<double>")
+    result = lambda df: sorted((r.query_id, r.rank, r.doc_id, str(r.score)) for r in df.collect())
+    assert result(vectors.nearest_by_product(queries, docs, 7)) == result(vectors.nearest(queries, docs, 7, F.round(vectors.dot(F.col("q"), F.col("d")), 6)))
+    assert vectors.nearest_by_product(queries, docs.limit(0), 7).count() == 0
+    x = np.array([2.5e-6, 0.0000005, 1.0000015, -1.0000005, 0.3])
+    assert [round(u * 1e-6, 6) for u in vectors.rounded_units(x, 6)] == [r.y for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6).alias("y")).collect()]
+
+
+def test_routes_are_made_a_few_queries_at_a_time(spark, clustered, monkeypatch):
+    docs, rows = clustered
+    index = vector_index.InvertedFile.build(docs, files.scratch(spark, "vectors"), cells=40)
+    queries = spark.createDataFrame([(i, rows[i][1]) for i in range(300)], "query_id long, q array<double>")
+    routes = lambda: sorted((r.query_id, r.block) for r in index._routes(queries, 7, False).collect())
+    whole = routes()
+    seen = []
+    sort = np.argsort
+    monkeypatch.setattr(vector_index, "ROUTED", 400)
+    assert routes() == whole and len(whole) >= 2100
+    monkeypatch.setattr(vector_index.np, "argsort", lambda x, *a, **b: (seen.append(x.shape), sort(x, *a, **b))[1])
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([rows[i][1] for i in range(300)])], ["query_id", "q"])
+    frame = type("Frame", (), {"mapInArrow": lambda self, run, schema: list(run(iter([batch])))})()
+    index._routes(frame, 7, False)
+    assert max(s[0] for s in seen) * sum(index.parts) <= 400
+    index.close()
