@@ -9,9 +9,10 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -349,15 +350,38 @@ def rollout(steps: Sequence[dict], threshold: float = 0.8, most: int = 8, finali
     return {"rounds": len(steps), "segments": len(used), "finish": "open"}
 
 
-def rollouts(df: DataFrame, request: str, order: str, **how) -> DataFrame:
-    """request, rounds, segments, finish: a request's outputs are few, and each depends on those before."""
+def rollouts(df: DataFrame, request: str, order: str, threshold: float = 0.8, most: int = 8, finalise: bool = True) -> DataFrame:
+    """request, rounds, segments, finish: each output depends on those before.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        end = rollout(pdf.sort_values(order).to_dict("records"), **how)
-        return pd.DataFrame([{request: pdf[request].iloc[0], **end}])
-
-    kind = f"{request} {df.schema[request].dataType.simpleString()}, rounds int, segments int, finish string"
-    return df.groupBy(request).applyInPandas(run, kind)
+    Requests follow each other within a partition, sorted by their order, so a task folds them as they pass and holds
+    one fold at a time.
+    """
+    names = ("reason", "start", "end", "duration")
+    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in names[1:]]
+    rows = df.repartition(request).sortWithinPartitions(request, F.col(order).asc_nulls_last()).select(F.col(request).alias("k"), F.col("reason"), *numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, used, finish = batches, 0, [], None  # no request is the iterator
+        for batch in batches:
+            keys, ended = batch["k"], []
+            for k, *output in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key or key is batches:
+                    if key is not batches:
+                        ended.append((key, n, len(used), finish or "open"))
+                    key, n, used, finish = k, 0, [], None
+                if finish is None:
+                    n += 1
+                    finish = rollout_step(used, dict(zip(names, output, strict=True)), n, threshold, most, finalise)
+            if ended:
+                yield folded(ended, keys.type)
+        if key is not batches:
+            yield folded([(key, n, len(used), finish or "open")], keys.type)
+
+    def folded(ended: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        key, rounds, segments, finish = zip(*ended, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(key, kind), pa.array(rounds, pa.int32()), pa.array(segments, pa.int32()), pa.array(finish)], [request, "rounds", "segments", "finish"])
+
+    return rows.mapInArrow(run, f"{request} {df.schema[request].dataType.simpleString()}, rounds int, segments int, finish string")
 
 
 class Accumulator:

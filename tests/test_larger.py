@@ -64,3 +64,26 @@ def test_repetition_of_a_long_text_is_no_square(spark):
     began = time.time()
     found = [round(r.p, 6) for r in long.select(rewards.repetition_penalty(F.col("t")).alias("p")).collect()]
     assert found == [round(-(1 - 30_000 / 39_998), 6), round(-1 / 3, 6), 0.0, 0.0] and time.time() - began < 20
+
+
+def test_requests_are_folded_as_they_pass(spark):
+    """Requests of up to 40 outputs over several Arrow batches, one without a name; no call per request."""
+    import random
+
+    from loom.operators import sequential
+
+    r = random.Random(2)
+    names = ["request", "place", "reason", "start", "end", "duration"]
+    rows = [(q or None, p, r.choice(["seg"] * 6 + ["answer", "stop", None]), r.uniform(-1, 9), r.choice([None, r.uniform(0, 12)]), 10.0) for q in range(60) for p in range(r.randint(1, 40))]
+    frame = spark.createDataFrame(r.sample(rows, len(rows)), "request long, place long, reason string, start double, end double, duration double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        folded = sequential.rollouts(frame, "request", "place")
+        found = {x.request: (x.rounds, x.segments, x.finish) for x in folded.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = lambda v: float("nan") if v is None else v
+    for q in {x[0] for x in rows}:
+        steps = [dict(zip(names, [*x[:3], *map(plain, x[3:])], strict=True)) for x in rows if x[0] == q]
+        assert found.pop(q) == tuple(sequential.rollout(steps).values())
+    assert not found and "FlatMapGroupsInPandas" not in folded._jdf.queryExecution().executedPlan().toString()
