@@ -151,8 +151,9 @@ simple("rollout_states__STREAM_QA", ROLL, lambda v: seq.rollouts(v, "request", "
 
 def _streamed(spark, sf_dir, columns, table="orders"):
     path = files.scratch(spark, "stream-in")
-    views.read(spark, sf_dir, table).select(*columns).repartition(4).write.parquet(path)
-    return flows.source(spark, path, spark.read.parquet(path).schema)
+    files_each = spark.sparkContext.defaultParallelism  # of four batches, so that all cores read one
+    views.read(spark, sf_dir, table).select(*columns).repartition(4 * files_each).write.parquet(path)
+    return flows.source(spark, path, spark.read.parquet(path).schema, files_per_trigger=files_each)
 
 
 @query("streamed_profile__SRC14", "SELECT o_orderstatus AS st, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
