@@ -9,13 +9,17 @@ same once a shard has had no rows for so long, and with ``keep`` milliseconds un
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from loom.operators.sequential import pack, rollout_step
 
+#: Rows of a shuffled batch that are tuples at a time.
+PART_ROWS = 10_000
+
 
 def plain(value):
     """A number as Python's, missing as None: what state stores take."""
@@ -106,18 +110,23 @@ class Shuffling(Waiting):
         super().init(handle)
         self.held, self.seen = handle.getListState("held", self.state), handle.getValueState("seen", "seen long, given long")
 
-    def _step(self, shard, new: list[tuple], end: bool) -> pd.DataFrame:
+    def _step(self, shard, parts: Iterable[list[tuple]], end: bool) -> Iterator[pd.DataFrame]:
+        """What each part gives out, then what the end does: no more than a part's rows are held twice."""
         seen, given = self.seen.get() if self.seen.exists() else (0, 0)
         held = [tuple(map(plain, r)) for r in self.held.get()] if self.held.exists() else []
+        for new in parts:
+            out = []
+            for row in new:
+                if len(held) < self.buffer:
+                    held.append(row)
+                else:
+                    at = draw(self.seed, shard, seen, self.buffer)
+                    out.append(held[at])
+                    held[at] = row
+                seen += 1
+            yield self._placed(out, given)
+            given += len(out)
         out = []
-        for row in new:
-            if len(held) < self.buffer:
-                held.append(row)
-            else:
-                at = draw(self.seed, shard, seen, self.buffer)
-                out.append(held[at])
-                held[at] = row
-            seen += 1
         while end and held:
             out.append(held.pop(draw(self.seed, shard, seen + len(held), len(held))))
         if held:
@@ -125,17 +134,24 @@ class Shuffling(Waiting):
         elif self.held.exists():
             self.held.clear()
         self.seen.update((seen, given + len(out)))
-        return pd.DataFrame([(*row, given + i) for i, row in enumerate(out)], columns=[*self.columns, "at"], dtype=object)
+        yield self._placed(out, given)
+
+    def _placed(self, rows: list[tuple], given: int) -> pd.DataFrame:
+        return pd.DataFrame([(*row, given + i) for i, row in enumerate(rows)], columns=[*self.columns, "at"], dtype=object)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        """Rows of a batch are taken by their keys."""
-        given = pd.concat(list(rows))[self.columns]
-        new = given.dropna(subset=[self.key]).sort_values(self.key, key=(lambda k: k.astype(int)) if self.whole else None)
+        """Rows of a batch are taken by their keys, and become tuples PART_ROWS at a time."""
+        new = pd.concat([pdf[self.columns] for pdf in rows], ignore_index=True)
+        known = new[self.key].notna().to_numpy()
+        at = np.flatnonzero(known)
+        keys = new[self.key].iloc[at]
+        order = at[(keys.astype("int64") if self.whole else keys).argsort(kind="stable").to_numpy()]
         self.later(timers)
-        yield self._step(plain(key[0]), [tuple(map(plain, r)) for r in new.astype(object).itertuples(index=False)], bool(given[self.key].isna().any()))
+        parts = ([tuple(map(plain, r)) for r in new.iloc[order[a : a + PART_ROWS]].astype(object).itertuples(index=False)] for a in range(0, len(order), PART_ROWS))
+        yield from self._step(plain(key[0]), parts, not known.all())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._step(plain(key[0]), [], True)
+        yield from self._step(plain(key[0]), [], True)
 
 
 class Splitting(StatefulProcessor):
