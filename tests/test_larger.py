@@ -87,3 +87,31 @@ def test_requests_are_folded_as_they_pass(spark):
         steps = [dict(zip(names, [*x[:3], *map(plain, x[3:])], strict=True)) for x in rows if x[0] == q]
         assert found.pop(q) == tuple(sequential.rollout(steps).values())
     assert not found and "FlatMapGroupsInPandas" not in folded._jdf.queryExecution().executedPlan().toString()
+
+
+def written_bytes(spark, name):
+    """How many bytes the tables of that name in the shared folder have."""
+    from pathlib import Path
+
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    return sum(p.stat().st_size for p in base.glob(f"loom/{name}-*/*.parquet"))
+
+
+def test_no_table_of_all_grams_is_written(same, spark):
+    """160,000 words with hardly a pair twice: counts of counts are written, and not 640,000 grams; null and short texts have none."""
+    import random
+
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(4000)) for _ in range(40)]
+    before = written_bytes(spark, "grams")
+    assert same("ngrams__AGG08", documents=documents(spark, *texts, *texts[:3], None, "", "one", "w1 w2 it's 5% w1 w2"))
+    assert written_bytes(spark, "grams") - before < 500_000
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_grams_of_equal_counts_by_their_text(same, spark, monkeypatch, few):
+    """All grams are equally common, and picked whether they are handed out or joined."""
+    from loom.operators import quality
+
+    monkeypatch.setattr(quality, "BROADCAST_GRAMS", few)
+    assert same("ngrams__AGG08", documents=documents(spark, "b a d c f e g", "k j i h l m", None, "b a d c f e g"))
