@@ -5,10 +5,15 @@ Results go to Parquet, never to the driver.  The machines with state are those o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import takewhile
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loom.operators.sequential import rollout
 from loom.sources import files
 from loom.streaming import sources, state
 
@@ -173,8 +178,33 @@ def rollouts(stream: DataFrame, request: str, place: str, threshold: float = 0.8
     """request, rounds, segments, finish after each batch of its outputs, numbered from 0 by ``place``.
 
     Outputs that come before their turn wait; an ended request takes no more, and a number that came
-    counts once.  State is bounded by ``most`` and forgotten ``keep`` milliseconds after its last change.
+    counts once, from the first batch that had it (within a batch, the least of its outputs).  State is
+    the first ``most`` outputs of a request, in one row of an aggregate, and all requests that a batch
+    names are folded as they pass.  With ``keep``, a machine holds the state, which is forgotten so many
+    milliseconds after its last change.
     """
     kind = stream.schema[request].dataType.simpleString()
-    machine = state.Rollouts(request, place, threshold, most, keep)
-    return stream.groupBy(request).transformWithStateInPandas(machine, f"{request} {kind}, rounds int, segments int, finish string", "Update", _mode(keep))
+    schema = f"{request} {kind}, rounds int, segments int, finish string"
+    if keep:
+        return stream.groupBy(request).transformWithStateInPandas(state.Rollouts(request, place, threshold, most, keep), schema, "Update", _mode(keep))
+    names = state.Rollouts.FIELDS
+    output = F.struct(F.current_timestamp().alias("at"), F.col("reason"), *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in names[1:]])
+    came = stream.select(F.col(request).alias("request"), F.col(place).alias("place"), output.alias("o"))
+    held = came.groupBy("request").agg(*[F.min(F.when(F.col("place") == k, F.col("o"))).alias(f"o{k}") for k in range(most)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = []
+            for column in batch.columns[1:]:
+                known = column.is_valid().to_pylist()
+                slots.append([x if k else None for k, *x in zip(known, *(c.to_pylist() for c in column.flatten()[1:]), strict=True)])
+            found = [folded(outputs) for outputs in zip(*slots, strict=True)]
+            rounds, segments, finish = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rounds, pa.int32()), pa.array(segments, pa.int32()), pa.array(finish, pa.string())], [request, "rounds", "segments", "finish"])
+
+    def folded(outputs: tuple) -> tuple[int, int, str]:
+        """The fold as far as there is no gap."""
+        steps = [dict(zip(names, o, strict=True)) for o in takewhile(lambda o: o is not None, outputs)]
+        return tuple(rollout(steps, threshold, most).values())
+
+    return held.mapInArrow(run, schema)

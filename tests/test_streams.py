@@ -130,6 +130,19 @@ def test_rollouts(spark):
         assert (last.rounds, last.segments, last.finish) == (expected["rounds"], expected["segments"], expected["finish"])
 
 
+def test_rollouts_fold_without_a_call_per_request(spark):
+    """The first batch's output of a number counts; a missing start is 0, as in sequential.rollouts, and a missing place is no output."""
+    schema = "request long, place long, reason string, start double, end double, duration double"
+    first = [(1, 1, "answer", None, None, 10.0), (2, 0, "seg", None, 2.0, 10.0), (2, None, "seg", 1.0, 2.0, 10.0), (None, 0, None, 1.0, 2.0, 10.0), (3, 9, "seg", 1.0, 2.0, 10.0), (4, 0, "seg", 1.0, 2.0, 10.0)]
+    then = [(1, 1, "seg", 1.0, 2.0, 10.0), (1, 0, "seg", 0.0, 5.0, 10.0), (2, 1, "seg", 1.0, 2.0, 10.0)]
+    machine = lambda s: flows.rollouts(s, "request", "place")
+    found = runs(spark, [spark.createDataFrame(x, schema) for x in (first, then)], machine, "update").collect()
+    assert sorted((r.batch, r.request or 0, r.rounds, r.segments, r.finish) for r in found) == [(0, 0, 1, 0, "finalized"), (0, 1, 0, 0, "open"), (0, 2, 1, 1, "open"), (0, 3, 0, 0, "open"), (0, 4, 1, 1, "open"), (1, 1, 2, 1, "answer"), (1, 2, 2, 2, "open")]
+    rate = spark.readStream.format("rate").load().selectExpr("value AS request", "value AS place", "'seg' AS reason", "0D AS start", "1D AS end", "1D AS duration")
+    plan = lambda keep: flows.rollouts(rate, "request", "place", keep=keep)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan(None) and "TransformWithState" in plan(1000)
+
+
 def test_cycle(spark):
     path = files.scratch(spark, "cycle")
     spark.range(100).repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(path)
