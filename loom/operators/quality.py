@@ -234,23 +234,39 @@ def concentration(rows: DataFrame, value: Column, top: int, by: list[str] | None
     return ranked.groupBy(*by).agg(F.count("*").alias("unique"), F.count_if(F.col("n") > 1).alias("repeated"), F.round(F.sum(F.when(F.col("k") <= top, F.col("n"))) * 100 / F.sum("n"), 1).alias("top_pct"))
 
 
+#: Counts from which a word that is no function word, or a short number, is too common.
+MANY_WORDS, MANY_NUMBERS = 30, 20
+
+
 def gibberish(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Each row's first reason, in order: loop word, empty, dominating word, repeated content word, number loop, character run, normal.
 
-    Word counts are per row and need no shuffle: words are sorted within the row, and runs counted.
+    Word counts are per row and need no shuffle: words are sorted within the row, once, and a word of
+    many places equals the one so many places on; runs are counted among those only.  A word that has
+    more than half of the places has the middle one.
     """
-    t = F.col(text)
-    words = F.array_sort(F.regexp_extract_all(F.lower(t), F.lit(T.WORD), F.lit(0)))
-    numbers = F.array_sort(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)))
-    counted = rows.select(key, t.alias("t"), _top_run(words).alias("w"), F.size(words).alias("n"), _top_run(numbers).alias("d"), F.regexp_count(F.lower(t), F.lit("pérdida")).alias("loop"))
+    lowered = rows.select(key, F.col(text).alias("t"), F.lower(text).alias("low"))
+    found = lambda x, pattern: F.sort_array(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)))
+    ordered = lowered.select(key, "t", F.regexp_count("low", F.lit("pérdida")).alias("loop"), found("low", T.WORD).alias("words"), found("t", r"\d+").alias("numbers"))
+    half = F.shiftright(F.size("words"), 1)
+    middle = F.get("words", half)
+    beyond = F.get("words", (F.array_position("words", middle) - 1 + half).cast("int"))
+    counted = ordered.select(key, "t", "loop", F.size("words").alias("n"), (beyond == middle).alias("dominated"), _top_of_many("words", MANY_WORDS).alias("w"), _top_of_many("numbers", MANY_NUMBERS).alias("d"))
     reason = (
-        F.when(F.col("loop") >= 5, "loop_word").when(F.col("n") == 0, "empty").when(F.col("w.n") > F.col("n") * 0.5, "dominating_word")
-        .when((F.col("w.n") >= 30) & ~F.col("w.v").isin(*T.FUNCTION_WORDS), "excessive_repeat").when((F.col("d.n") >= 20) & (F.length("d.v") <= 3), "number_loop")
+        F.when(F.col("loop") >= 5, "loop_word").when(F.col("n") == 0, "empty").when(F.col("dominated"), "dominating_word")
+        .when((F.col("w") != "") & ~F.col("w").isin(*T.FUNCTION_WORDS), "excessive_repeat").when((F.col("d") != "") & (F.length("d") <= 3), "number_loop")
         .when(F.col("t").rlike(r"(.)\1{9,}"), "char_repeat").otherwise("normal")
     )
     return counted.select(key, reason.alias("reason"))
 
 
+def _top_of_many(ordered: str, least: int) -> Column:
+    """The most common value of a sorted array, of equally common ones the first; "" if it is there less than ``least`` times."""
+    more = F.greatest(F.size(ordered) - (least - 1), F.lit(0))
+    same = F.zip_with(F.slice(ordered, F.lit(1), more), F.slice(ordered, F.lit(least), more), lambda a, b: F.when(a == b, a))
+    return _top_run(F.array_compact(same))["v"]
+
+
 def _top_run(ordered: Column) -> Column:
     """The longest run (v, n) of a sorted array; of equal runs the first."""
     none = F.struct(F.lit("").alias("v"), F.lit(0).alias("n"), F.lit("").alias("now"), F.lit(0).alias("len"))

@@ -140,3 +140,16 @@ def test_no_word_of_a_document_is_a_row(spark):
     assert "explode" not in found._jdf.queryExecution().executedPlan().toString()
     nothing = vectors.bm25(docs.withColumnRenamed("doc_id", "query_id").where("query_id = 0"), docs, 2)
     assert nothing.count() == 0 and vectors.bm25(docs.withColumnRenamed("doc_id", "query_id"), docs.where("doc_id = 0"), 2).count() == 0
+
+
+def test_words_are_found_and_sorted_once(same, spark):
+    """Bounds of each reason; of equally common words the first decides, whether or not it is a function word."""
+    from loom.operators import quality
+
+    plain = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200))
+    texts = ["a a b c", "a a a b c", "b a", "b b", "x", "", "!?", None, plain + " zog" * 29, plain + " Zog zog" * 15, plain + " the" * 40, plain + " the zog" * 30, plain + " zog any" * 30, plain + " the" * 31 + " zog" * 30,
+             plain + " 123" * 19, plain + " 123" * 20, plain + " 1234" * 20, plain + " 1234 123" * 20, plain + " 1 999" * 20, plain + "-" * 9, plain + "-" * 10, "pérdida " * 4 + plain, "PÉRDIDA " * 5 + plain, "été " * 30 + plain]
+    frame = spark.createDataFrame([(9 * i + j, t, "en", "s") for i, t in enumerate(texts) for j in ((4, 5) if t is None else (3, 4, 5))], "doc_id long, text string, lang string, source string")
+    assert same("gibberish__FLT13", documents=frame)
+    plan = quality.gibberish(frame, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)\w+") == 1 and "array_sort" not in plan
