@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loom.llm.common import WORD, materialise, table
 
-#: Hash buckets that words and word pairs share; the counts of this many buckets come to the driver.
+#: Hash buckets that words and word pairs share; a table of ratios has so many numbers.
 BUCKETS = 1 << 15
 #: Labelled texts of either kind, at most.
 LABELLED = 20_000
@@ -27,7 +27,7 @@ LABELLED = 20_000
 FOLDS, BROADCAST_LABELS = 5, 1_000_000
 #: Positions that fit beside a hash's upper bits; longer texts are sorted as pairs.
 INDEX_BITS = 20
-#: Decimals of a ratio: the tables are literals, and plans are printed and logged with theirs.
+#: Decimals of a ratio.
 DIGITS = 4
 SYMBOLS = "[#*$%&|<>]"
 
@@ -100,6 +100,27 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
+def _ratios(counts: DataFrame) -> DataFrame:
+    """(fold, ratios): a table for each fold left out, and one (FOLDS) of all folds; ratios by bucket, add-one smoothed.
+
+    One row a table: it is broadcast, and neither comes to the driver's Python nor stands in a plan.
+    """
+    folds = [F.coalesce(f"f{k}", F.lit(0)) for k in range(FOLDS)]
+    every = counts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    every = every.select("bucket", (F.coalesce("raw", F.lit(0)) + 1).alias("raw"), F.array(*folds).alias("folds"), F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("fold"))
+    others = F.aggregate("folds", F.lit(1).cast("long"), lambda s, n: s + n) - F.coalesce(F.get("folds", F.col("fold")), F.lit(0))
+    cells = F.sort_array(F.collect_list(F.struct("bucket", "raw", "trusted")))
+    tables = every.withColumn("trusted", others).groupBy("fold").agg(cells.alias("cells"), F.sum("raw").alias("r"), F.sum("trusted").alias("t"))
+    ratio = lambda c: F.when(F.col("t") > BUCKETS, F.round(F.log(c["trusted"] / F.col("t")) - F.log(c["raw"] / F.col("r")), DIGITS)).otherwise(0.0)
+    return tables.select("fold", F.transform("cells", ratio).alias("ratios"))
+
+
+def _mean(ratios: Column) -> Column:
+    """The mean ratio over w and p."""
+    total = F.aggregate(F.concat("w", "p"), F.lit(0.0), lambda s, h: s + F.get(ratios, _bucket(h)))
+    return total / F.nullif(F.size("w") + F.size("p"), F.lit(0))
+
+
 class LikelihoodRatio:
     """log(trusted / raw) by bucket, and the threshold; fitted by one pass over all texts and one over the labelled."""
 
@@ -114,39 +135,30 @@ class LikelihoodRatio:
         marked = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left")
         grams = _word_hashes(marked).select("fold", F.explode(F.concat("w", _pairs())).alias("h")).select("fold", _bucket(F.col("h")).alias("bucket"))
         folds = [F.count_if(F.col("fold") == k).alias(f"f{k}") for k in range(FOLDS)]
-        counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), *folds).collect()
-        raw, trusted = [1] * BUCKETS, [[1] * BUCKETS for _ in range(FOLDS + 1)]  # add-one smoothing; the last has all folds
-        for r in counts:
-            raw[r.bucket] += r.raw
-            for k in range(FOLDS + 1):
-                trusted[k][r.bucket] += sum(r[f"f{j}"] for j in range(FOLDS) if j != k)
-        ratios = [self._ratios(raw, t) for t in trusted]
-        self.table = ratios[-1]
+        counts = materialise(grams.groupBy("bucket").agg(F.count("*").alias("raw"), *folds), "counts")
+        self.tables = materialise(_ratios(counts), "ratios")
         # all labelled rows, written once as scores: two statistics are drawn from them
         labelled = every.join(F.broadcast(known), "doc_id", "left").select("doc_id", "good", F.coalesce("fold", F.lit(FOLDS)).alias("fold"))
         if labelled.count() <= BROADCAST_LABELS:
             labelled = F.broadcast(labelled)
-        scored = _word_hashes(docs.select("doc_id", "text").join(labelled, "doc_id")).where(F.size("w") >= 50)
-        scored = materialise(scored.withColumn("p", _pairs()).select("good", self._mean(F.get(F.from_json(F.lit(json.dumps(ratios)), "array<array<double>>"), F.col("fold"))).alias("score")), "scores")
+        scored = _word_hashes(docs.select("doc_id", "text").join(labelled, "doc_id")).where(F.size("w") >= 50).withColumn("p", _pairs())
+        scored = materialise(scored.select("good", "fold", "w", "p").join(F.broadcast(self.tables), "fold").select("good", _mean(F.col("ratios")).alias("score")), "scores")
         of = lambda good, q: F.percentile_approx(F.when(F.col("good") == good, F.col("score")), q, 1_000_000)
         low, middle, tail = scored.agg(F.min(F.when(F.col("good") == 1, F.col("score"))), of(0, 0.5), of(1, 1 - keep)).first()
         self.found = (low, tail, middle)
         #: Halfway between the low end of trusted texts and the middle of rejected ones; never above that low end.
         self.threshold = -math.inf if tail is None or middle is None else min(tail, (tail + middle) / 2)
 
-    @staticmethod
-    def _ratios(raw: list[int], trusted: list[int]) -> list[float]:
-        r, t = sum(raw), sum(trusted)
-        return [round(math.log(b / t) - math.log(a / r), DIGITS) if t > BUCKETS else 0.0 for a, b in zip(raw, trusted, strict=True)]
+    def _table(self) -> DataFrame:
+        return self.tables.where(F.col("fold") == FOLDS).select("ratios")
 
     def score(self) -> Column:
-        """Of rows with w and p; null for texts without words."""
-        return self._mean(F.from_json(F.lit(json.dumps(self.table)), "array<double>"))
+        """Of rows with w and p; null for texts without words.  Its table is a literal, 230 KB wherever a plan is kept."""
+        return _mean(F.from_json(F.lit(json.dumps(self._table().first().ratios)), "array<double>"))
 
-    @staticmethod
-    def _mean(ratios: Column) -> Column:
-        total = F.aggregate(F.concat("w", "p"), F.lit(0.0), lambda s, h: s + F.get(ratios, _bucket(h)))
-        return total / F.nullif(F.size("w") + F.size("p"), F.lit(0))
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """Adds score as llr, by a broadcast of its table."""
+        return rows.crossJoin(F.broadcast(self._table())).withColumn("llr", _mean(F.col("ratios"))).drop("ratios")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,7 +174,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _verdicts(docs: DataFrame, model: LikelihoodRatio, keep: str) -> DataFrame:
     kept = ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= F.lit(model.threshold))
-    return rules(docs, keep).withColumn("llr", model.score()).withColumn("kept", kept).drop("w", "p")
+    return model.scored(rules(docs, keep)).withColumn("kept", kept).drop("w", "p")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
